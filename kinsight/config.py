@@ -25,16 +25,25 @@ class Clock:
     def today_col(self) -> Column:
         return F.lit(self.today)
 
-    def now_col(self, days_back: int = 0) -> Column:
+    def now_sql(self, days_back: int = 0) -> str:
         moment = self.now - timedelta(days=days_back)
-        return F.expr(f"TIMESTAMP_NTZ '{moment:%Y-%m-%d %H:%M:%S.%f}'")
+        return f"TIMESTAMP_NTZ '{moment:%Y-%m-%d %H:%M:%S.%f}'"
+
+    def current_sql(self, ts: str = "interaction_date") -> str:
+        return f"({ts} >= {self.now_sql(self.window_days)})"
+
+    def recent_sql(self, ts: str = "interaction_date") -> str:
+        return f"({ts} >= {self.now_sql(2 * self.window_days)})"
+
+    def prior_sql(self, ts: str = "interaction_date") -> str:
+        return f"({self.recent_sql(ts)} AND {ts} < {self.now_sql(self.window_days)})"
+
+    def now_col(self, days_back: int = 0) -> Column:
+        return F.expr(self.now_sql(days_back))
 
     def in_current(self, ts: Column) -> Column:
         return ts >= self.now_col(self.window_days)
 
-    def in_prior(self, ts: Column) -> Column:
-        return (ts >= self.now_col(2 * self.window_days)) & (ts < self.now_col(self.window_days))
-
     def in_recent(self, ts: Column) -> Column:
         return ts >= self.now_col(2 * self.window_days)
 

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 def count_if(condition: Column) -> Column:
     """Conditional count that stays a plain hash aggregate (0 for empty or NULL)."""
-    return F.coalesce(F.sum(F.when(condition, F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("bigint")
+    return F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0)).cast("bigint")
+
+
+def count_where(name: str, condition: str) -> Column:
+    """``count_if`` from SQL text, named."""
+    return F.expr(f"coalesce(sum(CASE WHEN {condition} THEN 1 ELSE 0 END), 0L) AS {name}")
 
 
 def ratio(numerator: Column, denominator: Column, digits: int | None = None) -> Column:
@@ -17,10 +22,6 @@ def ratio(numerator: Column, denominator: Column, digits: int | None = None) ->
     return value if digits is None else F.round(value, digits)
 
 
-def clamp01(value: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(1), value))
-
-
 def ordinal(value: Column, order: tuple[str, ...]) -> Column:
     """Position of ``value`` in ``order``; anything else sorts with the last entry."""
     rank = F.lit(len(order))

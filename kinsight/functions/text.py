@@ -22,7 +22,7 @@ def count_in(words: Column, lexicon: Iterable[str]) -> Column:
 
 
 def has_any(words: Column, lexicon: Iterable[str]) -> Column:
-    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in lexicon]))
+    return F.arrays_overlap(words, F.lit(list(lexicon)))
 
 
 def first_rule(words: Column, rules: tuple[tuple[str, tuple[str, ...]], ...], default: str) -> Column:
@@ -53,8 +53,3 @@ def first_sentence(text: Column, max_words: int = 20) -> Column:
     """First sentence on one line, at most ``max_words`` words."""
     sentence = F.regexp_extract(strip(text), r"^[^.!?]*[.!?]?", 0)
     return F.array_join(F.slice(F.split(strip(sentence), r"\s+"), 1, max_words), " ")
-
-
-def tidy_number(value: Column) -> Column:
-    """Two-decimal text without trailing zeros: -0.60 -> -0.6, 0.00 -> 0."""
-    return F.regexp_replace(F.round(value, 2).cast("decimal(20,2)").cast("string"), r"\.?0+$", "")

@@ -12,94 +12,86 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinsight.functions.numeric import count_if
+from kinsight.functions.numeric import count_if, count_where
 
 TOTAL = "decimal(14,2)"
 
 
-def money_sum(value: Column | str) -> Column:
-    return F.sum(value).cast(TOTAL)
+def total(name: str, expression: str) -> Column:
+    return F.expr(f"CAST(sum({expression}) AS {TOTAL}) AS {name}")
 
 
 def agg_customer_policy(policies: DataFrame, coverages: DataFrame) -> DataFrame:
-    active = F.col("status") == "active"
     per_product = policies.groupBy("customer_id", "product_type").agg(
-        F.count("*").alias("_n"),
-        count_if(active).alias("_active"),
-        F.min(F.when(active, F.col("expiration_date"))).alias("_renewal"),
-        F.sum("premium_amount").alias("_premium"),
-        F.sum(F.when(active, F.col("premium_amount")).otherwise(F.lit(0).cast("decimal(12,2)"))).alias("_active_premium"),
+        F.expr("count(*) AS _n"),
+        count_where("_active", "status = 'active'"),
+        F.expr("min(CASE WHEN status = 'active' THEN expiration_date END) AS _renewal"),
+        F.expr("sum(premium_amount) AS _premium"),
+        F.expr("sum(CASE WHEN status = 'active' THEN premium_amount ELSE 0.00 END) AS _active_premium"),
     )
-    holdings = F.array_join(F.sort_array(F.collect_list("product_type")), ", ")
     policy = per_product.groupBy("customer_id").agg(
-        F.sum("_n").alias("total_policies"),
-        F.sum("_active").alias("active_policies"),
-        F.count("product_type").alias("distinct_product_count"),
-        F.nullif(holdings, F.lit("")).alias("product_holdings"),
-        F.min("_renewal").alias("nearest_renewal_date"),
-        money_sum("_premium").alias("total_annual_premium"),
-        money_sum("_active_premium").alias("active_annual_premium"),
+        F.expr("sum(_n) AS total_policies"),
+        F.expr("sum(_active) AS active_policies"),
+        F.expr("count(product_type) AS distinct_product_count"),
+        F.expr("nullif(array_join(sort_array(collect_list(product_type)), ', '), '') AS product_holdings"),
+        F.expr("min(_renewal) AS nearest_renewal_date"),
+        total("total_annual_premium", "_premium"),
+        total("active_annual_premium", "_active_premium"),
     )
     # coverages shrink to one row per policy before they meet their owner
     per_policy = coverages.groupBy("policy_id").agg(
-        F.sum("limit_amount").alias("_limit"), F.sum("deductible_amount").alias("_deductible")
+        F.expr("sum(limit_amount) AS _limit"), F.expr("sum(deductible_amount) AS _deductible")
     )
     coverage = per_policy.join(policies.select("policy_id", "customer_id"), "policy_id").groupBy("customer_id").agg(
-        money_sum("_limit").alias("total_coverage_limit"), money_sum("_deductible").alias("total_deductible")
+        total("total_coverage_limit", "_limit"), total("total_deductible", "_deductible")
     )
     return policy.join(coverage, "customer_id", "left")
 
 
 def agg_customer_claim(claims: DataFrame) -> DataFrame:
-    status = F.col("status")
     return claims.groupBy("customer_id").agg(
-        F.count("*").alias("total_claims"),
-        count_if(status.isin("filed", "under_review")).alias("open_claims"),
-        count_if(status == "settled").alias("settled_claims"),
-        count_if(status == "denied").alias("denied_claims"),
-        money_sum("reserve_amount").alias("total_reserve_amount"),
-        money_sum("paid_amount").alias("total_paid_amount"),
-        F.min("filed_date").alias("earliest_filed_date"),
-        F.max("filed_date").alias("latest_filed_date"),
+        F.expr("count(*) AS total_claims"),
+        count_where("open_claims", "status IN ('filed', 'under_review')"),
+        count_where("settled_claims", "status = 'settled'"),
+        count_where("denied_claims", "status = 'denied'"),
+        total("total_reserve_amount", "reserve_amount"),
+        total("total_paid_amount", "paid_amount"),
+        F.expr("min(filed_date) AS earliest_filed_date"),
+        F.expr("max(filed_date) AS latest_filed_date"),
     )
 
 
 def agg_customer_payment(payments: DataFrame) -> DataFrame:
-    status = F.col("status")
     return payments.groupBy("customer_id").agg(
-        F.count("*").alias("total_payments"),
+        F.expr("count(*) AS total_payments"),
         *[
-            count_if(status == value).alias(f"{value}_count")
+            count_where(f"{value}_count", f"status = '{value}'")
             for value in ("on_time", "late", "missed", "grace_period", "pending")
         ],
-        F.max("paid_date").alias("latest_paid_date"),
-        money_sum("amount").alias("total_amount_due"),
-        money_sum("amount_paid").alias("total_amount_paid"),
+        F.expr("max(paid_date) AS latest_paid_date"),
+        total("total_amount_due", "amount"),
+        total("total_amount_paid", "amount_paid"),
     )
 
 
 def agg_customer_interaction(interactions: DataFrame) -> DataFrame:
     """Ties for the latest contact go to the alphabetically last channel."""
-    direction, disposition = F.col("direction"), F.col("disposition")
-    counts = {
-        "inbound_count": direction == "inbound",
-        "outbound_count": direction == "outbound",
-        "complaint_count": disposition == "complaint",
-        "inquiry_count": disposition == "inquiry",
-        "request_count": disposition == "request",
-    }
     per_channel = interactions.groupBy("customer_id", "channel").agg(
-        F.count("*").alias("total_interactions"),
-        F.max("interaction_date").alias("_latest"),
-        *[count_if(when).alias(name) for name, when in counts.items()],
+        F.expr("count(*) AS total_interactions"),
+        F.expr("max(interaction_date) AS _latest"),
+        count_where("inbound_count", "direction = 'inbound'"),
+        count_where("outbound_count", "direction = 'outbound'"),
+        count_where("complaint_count", "disposition = 'complaint'"),
+        count_where("inquiry_count", "disposition = 'inquiry'"),
+        count_where("request_count", "disposition = 'request'"),
     )
     return per_channel.groupBy("customer_id").agg(
-        F.sum("total_interactions").alias("total_interactions"),
-        F.sum("inbound_count").alias("inbound_count"),
-        F.sum("outbound_count").alias("outbound_count"),
-        F.max("_latest").alias("latest_interaction_date"),
-        F.max_by("channel", F.struct("_latest", "channel")).alias("latest_channel"),
-        *[F.sum(n).alias(n) for n in ("complaint_count", "inquiry_count", "request_count")],
+        F.expr("sum(total_interactions) AS total_interactions"),
+        F.expr("sum(inbound_count) AS inbound_count"),
+        F.expr("sum(outbound_count) AS outbound_count"),
+        F.expr("max(_latest) AS latest_interaction_date"),
+        F.expr("max_by(channel, struct(_latest, channel)) AS latest_channel"),
+        *[F.expr(f"sum({n}) AS {n}") for n in ("complaint_count", "inquiry_count", "request_count")],
     )
 
 
@@ -140,7 +132,7 @@ def trailing_12m(customers, payments, claims, interactions, today: Column, now:
         count_if(F.col("status") == "late").alias("late_payment_count_12m"),
     )
     claim = claims.filter(F.col("filed_date") >= start).groupBy("customer_id").agg(
-        F.count("*").alias("claims_filed_12m"), money_sum("paid_amount").alias("total_paid_12m")
+        F.count("*").alias("claims_filed_12m"), total("total_paid_12m", "paid_amount")
     )
     contact = interactions.filter(F.col("interaction_date") >= start_ts).groupBy("customer_id").agg(
         F.count("*").alias("total_interactions_12m")

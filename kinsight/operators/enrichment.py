@@ -79,8 +79,13 @@ def score_transcripts(transcripts: DataFrame, rules: TextRules, scorer: Scorer |
     return (scorer or lexicon_scorer(rules))(gated).drop("scorable_text")
 
 
-def _in_range(raw: Column) -> Column:
-    return raw.between(-1, 1)
+IN_RANGE = "coalesce(sentiment_raw BETWEEN -1 AND 1, false)"
+
+
+def _closed(name: str, allowed: tuple[str, ...], default: str) -> str:
+    """Lower-cased field of the parsed output if it is in its closed set, else the default."""
+    value, members = f"lower(try_variant_get(_json, '$.{name}', 'string'))", ", ".join(f"'{v}'" for v in allowed)
+    return f"CASE WHEN extraction_raw IS NOT NULL THEN CASE WHEN {value} IN ({members}) THEN {value} ELSE {default} END END"
 
 
 def validated(scored: DataFrame) -> DataFrame:
@@ -89,48 +94,31 @@ def validated(scored: DataFrame) -> DataFrame:
     The JSON is parsed once into a variant; every field is read from it with a
     try-cast, so malformed or adversarial output can only become a default.
     """
-    number = F.col("sentiment_raw")
-    raw = number.cast(RAW_SCORE) if dict(scored.dtypes)["sentiment_raw"].startswith("decimal") \
-        else F.when(~F.isnan(number), number.cast(RAW_SCORE))
-    parsed = scored.withColumn("sentiment_raw", raw).withColumn("_json", F.try_parse_json(F.trim("extraction_raw")))
-
-    def read(name: str) -> Column:
-        return F.try_variant_get("_json", f"$.{name}", "string")
-
-    def closed(name: str, allowed: tuple[str, ...], default: str | None) -> Column:
-        value = F.lower(read(name))
-        fallback = F.lit(default) if default else F.lit(None).cast("string")
-        return F.when(F.col("extraction_raw").isNotNull(), F.when(value.isin(*allowed), value).otherwise(fallback))
-
-    score = F.col("sentiment_raw")
-    return parsed.select(
-        *[c for c in scored.columns if c not in ("sentiment_raw", "extraction_raw")],
-        "sentiment_raw",
-        F.when(_in_range(score), F.round(score, 4)).cast(SCORE).alias("sentiment_score"),
-        F.when(score < F.lit("-0.2").cast("decimal(2,1)"), "negative")
-        .when(score > F.lit("0.2").cast("decimal(2,1)"), "positive")
-        .when(score.isNotNull(), "neutral").alias("sentiment_label"),
-        F.left(read("summary"), F.lit(500)).alias("summary"),
-        closed("topic", TOPICS, DEFAULT_TOPIC).alias("primary_topic"),
-        closed("intent", INTENTS, DEFAULT_INTENT).alias("primary_intent"),
-        closed("urgency", URGENCIES, None).alias("extracted_urgency"),
-        F.left("extraction_raw", F.lit(2000)).alias("extraction_raw"),
-        F.col("_json").isNotNull().alias("json_ok"),
+    kept = [c for c in scored.columns if c not in ("sentiment_raw", "extraction_raw")]
+    return scored.withColumns({
+        "sentiment_raw": F.expr(f"try_cast(sentiment_raw AS {RAW_SCORE})"),
+        "_json": F.expr("try_parse_json(trim(extraction_raw))"),
+    }).selectExpr(
+        *kept, "sentiment_raw",
+        f"CAST(CASE WHEN {IN_RANGE} THEN round(sentiment_raw, 4) END AS {SCORE}) AS sentiment_score",
+        "CASE WHEN sentiment_raw < -0.2 THEN 'negative' WHEN sentiment_raw > 0.2 THEN 'positive' "
+        "WHEN sentiment_raw IS NOT NULL THEN 'neutral' END AS sentiment_label",
+        "left(try_variant_get(_json, '$.summary', 'string'), 500) AS summary",
+        _closed("topic", TOPICS, f"'{DEFAULT_TOPIC}'") + " AS primary_topic",
+        _closed("intent", INTENTS, f"'{DEFAULT_INTENT}'") + " AS primary_intent",
+        _closed("urgency", URGENCIES, "NULL") + " AS extracted_urgency",
+        "left(extraction_raw, 2000) AS extraction_raw",
+        "_json IS NOT NULL AS json_ok",
     )
 
 
-def urgency(disposition: Column) -> Column:
-    """Structural override, then the extracted value, then a fallback from score and disposition."""
-    score = F.col("sentiment_raw")
-    low, lowest = F.lit("-0.2").cast("decimal(2,1)"), F.lit("-0.5").cast("decimal(2,1)")
-    return (
-        F.when((score < lowest) & ((disposition == "complaint") | (F.col("primary_intent") == "escalation")), "critical")
-        .when(F.col("extracted_urgency").isNotNull(), F.col("extracted_urgency"))
-        .when(score < low, "high")
-        .when(disposition == "complaint", "high")
-        .when(score.between(low, F.lit("0.2").cast("decimal(2,1)")), "medium")
-        .otherwise("low")
-    )
+# Structural override, then the extracted value, then a fallback from score and disposition.
+URGENCY = (
+    "CASE WHEN sentiment_raw < -0.5 AND (disposition = 'complaint' OR primary_intent = 'escalation') THEN 'critical' "
+    "WHEN extracted_urgency IS NOT NULL THEN extracted_urgency "
+    "WHEN sentiment_raw < -0.2 THEN 'high' WHEN disposition = 'complaint' THEN 'high' "
+    "WHEN sentiment_raw BETWEEN -0.2 AND 0.2 THEN 'medium' ELSE 'low' END"
+)
 
 
 def enrich(
@@ -138,37 +126,29 @@ def enrich(
 ) -> DataFrame:
     """One row per interaction with validated text signals, flags, status and provenance."""
     scored = validated(score_transcripts(transcripts, rules, scorer))
-    joined = interactions.select(
+    contact = interactions.select(
         "interaction_id", "customer_id", "channel", "direction", "disposition", "interaction_date",
         "duration_seconds", "representative_id",
-    ).join(scored, "interaction_id", "left")
-
-    score, intent = F.col("sentiment_raw"), F.col("primary_intent")
-    gate = eligibility(F.col("transcript_id"), F.col("recording_consent_flag"))
-    eligible, valid = gate == "eligible", F.coalesce(_in_range(score), F.lit(False))
-    disposition = F.col("disposition")
-    return joined.select(
-        "interaction_id", "customer_id", "channel", "direction", "disposition", "interaction_date",
-        "duration_seconds", "representative_id", "transcript_id", "content_type", "word_count",
+    )
+    joined = contact.join(scored, "interaction_id", "left").withColumn(
+        "_gate", eligibility(F.col("transcript_id"), F.col("recording_consent_flag")))
+    return joined.selectExpr(
+        *contact.columns, "transcript_id", "content_type", "word_count",
         "sentiment_score", "sentiment_label", "summary", "primary_topic", "primary_intent",
-        urgency(disposition).alias("urgency_level"),
+        f"{URGENCY} AS urgency_level",
         "extraction_raw",
-        F.coalesce(
-            (disposition == "complaint") | F.coalesce(intent == "complaint", F.lit(False))
-            | F.coalesce(score < F.lit("-0.5").cast("decimal(2,1)"), F.lit(False)), F.lit(False),
-        ).alias("is_complaint"),
-        (F.coalesce(intent == "escalation", F.lit(False)) | F.coalesce("text_escalates", F.lit(False)))
-        .alias("is_escalation"),
-        F.when(~eligible, gate).when(valid & F.col("json_ok"), "completed").otherwise("failed")
-        .alias("enrichment_status"),
-        F.when(eligible, F.lit(rules.model_name)).alias("enrichment_model"),
-        F.when(eligible & ~valid, F.concat(
-            F.lit("sentiment scorer returned invalid: "), F.coalesce(score.cast("double").cast("string"), F.lit("NULL"))))
-        .when(eligible & F.col("extraction_raw").isNull(), "extraction returned NULL")
-        .when(eligible & ~F.col("json_ok"), F.concat(
-            F.lit("extraction returned non-JSON: "), F.left("extraction_raw", F.lit(200))))
-        .alias("enrichment_error"),
-        F.col("interaction_id").alias("_source_event_id"),
+        "coalesce(disposition = 'complaint', false) OR coalesce(primary_intent = 'complaint', false) "
+        "OR coalesce(sentiment_raw < -0.5, false) AS is_complaint",
+        "coalesce(primary_intent = 'escalation', false) OR coalesce(text_escalates, false) AS is_escalation",
+        f"CASE WHEN _gate != 'eligible' THEN _gate WHEN {IN_RANGE} AND json_ok THEN 'completed' ELSE 'failed' END "
+        "AS enrichment_status",
+        f"CASE WHEN _gate = 'eligible' THEN '{rules.model_name}' END AS enrichment_model",
+        f"CASE WHEN _gate != 'eligible' THEN NULL WHEN NOT {IN_RANGE} THEN concat('sentiment scorer returned invalid: ', "
+        "coalesce(CAST(CAST(sentiment_raw AS DOUBLE) AS STRING), 'NULL')) "
+        "WHEN extraction_raw IS NULL THEN 'extraction returned NULL' "
+        "WHEN NOT json_ok THEN concat('extraction returned non-JSON: ', left(extraction_raw, 200)) END "
+        "AS enrichment_error",
+        "interaction_id AS _source_event_id",
     )
 
 

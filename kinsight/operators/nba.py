@@ -54,38 +54,33 @@ def weight_frame(spark: SparkSession, signals=SIGNALS) -> DataFrame:
 # --- evidence and context --------------------------------------------------------------------------------------
 
 
-def flag(signal_type: str) -> Column:
-    floor = F.lit(ACTIVE_ABOVE.get(signal_type, Decimal("0.0")))
-    return F.exists("signals", lambda s: (s["signal_type"] == signal_type) & (s["signal_score"] > floor))
-
-
-def evidence_array(signals: Column) -> Column:
-    """Signals as display objects, heaviest contribution first, ties by name."""
-    keyed = F.transform(signals, lambda s: F.struct(
-        (-s["weighted_score"]).alias("k"), s["signal_type"].alias("signal_type"),
-        s["signal_score"].alias("signal_score"), s["signal_weight"].alias("signal_weight"),
-        s["weighted_score"].alias("weighted_score"), s["signal_direction"].alias("direction"),
-        s["evidence_text"].alias("evidence"),
-    ))
-    return F.transform(F.sort_array(keyed), lambda s: F.struct(
-        s["signal_type"].alias("signal_type"), s["signal_score"].cast("double").alias("signal_score"),
-        s["signal_weight"].cast("double").alias("signal_weight"),
-        s["weighted_score"].cast("double").alias("weighted_score"),
-        s["direction"].alias("direction"), s["evidence"].alias("evidence"),
-    ))
+EVIDENCE = (
+    "transform(sort_array(transform(signals, s -> struct(-s.weighted_score AS k, s.signal_type AS t, s AS s))), e -> "
+    "named_struct('signal_type', e.s.signal_type, 'signal_score', CAST(e.s.signal_score AS DOUBLE), "
+    "'signal_weight', CAST(e.s.signal_weight AS DOUBLE), 'weighted_score', CAST(e.s.weighted_score AS DOUBLE), "
+    "'direction', e.s.signal_direction, 'evidence', e.s.evidence_text))"
+)
+
+
+def _flag_sql(signal_type: str) -> str:
+    floor = ACTIVE_ABOVE.get(signal_type, Decimal("0.0"))
+    return f"exists(signals, s -> s.signal_type = '{signal_type}' AND s.signal_score > {floor})"
 
 
 def customer_context(scored: DataFrame, *carry: str) -> DataFrame:
-    """Risk row plus activity flags, evidence and enrichment coverage: everything a recommendation looks at."""
-    coverage = F.coalesce(ratio(F.col("transcripts_enriched"), F.col("transcripts_total"), 2), F.lit(0))
-    return scored.select(
+    """Risk row plus activity flags, evidence and enrichment coverage: everything a recommendation looks at.
+
+    Evidence lists the signals heaviest contribution first, ties by name.
+    """
+    return scored.selectExpr(
         "customer_id", "composite_risk_score", "risk_tier", "overall_direction", "product_holdings",
-        F.when(F.col("has_policies"), F.col("active_policies")).alias("active_policies"),
-        evidence_array(F.col("signals")).alias("evidence_signals"),
-        *[flag(signal).alias(name) for signal, name in FLAG_NAMES.items()],
-        coverage.cast("decimal(5,2)").alias("enrichment_coverage_pct"),
-        F.col("transcripts_enriched").alias("enriched_count"),
-        F.col("transcripts_failed").alias("failed_count"),
+        "CASE WHEN has_policies THEN active_policies END AS active_policies",
+        f"{EVIDENCE} AS evidence_signals",
+        *[f"{_flag_sql(signal)} AS {name}" for signal, name in FLAG_NAMES.items()],
+        "CAST(coalesce(round(try_divide(CAST(transcripts_enriched AS DECIMAL(18,0)), "
+        "CAST(transcripts_total AS DECIMAL(18,0))), 2), 0) AS DECIMAL(5,2)) AS enrichment_coverage_pct",
+        "transcripts_enriched AS enriched_count",
+        "transcripts_failed AS failed_count",
         *carry,
     )
 
@@ -113,70 +108,58 @@ def evidence_rows(context: DataFrame) -> DataFrame:
 # --- candidates ------------------------------------------------------------------------------------------------
 
 
-def conditions() -> dict[str, Column]:
-    """Named conditions the catalogue's relevance points refer to."""
-    tier = F.col("risk_tier")
-    named = {signal: F.col(name) for signal, name in FLAG_NAMES.items()}
-    named |= {
-        "always": F.lit(True),
-        "tier_low": tier == "low",
-        "tier_low_or_medium": tier.isin("low", "medium"),
-        "multi_policy": F.coalesce(F.col("active_policies") >= 2, F.lit(False)),
-    }
-    return named
+# Named conditions the catalogue's relevance points refer to, as SQL text over the customer context.
+CONDITIONS = {
+    **FLAG_NAMES,
+    "always": "true",
+    "tier_low": "risk_tier = 'low'",
+    "tier_low_or_medium": "risk_tier IN ('low', 'medium')",
+    "multi_policy": "coalesce(active_policies >= 2, false)",
+}
 
 
-def _holds_any(listed: str) -> Column:
+def _holds_any(listed: str) -> str:
     """Does the customer hold one of the listed products? Unknown holdings count as none."""
-    hit = F.lit(False)
-    for product in PRODUCTS:
-        if product in listed:
-            hit = hit | F.col("product_holdings").like(f"%{product}%")
-    return F.coalesce(hit, F.lit(False))
+    hits = " OR ".join(f"product_holdings LIKE '%{p}%'" for p in PRODUCTS if p in listed)
+    return f"coalesce({hits or 'false'}, false)"
 
 
-def gates(action: Action) -> dict[str, Column]:
-    named = conditions()
-    tiers = action.requires_risk_tier.split(",") if action.requires_risk_tier else None
+def gates(action: Action) -> dict[str, str]:
+    tiers = ", ".join(f"'{t}'" for t in (action.requires_risk_tier or "").split(","))
     return {
-        "product_eligible": F.lit(True) if action.eligible_products == "ALL" else _holds_any(action.eligible_products),
-        "not_excluded": ~_holds_any(action.excluded_products) if action.excluded_products else F.lit(True),
-        "risk_tier_eligible": F.col("risk_tier").isin(*tiers) if tiers else F.lit(True),
-        "signal_eligible": named[action.requires_signal] if action.requires_signal else F.lit(True),
+        "product_eligible": "true" if action.eligible_products == "ALL" else _holds_any(action.eligible_products),
+        "not_excluded": f"NOT {_holds_any(action.excluded_products)}" if action.excluded_products else "true",
+        "risk_tier_eligible": f"risk_tier IN ({tiers})" if action.requires_risk_tier else "true",
+        "signal_eligible": CONDITIONS[action.requires_signal] if action.requires_signal else "true",
     }
 
 
-def relevance(action: Action) -> Column:
-    named = conditions()
-    total = F.lit(Decimal("0.0"))
-    for condition, points in action.relevance:
-        total = total + F.when(named[condition], F.lit(Decimal(points))).otherwise(F.lit(Decimal("0.0")))
-    return total.cast("decimal(6,3)")
+def relevance(action: Action) -> str:
+    points = " + ".join(f"CASE WHEN {CONDITIONS[c]} THEN {p} ELSE 0.0 END" for c, p in action.relevance)
+    return f"CAST({points} AS DECIMAL(6,3))"
 
 
-def _candidate(position: int, action: Action) -> Column:
+def _candidate(position: int, action: Action) -> str:
     """Sort key first: final score descending, then catalogue priority ascending."""
     fit = relevance(action)
-    return F.struct(
-        (fit * F.lit(action.safety_score)).cast("decimal(8,5)").alias("final_score"),
-        F.lit(-action.priority_rank).alias("_order"),
-        F.lit(position).alias("_action"),
-        fit.alias("relevance_score"),
-        *[gate.alias(name) for name, gate in gates(action).items()],
+    checks = ", ".join(f"'{name}', {gate}" for name, gate in gates(action).items())
+    return (
+        f"named_struct('final_score', CAST({fit} * {action.safety_score} AS DECIMAL(8,5)), "
+        f"'_order', {-action.priority_rank}, '_action', {position}, 'relevance_score', {fit}, {checks})"
     )
 
 
 def _attributes(actions: tuple[Action, ...], *names: str) -> list[Column]:
     """Catalogue attributes by position: a lookup in a constant array, not a join."""
     return [
-        F.element_at(F.array(*[F.lit(getattr(a, n)) for a in actions]), F.col("_action") + 1).alias(n) for n in names
+        F.element_at(F.lit([getattr(a, n) for a in actions]), F.col("_action") + 1).alias(n) for n in names
     ]
 
 
 def candidates(context: DataFrame, actions: tuple[Action, ...] = ACTIONS) -> DataFrame:
     """Every customer with every catalogue action, its four gates and its scores."""
-    matrix = F.array(*[_candidate(i, a) for i, a in enumerate(actions)])
-    return context.withColumn("c", F.explode(matrix)).select(
+    matrix = ", ".join(_candidate(i, a) for i, a in enumerate(actions))
+    return context.withColumn("c", F.expr(f"explode(array({matrix}))")).select(
         *context.columns, "c.final_score", "c.relevance_score", "c.product_eligible", "c.not_excluded",
         "c.risk_tier_eligible", "c.signal_eligible", F.col("c._action").alias("_action"),
     ).select(
@@ -184,37 +167,31 @@ def candidates(context: DataFrame, actions: tuple[Action, ...] = ACTIONS) -> Dat
     ).drop("_action")
 
 
-def confidence_level() -> Column:
-    share, n = F.col("enrichment_coverage_pct"), F.col("enriched_count")
-    return (
-        F.when((share >= F.lit(Decimal("0.8"))) & (n >= 2), "high")
-        .when((share >= F.lit(Decimal("0.5"))) & (n >= 1), "medium_high")
-        .when(n >= 1, "medium").otherwise("low")
-    )
-
-
-def confidence_score() -> Column:
-    known = F.least(F.lit(Decimal("1.0")), ratio(F.col("enriched_count"), F.lit(3)))
-    signal = F.when(F.col("composite_risk_score") > 0, F.lit(Decimal("0.30"))).otherwise(F.lit(Decimal("0.15")))
-    total = F.lit(Decimal("0.4")) * F.col("enrichment_coverage_pct") + F.lit(Decimal("0.3")) * known + signal
-    return F.round(F.least(F.lit(Decimal("1.0")), total), 2).cast("decimal(4,2)")
+CONFIDENCE_LEVEL = (
+    "CASE WHEN enrichment_coverage_pct >= 0.8 AND enriched_count >= 2 THEN 'high' "
+    "WHEN enrichment_coverage_pct >= 0.5 AND enriched_count >= 1 THEN 'medium_high' "
+    "WHEN enriched_count >= 1 THEN 'medium' ELSE 'low' END"
+)
+CONFIDENCE_SCORE = (
+    "CAST(round(least(1.0, 0.4 * enrichment_coverage_pct "
+    "+ 0.3 * least(1.0, CAST(enriched_count AS DECIMAL(18,0)) / CAST(3 AS DECIMAL(18,0))) "
+    "+ CASE WHEN composite_risk_score > 0 THEN 0.30 ELSE 0.15 END), 2) AS DECIMAL(4,2))"
+)
 
 
-def ranked_actions(actions: tuple[Action, ...], exclusions: tuple[tuple[str, str, str], ...] = ()) -> Column:
-    """The customer's eligible actions, best first; ineligible entries are NULL and sort last."""
+def ranked_actions(actions: tuple[Action, ...], exclusions: tuple[tuple[str, str, str], ...] = ()) -> str:
+    """SQL text: the customer's eligible actions, best first; ineligible entries are NULL and sort last."""
     barred: dict[str, list[str]] = {}
     for product, action_type, _ in exclusions:
         barred.setdefault(action_type, []).append(product)
 
-    def offered(position: int, action: Action) -> Column:
-        passed = F.lit(True)
-        for gate in gates(action).values():
-            passed = passed & gate
+    def offered(position: int, action: Action) -> str:
+        passed = list(gates(action).values())
         if action.action_type in barred:
-            passed = passed & ~_holds_any(",".join(barred[action.action_type]))
-        return F.when(passed, _candidate(position, action))
+            passed.append(f"NOT {_holds_any(','.join(barred[action.action_type]))}")
+        return f"CASE WHEN {' AND '.join(passed)} THEN {_candidate(position, action)} END"
 
-    return F.sort_array(F.array(*[offered(i, a) for i, a in enumerate(actions)]), asc=False)
+    return f"sort_array(array({', '.join(offered(i, a) for i, a in enumerate(actions))}), false)"
 
 
 def _recommendation(actions: tuple[Action, ...]) -> list[Column]:
@@ -225,12 +202,10 @@ def _recommendation(actions: tuple[Action, ...]) -> list[Column]:
         F.round("c.final_score", 3).cast("decimal(6,3)").alias("final_score"),
         "risk_tier", "composite_risk_score", "overall_direction", "confidence_level", "confidence_score",
         "evidence_signals",
-        F.struct(
-            F.col("enrichment_coverage_pct").cast("double").alias("enrichment_coverage_pct"),
-            F.col("enriched_count").alias("enriched_interactions"),
-            F.size("evidence_signals").alias("risk_signals_computed"),
-            (F.col("has_negative_sentiment") | (F.col("enriched_count") > 0)).alias("has_sentiment_data"),
-        ).alias("data_completeness"),
+        F.expr(
+            "named_struct('enrichment_coverage_pct', CAST(enrichment_coverage_pct AS DOUBLE), "
+            "'enriched_interactions', enriched_count, 'risk_signals_computed', size(evidence_signals), "
+            "'has_sentiment_data', has_negative_sentiment OR enriched_count > 0) AS data_completeness"),
         "product_holdings", "active_policies",
         F.struct("c.product_eligible", "c.not_excluded", "c.risk_tier_eligible", "c.signal_eligible")
         .alias("eligibility_check"),
@@ -238,7 +213,8 @@ def _recommendation(actions: tuple[Action, ...]) -> list[Column]:
 
 
 def _with_confidence(context: DataFrame) -> DataFrame:
-    return context.withColumn("confidence_level", confidence_level()).withColumn("confidence_score", confidence_score())
+    return context.withColumns(
+        {"confidence_level": F.expr(CONFIDENCE_LEVEL), "confidence_score": F.expr(CONFIDENCE_SCORE)})
 
 
 def recommend(
@@ -254,7 +230,7 @@ def recommend(
     chosen = _with_confidence(context)
     if withhold_low_confidence:
         chosen = chosen.filter(F.col("confidence_level") != "low")
-    best = F.slice(ranked_actions(actions, exclusions), 1, keep)
+    best = F.expr(f"slice({ranked_actions(actions, exclusions)}, 1, {keep})")
     flat = chosen.select("*", F.posexplode(best).alias("_pos", "c")).filter("c is not null") \
         .withColumn("_action", F.col("c._action"))
     return flat.select(
@@ -268,7 +244,7 @@ def recommend(
 
 def attach_primary(context: DataFrame, actions: tuple[Action, ...], carry: tuple[str, ...]) -> DataFrame:
     """One row per customer with the best action's columns, NULL where nothing is eligible."""
-    first = F.element_at(ranked_actions(actions), 1)
+    first = F.expr(f"element_at({ranked_actions(actions)}, 1)")
     return _with_confidence(context).withColumn("c", first).withColumn("_action", F.col("c._action")).select(
         "customer_id", *carry, *_recommendation(actions)
     )

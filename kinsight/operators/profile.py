@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinsight.config import Clock
 from kinsight.functions.gather import gather_segments
-from kinsight.functions.numeric import count_if, ratio
+from kinsight.functions.numeric import count_if, count_where
 
 
 def customer_360_base(
@@ -20,80 +20,54 @@ def customer_360_base(
     broadcasts a side only below its size threshold and otherwise sort-merges on
     the customer_id partitioning the aggregates already have.
     """
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.withColumn(f"_{tag}", F.lit(True))
-
-    def zero(name: str) -> Column:
-        return F.coalesce(name, F.lit(0))
-
-    def present(name: str) -> Column:
-        return F.col(name).isNotNull()
-
     joined = (
         customers.join(households.drop("_source_hash", "_batch_id"), "household_id", "left")
-        .join(side(policy, "ap"), "customer_id", "left")
-        .join(side(claim, "ac"), "customer_id", "left")
-        .join(side(payment.withColumnRenamed("total_amount_paid", "payments_total_paid"), "py"), "customer_id", "left")
-        .join(side(interaction, "ai"), "customer_id", "left")
+        .join(policy.withColumn("_ap", F.lit(True)), "customer_id", "left")
+        .join(claim.withColumn("_ac", F.lit(True)), "customer_id", "left")
+        .join(payment.withColumnsRenamed({"total_amount_paid": "payments_total_paid"})
+              .withColumn("_py", F.lit(True)), "customer_id", "left")
+        .join(interaction.withColumn("_ai", F.lit(True)), "customer_id", "left")
     )
     lineage = [c for c in ("_source_table", "_source_hash", "_batch_id") if c in customers.columns]
-    return joined.select(
+    return joined.selectExpr(
         "customer_id", "first_name", "last_name", "date_of_birth", "email", "phone", "address_line_1", "city",
-        "state", "postal_code", "customer_since", F.col("status").alias("customer_status"),
-        "household_id",
-        F.col("member_count").alias("household_member_count"),
-        F.col("primary_state").alias("household_primary_state"),
-        "household_status",
-        F.col("earliest_since").alias("household_earliest_since"),
-        zero("total_policies").alias("total_policies"),
-        zero("active_policies").alias("active_policies"),
-        zero("distinct_product_count").alias("distinct_product_count"),
+        "state", "postal_code", "customer_since", "status AS customer_status",
+        "household_id", "member_count AS household_member_count", "primary_state AS household_primary_state",
+        "household_status", "earliest_since AS household_earliest_since",
+        *_zero_filled("total_policies", "active_policies", "distinct_product_count"),
         "product_holdings", "nearest_renewal_date",
-        F.datediff("nearest_renewal_date", clock.today_col()).alias("days_to_renewal"),
-        zero("total_annual_premium").alias("total_annual_premium"),
-        zero("active_annual_premium").alias("active_annual_premium"),
+        f"datediff(nearest_renewal_date, DATE '{clock.today}') AS days_to_renewal",
+        *_zero_filled("total_annual_premium", "active_annual_premium"),
         "total_coverage_limit", "total_deductible",
-        zero("total_claims").alias("total_claims"),
-        zero("open_claims").alias("open_claims"),
-        zero("settled_claims").alias("settled_claims"),
-        zero("denied_claims").alias("denied_claims"),
-        "total_reserve_amount", F.col("total_paid_amount").alias("claims_total_paid"),
-        "earliest_filed_date", "latest_filed_date",
-        zero("total_payments").alias("total_payments"),
-        zero("on_time_count").alias("payments_on_time"),
-        zero("late_count").alias("payments_late"),
-        zero("missed_count").alias("payments_missed"),
-        zero("grace_period_count").alias("payments_grace_period"),
-        zero("pending_count").alias("payments_pending"),
-        "latest_paid_date",
-        zero("total_amount_due").alias("total_amount_due"),
-        "payments_total_paid",
-        zero("total_interactions").alias("total_interactions"),
-        zero("inbound_count").alias("interactions_inbound"),
-        zero("outbound_count").alias("interactions_outbound"),
+        *_zero_filled("total_claims", "open_claims", "settled_claims", "denied_claims"),
+        "total_reserve_amount", "total_paid_amount AS claims_total_paid", "earliest_filed_date", "latest_filed_date",
+        *_zero_filled("total_payments"),
+        *[f"coalesce({name}_count, 0L) AS payments_{name}"
+          for name in ("on_time", "late", "missed", "grace_period", "pending")],
+        "latest_paid_date", *_zero_filled("total_amount_due"), "payments_total_paid",
+        *_zero_filled("total_interactions"),
+        "coalesce(inbound_count, 0L) AS interactions_inbound",
+        "coalesce(outbound_count, 0L) AS interactions_outbound",
         "latest_interaction_date", "latest_channel",
-        zero("complaint_count").alias("interactions_complaints"),
-        zero("inquiry_count").alias("interactions_inquiries"),
-        zero("request_count").alias("interactions_requests"),
-        present("email").alias("has_email"),
-        present("phone").alias("has_phone"),
-        present("date_of_birth").alias("has_dob"),
-        present("_ap").alias("has_policies"),
-        present("_ac").alias("has_claims"),
-        present("_py").alias("has_payments"),
-        present("_ai").alias("has_interactions"),
-        *[F.col(c).alias(f"customer{c}") for c in lineage],
+        "coalesce(complaint_count, 0L) AS interactions_complaints",
+        "coalesce(inquiry_count, 0L) AS interactions_inquiries",
+        "coalesce(request_count, 0L) AS interactions_requests",
+        "email IS NOT NULL AS has_email", "phone IS NOT NULL AS has_phone", "date_of_birth IS NOT NULL AS has_dob",
+        "_ap IS NOT NULL AS has_policies", "_ac IS NOT NULL AS has_claims", "_py IS NOT NULL AS has_payments",
+        "_ai IS NOT NULL AS has_interactions",
+        *[f"{c} AS customer{c}" for c in lineage],
     )
 
 
-def direction(current: Column, prior: Column, missing: str) -> Column:
-    """How an average moved against the prior window; a step of more than 0.1 counts."""
-    step = F.lit("0.1").cast("decimal(2,1)")
+def _zero_filled(*names: str) -> list[str]:
+    return [f"coalesce({n}, 0) AS {n}" for n in names]
+
+
+def direction(current: str, prior: str, missing: str) -> str:
+    """SQL text: how an average moved against the prior window; a step of more than 0.1 counts."""
     return (
-        F.when(current.isNull() | prior.isNull(), missing)
-        .when(current < prior - step, "worsening")
-        .when(current > prior + step, "improving")
-        .otherwise("stable")
+        f"CASE WHEN {current} IS NULL OR {prior} IS NULL THEN '{missing}' WHEN {current} < {prior} - 0.1 THEN 'worsening' "
+        f"WHEN {current} > {prior} + 0.1 THEN 'improving' ELSE 'stable' END"
     )
 
 
@@ -105,45 +79,45 @@ def engagement_windows(enriched: DataFrame, clock: Clock) -> DataFrame:
     grouping. Two definitions of "negative" are kept apart on purpose: the summary
     counts any labelled contact, the risk signal only completed enrichments.
     """
-    ts, score, label = F.col("interaction_date"), F.col("sentiment_score"), F.col("sentiment_label")
-    done = F.col("enrichment_status") == "completed"
-    current, prior = clock.in_current(ts), clock.in_prior(ts)
+    done, current, prior = "enrichment_status = 'completed'", clock.current_sql(), clock.prior_sql()
+    recent = f"{done} AND {current}"
     return enriched.groupBy("customer_id").agg(
         # summary
-        count_if(done & current).alias("enriched_interactions_90d"),
-        count_if((label == "negative") & current).alias("negative_count_90d"),
-        count_if((label == "positive") & current).alias("positive_count_90d"),
-        F.avg(F.when(done & current, score)).alias("avg_current"),
-        F.avg(F.when(done & prior, score)).alias("avg_prior"),
-        F.min(F.when(current, score)).alias("worst_sentiment_90d"),
+        count_where("enriched_interactions_90d", recent),
+        count_where("negative_count_90d", f"sentiment_label = 'negative' AND {current}"),
+        count_where("positive_count_90d", f"sentiment_label = 'positive' AND {current}"),
+        F.expr(f"avg(CASE WHEN {recent} THEN sentiment_score END) AS avg_current"),
+        F.expr(f"avg(CASE WHEN {done} AND {prior} THEN sentiment_score END) AS avg_prior"),
+        F.expr(f"min(CASE WHEN {current} THEN sentiment_score END) AS worst_sentiment_90d"),
         # coverage
-        F.count("*").alias("interaction_rows"),
-        F.count("transcript_id").alias("transcripts_total"),
-        count_if(done).alias("transcripts_enriched"),
-        count_if(F.col("enrichment_status") == "failed").alias("transcripts_failed"),
+        F.expr("count(*) AS interaction_rows"),
+        F.expr("count(transcript_id) AS transcripts_total"),
+        count_where("transcripts_enriched", done),
+        count_where("transcripts_failed", "enrichment_status = 'failed'"),
         # risk windows
-        count_if(done & current & (label == "negative")).alias("risk_negative_90d"),
-        count_if(done & current & F.col("is_complaint")).alias("risk_complaint_90d"),
-        count_if(done & current & F.col("is_escalation")).alias("risk_escalation_90d"),
-        F.min(F.when(done & current, score)).alias("risk_worst_90d"),
-        F.max(F.when(done & current & (label == "negative"), ts)).alias("risk_last_negative"),
+        count_where("risk_negative_90d", f"{recent} AND sentiment_label = 'negative'"),
+        count_where("risk_complaint_90d", f"{recent} AND is_complaint"),
+        count_where("risk_escalation_90d", f"{recent} AND is_escalation"),
+        F.expr(f"min(CASE WHEN {recent} THEN sentiment_score END) AS risk_worst_90d"),
+        F.expr(f"max(CASE WHEN {recent} AND sentiment_label = 'negative' THEN interaction_date END) AS risk_last_negative"),
         # frequency
-        count_if(current).alias("interactions_current_90d"),
-        count_if(prior).alias("interactions_prior_90d"),
+        count_where("interactions_current_90d", current),
+        count_where("interactions_prior_90d", prior),
     )
 
 
+SUMMARY = (
+    "enriched_interactions_90d", "negative_count_90d", "positive_count_90d",
+    "round(avg_current, 3) AS avg_sentiment_90d", "worst_sentiment_90d", "round(avg_prior, 3) AS avg_sentiment_prior_90d",
+    direction("avg_current", "avg_prior", "insufficient_data") + " AS sentiment_direction",
+    "round(try_divide(CAST(transcripts_enriched AS DECIMAL(18,0)), CAST(transcripts_total AS DECIMAL(18,0))), 2) "
+    "AS enrichment_coverage_pct",
+)
+
+
 def sentiment_summary(windows: DataFrame) -> DataFrame:
     """Customer sentiment summary, from ``engagement_windows``."""
-    return windows.select(
-        "customer_id", "enriched_interactions_90d", "negative_count_90d", "positive_count_90d",
-        F.round("avg_current", 3).alias("avg_sentiment_90d"),
-        "worst_sentiment_90d",
-        F.round("avg_prior", 3).alias("avg_sentiment_prior_90d"),
-        direction(F.col("avg_current"), F.col("avg_prior"), "insufficient_data").alias("sentiment_direction"),
-        "transcripts_total", "transcripts_enriched",
-        ratio(F.col("transcripts_enriched"), F.col("transcripts_total"), 2).alias("enrichment_coverage_pct"),
-    )
+    return windows.selectExpr("customer_id", *SUMMARY, "transcripts_total", "transcripts_enriched")
 
 
 def timeline_entries(enriched: DataFrame, clock: Clock) -> DataFrame:
@@ -206,18 +180,13 @@ def serve(joined: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     extra = []
     if segments is not None:
         newest = segments.withColumn("_count", F.count("*").over(Window.partitionBy("customer_id"))).filter(
-            F.col("segment") == 0
-        ).select("customer_id", F.col("details").alias("recent_interaction_details"),
-                 F.col("_count").alias("recent_detail_segments"))
+            "segment = 0"
+        ).selectExpr("customer_id", "details AS recent_interaction_details", "_count AS recent_detail_segments")
         joined = joined.join(newest, "customer_id", "left")
-        extra = ["recent_interaction_details", F.coalesce("recent_detail_segments", F.lit(0))
-                 .alias("recent_detail_segments")]
-
-    enriched_now = F.coalesce("enriched_interactions_90d", F.lit(0))
-    no_enrichment = (enriched_now == 0) & F.col("has_interactions")
-    no_action = F.col("nba_action_id").isNull()
-    low = F.col("nba_confidence_level") == "low"
-    return joined.select(
+        extra = ["recent_interaction_details", *_zero_filled("recent_detail_segments")]
+
+    degraded = "coalesce(enriched_interactions_90d, 0) = 0 AND has_interactions"
+    return joined.selectExpr(
         "customer_id", "first_name", "last_name", "date_of_birth", "email", "phone", "address_line_1", "city",
         "state", "postal_code", "customer_since", "customer_status", "household_id", "household_member_count",
         "total_policies", "active_policies", "distinct_product_count", "product_holdings", "nearest_renewal_date",
@@ -228,32 +197,32 @@ def serve(joined: DataFrame, segments: DataFrame | None = None) -> DataFrame:
         "payments_pending", "latest_paid_date",
         "total_interactions", "interactions_inbound", "interactions_outbound", "latest_interaction_date",
         "latest_channel", "interactions_complaints",
-        enriched_now.alias("enriched_interactions_90d"),
-        F.coalesce("negative_count_90d", F.lit(0)).alias("negative_count_90d"),
-        F.coalesce("positive_count_90d", F.lit(0)).alias("positive_count_90d"),
+        *_zero_filled("enriched_interactions_90d", "negative_count_90d", "positive_count_90d"),
         "avg_sentiment_90d", "worst_sentiment_90d", "avg_sentiment_prior_90d",
-        F.coalesce("sentiment_direction", F.lit("insufficient_data")).alias("sentiment_direction"),
-        F.coalesce("enrichment_coverage_pct", F.lit(0)).alias("enrichment_coverage_pct"),
+        "coalesce(sentiment_direction, 'insufficient_data') AS sentiment_direction",
+        *_zero_filled("enrichment_coverage_pct"),
         *extra,
-        F.coalesce("composite_risk_score", F.lit(0)).alias("composite_risk_score"),
-        F.coalesce("risk_tier", F.lit("low")).alias("risk_tier"),
+        *_zero_filled("composite_risk_score"),
+        "coalesce(risk_tier, 'low') AS risk_tier",
         "worsening_signals", "improving_signals",
-        F.coalesce("overall_direction", F.lit("stable")).alias("risk_direction"),
+        "coalesce(overall_direction, 'stable') AS risk_direction",
         "nba_action_id", "nba_action_type", "nba_action_name", "nba_action_description", "nba_action_category",
-        F.coalesce("nba_final_score", F.lit(0)).alias("nba_final_score"),
-        F.coalesce("nba_confidence_level", F.lit("low")).alias("nba_confidence_level"),
-        F.coalesce("nba_confidence_score", F.lit(0)).alias("nba_confidence_score"),
+        *_zero_filled("nba_final_score"),
+        "coalesce(nba_confidence_level, 'low') AS nba_confidence_level",
+        *_zero_filled("nba_confidence_score"),
         "nba_evidence_signals", "nba_data_completeness", "nba_eligibility_check",
         "has_email", "has_phone", "has_dob", "has_policies", "has_claims", "has_payments", "has_interactions",
-        (enriched_now > 0).alias("has_enrichment"),
-        F.col("composite_risk_score").isNotNull().alias("has_risk_signals"),
-        (~no_action).alias("has_recommendation"),
-        F.when(no_enrichment, "degraded_no_enrichment").when(no_action, "degraded_no_recommendation")
-        .when(low, "low_confidence").otherwise("full").alias("system_status"),
-        F.when(no_enrichment,
-               "AI enrichment unavailable — showing structured data only. Recommendation withheld.")
-        .when(no_action, "Insufficient signals for a recommendation. Please review available context.")
-        .when(low, "Low confidence — limited enrichment data. Review evidence carefully.").alias("system_message"),
+        "coalesce(enriched_interactions_90d, 0) > 0 AS has_enrichment",
+        "composite_risk_score IS NOT NULL AS has_risk_signals",
+        "nba_action_id IS NOT NULL AS has_recommendation",
+        f"CASE WHEN {degraded} THEN 'degraded_no_enrichment' WHEN nba_action_id IS NULL THEN 'degraded_no_recommendation' "
+        "WHEN nba_confidence_level = 'low' THEN 'low_confidence' ELSE 'full' END AS system_status",
+        f"CASE WHEN {degraded} THEN "
+        "'AI enrichment unavailable — showing structured data only. Recommendation withheld.' "
+        "WHEN nba_action_id IS NULL THEN "
+        "'Insufficient signals for a recommendation. Please review available context.' "
+        "WHEN nba_confidence_level = 'low' THEN "
+        "'Low confidence — limited enrichment data. Review evidence carefully.' END AS system_message",
     )
 
 

@@ -7,60 +7,48 @@ shuffle again after the per-customer joins.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinsight.config import RISK_TIERS, SIGNAL_WEIGHTS, TIER_ORDER, Clock
-from kinsight.functions.numeric import clamp01, count_if, ordinal, ratio
-from kinsight.functions.text import tidy_number
+from kinsight.functions.numeric import count_if, count_where, ordinal
 from kinsight.operators.profile import direction
 
-FINE = "decimal(20,10)"
-
-
-def _dec(value: str) -> Column:
-    return F.lit(Decimal(value))
-
-
 # --- inputs ----------------------------------------------------------------------------------------------------
 
 
 def sentiment_windows(enriched: DataFrame, clock: Clock) -> DataFrame:
     """Completed enrichments of the current window, and the average of the prior one."""
-    ts, score, label = F.col("interaction_date"), F.col("sentiment_score"), F.col("sentiment_label")
-    current = clock.in_current(ts)
-    return enriched.filter((F.col("enrichment_status") == "completed") & clock.in_recent(ts)).groupBy(
-        "customer_id"
-    ).agg(
-        count_if(current).alias("total_enriched_90d"),
-        count_if(current & (label == "negative")).alias("negative_count_90d"),
-        count_if(current & F.col("is_complaint")).alias("complaint_count_90d"),
-        count_if(current & F.col("is_escalation")).alias("escalation_count_90d"),
-        F.avg(F.when(current, score)).alias("avg_sentiment_90d"),
-        F.min(F.when(current, score)).alias("worst_sentiment_90d"),
-        F.max(F.when(current & (label == "negative"), ts)).alias("last_negative_date"),
-        F.avg(F.when(~current, score)).alias("avg_sentiment_prior_90d"),
+    current = clock.current_sql()
+    return enriched.filter(f"enrichment_status = 'completed' AND {clock.recent_sql()}").groupBy("customer_id").agg(
+        count_where("total_enriched_90d", current),
+        count_where("negative_count_90d", f"{current} AND sentiment_label = 'negative'"),
+        count_where("complaint_count_90d", f"{current} AND is_complaint"),
+        count_where("escalation_count_90d", f"{current} AND is_escalation"),
+        F.expr(f"avg(CASE WHEN {current} THEN sentiment_score END) AS avg_sentiment_90d"),
+        F.expr(f"min(CASE WHEN {current} THEN sentiment_score END) AS worst_sentiment_90d"),
+        F.expr(f"max(CASE WHEN {current} AND sentiment_label = 'negative' THEN interaction_date END) "
+               "AS last_negative_date"),
+        F.expr(f"avg(CASE WHEN NOT {current} THEN sentiment_score END) AS avg_sentiment_prior_90d"),
     )
 
 
 def interaction_frequency(interactions: DataFrame, clock: Clock) -> DataFrame:
-    ts = F.col("interaction_date")
     return interactions.groupBy("customer_id").agg(
-        count_if(clock.in_current(ts)).alias("interactions_current_90d"),
-        count_if(clock.in_prior(ts)).alias("interactions_prior_90d"),
+        count_where("interactions_current_90d", clock.current_sql()),
+        count_where("interactions_prior_90d", clock.prior_sql()),
     )
 
 
 def product_gaps(policy_aggregate: DataFrame) -> DataFrame:
     """NULL holdings read as no gap here; a customer without any policy row has every gap (see ``risk_wide``)."""
-    def missing(product: str) -> Column:
-        return F.coalesce(~F.col("product_holdings").like(f"%{product}%"), F.lit(False))
-
-    return policy_aggregate.select(
+    return policy_aggregate.selectExpr(
         "customer_id", "active_policies",
-        *[missing(p).alias(f"missing_{p}") for p in ("home", "umbrella", "auto", "renters")],
+        *[f"coalesce(product_holdings NOT LIKE '%{p}%', false) AS missing_{p}"
+          for p in ("home", "umbrella", "auto", "renters")],
     )
 
 
@@ -74,180 +62,141 @@ def signal_inputs(joined: DataFrame, carry: str | None = None) -> DataFrame:
 
     ``carry`` names a struct column that keeps the whole input row.
     """
-    def gap(product: str) -> Column:
-        held = F.coalesce(~F.col("product_holdings").like(f"%{product}%"), F.lit(False))
-        return F.when(F.col("has_policies"), held).otherwise(F.lit(True))
+    def gap(product: str) -> str:
+        held = f"coalesce(product_holdings NOT LIKE '%{product}%', false)"
+        return f"CASE WHEN has_policies THEN {held} ELSE true END AS missing_{product}"
 
-    def zero(name: str, alias: str | None = None) -> Column:
-        return F.coalesce(name, F.lit(0)).alias(alias or name)
+    def zero(name: str, alias: str | None = None) -> str:
+        return f"coalesce({name}, 0L) AS {alias or name}"
 
-    return joined.select(
+    kept = [f"struct({', '.join(joined.columns)}) AS {carry}"] if carry else []
+    return joined.selectExpr(
         "customer_id", "first_name", "last_name", "nearest_renewal_date", "days_to_renewal",
         zero("risk_negative_90d", "negative_count_90d"),
         zero("risk_complaint_90d", "complaint_count_90d"),
         zero("risk_escalation_90d", "escalation_count_90d"),
-        F.col("avg_current").alias("avg_sentiment_90d"),
-        F.col("risk_worst_90d").alias("worst_sentiment_90d"),
-        F.col("risk_last_negative").alias("last_negative_date"),
-        F.col("avg_prior").alias("avg_sentiment_prior_90d"),
+        "avg_current AS avg_sentiment_90d", "risk_worst_90d AS worst_sentiment_90d",
+        "risk_last_negative AS last_negative_date", "avg_prior AS avg_sentiment_prior_90d",
         "payments_late", "payments_missed", "total_payments", "open_claims", "total_claims",
         zero("interactions_current_90d"), zero("interactions_prior_90d"),
-        "active_policies",
-        gap("home").alias("missing_home"),
-        gap("umbrella").alias("missing_umbrella"),
-        "product_holdings", "has_policies",
+        "active_policies", gap("home"), gap("umbrella"), "product_holdings", "has_policies",
         zero("transcripts_total"), zero("transcripts_enriched"), zero("transcripts_failed"), zero("interaction_rows"),
-        *([F.struct(*joined.columns).alias(carry)] if carry else []),
+        *kept,
     )
 
 
 # --- the eight signals -----------------------------------------------------------------------------------------
 
 
-def _steps(value: Column, *points: str) -> Column:
-    """Score by count: points[0] for 0, points[1] for 1, ... the last one from there on."""
-    chosen = _dec(points[-1])
-    for n, point in reversed(list(enumerate(points[:-1]))):
-        chosen = F.when(value == n, _dec(point)).otherwise(chosen)
-    return chosen
-
-
-def _text(value: Column) -> Column:
-    return value.cast("string")
-
-
-def renewal_proximity() -> dict:
-    days = F.col("days_to_renewal")
-    note = F.when(days <= 14, " — URGENT").when(days <= 30, " — approaching").otherwise("")
-    return {
-        "applies": F.col("nearest_renewal_date").isNotNull(),
-        "value": days,
-        "score": clamp01(((_dec("60") - days.cast("decimal(10,0)")) / _dec("60")).cast(FINE)),
-        "direction": F.lit("stable"),
-        "evidence": F.concat(F.lit("Nearest renewal in "), _text(days), F.lit(" days"), note),
-    }
-
-
-def sentiment_negative() -> dict:
-    n, worst = F.col("negative_count_90d"), F.col("worst_sentiment_90d")
-    suffix = F.when(worst.isNotNull(), F.concat(F.lit(" (worst score: "), tidy_number(worst), F.lit(")"))).otherwise("")
-    return {
-        "value": n,
-        "score": _steps(n, "0.0", "0.4", "0.7", "1.0"),
-        "direction": direction(F.col("avg_sentiment_90d"), F.col("avg_sentiment_prior_90d"), "stable"),
-        "evidence": F.concat(_text(n), F.lit(" negative interaction(s) in last 90 days"), suffix),
-    }
-
-
-def sentiment_trend() -> dict:
-    now, before = F.col("avg_sentiment_90d"), F.col("avg_sentiment_prior_90d")
-    zero = F.lit(0).cast("decimal(9,8)")
-    return {
-        "value": F.coalesce(now, zero),
-        "score": F.when(now.isNull() | before.isNull(), _dec("0.0"))
-        .when(now < before - _dec("0.3"), _dec("0.9"))
-        .when(now < before - _dec("0.1"), _dec("0.5"))
-        .otherwise(_dec("0.1")),
-        "direction": direction(now, before, "stable"),
-        "evidence": F.concat(F.lit("Sentiment trend: "), F.when(now.isNull(), "insufficient data").otherwise(F.concat(
-            F.lit("avg "), tidy_number(now), F.lit(" (prior: "), tidy_number(F.coalesce(before, zero)), F.lit(")"),
-        ))),
-    }
-
-
-def payment_risk() -> dict:
-    bad, total = F.col("payments_late") + F.col("payments_missed"), F.col("total_payments")
-    return {
-        "value": bad,
-        "score": F.when(total == 0, F.lit(0).cast(FINE)).otherwise(
-            F.least(F.lit(1), (ratio(bad, total) * _dec("2.5"))).cast("decimal(24,18)")),
-        "direction": F.lit("stable"),
-        "evidence": F.when(bad == 0, "All payments on time").otherwise(
-            F.concat(_text(bad), F.lit(" late/missed of "), _text(total), F.lit(" total payments"))),
-    }
-
-
-def complaint_activity() -> dict:
-    complaints, escalations = F.col("complaint_count_90d"), F.col("escalation_count_90d")
-    return {
-        "value": complaints + escalations,
-        "score": F.when(escalations > 0, _dec("1.0")).when(complaints >= 2, _dec("0.8"))
-        .when(complaints == 1, _dec("0.5")).otherwise(_dec("0.0")),
-        "direction": F.when(escalations > 0, "worsening").otherwise("stable"),
-        "evidence": F.when(complaints + escalations == 0, "No complaints or escalations in 90 days").otherwise(
-            F.concat(_text(complaints), F.lit(" complaint(s), "), _text(escalations),
-                     F.lit(" escalation(s) in 90 days"))),
-    }
-
-
-def claim_activity() -> dict:
-    n = F.col("open_claims")
-    return {
-        "value": n,
-        "score": _steps(n, "0.0", "0.4", "0.8"),
-        "direction": F.lit("stable"),
-        "evidence": F.when(n == 0, "No open claims").otherwise(
-            F.concat(_text(n), F.lit(" open claim(s) — active service load"))),
-    }
-
-
-def engagement_drop() -> dict:
-    """Scores a rise in contacts: many contacts without resolution are the risk."""
-    now, before = F.col("interactions_current_90d"), F.col("interactions_prior_90d")
-    return {
-        "value": now,
-        "score": F.when(now > before + 2, _dec("0.7")).when(now > before, _dec("0.3")).otherwise(_dec("0.0")),
-        "direction": F.when(now > before + 1, "worsening").when(now < before - 1, "improving").otherwise("stable"),
-        "evidence": F.concat(_text(now), F.lit(" interactions in last 90d vs "), _text(before),
-                             F.lit(" in prior 90d")),
-    }
-
-
-def cross_sell_opportunity() -> dict:
-    home, umbrella, n = F.col("missing_home"), F.col("missing_umbrella"), F.col("active_policies")
-    return {
-        "value": home.cast("int") + umbrella.cast("int"),
-        "score": F.when((n >= 2) & home, _dec("0.7")).when((n >= 2) & umbrella, _dec("0.6"))
-        .when(n == 1, _dec("0.4")).otherwise(_dec("0.0")),
-        "direction": F.lit("stable"),
-        "evidence": F.when(~home & ~umbrella, "Full product suite — no cross-sell gap").otherwise(F.concat(
-            F.lit("Missing: "), F.when(home, "home ").otherwise(""), F.when(umbrella, "umbrella ").otherwise(""),
-            F.lit("("), _text(n), F.lit(" active policies)"))),
-    }
+@dataclass(frozen=True)
+class SignalRule:
+    """SQL text of one signal over the columns of ``signal_inputs``."""
+
+    value: str
+    score: str
+    evidence: str
+    direction: str = "'stable'"
+    applies: str | None = None
+
+
+def _number(value: str) -> str:
+    """Two-decimal text without trailing zeros: -0.60 -> -0.6, 0.00 -> 0."""
+    return f"regexp_replace(CAST(CAST(round({value}, 2) AS DECIMAL(20,2)) AS STRING), '\\\\.?0+$', '')"
 
 
+def _exact(value: str) -> str:
+    return f"CAST({value} AS DECIMAL(18,0))"
+
+
+_BAD_PAYMENTS = "(payments_late + payments_missed)"
+_TREND = direction("avg_sentiment_90d", "avg_sentiment_prior_90d", "stable")
+
+# Steps, weights of evidence and wording of the published signals.
 SIGNAL_RULES = {
-    "renewal_proximity": renewal_proximity,
-    "sentiment_negative": sentiment_negative,
-    "sentiment_trend": sentiment_trend,
-    "payment_risk": payment_risk,
-    "complaint_activity": complaint_activity,
-    "claim_activity": claim_activity,
-    "engagement_drop": engagement_drop,
-    "cross_sell_opportunity": cross_sell_opportunity,
+    "renewal_proximity": SignalRule(
+        applies="nearest_renewal_date IS NOT NULL",
+        value="days_to_renewal",
+        score="greatest(0, least(1, (60 - CAST(days_to_renewal AS DECIMAL(10,0))) / CAST(60 AS DECIMAL(2,0))))",
+        evidence="concat('Nearest renewal in ', days_to_renewal, ' days', CASE WHEN days_to_renewal <= 14 THEN "
+                 "' — URGENT' WHEN days_to_renewal <= 30 THEN ' — approaching' ELSE '' END)",
+    ),
+    "sentiment_negative": SignalRule(
+        value="negative_count_90d",
+        score="CASE negative_count_90d WHEN 0 THEN 0.0 WHEN 1 THEN 0.4 WHEN 2 THEN 0.7 ELSE 1.0 END",
+        direction=_TREND,
+        evidence="concat(negative_count_90d, ' negative interaction(s) in last 90 days', CASE WHEN worst_sentiment_90d "
+                 f"IS NOT NULL THEN concat(' (worst score: ', {_number('worst_sentiment_90d')}, ')') ELSE '' END)",
+    ),
+    "sentiment_trend": SignalRule(
+        value="coalesce(avg_sentiment_90d, 0)",
+        score="CASE WHEN avg_sentiment_90d IS NULL OR avg_sentiment_prior_90d IS NULL THEN 0.0 "
+              "WHEN avg_sentiment_90d < avg_sentiment_prior_90d - 0.3 THEN 0.9 "
+              "WHEN avg_sentiment_90d < avg_sentiment_prior_90d - 0.1 THEN 0.5 ELSE 0.1 END",
+        direction=_TREND,
+        evidence="concat('Sentiment trend: ', CASE WHEN avg_sentiment_90d IS NULL THEN 'insufficient data' ELSE "
+                 f"concat('avg ', {_number('avg_sentiment_90d')}, ' (prior: ', "
+                 f"{_number('coalesce(avg_sentiment_prior_90d, 0)')}, ')') END)",
+    ),
+    "payment_risk": SignalRule(
+        value=_BAD_PAYMENTS,
+        score=f"CASE WHEN total_payments = 0 THEN 0 ELSE least(1, try_divide({_exact(_BAD_PAYMENTS)}, "
+              f"{_exact('total_payments')}) * 2.5) END",
+        evidence=f"CASE WHEN {_BAD_PAYMENTS} = 0 THEN 'All payments on time' ELSE concat({_BAD_PAYMENTS}, "
+                 "' late/missed of ', total_payments, ' total payments') END",
+    ),
+    "complaint_activity": SignalRule(
+        value="complaint_count_90d + escalation_count_90d",
+        score="CASE WHEN escalation_count_90d > 0 THEN 1.0 WHEN complaint_count_90d >= 2 THEN 0.8 "
+              "WHEN complaint_count_90d = 1 THEN 0.5 ELSE 0.0 END",
+        direction="CASE WHEN escalation_count_90d > 0 THEN 'worsening' ELSE 'stable' END",
+        evidence="CASE WHEN complaint_count_90d + escalation_count_90d = 0 THEN 'No complaints or escalations in 90 days' "
+                 "ELSE concat(complaint_count_90d, ' complaint(s), ', escalation_count_90d, "
+                 "' escalation(s) in 90 days') END",
+    ),
+    "claim_activity": SignalRule(
+        value="open_claims",
+        score="CASE open_claims WHEN 0 THEN 0.0 WHEN 1 THEN 0.4 ELSE 0.8 END",
+        evidence="CASE WHEN open_claims = 0 THEN 'No open claims' ELSE "
+                 "concat(open_claims, ' open claim(s) — active service load') END",
+    ),
+    # scores a rise in contacts: many contacts without resolution are the risk
+    "engagement_drop": SignalRule(
+        value="interactions_current_90d",
+        score="CASE WHEN interactions_current_90d > interactions_prior_90d + 2 THEN 0.7 "
+              "WHEN interactions_current_90d > interactions_prior_90d THEN 0.3 ELSE 0.0 END",
+        direction="CASE WHEN interactions_current_90d > interactions_prior_90d + 1 THEN 'worsening' "
+                  "WHEN interactions_current_90d < interactions_prior_90d - 1 THEN 'improving' ELSE 'stable' END",
+        evidence="concat(interactions_current_90d, ' interactions in last 90d vs ', interactions_prior_90d, "
+                 "' in prior 90d')",
+    ),
+    "cross_sell_opportunity": SignalRule(
+        value="CAST(missing_home AS INT) + CAST(missing_umbrella AS INT)",
+        score="CASE WHEN active_policies >= 2 AND missing_home THEN 0.7 "
+              "WHEN active_policies >= 2 AND missing_umbrella THEN 0.6 WHEN active_policies = 1 THEN 0.4 ELSE 0.0 END",
+        evidence="CASE WHEN NOT missing_home AND NOT missing_umbrella THEN 'Full product suite — no cross-sell gap' "
+                 "ELSE concat('Missing: ', CASE WHEN missing_home THEN 'home ' ELSE '' END, "
+                 "CASE WHEN missing_umbrella THEN 'umbrella ' ELSE '' END, '(', active_policies, ' active policies)') END",
+    ),
 }
 
 
-def _signal_struct(name: str, weight: Decimal) -> Column:
-    rule = SIGNAL_RULES[name]()
-    raw, fixed = rule["score"].cast("decimal(24,18)"), F.lit(weight).cast("decimal(5,4)")
-    body = F.struct(
-        F.lit(name).alias("signal_type"),
-        rule["value"].cast("decimal(20,8)").alias("signal_value"),
-        F.round(raw, 3).cast("decimal(6,3)").alias("signal_score"),
-        fixed.alias("signal_weight"),
-        F.round(raw * fixed, 4).cast("decimal(7,4)").alias("weighted_score"),
-        rule["direction"].alias("signal_direction"),
-        rule["evidence"].alias("evidence_text"),
-        raw.alias("unrounded_score"),
+def _signal_sql(name: str, weight: Decimal) -> str:
+    rule = SIGNAL_RULES[name]
+    raw, fixed = f"CAST({rule.score} AS DECIMAL(24,18))", f"CAST({weight} AS DECIMAL(5,4))"
+    body = (
+        f"named_struct('signal_type', '{name}', 'signal_value', CAST({rule.value} AS DECIMAL(20,8)), "
+        f"'signal_score', CAST(round({raw}, 3) AS DECIMAL(6,3)), 'signal_weight', {fixed}, "
+        f"'weighted_score', CAST(round({raw} * {fixed}, 4) AS DECIMAL(7,4)), "
+        f"'signal_direction', {rule.direction}, 'evidence_text', {rule.evidence}, 'unrounded_score', {raw})"
     )
-    return F.when(rule["applies"], body) if "applies" in rule else body
+    return f"CASE WHEN {rule.applies} THEN {body} END" if rule.applies else body
 
 
 def with_signals(wide: DataFrame, weights: dict[str, Decimal] | None = None) -> DataFrame:
     """Adds ``signals``: the customer's signals as one array, in the fixed signal order."""
     weights = weights or SIGNAL_WEIGHTS
-    return wide.withColumn("signals", F.array_compact(F.array(*[_signal_struct(s, weights[s]) for s in SIGNAL_RULES])))
+    every = ", ".join(_signal_sql(s, weights[s]) for s in SIGNAL_RULES)
+    return wide.withColumn("signals", F.expr(f"array_compact(array({every}))"))
 
 
 def risk_signals(with_array: DataFrame) -> DataFrame:
@@ -261,7 +210,7 @@ def risk_signals(with_array: DataFrame) -> DataFrame:
 def one_signal(wide: DataFrame, name: str, weights: dict[str, Decimal] | None = None) -> DataFrame:
     """A single signal, without computing the other seven."""
     weight = (weights or SIGNAL_WEIGHTS)[name]
-    return wide.select("customer_id", _signal_struct(name, weight).alias("s")).filter("s is not null").select(
+    return wide.select("customer_id", F.expr(_signal_sql(name, weight)).alias("s")).filter("s is not null").select(
         "customer_id", "s.signal_value", "s.signal_score", "s.weighted_score", "s.signal_direction",
         "s.evidence_text",
     )
@@ -282,41 +231,36 @@ def risk_signals_configured(with_array: DataFrame, weights: DataFrame) -> DataFr
 # --- composite -------------------------------------------------------------------------------------------------
 
 
-def tier(total: Column) -> Column:
-    chosen = F.lit(TIER_ORDER[-1])
-    for name, start in reversed(RISK_TIERS):
-        chosen = F.when(total >= F.lit(start), name).otherwise(chosen)
-    return chosen
+def tier_sql(total: str) -> str:
+    steps = " ".join(f"WHEN {total} >= {start} THEN '{name}'" for name, start in RISK_TIERS)
+    return f"CASE {steps} ELSE '{TIER_ORDER[-1]}' END"
 
 
-def _overall(worse: Column, better: Column) -> Column:
+def overall_sql(worse: str, better: str) -> str:
     return (
-        F.when(worse >= 2, "worsening").when((worse >= 1) & (better == 0), "worsening")
-        .when(better >= 2, "improving").otherwise("stable")
+        f"CASE WHEN {worse} >= 2 OR ({worse} >= 1 AND {better} = 0) THEN 'worsening' "
+        f"WHEN {better} >= 2 THEN 'improving' ELSE 'stable' END"
     )
 
 
 def with_risk(with_array: DataFrame) -> DataFrame:
     """Composite score, tier and directions on the customer's own row (no shuffle)."""
-    signals = F.col("signals")
-
-    def moving(name: str) -> Column:
-        return F.size(F.filter(signals, lambda s: s["signal_direction"] == name))
-
-    total = F.aggregate(
-        signals, F.lit(0).cast("decimal(12,4)"), lambda acc, s: (acc + s["weighted_score"]).cast("decimal(12,4)")
-    )
-    weighty = F.filter(signals, lambda s: s["signal_weight"] > 0)
-    contributions = F.transform(weighty, lambda s: F.struct(s["weighted_score"].alias("w"),
-                                                            s["signal_type"].alias("signal_type")))
-    return with_array.withColumn("_total", total).withColumn("worsening_signals", moving("worsening")) \
-        .withColumn("improving_signals", moving("improving")) \
-        .withColumn("composite_risk_score", F.round("_total", 3).cast("decimal(6,3)")) \
-        .withColumn("risk_tier", tier(F.col("_total"))) \
-        .withColumn("top_signal_type", F.array_max(F.transform(weighty, lambda s: s["signal_type"]))) \
-        .withColumn("top_signal_by_score", F.array_max(contributions)["signal_type"]) \
-        .withColumn("overall_direction", _overall(F.col("worsening_signals"), F.col("improving_signals"))) \
-        .withColumn("signal_count", F.size(signals)).drop("_total")
+    weighty = "filter(signals, s -> s.signal_weight > 0)"
+    row = with_array.withColumns({
+        "_total": F.expr("aggregate(signals, CAST(0 AS DECIMAL(12,4)), "
+                         "(acc, s) -> CAST(acc + s.weighted_score AS DECIMAL(12,4)))"),
+        "worsening_signals": F.expr("size(filter(signals, s -> s.signal_direction = 'worsening'))"),
+        "improving_signals": F.expr("size(filter(signals, s -> s.signal_direction = 'improving'))"),
+        "top_signal_type": F.expr(f"array_max(transform({weighty}, s -> s.signal_type))"),
+        "top_signal_by_score": F.expr(
+            f"array_max(transform({weighty}, s -> struct(s.weighted_score, s.signal_type AS name))).name"),
+        "signal_count": F.expr("size(signals)"),
+    })
+    return row.withColumns({
+        "composite_risk_score": F.expr("CAST(round(_total, 3) AS DECIMAL(6,3))"),
+        "risk_tier": F.expr(tier_sql("_total")),
+        "overall_direction": F.expr(overall_sql("worsening_signals", "improving_signals")),
+    }).drop("_total")
 
 
 SUMMARY_COLUMNS = (
@@ -331,19 +275,19 @@ def risk_summary(scored: DataFrame) -> DataFrame:
 
 def summarise_signals(signals: DataFrame) -> DataFrame:
     """The same summary from a stored long-form signal table."""
-    worse = count_if(F.col("signal_direction") == "worsening")
-    better = count_if(F.col("signal_direction") == "improving")
-    weighty = F.col("signal_weight") > 0
-    total = F.sum("weighted_score")
     return signals.groupBy("customer_id").agg(
-        F.round(total, 3).cast("decimal(6,3)").alias("composite_risk_score"),
-        tier(total).alias("risk_tier"),
-        worse.alias("worsening_signals"),
-        better.alias("improving_signals"),
-        F.max(F.when(weighty, F.col("signal_type"))).alias("top_signal_type"),
-        F.max(F.when(weighty, F.struct("weighted_score", "signal_type")))["signal_type"].alias("top_signal_by_score"),
-        _overall(worse, better).alias("overall_direction"),
-        F.count("*").alias("signal_count"),
+        F.expr("sum(weighted_score) AS _total"),
+        count_where("worsening_signals", "signal_direction = 'worsening'"),
+        count_where("improving_signals", "signal_direction = 'improving'"),
+        F.expr("max(CASE WHEN signal_weight > 0 THEN signal_type END) AS top_signal_type"),
+        F.expr("max(CASE WHEN signal_weight > 0 THEN struct(weighted_score, signal_type) END).signal_type "
+               "AS top_signal_by_score"),
+        F.expr("count(*) AS signal_count"),
+    ).selectExpr(
+        "customer_id", "CAST(round(_total, 3) AS DECIMAL(6,3)) AS composite_risk_score",
+        f"{tier_sql('_total')} AS risk_tier", "worsening_signals", "improving_signals", "top_signal_type",
+        "top_signal_by_score", f"{overall_sql('worsening_signals', 'improving_signals')} AS overall_direction",
+        "signal_count",
     )
 
 
@@ -363,22 +307,15 @@ def signal_contributions(signals: DataFrame, weights: DataFrame) -> DataFrame:
     return weights.join(totals, "signal_type", "left").orderBy(F.desc("signal_weight"), "signal_type")
 
 
-def scenario_labels(wide: DataFrame, windows: DataFrame) -> DataFrame:
+def scenario_labels(wide: DataFrame) -> DataFrame:
     """Coarse labels used by the acceptance scenarios."""
-    days, late, missed = F.col("days_to_renewal"), F.col("payments_late"), F.col("payments_missed")
-    labels = wide.select(
+    return wide.selectExpr(
         "customer_id",
-        F.when(days <= 14, "very_high").when(days <= 30, "high").when(days.isNotNull(), "low").otherwise("none")
-        .alias("renewal_proximity"),
-        F.when(late + missed == 0, "good").when(late + missed == 1, "minor_risk").otherwise("poor")
-        .alias("payment_behavior"),
-        (F.col("active_policies") >= 2).alias("multi_policy_flag"),
-        F.col("negative_count_90d").alias("negative_sentiment_count_90d"),
-        F.col("complaint_count_90d").alias("open_complaints"),
-    )
-    trend = windows.select(
-        "customer_id", direction(F.col("avg_current"), F.col("avg_prior"), "not_computable").alias("sentiment_direction")
-    )
-    return labels.join(trend, "customer_id", "left").withColumn(
-        "sentiment_direction", F.coalesce("sentiment_direction", F.lit("not_computable"))
+        "CASE WHEN days_to_renewal <= 14 THEN 'very_high' WHEN days_to_renewal <= 30 THEN 'high' "
+        "WHEN days_to_renewal IS NOT NULL THEN 'low' ELSE 'none' END AS renewal_proximity",
+        f"CASE {_BAD_PAYMENTS} WHEN 0 THEN 'good' WHEN 1 THEN 'minor_risk' ELSE 'poor' END AS payment_behavior",
+        "active_policies >= 2 AS multi_policy_flag",
+        "negative_count_90d AS negative_sentiment_count_90d",
+        "complaint_count_90d AS open_complaints",
+        direction("avg_sentiment_90d", "avg_sentiment_prior_90d", "not_computable") + " AS sentiment_direction",
     )

@@ -81,14 +81,10 @@ def scored_documents(documents: DataFrame, query: str, filters: dict[str, object
     terms = query_terms(query)
     if filters:
         documents = documents.filter(_matches(filters))
-    words = tx.tokens(F.col("content"))
-
-    def length(of: Column) -> Column:
-        return F.size(F.filter(of, lambda w: w != ""))
-
+    words = F.filter(tx.tokens(F.col("content")), lambda w: w != "")
     counted = documents.withColumn("_w", words).select(
-        *documents.columns, length(F.col("_w")).alias("_len"),
-        *[F.size(F.filter("_w", lambda w, t=t: w == t)).alias(f"_tf{i}") for i, t in enumerate(terms)],
+        *documents.columns, F.size("_w").alias("_len"),
+        *[tx.count_in(F.col("_w"), [t]).alias(f"_tf{i}") for i, t in enumerate(terms)],
     )
     stats = counted.filter(F.col("_len") > 0).agg(F.struct(
         F.count("*").alias("n"), F.sum("_len").alias("total"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from kinsight.config import Settings
 from kinsight.operators import aggregates, curated, enrichment, nba, profile, risk
@@ -25,22 +24,13 @@ def customer_360_enriched(
     context = nba.customer_context(scored, "profile", "worsening_signals", "improving_signals")
     best = nba.attach_primary(context, settings.actions, ("profile", "worsening_signals", "improving_signals"))
 
-    def recommended(name: str):
-        # the context columns exist for every customer; they only count next to an action
-        return F.when(F.col("action_id").isNotNull(), F.col(name)).alias(f"nba_{name}")
-
-    row = best.select(
-        *[F.col(f"profile.{c}").alias(c) for c in base.columns],
-        *[F.col(f"profile.{c}").alias(c) for c in ("enriched_interactions_90d", "negative_count_90d",
-                                                  "positive_count_90d", "worst_sentiment_90d")],
-        F.round("profile.avg_current", 3).alias("avg_sentiment_90d"),
-        F.round("profile.avg_prior", 3).alias("avg_sentiment_prior_90d"),
-        profile.direction(F.col("profile.avg_current"), F.col("profile.avg_prior"), "insufficient_data")
-        .alias("sentiment_direction"),
-        profile.ratio(F.col("profile.transcripts_enriched"), F.col("profile.transcripts_total"), 2)
-        .alias("enrichment_coverage_pct"),
-        "composite_risk_score", "risk_tier", "worsening_signals", "improving_signals", "overall_direction",
-        *[recommended(c) for c in profile.NBA_COLUMNS],
+    # the context columns exist for every customer; they only count next to an action
+    row = best.selectExpr(
+        "profile.*", "composite_risk_score", "risk_tier", "worsening_signals", "improving_signals", "overall_direction",
+        *[f"CASE WHEN action_id IS NOT NULL THEN {c} END AS nba_{c}" for c in profile.NBA_COLUMNS],
+    ).selectExpr(
+        *base.columns, *profile.SUMMARY, "composite_risk_score", "risk_tier", "worsening_signals", "improving_signals",
+        "overall_direction", *[f"nba_{c}" for c in profile.NBA_COLUMNS],
     )
     return profile.serve(row, segments)
 

@@ -36,9 +36,12 @@ def read_strict(spark: SparkSession, path: str, schema: T.StructType, multi_line
     return spark.read.options(**options).option("mode", "FAILFAST").schema(nullable(schema)).csv(path)
 
 
-def read_lenient(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+def read_lenient(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True, header: bool = True
+) -> DataFrame:
     """Malformed rows are kept aside: their text is in ``_corrupt_record`` (NULL for good rows)."""
-    options = {**CSV_FORMAT, "multiLine": str(multi_line).lower(), "enforceSchema": "true"}
+    options = {**CSV_FORMAT, "multiLine": str(multi_line).lower(), "header": str(header).lower(),
+               "enforceSchema": "true"}
     full = nullable(schema).add("_corrupt_record", T.StringType())
     return spark.read.options(**options).option("mode", "PERMISSIVE") \
         .option("columnNameOfCorruptRecord", "_corrupt_record").schema(full).csv(path)

@@ -49,153 +49,142 @@ class Testbed:
 
     def __init__(self, spark: SparkSession, sf_dir: str, clock: Clock = CLOCK):
         self.spark, self.sf_dir, self.clock = spark, sf_dir.rstrip("/"), clock
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """Table handle, opened once per table: opening reads the file footers."""
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._raw[name]
 
     def customers(self) -> DataFrame:
-        key, name = F.col("c_custkey"), F.col("c_name")
-        number = F.split_part(name, F.lit("#"), F.lit(2))
-        good = F.col("c_acctbal") >= 0
-        return self.raw("customer").select(
-            key.alias("customer_id"),
-            F.col("c_nationkey").cast("bigint").alias("household_id"),
-            F.split_part(name, F.lit("#"), F.lit(1)).alias("first_name"),
-            number.alias("last_name"),
-            F.date_add(F.lit(date(1990, 1, 1)), (key % 1800).cast("int")).alias("customer_since"),
-            F.when(good, "active").otherwise("inactive").alias("status"),
-            F.when(good, F.date_add(F.lit(date(1950, 1, 1)), (key % 18000).cast("int"))).alias("date_of_birth"),
-            F.when(F.col("c_mktsegment") != "HOUSEHOLD", F.concat(F.lit("c"), number, F.lit("@example.com")))
-            .alias("email"),
-            F.when(good, F.concat(F.lit("555-"), number)).alias("phone"),
-            name.alias("address_line_1"),
-            F.concat(F.lit("CITY "), F.col("c_nationkey").cast("string")).alias("city"),
-            F.col("c_mktsegment").alias("state"),
-            number.alias("postal_code"),
+        return self.raw("customer").selectExpr(
+            "c_custkey AS customer_id",
+            "CAST(c_nationkey AS BIGINT) AS household_id",
+            "split_part(c_name, '#', 1) AS first_name",
+            "split_part(c_name, '#', 2) AS last_name",
+            "date_add(DATE '1990-01-01', CAST(c_custkey % 1800 AS INT)) AS customer_since",
+            "CASE WHEN c_acctbal >= 0 THEN 'active' ELSE 'inactive' END AS status",
+            "CASE WHEN c_acctbal >= 0 THEN date_add(DATE '1950-01-01', CAST(c_custkey % 18000 AS INT)) END "
+            "AS date_of_birth",
+            "CASE WHEN c_mktsegment != 'HOUSEHOLD' THEN concat('c', split_part(c_name, '#', 2), '@example.com') END "
+            "AS email",
+            "CASE WHEN c_acctbal >= 0 THEN concat('555-', split_part(c_name, '#', 2)) END AS phone",
+            "c_name AS address_line_1",
+            "concat('CITY ', CAST(c_nationkey AS STRING)) AS city",
+            "c_mktsegment AS state",
+            "split_part(c_name, '#', 2) AS postal_code",
         )
 
     def policies(self) -> DataFrame:
-        effective = F.to_date("o_orderdate")
-        status = F.col("o_orderstatus")
-        recent = effective >= F.date_sub(self.clock.today_col(), 365)
-        priority = F.substring("o_orderpriority", 1, 1)
-        return self.raw("orders").select(
-            F.col("o_orderkey").alias("policy_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.when(priority == "1", "auto").when(priority == "2", "home").when(priority == "3", "umbrella")
-            .when(priority == "4", "renters").otherwise("other").alias("product_type"),
-            F.when((status == "O") & recent, "active").when(status == "O", "renewed").when(status == "F", "lapsed")
-            .otherwise("quoted").alias("status"),
-            effective.alias("effective_date"),
-            F.date_add(effective, 365).alias("expiration_date"),
-            F.col("o_totalprice").cast(MONEY).alias("premium_amount"),
-            F.element_at(
-                F.array(*map(F.lit, ("monthly", "quarterly", "semi_annual", "annual"))),
-                (F.col("o_orderkey") % 4 + 1).cast("int"),
-            ).alias("payment_frequency"),
-            F.when(status != "P", F.date_sub(effective, 7)).alias("bound_date"),
+        return self.raw("orders").withColumn("_on", F.to_date("o_orderdate")).selectExpr(
+            "o_orderkey AS policy_id",
+            "o_custkey AS customer_id",
+            "CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'auto' WHEN '2' THEN 'home' WHEN '3' THEN 'umbrella' "
+            "WHEN '4' THEN 'renters' ELSE 'other' END AS product_type",
+            f"CASE WHEN o_orderstatus = 'O' AND _on >= date_sub(DATE '{self.clock.today}', 365) THEN 'active' "
+            "WHEN o_orderstatus = 'O' THEN 'renewed' WHEN o_orderstatus = 'F' THEN 'lapsed' ELSE 'quoted' END AS status",
+            "_on AS effective_date",
+            "date_add(_on, 365) AS expiration_date",
+            f"CAST(o_totalprice AS {MONEY}) AS premium_amount",
+            "CASE o_orderkey % 4 WHEN 0 THEN 'monthly' WHEN 1 THEN 'quarterly' WHEN 2 THEN 'semi_annual' "
+            "ELSE 'annual' END AS payment_frequency",
+            "CASE WHEN o_orderstatus != 'P' THEN date_sub(_on, 7) END AS bound_date",
         )
 
     def coverages(self) -> DataFrame:
-        limit = F.col("l_extendedprice").cast(MONEY)
-        return self.raw("lineitem").select(
-            F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber")).alias("coverage_id"),
-            F.col("l_orderkey").alias("policy_id"),
-            F.concat("l_returnflag", "l_linestatus").alias("coverage_type"),
-            limit.alias("limit_amount"),
-            (limit * F.col("l_discount").cast("decimal(4,2)")).cast(MONEY).alias("deductible_amount"),
+        return self.raw("lineitem").selectExpr(
+            "concat_ws('-', l_orderkey, l_linenumber) AS coverage_id",
+            "l_orderkey AS policy_id",
+            "concat(l_returnflag, l_linestatus) AS coverage_type",
+            f"CAST(l_extendedprice AS {MONEY}) AS limit_amount",
+            f"CAST(CAST(l_extendedprice AS {MONEY}) * CAST(l_discount AS DECIMAL(4,2)) AS {MONEY}) AS deductible_amount",
         )
 
-    def _line_key(self):
-        return F.md5(F.concat_ws(
-            "|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-            F.date_format("l_shipdate", "yyyy-MM-dd"), F.col("l_extendedprice").cast(MONEY),
-        ))
+    LINE_KEY = (
+        "md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, date_format(l_shipdate, 'yyyy-MM-dd'), "
+        f"CAST(l_extendedprice AS {MONEY})))"
+    )
 
     def claims(self) -> DataFrame:
-        lines = self.raw("lineitem").filter(F.col("l_returnflag").isin("R", "A"))
-        filed = F.to_date("l_shipdate")
-        settled = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
-        denied = F.col("l_returnflag") == "A"
-        price = F.col("l_extendedprice").cast(MONEY)
-        claims = lines.select(
-            self._line_key().alias("claim_id"),
-            F.col("l_orderkey").alias("policy_id"),
-            filed.alias("filed_date"),
-            F.when(denied, "denied").when(settled, "settled").otherwise("filed").alias("status"),
-            F.date_sub(filed, 10).alias("loss_date"),
-            F.concat(F.lit("loss_"), F.lower("l_linestatus")).alias("loss_type"),
-            F.when(~settled, price).alias("reserve_amount"),
-            F.when(settled, (price * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast(MONEY)).alias("paid_amount"),
-            F.when(denied | settled, F.date_add(filed, 30)).alias("closed_date"),
-        )
-        return claims.join(self._owners(), "policy_id").select(
-            "claim_id", "policy_id", "customer_id", "filed_date", "status", "loss_date", "loss_type",
-            "reserve_amount", "paid_amount", "closed_date",
+        return (
+            self.raw("lineitem").filter("l_returnflag IN ('R', 'A')")
+            .withColumnRenamed("l_orderkey", "policy_id")
+            .join(self._owners(), "policy_id")
+            .withColumn("_kind", F.expr("CASE WHEN l_returnflag = 'A' THEN 'denied' WHEN l_linestatus = 'F' THEN "
+                                        "'settled' ELSE 'filed' END"))
+            .selectExpr(
+                self.LINE_KEY.replace("l_orderkey", "policy_id") + " AS claim_id",
+                "policy_id",
+                "customer_id",
+                "to_date(l_shipdate) AS filed_date",
+                "_kind AS status",
+                "date_sub(to_date(l_shipdate), 10) AS loss_date",
+                "concat('loss_', lower(l_linestatus)) AS loss_type",
+                f"CASE WHEN _kind != 'settled' THEN CAST(l_extendedprice AS {MONEY}) END AS reserve_amount",
+                f"CASE WHEN _kind = 'settled' THEN CAST(CAST(l_extendedprice AS {MONEY}) "
+                f"* (1 - CAST(l_discount AS DECIMAL(4,2))) AS {MONEY}) END AS paid_amount",
+                "CASE WHEN _kind != 'filed' THEN date_add(to_date(l_shipdate), 30) END AS closed_date",
+            )
         )
 
     def _owners(self) -> DataFrame:
-        return self.raw("orders").select(
-            F.col("o_orderkey").alias("policy_id"), F.col("o_custkey").alias("customer_id"),
-            F.to_date("o_orderdate").alias("_ordered"),
-        )
+        return self.raw("orders").selectExpr(
+            "o_orderkey AS policy_id", "o_custkey AS customer_id", "to_date(o_orderdate) AS _ordered")
 
     def payments(self) -> DataFrame:
-        lines = self.raw("lineitem").filter(F.col("l_returnflag") == "N").select(
-            self._line_key().alias("payment_id"),
-            F.col("l_orderkey").alias("policy_id"),
-            F.to_date("l_shipdate").alias("_paid"),
-            F.col("l_extendedprice").cast(MONEY).alias("amount"),
-            "l_linestatus",
-        )
-        due = F.date_add("_ordered", 30)
-        late = F.datediff("_paid", due)
-        missed = (F.col("l_linestatus") == "O") & (late > 365)
-        return lines.join(self._owners(), "policy_id").select(
-            "payment_id", "customer_id", "policy_id", due.alias("due_date"), "amount",
-            F.when(missed, "missed").when(late <= 0, "on_time").when(late <= 30, "grace_period")
-            .otherwise("late").alias("status"),
-            F.when(~missed, F.col("_paid")).alias("paid_date"),
-            F.when(~missed, F.col("amount")).alias("amount_paid"),
+        return (
+            self.raw("lineitem").filter("l_returnflag = 'N'")
+            .withColumnRenamed("l_orderkey", "policy_id")
+            .join(self._owners(), "policy_id")
+            .withColumn("_due", F.expr("date_add(_ordered, 30)"))
+            .withColumn("_late", F.expr("datediff(to_date(l_shipdate), _due)"))
+            .withColumn("_kind", F.expr("CASE WHEN l_linestatus = 'O' AND _late > 365 THEN 'missed' WHEN _late <= 0 "
+                                        "THEN 'on_time' WHEN _late <= 30 THEN 'grace_period' ELSE 'late' END"))
+            .selectExpr(
+                self.LINE_KEY.replace("l_orderkey", "policy_id") + " AS payment_id",
+                "customer_id",
+                "policy_id",
+                "_due AS due_date",
+                f"CAST(l_extendedprice AS {MONEY}) AS amount",
+                "_kind AS status",
+                "CASE WHEN _kind != 'missed' THEN to_date(l_shipdate) END AS paid_date",
+                f"CASE WHEN _kind != 'missed' THEN CAST(l_extendedprice AS {MONEY}) END AS amount_paid",
+            )
         )
 
     def interactions(self, events: DataFrame | None = None) -> DataFrame:
-        kind = F.col("event_type")
-        return (self.raw("events") if events is None else events).select(
-            F.col("event_id").alias("interaction_id"),
-            F.col("user_id").alias("customer_id"),
-            F.when(kind.isin("click", "view"), "chat").when(kind == "signup", "email").otherwise("phone")
-            .alias("channel"),
-            F.when(kind == "view", "outbound").otherwise("inbound").alias("direction"),
-            F.when(kind == "error", "complaint").when(kind == "click", "inquiry").when(kind == "signup", "request")
-            .when(kind == "view", "notification").otherwise("general").alias("disposition"),
-            F.col("ts").cast("timestamp_ntz").alias("interaction_date"),
-            F.floor("value").cast("bigint").alias("duration_seconds"),
-            F.get_json_object("props", "$.k").cast("bigint").alias("representative_id"),
+        return (self.raw("events") if events is None else events).selectExpr(
+            "event_id AS interaction_id",
+            "user_id AS customer_id",
+            "CASE WHEN event_type IN ('click', 'view') THEN 'chat' WHEN event_type = 'signup' THEN 'email' "
+            "ELSE 'phone' END AS channel",
+            "CASE WHEN event_type = 'view' THEN 'outbound' ELSE 'inbound' END AS direction",
+            "CASE event_type WHEN 'error' THEN 'complaint' WHEN 'click' THEN 'inquiry' WHEN 'signup' THEN 'request' "
+            "WHEN 'view' THEN 'notification' ELSE 'general' END AS disposition",
+            "CAST(ts AS TIMESTAMP_NTZ) AS interaction_date",
+            "CAST(floor(value) AS BIGINT) AS duration_seconds",
+            "CAST(get_json_object(props, '$.k') AS BIGINT) AS representative_id",
         )
 
     def transcripts(self) -> DataFrame:
-        lang = F.col("lang")
-        return self.raw("documents").select(
-            F.col("doc_id").alias("transcript_id"),
-            (F.col("doc_id") * 10).alias("interaction_id"),
-            F.when(lang == "en", "call_transcript").when(lang == "fr", "email_body").otherwise("agent_note")
-            .alias("content_type"),
-            F.col("text").alias("raw_text"),
-            F.floor(F.col("n_chars") / 6).cast("bigint").alias("word_count"),
-            F.when(F.col("source") == "src7", "FALSE").otherwise("TRUE").alias("recording_consent_flag"),
+        return self.raw("documents").selectExpr(
+            "doc_id AS transcript_id",
+            "doc_id * 10 AS interaction_id",
+            "CASE lang WHEN 'en' THEN 'call_transcript' WHEN 'fr' THEN 'email_body' ELSE 'agent_note' END AS content_type",
+            "text AS raw_text",
+            "CAST(floor(n_chars / 6) AS BIGINT) AS word_count",
+            "CASE WHEN source = 'src7' THEN 'FALSE' ELSE 'TRUE' END AS recording_consent_flag",
         )
 
     def service_representatives(self) -> DataFrame:
-        key = F.col("s_suppkey")
-        return self.raw("supplier").select(
-            key.alias("representative_id"),
-            F.col("s_name").alias("name"),
-            F.when(key % 10 == 0, "supervisor").when(key % 10 < 3, "retention_specialist").otherwise("service_rep")
-            .alias("role"),
-            F.when(F.col("s_acctbal") >= 0, "TRUE").otherwise("FALSE").alias("active"),
-            F.when(F.col("s_nationkey") % 5 != 0, F.concat(F.lit("team "), F.col("s_nationkey").cast("string")))
-            .alias("team"),
+        return self.raw("supplier").selectExpr(
+            "s_suppkey AS representative_id",
+            "s_name AS name",
+            "CASE WHEN s_suppkey % 10 = 0 THEN 'supervisor' WHEN s_suppkey % 10 < 3 THEN 'retention_specialist' "
+            "ELSE 'service_rep' END AS role",
+            "CASE WHEN s_acctbal >= 0 THEN 'TRUE' ELSE 'FALSE' END AS active",
+            "CASE WHEN s_nationkey % 5 != 0 THEN concat('team ', CAST(s_nationkey AS STRING)) END AS team",
         )
 
     def table(self, name: str) -> DataFrame:
