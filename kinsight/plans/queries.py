@@ -101,8 +101,9 @@ def damaged_interactions(b: Build) -> DataFrame:
     line = F.when(F.col("disposition") == "complaint", F.concat_ws(",", *text)).otherwise(
         F.concat_ws(",", *text, moment, duration, F.coalesce(F.col("representative_id").cast("string"), F.lit(""))))
     folder = run_folder(b.tables.spark, "damaged")
-    i.select(line.alias("value")).write.text(folder)
-    return landing.read_lenient(b.tables.spark, folder, SCHEMAS["interactions"], multi_line=False, header=False)
+    i.select(line.alias("value")).write.text(f"{folder}/lines")
+    return landing.land_lenient(
+        b.tables.spark, f"{folder}/lines", SCHEMAS["interactions"], f"{folder}/landed", multi_line=False, header=False)
 
 
 @query("load_rejects")
@@ -486,8 +487,8 @@ def dq_batch(b: Build) -> DataFrame:
 @query("dq_rejects")
 def dq_rejects(b: Build) -> DataFrame:
     folder = run_folder(b.tables.spark, "clean")
-    landing.write_csv(as_declared(b.customers, "customers"), folder)
-    clean = landing.read_lenient(b.tables.spark, folder, SCHEMAS["customers"])
+    landing.write_csv(as_declared(b.customers, "customers"), f"{folder}/csv")
+    clean = landing.land_lenient(b.tables.spark, f"{folder}/csv", SCHEMAS["customers"], f"{folder}/landed")
     return quality.rejects({"customers": clean, "interactions": damaged_interactions(b)})
 
 

@@ -47,6 +47,18 @@ def read_lenient(
         .option("columnNameOfCorruptRecord", "_corrupt_record").schema(full).csv(path)
 
 
+def land_lenient(
+    spark: SparkSession, path: str, schema: T.StructType, target: str, multi_line: bool = True, header: bool = True
+) -> DataFrame:
+    """Lenient load: every row is parsed in full and stored at ``target``, rejects with their text.
+
+    Judging rows on the raw reader would not do: it skips the fields a query
+    does not ask for, and with them their errors.
+    """
+    read_lenient(spark, path, schema, multi_line, header).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
+
+
 def split_rejects(loaded: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad = F.col("_corrupt_record").isNotNull()
     return loaded.filter(~bad).drop("_corrupt_record"), loaded.filter(bad)
