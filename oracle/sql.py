@@ -942,7 +942,7 @@ add(
         SELECT doc_id, term, lang, CAST(n AS BIGINT) AS doc_length, count(*) AS tf FROM (
           SELECT doc_id, lang, len(w) AS n, unnest(w) AS term FROM (SELECT doc_id, lang, list_filter(
             string_split_regex(lower(text), '[^\p{L}]+'), lambda x: x <> '') AS w FROM documents)) GROUP BY 1, 2, 3, 4
-        """.replace("\\", "\"),
+        """,
     search_bm25=bm25(DOCS, "SELECT s.doc_id, d.lang, CAST(s.score AS DOUBLE) AS score FROM scored s JOIN docs d USING (doc_id) "
                            "ORDER BY s.score DESC, s.doc_id LIMIT 5"),
     search_filtered=bm25(DOCS + " WHERE lang = 'en'", "SELECT s.doc_id, d.source, CAST(s.score AS DOUBLE) AS score FROM scored s "
