@@ -11,14 +11,27 @@ NON_LETTERS = r"[^\p{L}]+"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters. May hold '' at the edges; callers match or filter words."""
+    """Lower-cased runs of letters. The first and last entry may be '' (text that starts or ends otherwise)."""
     return F.split(F.lower(text), NON_LETTERS)
 
 
+def token_count(words: str) -> Column:
+    """Number of non-empty entries of a ``tokens`` column, without walking it."""
+    return F.expr(
+        f"size({words}) - CAST(element_at({words}, 1) = '' AS INT) "
+        f"- CAST(size({words}) > 1 AND element_at({words}, -1) = '' AS INT)"
+    )
+
+
+def only(words: Column, vocabulary: Iterable[str]) -> Column:
+    """The entries of ``words`` that are in ``vocabulary``: the one pass over a long text."""
+    members = sorted(set(vocabulary))
+    return F.filter(words, lambda w: w.isin(members))
+
+
 def count_in(words: Column, lexicon: Iterable[str]) -> Column:
     """How many of ``words`` are in ``lexicon`` (with repeats)."""
-    members = list(lexicon)
-    return F.size(F.filter(words, lambda w: w.isin(members)))
+    return F.size(only(words, lexicon))
 
 
 def has_any(words: Column, lexicon: Iterable[str]) -> Column:
@@ -51,5 +64,6 @@ def word_count(text: Column) -> Column:
 
 def first_sentence(text: Column, max_words: int = 20) -> Column:
     """First sentence on one line, at most ``max_words`` words."""
-    sentence = F.regexp_extract(strip(text), r"^[^.!?]*[.!?]?", 0)
+    # anchored at the start, so the match ends with the sentence and never scans the rest of the text
+    sentence = F.regexp_extract(text, r"^\s*([^.!?]*[.!?]?)", 1)
     return F.array_join(F.slice(F.split(strip(sentence), r"\s+"), 1, max_words), " ")

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinsight.config import DEFAULT_INTENT, DEFAULT_TOPIC, INTENTS, TOPICS, URGENCIES, URGENCY_ORDER, TextRules
@@ -50,20 +50,24 @@ def lexicon_scorer(rules: TextRules) -> Scorer:
     A text without any lexicon word has no score (NULL), which makes its
     enrichment fail rather than read as neutral.
     """
+    keywords = [k for group in (rules.topics, rules.intents, rules.urgencies) for _, words in group for k in words]
+    vocabulary = [*rules.positive, *rules.negative, *keywords]
+
     def score(df: DataFrame) -> DataFrame:
-        text = F.col("scorable_text")
-        counted = df.withColumn("_words", tx.tokens(text)) \
-            .withColumn("_pos", tx.count_in(F.col("_words"), rules.positive)) \
-            .withColumn("_neg", tx.count_in(F.col("_words"), rules.negative))
+        text, hits = F.col("scorable_text"), F.col("_hits")
+        # one pass reduces the text to the words that matter; everything else looks at those
+        counted = df.withColumn("_hits", tx.only(tx.tokens(text), vocabulary)).withColumns({
+            "_pos": tx.count_in(hits, rules.positive), "_neg": tx.count_in(hits, rules.negative)})
         extraction = F.to_json(F.struct(
             tx.first_sentence(text).alias("summary"),
-            tx.first_rule(F.col("_words"), rules.intents, DEFAULT_INTENT).alias("intent"),
-            tx.first_rule(F.col("_words"), rules.urgencies, rules.default_urgency).alias("urgency"),
-            tx.first_rule(F.col("_words"), rules.topics, DEFAULT_TOPIC).alias("topic"),
+            tx.first_rule(hits, rules.intents, DEFAULT_INTENT).alias("intent"),
+            tx.first_rule(hits, rules.urgencies, rules.default_urgency).alias("urgency"),
+            tx.first_rule(hits, rules.topics, DEFAULT_TOPIC).alias("topic"),
         ))
-        return counted.withColumn(
-            "sentiment_raw", ratio(F.col("_pos") - F.col("_neg"), F.col("_pos") + F.col("_neg")).cast(RAW_SCORE)
-        ).withColumn("extraction_raw", F.when(text.isNotNull(), extraction)).drop("_words", "_pos", "_neg")
+        return counted.withColumns({
+            "sentiment_raw": ratio(F.col("_pos") - F.col("_neg"), F.col("_pos") + F.col("_neg")).cast(RAW_SCORE),
+            "extraction_raw": F.when(text.isNotNull(), extraction),
+        }).drop("_hits", "_pos", "_neg")
 
     return score
 
@@ -229,8 +233,6 @@ def key_phrases(
     phrases are cut per transcript before the final gather, which therefore
     holds at most ``phrases`` rows per key.
     """
-    from pyspark.sql import Window
-
     spoken = transcripts.filter(~F.col("recording_consent_flag").eqNullSafe("FALSE")).select(
         "transcript_id", tx.tokens(F.col("raw_text")).alias("_words")
     )

@@ -30,11 +30,10 @@ def search_index(documents: DataFrame, attributes: tuple[str, ...] = ()) -> Data
 
     The document length rides along, so scoring never joins a length table back.
     """
-    words = F.filter(tx.tokens(F.col("content")), lambda w: w != "")
-    kept = documents.select("doc_id", *attributes, words.alias("_w"))
+    kept = documents.select("doc_id", *attributes, tx.tokens(F.col("content")).alias("_w"))
     return kept.select(
-        "doc_id", *attributes, F.size("_w").alias("doc_length"), F.explode("_w").alias("term")
-    ).groupBy("doc_id", "term").agg(
+        "doc_id", *attributes, tx.token_count("_w").alias("doc_length"), F.explode("_w").alias("term")
+    ).filter("term != ''").groupBy("doc_id", "term").agg(
         F.count("*").alias("tf"), F.max("doc_length").alias("doc_length"),
         *[F.max(a).alias(a) for a in attributes],
     )
@@ -81,10 +80,11 @@ def scored_documents(documents: DataFrame, query: str, filters: dict[str, object
     terms = query_terms(query)
     if filters:
         documents = documents.filter(_matches(filters))
-    words = F.filter(tx.tokens(F.col("content")), lambda w: w != "")
-    counted = documents.withColumn("_w", words).select(
-        *documents.columns, F.size("_w").alias("_len"),
-        *[tx.count_in(F.col("_w"), [t]).alias(f"_tf{i}") for i, t in enumerate(terms)],
+    counted = documents.withColumn("_w", tx.tokens(F.col("content"))).withColumns({
+        "_len": tx.token_count("_w"), "_hits": tx.only(F.col("_w"), terms),
+    }).select(
+        *documents.columns, "_len",
+        *[tx.count_in(F.col("_hits"), [t]).alias(f"_tf{i}") for i, t in enumerate(terms)],
     )
     stats = counted.filter(F.col("_len") > 0).agg(F.struct(
         F.count("*").alias("n"), F.sum("_len").alias("total"),

@@ -40,8 +40,9 @@ class Build:
 
     ``tables`` offers customers(), policies(), coverages(), claims(), payments(),
     interactions(), transcripts() and service_representatives(). ``workspace``
-    is a shared folder; when given, the enriched interactions are written there
-    once and read back, so that text is scored once however many products use it.
+    is a shared folder; when given, the products that several others read (profile
+    base, enriched interactions, risk rows) are written there once and read back,
+    so that text is scored once however many products use it.
     """
 
     def __init__(self, tables, settings: Settings, scorer: enrichment.Scorer | None = None,
@@ -80,21 +81,25 @@ class Build:
     def agg_interaction(self) -> DataFrame:
         return aggregates.agg_customer_interaction(self.interactions)
 
+    def _kept(self, name: str, frame: DataFrame) -> DataFrame:
+        """Write a product that several others read to the workspace once, and read it from there."""
+        if self.workspace is None:
+            return frame
+        path = f"{self.workspace}/{name}"
+        frame.write.mode("overwrite").parquet(path)
+        return frame.sparkSession.read.parquet(path)
+
     @cached_property
     def base(self) -> DataFrame:
-        return profile.customer_360_base(
+        return self._kept("customer_360_base", profile.customer_360_base(
             self.customers, self.households, self.agg_policy, self.agg_claim, self.agg_payment,
             self.agg_interaction, self.clock,
-        )
+        ))
 
     @cached_property
     def enriched(self) -> DataFrame:
-        frame = enrichment.enrich(self.interactions, self.transcripts, self.settings.rules, self.scorer)
-        if self.workspace is None:
-            return frame
-        path = f"{self.workspace}/interactions_enriched"
-        frame.write.mode("overwrite").parquet(path)
-        return frame.sparkSession.read.parquet(path)
+        return self._kept("interactions_enriched", enrichment.enrich(
+            self.interactions, self.transcripts, self.settings.rules, self.scorer))
 
     @cached_property
     def windows(self) -> DataFrame:
@@ -106,11 +111,11 @@ class Build:
 
     @cached_property
     def scored(self) -> DataFrame:
-        return risk.with_risk(risk.with_signals(self.wide, self.settings.weights))
+        return self._kept("customer_risk", risk.with_risk(risk.with_signals(self.wide, self.settings.weights)))
 
     @cached_property
     def signals(self) -> DataFrame:
-        return risk.risk_signals(risk.with_signals(self.wide, self.settings.weights))
+        return risk.risk_signals(self.scored)
 
     @cached_property
     def summary(self) -> DataFrame:

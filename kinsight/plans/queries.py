@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def simple(**entries: Callable[[Build], DataFrame]) -> None:
 
 
 def stored(b: Build) -> Build:
-    """The same build with the enriched interactions written once to the shared folder."""
+    """The same build with its shared products written once to the shared folder."""
     return Build(b.tables, b.settings, workspace=run_folder(b.tables.spark, "build"))
 
 
@@ -331,8 +332,7 @@ simple(
     risk_summary=lambda b: b.summary,
     risk_summary_from_signals=lambda b: risk.summarise_signals(b.signals),
     risk_distribution=lambda b: risk.risk_distribution(b.summary),
-    risk_signals_configured=lambda b: risk.risk_signals_configured(
-        risk.with_signals(b.wide), nba.weight_frame(b.tables.spark)),
+    risk_signals_configured=lambda b: risk.risk_signals_configured(b.scored, nba.weight_frame(b.tables.spark)),
     signal_weights=lambda b: risk.signal_contributions(b.signals, nba.weight_frame(b.tables.spark)),
     scenario_labels=lambda b: risk.scenario_labels(b.wide),
 )
@@ -393,28 +393,33 @@ def rep_decisions(b: Build) -> DataFrame:
 
 
 class Decisions:
-    """Decision products of one build. The primary recommendations are stored once, all logs read from there."""
+    """Decision products of one build. Logs are stored when first used and read from there afterwards."""
 
     def __init__(self, b: Build):
-        folder = run_folder(b.tables.spark, "decisions")
-        self.b, self.made = b, rep_decisions(b)
-        decisions.recommendation_log(self.made, b.primary).write.parquet(f"{folder}/log")
-        self.log = b.tables.spark.read.parquet(f"{folder}/log")
+        self.b, self.made = stored(b), rep_decisions(b)
 
-    @property
-    def events(self):
-        return decisions.decision_events(self.made, self.log)
+    def _stored(self, name: str, frame: DataFrame) -> DataFrame:
+        return self.b._kept(f"decision_{name}", frame)
 
-    @property
-    def follow_ups(self):
-        return decisions.follow_ups(self.made, self.log)
+    @cached_property
+    def log(self) -> DataFrame:
+        return self._stored("log", decisions.recommendation_log(self.made, self.b.primary))
 
-    @property
-    def outcomes(self):
-        return decisions.action_outcomes(self.follow_ups, self.b.policies, CLOCK.today_col(), 180)
+    @cached_property
+    def events(self) -> DataFrame:
+        return self._stored("events", decisions.decision_events(self.made, self.log))
 
-    @property
-    def snapshots(self):
+    @cached_property
+    def follow_ups(self) -> DataFrame:
+        return self._stored("follow_ups", decisions.follow_ups(self.made, self.log))
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        return self._stored("outcomes", decisions.action_outcomes(
+            self.follow_ups, self.b.policies, CLOCK.today_col(), 180))
+
+    @cached_property
+    def snapshots(self) -> DataFrame:
         return decisions.context_snapshot(
             self.log, self.b.base, ["customer_id", "household_id", "total_policies", "product_holdings", "open_claims",
                                     "payments_late", "total_interactions"])
@@ -429,7 +434,7 @@ def decision_history(b: Build) -> DataFrame:
 @query("outcome_rates")
 def outcome_rates(b: Build) -> DataFrame:
     d = Decisions(b)
-    return decisions.outcome_rates(d.outcomes, d.follow_ups, d.log, b.summary)
+    return decisions.outcome_rates(d.outcomes, d.follow_ups, d.log, d.b.summary)
 
 
 @query("decision_integrity")
