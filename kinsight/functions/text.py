@@ -47,9 +47,15 @@ def first_rule(words: Column, rules: tuple[tuple[str, tuple[str, ...]], ...], de
 
 
 def like_any(text: Column, patterns: Iterable[str]) -> Column:
+    """LIKE against any pattern. The costly wildcard match only runs where all literal parts occur."""
     hit = F.lit(False)
     for pattern in patterns:
-        hit = hit | text.like(pattern)
+        parts = [p for p in pattern.split("%") if p and "_" not in p]
+        match = text.like(pattern)
+        if len(parts) > 1:
+            for part in reversed(parts):
+                match = text.contains(part) & match
+        hit = hit | match
     return hit
 
 

@@ -28,15 +28,16 @@ def query_terms(query: str) -> list[str]:
 def search_index(documents: DataFrame, attributes: tuple[str, ...] = ()) -> DataFrame:
     """Postings (doc_id, term, tf, doc_length, attributes...): one row per document and distinct word.
 
-    The document length rides along, so scoring never joins a length table back.
+    The document length rides along, so scoring never joins a length table back. Length and
+    attributes depend on the document and are grouping columns: as aggregates, text
+    attributes would turn the hash aggregation into a sort.
     """
-    kept = documents.select("doc_id", *attributes, tx.tokens(F.col("content")).alias("_w"))
-    return kept.select(
-        "doc_id", *attributes, tx.token_count("_w").alias("doc_length"), F.explode("_w").alias("term")
-    ).filter("term != ''").groupBy("doc_id", "term").agg(
-        F.count("*").alias("tf"), F.max("doc_length").alias("doc_length"),
-        *[F.max(a).alias(a) for a in attributes],
-    )
+    words = documents.select("doc_id", *attributes, tx.tokens(F.col("content")).alias("_w"))
+    # the length is taken before the explosion, or every word would carry the whole array along
+    counted = words.withColumn("doc_length", tx.token_count("_w"))
+    return counted.select(
+        "doc_id", *attributes, "doc_length", F.explode("_w").alias("term")
+    ).filter("term != ''").groupBy("doc_id", *attributes, "doc_length", "term").agg(F.count("*").alias("tf"))
 
 
 def write_index(postings: DataFrame, path: str, partitions: int = 64) -> None:
@@ -72,7 +73,7 @@ def _matches(filters: dict[str, object]) -> Column:
 
 
 def scored_documents(documents: DataFrame, query: str, filters: dict[str, object] | None = None) -> DataFrame:
-    """BM25 score of every matching document; ``filters`` are attribute equalities.
+    """BM25 score of every document (0 without a match); ``filters`` are attribute equalities.
 
     Statistics cover the documents that pass the filters and arrive as one
     scalar subquery; documents are scored in place without any shuffle.
@@ -86,23 +87,31 @@ def scored_documents(documents: DataFrame, query: str, filters: dict[str, object
         *documents.columns, "_len",
         *[tx.count_in(F.col("_hits"), [t]).alias(f"_tf{i}") for i, t in enumerate(terms)],
     )
-    stats = counted.filter(F.col("_len") > 0).agg(F.struct(
-        F.count("*").alias("n"), F.sum("_len").alias("total"),
+    stats = counted.agg(F.struct(
+        F.sum((F.col("_len") > 0).cast("bigint")).alias("n"), F.sum("_len").alias("total"),
         *[F.sum((F.col(f"_tf{i}") > 0).cast("bigint")).alias(f"df{i}") for i in range(len(terms))],
     ).alias("s")).scalar()
-    hit = F.greatest(*[F.col(f"_tf{i}") for i in range(len(terms))], F.lit(0)) > 0
-    with_stats = counted.filter(hit).withColumn("_s", stats)
     total = F.lit(0).cast(SCORE)
     for i in range(len(terms)):
         total = total + F.when(F.col(f"_tf{i}") > 0, _contribution(
             F.col(f"_tf{i}"), F.col(f"_s.df{i}"), F.col("_len"), F.col("_s.n"), F.col("_s.total"),
         )).otherwise(F.lit(0).cast(SCORE))
-    return with_stats.select(*documents.columns, total.cast(SCORE).alias("score"))
+    return counted.withColumn("_s", stats).select(*documents.columns, total.cast(SCORE).alias("score"))
+
+
+def best(scored: DataFrame, k: int) -> DataFrame:
+    """The k best rows with a positive score; ties go to the smaller doc_id.
+
+    The score is tested after the cut: a filter on it before would be pushed
+    down to the scan and evaluate the scoring expression, and with it the
+    tokenisation, a second time for every document.
+    """
+    return scored.orderBy(F.desc("score"), "doc_id").limit(k).filter("score > 0")
 
 
 def search(documents: DataFrame, query: str, k: int = 5, filters: dict[str, object] | None = None) -> DataFrame:
     """The k best documents for a query; ties go to the smaller doc_id."""
-    return scored_documents(documents, query, filters).orderBy(F.desc("score"), "doc_id").limit(k)
+    return best(scored_documents(documents, query, filters), k)
 
 
 def search_postings(postings: DataFrame, stats: DataFrame, query: str, k: int | None = 5) -> DataFrame:
@@ -138,18 +147,17 @@ def search_vector(vectors: DataFrame, query: list[float], k: int = 5, key: str =
     return scored_vectors(vectors, query, key).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
-def _ranked(scored: DataFrame, depth: int, name: str) -> DataFrame:
-    """The ``depth`` best rows with their rank; the window runs over those rows only."""
-    best = scored.select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(depth)
-    return best.select("doc_id", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias(name))
+def _ranked(top: DataFrame, name: str) -> DataFrame:
+    """Rank of rows that have been cut to a fixed number before; the window runs over those rows only."""
+    return top.select("doc_id", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias(name))
 
 
 def search_hybrid(
     documents: DataFrame, vectors: DataFrame, query: str, vector: list[float], k: int = 5, depth: int = 100,
 ) -> DataFrame:
     """Reciprocal rank fusion of the ``depth`` best text hits and the ``depth`` best vector hits."""
-    by_text = _ranked(scored_documents(documents, query), depth, "text_rank")
-    by_vector = _ranked(scored_vectors(vectors, vector), depth, "vector_rank")
+    by_text = _ranked(best(scored_documents(documents, query), depth), "text_rank")
+    by_vector = _ranked(search_vector(vectors, vector, depth), "vector_rank")
 
     def part(rank: str) -> Column:
         return F.coalesce(F.lit(1.0) / (F.lit(float(RRF_CONSTANT)) + F.col(rank)), F.lit(0.0))
@@ -177,6 +185,6 @@ def entity_linked_search(
         card = card.filter(F.lower("customer_name") == name.lower())
     scored = scored_documents(documents.filter(F.col("customer_id").isNotNull()), query).select(
         "doc_id", "customer_id", "doc_type", "title", "score")
-    best = Window.partitionBy("customer_id").orderBy(F.desc("score"), "doc_id")
-    top = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    order = Window.partitionBy("customer_id").orderBy(F.desc("score"), "doc_id")
+    top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).filter("score > 0")
     return card.join(top, "customer_id")
