@@ -236,7 +236,8 @@ def key_phrases(
     spoken = transcripts.filter(~F.col("recording_consent_flag").eqNullSafe("FALSE")).select(
         "transcript_id", tx.tokens(F.col("raw_text")).alias("_words")
     )
-    tf = spoken.select("transcript_id", F.explode("_words").alias("word")).filter(
+    # explode_outer: explode would add a size filter that tokenises every text a second time
+    tf = spoken.select("transcript_id", F.explode_outer("_words").alias("word")).filter(
         (F.length("word") > 0) & (F.length("word") <= max_chars)
     ).groupBy("transcript_id", "word").agg(F.count("*").alias("tf"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))

@@ -33,10 +33,11 @@ def search_index(documents: DataFrame, attributes: tuple[str, ...] = ()) -> Data
     attributes would turn the hash aggregation into a sort.
     """
     words = documents.select("doc_id", *attributes, tx.tokens(F.col("content")).alias("_w"))
-    # the length is taken before the explosion, or every word would carry the whole array along
+    # the length is taken before the explosion, or every word would carry the whole array along;
+    # explode_outer, because explode adds a size filter that tokenises every text a second time
     counted = words.withColumn("doc_length", tx.token_count("_w"))
     return counted.select(
-        "doc_id", *attributes, "doc_length", F.explode("_w").alias("term")
+        "doc_id", *attributes, "doc_length", F.explode_outer("_w").alias("term")
     ).filter("term != ''").groupBy("doc_id", *attributes, "doc_length", "term").agg(F.count("*").alias("tf"))
 
 
