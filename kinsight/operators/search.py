@@ -41,12 +41,12 @@ def search_index(documents: DataFrame, attributes: tuple[str, ...] = ()) -> Data
     ).filter("term != ''").groupBy("doc_id", *attributes, "doc_length", "term").agg(F.count("*").alias("tf"))
 
 
-def write_index(postings: DataFrame, path: str, partitions: int = 64) -> None:
-    """Store postings partitioned by a hash of the term, sorted inside: a query reads only its terms' files."""
+def write_index(postings: DataFrame, path: str, partitions: int = 64, spread: int = 32) -> None:
+    """Store postings partitioned by a hash of the term, sorted inside: a query skips the files without its terms."""
     bucket = F.pmod(F.xxhash64("term"), F.lit(partitions)).cast("int")
     # the document takes part in the shuffle key, so that a frequent term fills several tasks
     postings.withColumn("term_bucket", bucket) \
-        .repartition(F.col("term_bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(8))) \
+        .repartition(F.col("term_bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(spread))) \
         .sortWithinPartitions("term").write.mode("overwrite").partitionBy("term_bucket").parquet(path)
 
 
@@ -170,13 +170,14 @@ def search_hybrid(
 
 
 def entity_linked_search(
-    profile: DataFrame, documents: DataFrame, query: str, k: int = 5, name: str | None = None,
+    profile: DataFrame, documents: DataFrame, owners: DataFrame, query: str, k: int = 5, name: str | None = None,
 ) -> DataFrame:
     """Customers (by full name, or all) with their own k best documents next to their key metrics.
 
-    Names resolve to customer_id first and documents are tied to customers by id,
-    never by name. The per-customer cut is a top-k window, which trims each
-    input task to k rows per customer before the shuffle.
+    Names resolve to customer_id first and documents are tied to customers by id
+    (``owners``: doc_id, customer_id), never by name. Documents are scored where
+    they lie; only ids and scores are joined, and the per-customer cut is a top-k
+    window, which trims each input task to k rows per customer before the shuffle.
     """
     card = profile.select(
         "customer_id", F.concat_ws(" ", "first_name", "last_name").alias("customer_name"), "risk_tier",
@@ -184,8 +185,7 @@ def entity_linked_search(
     )
     if name is not None:
         card = card.filter(F.lower("customer_name") == name.lower())
-    scored = scored_documents(documents.filter(F.col("customer_id").isNotNull()), query).select(
-        "doc_id", "customer_id", "doc_type", "title", "score")
+    scored = scored_documents(documents, query).drop("content").join(owners, "doc_id")
     order = Window.partitionBy("customer_id").orderBy(F.desc("score"), "doc_id")
     top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).filter("score > 0")
     return card.join(top, "customer_id")

@@ -607,12 +607,13 @@ def documents(b: Build) -> DataFrame:
     return b.tables.raw("documents").select("doc_id", "lang", "source", F.col("text").alias("content"))
 
 
-def customer_documents(b: Build) -> DataFrame:
-    """Transcripts tied to their customer. Only ids and the text meet; the header stays behind."""
-    owner = b.interactions.select("interaction_id", "customer_id")
-    texts = b.transcripts.select("interaction_id", F.col("transcript_id").alias("doc_id"),
-                                 F.col("content_type").alias("doc_type"), F.col("raw_text").alias("content"))
-    return texts.join(owner, "interaction_id").withColumn("title", F.concat(F.lit("text "), F.col("doc_id").cast("string")))
+@query("entity_linked_search")
+def entity_linked_search(b: Build) -> DataFrame:
+    texts = b.transcripts.selectExpr("transcript_id AS doc_id", "content_type AS doc_type", "raw_text AS content",
+                                     "concat('text ', transcript_id) AS title")
+    owners = b.transcripts.selectExpr("transcript_id AS doc_id", "interaction_id").join(
+        b.interactions.select("interaction_id", "customer_id"), "interaction_id").select("doc_id", "customer_id")
+    return search.entity_linked_search(b.profile, texts, owners, SEARCH_TEXT)
 
 
 @query("search_postings")
@@ -631,7 +632,6 @@ simple(
     search_vector=lambda b: search.search_vector(b.tables.raw("embeddings"), SEARCH_VECTOR),
     search_hybrid=lambda b: search.search_hybrid(
         documents(b), b.tables.raw("embeddings"), SEARCH_TEXT, SEARCH_VECTOR),
-    entity_linked_search=lambda b: search.entity_linked_search(b.profile, customer_documents(b), SEARCH_TEXT),
 )
 
 # --- 2.12 incremental and streaming --------------------------------------------------------------------------------

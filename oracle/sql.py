@@ -954,12 +954,12 @@ add(
         x AS (SELECT * FROM (SELECT * FROM a WHERE text_rank <= 100) FULL JOIN (SELECT * FROM b WHERE vector_rank <= 100) USING (doc_id))
         SELECT doc_id, text_rank, vector_rank, round(coalesce(1.0::DOUBLE / (60 + text_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0), 8)
           AS score FROM x ORDER BY score DESC, doc_id LIMIT 5"""),
-    entity_linked_search=bm25("""SELECT transcript_id AS doc_id, content_type AS doc_type, raw_text AS content, customer_id
-        FROM v_transcripts t JOIN v_interactions i ON i.interaction_id = t.interaction_id""", """
+    entity_linked_search=bm25("SELECT transcript_id AS doc_id, content_type AS doc_type, raw_text AS content FROM v_transcripts", """
         SELECT p.customer_id, p.first_name || ' ' || p.last_name AS customer_name, p.risk_tier, p.nba_action_type, p.system_status,
           s.doc_id, s.doc_type, 'text ' || s.doc_id AS title, CAST(s.score AS DOUBLE) AS score, s.rank
-        FROM v_profile p JOIN (SELECT d.doc_id, d.doc_type, d.customer_id, s.score, row_number() OVER (
-            PARTITION BY d.customer_id ORDER BY s.score DESC, d.doc_id) AS rank FROM scored s JOIN docs d USING (doc_id)) s
+        FROM v_profile p JOIN (SELECT d.doc_id, d.doc_type, i.customer_id, s.score, row_number() OVER (
+            PARTITION BY i.customer_id ORDER BY s.score DESC, d.doc_id) AS rank FROM scored s JOIN docs d USING (doc_id)
+            JOIN v_interactions i ON i.interaction_id = d.doc_id * 10) s
           ON s.customer_id = p.customer_id AND s.rank <= 5"""),
 )
 
