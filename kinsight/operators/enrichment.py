@@ -125,11 +125,21 @@ URGENCY = (
 )
 
 
+def scored_once(scored: DataFrame) -> DataFrame:
+    """Same rows, behind a generator that conditions on the scores cannot be pushed through.
+
+    A filter such as "status = completed" would otherwise be pushed below the
+    join and down to the scan, where it scores every text a second time just to
+    evaluate itself.
+    """
+    return scored.selectExpr(f"inline_outer(array(struct({', '.join(scored.columns)})))")
+
+
 def enrich(
     interactions: DataFrame, transcripts: DataFrame, rules: TextRules, scorer: Scorer | None = None
 ) -> DataFrame:
     """One row per interaction with validated text signals, flags, status and provenance."""
-    scored = validated(score_transcripts(transcripts, rules, scorer))
+    scored = scored_once(validated(score_transcripts(transcripts, rules, scorer)))
     contact = interactions.select(
         "interaction_id", "customer_id", "channel", "direction", "disposition", "interaction_date",
         "duration_seconds", "representative_id",
