@@ -144,7 +144,7 @@ def timeline_segments(entries: DataFrame, max_rows: int = 1000) -> DataFrame:
     The minute is the bucket: a customer with a third of all contacts still
     spreads over as many buckets as the two windows have minutes.
     """
-    micros = F.unix_micros(F.col("interaction_date").cast("timestamp"))
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', interaction_date)")
     return gather_segments(
         entries, "customer_id", bucket=-F.floor(micros / 60_000_000), order=[-micros, F.col("interaction_id")],
         item=F.col("detail"), max_rows=max_rows,
