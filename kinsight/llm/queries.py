@@ -7,15 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsight.llm import exact_dedup, language, packing, token_files, toxicity
+from kinsight.llm import chat, exact_dedup, language, packing, token_files, toxicity, url_filter
 from kinsight.llm.common import run_folder, table
 from kinsight.llm.encoding import vocabulary_path
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are control strings."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
+    )
+    return chat.digests(chat.format_conversations(given.unionByName(extra)))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Rules of the query: verdict, and host with the beginning of a path.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -39,14 +64,65 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
+    "op3_url_filter": op3_url_filter,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,
 }
 
+#: In ``formatted``, a control string inside a text is one character longer.
+_CONTROL = r"<\\*(?:\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|s>|\/s>)|\[\\*(?:INST\]|\/INST\])"
+
 ORACLES: dict[str, str] = {
+    "op1_chat_format": rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), p AS (
+  SELECT *, 33 + length(role) + len(regexp_extract_all(role, '{_CONTROL}'))
+              + length(text) + len(regexp_extract_all(text, '{_CONTROL}')) AS chars,
+         len(regexp_extract_all(text, '\p{{L}}+|\p{{N}}+|[^ \t\n\r\f\x0B\p{{L}}\p{{N}}]+')) + 4 AS tokens
+  FROM c
+), s AS (
+  SELECT *, coalesce(sum(tokens) OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM p
+), cells AS (
+  SELECT *, start // 384 AS cell, tokens > 384 AS big FROM s
+), system AS (
+  SELECT conv_id, arg_min(tokens, start) AS sys_tokens, arg_min(chars, start) AS sys_chars, min(start) AS sys_start
+  FROM cells WHERE role = 'system' GROUP BY conv_id
+), windows AS (
+  SELECT conv_id, cell, big, min(start) AS first, sum(tokens) AS span, sum(chars) AS chars FROM cells GROUP BY ALL
+), roomy AS (
+  SELECT w.*, sys_start, sys_start < first AS headed,
+         least(256, 1024 - span - if(coalesce(sys_start < first, false), sys_tokens, 0)) AS room,
+         if(coalesce(sys_start < first, false), sys_chars, 0) AS head_chars
+  FROM windows w LEFT JOIN system s ON w.conv_id IS NOT DISTINCT FROM s.conv_id
+), history AS (
+  SELECT w.conv_id, w.cell, w.big, sum(h.chars) AS chars
+  FROM roomy w JOIN cells h ON h.conv_id IS NOT DISTINCT FROM w.conv_id AND h.start < w.first AND h.start >= w.first - w.room
+    AND NOT (coalesce(w.headed, false) AND h.start = w.sys_start)
+  GROUP BY ALL
+), shown AS (
+  SELECT w.conv_id, sum(w.chars + head_chars + coalesce(h.chars, 0)) AS formatted_chars
+  FROM roomy w LEFT JOIN history h
+    ON h.conv_id IS NOT DISTINCT FROM w.conv_id AND h.cell = w.cell AND h.big = w.big
+  GROUP BY w.conv_id
+), said AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY start) AS turns,
+         coalesce(string_agg(text, '' ORDER BY start) FILTER (role = 'assistant'), '') AS loss
+  FROM s GROUP BY conv_id
+)
+SELECT said.conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM said JOIN shown ON said.conv_id IS NOT DISTINCT FROM shown.conv_id
+""",
     "op6_exact_dedup": r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
