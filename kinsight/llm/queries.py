@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsight.llm import chat, exact_dedup, language, packing, token_files, toxicity, url_filter
+from kinsight.llm import bagminhash, chat, exact_dedup, gumbel_pieces, language, packing, token_files, toxicity, url_filter
 from kinsight.llm.common import run_folder, table
 from kinsight.llm.encoding import vocabulary_path
 
@@ -63,6 +63,15 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gumbel_pieces.sample_segmentations(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+    return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
@@ -71,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,
+    "op9_bagminhash": op9_bagminhash,
+    "op10_gumbel_pieces": op10_gumbel_pieces,
 }
 
 #: In ``formatted``, a control string inside a text is one character longer.

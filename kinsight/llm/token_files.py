@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from kinsight.llm.common import ship, text_or_empty
 from kinsight.llm.encoding import encoder
+from kinsight.llm.mixing import mixed
 
 SHARD = (
     "part int, shard int, documents long, nulls long, tokens long, first_key long, last_key long, keys binary, "
@@ -29,15 +30,6 @@ INDEX = ["part", "shard", "documents", "nulls", "keys", "levels", "bits", "finge
 DOCUMENT = "part int, shard int, doc_id long, start long, n_tokens long, ids binary"
 
 
-def mixed(values: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit finaliser (multiply, shift, xor) of each value."""
-    with np.errstate(over="ignore"):
-        x = values.astype(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 def key_hashes(keys: np.ndarray, nulls: int) -> np.ndarray:
     """Hash of (key, how often it occurred before); keys are in order, and the first ``nulls`` of them are null."""
     n = len(keys)
