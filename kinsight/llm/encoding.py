@@ -57,7 +57,7 @@ class ChunkEncoder:
     straight to its merge rules; all others go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, spaces_kept: bool, limit: int = 300_000):
+    def __init__(self, path: str, spaces_kept: bool, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -77,7 +77,7 @@ class ChunkEncoder:
         alphabet = self.alphabet
         return array("I", [t.id for t in self.model.tokenize("".join([alphabet[b] for b in text.encode()]))]).tobytes()
 
-    def __call__(self, texts: list[str], group: int = 500) -> list[bytes]:
+    def __call__(self, texts: list[str], group: int = 50) -> list[bytes]:
         out = []
         for i in range(0, len(texts), group):
             out += self._group(texts[i : i + group])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsight.llm import bagminhash, chat, exact_dedup, gumbel_pieces, language, packing, token_files, toxicity, url_filter
+from kinsight.llm import bagminhash, chat, exact_dedup, gumbel_pieces, iblt, language, packing, token_files, toxicity, url_filter
 from kinsight.llm.common import run_folder, table
 from kinsight.llm.encoding import vocabulary_path
 
@@ -63,6 +63,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,
+    "op8_fingerprints": op8_fingerprints,
     "op9_bagminhash": op9_bagminhash,
     "op10_gumbel_pieces": op10_gumbel_pieces,
 }
