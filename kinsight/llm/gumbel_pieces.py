@@ -316,8 +316,8 @@ def take(lattices: Lattices, i: int, paths: list[Path], starts: np.ndarray, key:
 def lattices_of(path: str, alpha: float) -> Lattices:
     """One per Python worker and set of parameters."""
     if (path, alpha) not in _LATTICES:
-        _LATTICES[path, slope] = Lattices(path, alpha)
-    return _LATTICES[path, slope]
+        _LATTICES[path, alpha] = Lattices(path, alpha)
+    return _LATTICES[path, alpha]
 
 
 def sample_segmentations(docs: DataFrame, path: str, k: int = 3, alpha: float = 0.2, seed: int = 11) -> DataFrame:
