@@ -204,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, folds: int = 5)
     ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
     known = bounded_sample(known.filter(fold_of("label_id", folds) != 0), "label_id", most)
-    texts = docs.select(F.col("doc_id").alias("label_id"), text_or_empty().alias("text")).join(known, "label_id")
+    texts = docs.select(F.col("doc_id").alias("label_id"), text_or_empty().alias("text"))
+    texts = texts.join(F.broadcast(known), "label_id")  # bounded by ``most``; the texts of other rows stay where they are
     sample = texts.groupBy("toxic", F.sha2("text", 256).alias("sha")).agg(F.min("text").alias("text"))
     words = learned_lexicon(sample)
     insults, address = frozenset(INSULTS), frozenset(ADDRESS)
@@ -214,7 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, folds: int = 5)
             x = [features(t, insults, words, address) for t in batch["text"]]
             yield pd.DataFrame({"sha": batch["sha"], "toxic": batch["toxic"], "x": x})
 
-    found = sample.mapInPandas(rows, "sha string, toxic int, x array<double>").orderBy("sha", "toxic").toPandas()
+    found = sample.mapInPandas(rows, "sha string, toxic int, x array<double>").toPandas()
+    found = found.sort_values(["sha", "toxic"], ignore_index=True)
     y = found["toxic"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(words, None, np.zeros(1), np.zeros(1), float(y.mean()) if len(y) else 0.0)
