@@ -7,9 +7,9 @@ component keeps its earliest point; two texts agree in a component with the prob
 similarity. Points are drawn in order of time and only until they can't change a signature any more.
 
 Signatures are cut into bands; documents that share a band's value share a bucket. A bucket is never expanded into
-pairs: its members are compared with its smallest one, and only what that leaves open (by the triangle inequality of
-the weighted Jaccard distance) goes on to the next round with the next smallest. Similarities that decide are exact,
-over whole texts. Equal texts are one node throughout.
+pairs: its members are compared with its smallest one, and then only those that this leaves unconnected, in blocks,
+with the members they aren't connected to. Similarities that decide are exact, over whole texts. Equal texts are one
+node throughout.
 """
 
 from __future__ import annotations
@@ -136,6 +136,19 @@ def components(links: DataFrame) -> DataFrame:
         roots = made.select("node", "root")
 
 
+def joined_by(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components when ``links`` are added to what ``roots`` has connected: only the roots that the new links
+    touch take part in the search."""
+    if roots is None:
+        return components(links)
+    ends = [F.coalesce(F.col(f"root_{x}"), F.col(x)).alias(x) for x in ("a", "b")]
+    between = _with_roots(links, roots).select(*ends).filter("a <> b")
+    moved = components(between).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    nodes_now = roots.unionByName(moved.select(F.col("old").alias("node"), F.col("old").alias("root"))).distinct()
+    found = nodes_now.join(moved, F.col("root") == F.col("old"), "left")
+    return stored(found.groupBy("node").agg(F.min(F.coalesce("new", "root")).alias("root")), "roots")
+
+
 def judged(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """Stored (a, b, similarity) of the pairs, from the whole texts."""
 
@@ -155,19 +168,19 @@ def judged(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return stored(both.mapInPandas(run, "a long, b long, similarity double"), "bagminhash-judged")
 
 
-def near_links(all_nodes: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame | None:
-    """Links (a, b) that connect every two nodes of one bucket whose similarity reaches the threshold; None without
-    any.
+def near_roots(all_nodes: DataFrame, docs: DataFrame, words: int, threshold: float, block: int = 64) -> DataFrame | None:
+    """(node, root): the classes of all nodes that have a near one. None where no two nodes share a bucket.
 
-    Round by round, a bucket's members are compared with its smallest node, unless they are connected to it already.
-    A bucket whose members are all connected is done. In the others every member's distance to the smallest node is
-    taken; that node leaves, and a member close to it stays only while some member that isn't might be close to both:
-    distances are a metric, so that takes a difference of at most 1 - threshold.
+    The members of a bucket are first compared with its smallest node: each node with the smallest of its buckets'
+    smallest, which connects most of a group of copies at once, then with the others that it isn't connected to yet.
+    In the buckets that still have strays, nodes not connected to the smallest, ``block`` strays at a time are compared
+    with all members that they aren't connected to. So every two members of a bucket end up connected or compared, and
+    a group of copies costs one comparison a node, however large it is.
     """
     spread = all_nodes.select("node", F.posexplode("buckets").alias("band", "value"))
     spread = spread.select("node", F.xxhash64("band", "value").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = stored(spread.join(shared, "bucket"), "bagminhash-members")
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1")
+    members = stored(spread.join(shared.select("bucket", "first"), "bucket"), "bagminhash-members")
     if members.isEmpty():
         return None
     wanted = all_nodes.join(members.select("node").distinct(), "node").select("node", "sha", "keep_id")
@@ -177,71 +190,62 @@ def near_links(all_nodes: DataFrame, docs: DataFrame, words: int, threshold: flo
     texts = bare.join(wanted, same).groupBy("node").agg(F.first("text").alias("text"))
     texts = stored(texts, "bagminhash-texts")
 
-    far, links, known, roots = 1 - threshold, None, None, None
+    def judge(pairs: DataFrame, known: DataFrame | None, roots: DataFrame | None):
+        """Judge the pairs that were not judged before, and connect those that are near."""
+        todo = pairs if known is None else pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        made = judged(todo, texts, words)
+        close = made.filter(F.col("similarity") >= threshold - 1e-12).select("a", "b")
+        if not close.isEmpty():
+            roots = joined_by(roots, close)
+        return (made if known is None else known.union(made)), roots
+
+    stars = members.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    known, roots = judge(stars.groupBy("a").agg(F.min("b").alias("b")), None, None)
+    known, roots = judge(_apart(stars, roots), known, roots)
+    members = members.select("bucket", "node")
     while True:
-        leaders = members.groupBy("bucket").agg(F.min("node").alias("b"))
-        pairs = members.withColumnRenamed("node", "a").join(leaders, "bucket").filter("a <> b").select("bucket", "a", "b")
-        # the smallest leader of each node first: it connects most of a group of copies at once
-        for only_smallest in (True, False):
-            apart = _apart(pairs.select("a", "b").distinct(), roots)
-            if only_smallest:
-                apart = apart.groupBy("a").agg(F.min("b").alias("b"))
-            known, links, roots = _judge(apart, texts, words, threshold, known, links, roots)
+        rooted = members
         if roots is None:
-            mixed_buckets = pairs.select("bucket").distinct()
+            rooted = rooted.withColumn("root", F.col("node"))
         else:
-            rooted = members.join(roots, "node", "left").select("bucket", F.coalesce("root", "node").alias("root"))
-            ends = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-            mixed_buckets = ends.filter("low < high").select("bucket")
-        open_pairs = stored(pairs.join(mixed_buckets, "bucket"), "bagminhash-open")
-        if open_pairs.isEmpty():
-            return links
-        known, links, roots = _judge(open_pairs.select("a", "b").distinct(), texts, words, threshold, known, links, roots)
-        measured = open_pairs.join(known, ["a", "b"]).withColumn("distance", 1 - F.col("similarity"))
-        ring = measured.groupBy("bucket").agg(
-            F.min(F.when((F.col("distance") > far + 1e-12) & (F.col("distance") <= 2 * far + 1e-12), F.col("distance"))).alias("ring")
-        )
-        stays = (F.col("distance") > far + 1e-12) | (F.col("distance") >= F.col("ring") - far - 1e-12)
-        rest = measured.join(ring, "bucket").filter(stays).select(F.col("a").alias("node"), "bucket")
-        again = rest.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-        members = stored(rest.join(again, "bucket"), "bagminhash-members")
-        if members.isEmpty():
-            return links
+            rooted = rooted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        main = rooted.groupBy("bucket").agg(F.min(F.struct("node", "root")).alias("main")).select("bucket", "main.root")
+        split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+        rooted = stored(rooted.join(split.select("bucket"), "bucket"), "bagminhash-mixed")
+        if rooted.isEmpty():
+            return roots
+        strays = rooted.join(main.withColumnRenamed("root", "main"), "bucket").filter("root <> main")
+        nth = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+        chosen = strays.withColumn("nth", nth).filter(F.col("nth") <= block)
+        chosen = stored(chosen.select("bucket", F.col("node").alias("stray"), F.col("root").alias("stray_root")), "bagminhash-strays")
+        met = rooted.join(chosen, "bucket").filter("root <> stray_root")
+        pairs = met.select(F.greatest("node", "stray").alias("a"), F.least("node", "stray").alias("b")).distinct()
+        known, roots = judge(pairs, known, roots)
+        done = chosen.select("bucket", F.col("stray").alias("node"))
+        members = stored(rooted.select("bucket", "node").join(done, ["bucket", "node"], "left_anti"), "bagminhash-members")
+
+
+def _with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+    of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    return pairs.join(of_a, "a", "left").join(of_b, "b", "left")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
     """The pairs whose nodes aren't connected yet."""
     if roots is None:
         return pairs
-    of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
-    of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-    joined = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
-    return joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-
-def _judge(pairs, texts, words, threshold, known, links, roots):
-    """Judge the pairs that were not judged before; returns all judged pairs, all links, and the new components."""
-    todo = pairs if known is None else pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    todo = stored(todo, "bagminhash-pairs")
-    if todo.isEmpty():
-        return known if known is not None else todo.withColumn("similarity", F.lit(0.0)), links, roots
-    made = judged(todo, texts, words)
-    known = made if known is None else known.union(made)
-    close = made.filter(F.col("similarity") >= threshold - 1e-12).select("a", "b")
-    if close.isEmpty():
-        return known, links, roots
-    links = close if links is None else links.union(close)
-    return known, links, components(links)
+    return _with_roots(pairs, roots).filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
 def classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
     """One row per distinct text: sha, class_id (smallest doc_id of its class), class_size, owner (whether it is the
     text that stands for the class: that of the smallest doc_id, then the smallest digest)."""
     all_nodes = nodes(docs, words, bands, rows)
-    links = near_links(all_nodes, docs, words, threshold)
+    roots = near_roots(all_nodes, docs, words, threshold)
     rooted = all_nodes.drop("buckets").withColumn("root", F.col("node"))
-    if links is not None:
-        found = components(links).withColumnRenamed("root", "found")
+    if roots is not None:
+        found = roots.withColumnRenamed("root", "found")
         rooted = all_nodes.drop("buckets").join(found, "node", "left").withColumn("root", F.coalesce("found", "node"))
     first = F.struct(F.col("keep_id").isNull().alias("none"), F.col("keep_id").alias("id"), F.col("sha").alias("sha"))
     whole = rooted.groupBy("root").agg(F.min(first).alias("first"), F.sum("copies").alias("class_size"))
