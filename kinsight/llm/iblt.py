@@ -31,56 +31,74 @@ def _let(value: str, body) -> str:
     return f"transform(array({value}), {name} -> {body(name)})[0]"
 
 
-def _place(digest: str, table: str, cells: int, level: int) -> str:
-    """Cell of a digest within one of the three tables of ``cells`` cells; each level hashes anew."""
-    return f"(shiftright(xxhash64({digest}, {level}), 16 * ({table})) & {cells - 1})"
-
-
 def _check(digest: str) -> str:
     return f"(xxhash64({digest}) & 65535L)"
 
 
+def _marked(digest: str, cells: int, level: int, more: str = "") -> str:
+    """A digest with its check value and its cell in each of the three tables; each level hashes anew."""
+    g = f"g{next(_names)}"
+    places = ", ".join(f"'p{t}', cast(shiftright({g}, {16 * t}) & {cells - 1} as int)" for t in range(3))
+    return _let(f"xxhash64({digest}, {level})", lambda h: f"named_struct('d', {digest}, 'c', {_check(digest)}, {places.replace(g, h)}{more})")
+
+
 def _cells(digests: str, cells: int, level: int) -> str:
-    """Cells (n, key, chk) of an array of digests; cell i is number i % cells of table i div cells."""
-    i, d, s, e = (f"{x}{next(_names)}" for x in "idse")
-    inside = f"filter({digests}, {d} -> {_place(d, f'{i} div {cells}', cells, level)} = {i} % {cells})"
+    """The three tables (t0, t1, t2) of an array of digests: arrays of cells (n, key, chk)."""
+    x = f"x{next(_names)}"
     zero = "named_struct('n', 0, 'key', 0L, 'chk', 0L)"
-    step = f"named_struct('n', {s}.n + 1, 'key', {s}.key ^ {e}, 'chk', {s}.chk ^ {_check(e)})"
-    return f"transform(sequence(0, {3 * cells - 1}), {i} -> aggregate({inside}, {zero}, ({s}, {e}) -> {step}))"
+
+    def tables(marked: str) -> str:
+        parts = []
+        for t in range(3):
+            i, d, s, e = (f"{v}{next(_names)}" for v in "idse")
+            step = f"named_struct('n', {s}.n + 1, 'key', {s}.key ^ {e}.d, 'chk', {s}.chk ^ {e}.c)"
+            cell = f"aggregate(filter({marked}, {d} -> {d}.p{t} = {i}), {zero}, ({s}, {e}) -> {step})"
+            parts.append(f"'t{t}', transform(sequence(0, {cells - 1}), {i} -> {cell})")
+        return f"named_struct({', '.join(parts)})"
+
+    return _let(f"transform({digests}, {x} -> {_marked(x, cells, level)})", tables)
 
 
 def _subtracted(a: str, b: str) -> str:
-    x, y = f"x{next(_names)}", f"y{next(_names)}"
-    return f"zip_with({a}, {b}, ({x}, {y}) -> named_struct('n', {x}.n - {y}.n, 'key', {x}.key ^ {y}.key, 'chk', {x}.chk ^ {y}.chk))"
+    """Table by table and cell by cell; what both sides have cancels."""
+
+    def minus(p: str, q: str) -> str:
+        parts = []
+        for t in range(3):
+            x, y = f"x{next(_names)}", f"y{next(_names)}"
+            cell = f"named_struct('n', {x}.n - {y}.n, 'key', {x}.key ^ {y}.key, 'chk', {x}.chk ^ {y}.chk)"
+            parts.append(f"'t{t}', zip_with({p}.t{t}, {q}.t{t}, ({x}, {y}) -> {cell})")
+        return f"named_struct({', '.join(parts)})"
+
+    return _let(a, lambda p: _let(b, lambda q: minus(p, q)))
 
 
 def _solved(difference: str, cells: int, level: int, rounds: int = 12) -> str:
     """(ok, a, b): whether all differing digests were found, and how many each side has. All pure cells are taken in
     a round; rounds after the last change cost nothing but a test."""
-    st, r, z, u, c, i, w, k, q = (f"{x}{next(_names)}" for x in ("st", "r", "z", "u", "c", "i", "w", "k", "q"))
-    pure = (
-        f"array_distinct(transform(filter({st}.cells, {z} -> abs({z}.n) = 1 and {z}.chk = {_check(f'{z}.key')}), "
-        f"{u} -> named_struct('key', {u}.key, 'n', {u}.n)))"
-    )
+    st, r, z, u, q = (f"{x}{next(_names)}" for x in ("st", "r", "z", "u", "q"))
+    every = f"concat({st}.t.t0, {st}.t.t1, {st}.t.t2)"
+    single = f"filter({every}, {z} -> abs({z}.n) = 1 and {z}.chk = {_check(f'{z}.key')})"
+    pure = f"array_distinct(transform({single}, {u} -> {_marked(f'{u}.key', cells, level, f', {chr(39)}n{chr(39)}, {u}.n')}))"
 
     def taken(p: str) -> str:
-        out = f"named_struct('n', {w}.n - {k}.n, 'key', {w}.key ^ {k}.key, 'chk', {w}.chk ^ {_check(f'{k}.key')})"
-        own = f"filter({p}, {q} -> {_place(f'{q}.key', f'{i} div {cells}', cells, level)} = {i} % {cells})"
-        left = f"transform({st}.cells, ({c}, {i}) -> aggregate({own}, {c}, ({w}, {k}) -> {out}))"
+        left = []
+        for t in range(3):
+            c, i, w, k, o = (f"{x}{next(_names)}" for x in "ciwko")
+            out = f"named_struct('n', {w}.n - {k}.n, 'key', {w}.key ^ {k}.d, 'chk', {w}.chk ^ {k}.c)"
+            cell = f"aggregate(filter({p}, {o} -> {o}.p{t} = {i}), {c}, ({w}, {k}) -> {out})"
+            left.append(f"'t{t}', transform({st}.t.t{t}, ({c}, {i}) -> {cell})")
         return (
-            f"if(size({p}) = 0, named_struct('cells', {st}.cells, 'a', {st}.a, 'b', {st}.b, 'on', false), "
-            f"named_struct('cells', {left}, 'a', {st}.a + size(filter({p}, {q} -> {q}.n = 1)), "
+            f"if(size({p}) = 0, named_struct('t', {st}.t, 'a', {st}.a, 'b', {st}.b, 'on', false), "
+            f"named_struct('t', named_struct({', '.join(left)}), 'a', {st}.a + size(filter({p}, {q} -> {q}.n = 1)), "
             f"'b', {st}.b + size(filter({p}, {q} -> {q}.n = -1)), 'on', true))"
         )
 
-    start = f"named_struct('cells', {difference}, 'a', 0, 'b', 0, 'on', true)"
+    start = f"named_struct('t', {difference}, 'a', 0, 'b', 0, 'on', true)"
     step = f"({st}, {r}) -> if({st}.on, {_let(pure, taken)}, {st})"
-    end = f"e{next(_names)}"
-    rest = f"f{next(_names)}"
-    done = (
-        f"{end} -> named_struct('ok', not exists({end}.cells, {rest} -> {rest}.n <> 0 or {rest}.key <> 0L), "
-        f"'a', {end}.a, 'b', {end}.b)"
-    )
+    end, rest = f"e{next(_names)}", f"f{next(_names)}"
+    filled = f"exists({end}.t.t0, {rest} -> {rest}.n <> 0 or {rest}.key <> 0L)"
+    done = f"{end} -> named_struct('ok', not {filled}, 'a', {end}.a, 'b', {end}.b)"
     return f"aggregate(sequence(1, {rounds}), {start}, {step}, {done})"
 
 
@@ -106,15 +124,24 @@ def fingerprint(column: str) -> Column:
     """The table of an array of digests at its first size, as text: blocks joined by ``|``, the filled cells of a
     block as place:count:digest:check."""
     d, b, i, z = (f"{v}{next(_names)}" for v in "dbiz")
-    block = _cells(f"filter({column}, {d} -> ({d} & (blocks - 1)) = {b})", 8, 0)
-    text = f"concat_ws(':', cast({i} as string), cast({z}.n as string), lower(hex({z}.key)), lower(hex({z}.chk)))"
-    filled = f"concat_ws(',', filter(transform({block}, ({z}, {i}) -> if({z}.n = 0, '', {text})), {z} -> {z} <> ''))"
-    blocks = _blocks(f"size({column})")
-    return F.expr(_let(blocks, lambda n: f"concat_ws('|', transform(sequence(0, {n} - 1), {b} -> {filled.replace('blocks', n)}))"))
+
+    def text(n: str) -> str:
+        cells = _let(_cells(f"filter({column}, {d} -> ({d} & ({n} - 1)) = {b})", 8, 0), lambda t: f"concat({t}.t0, {t}.t1, {t}.t2)")
+        cell = f"concat_ws(':', cast({i} as string), cast({z}.n as string), lower(hex({z}.key)), lower(hex({z}.chk)))"
+        filled = f"filter(transform({cells}, ({z}, {i}) -> if({z}.n = 0, '', {cell})), {z} -> {z} <> '')"
+        return f"concat_ws('|', transform(sequence(0, {n} - 1), {b} -> concat_ws(',', {filled})))"
+
+    return F.expr(_let(_blocks(f"size({column})"), text))
+
+
+def _key(doc_id: Column, mark: Column, name: str) -> list[Column]:
+    """Three columns without nulls that tell rows apart as (doc_id, mark) does: joins and windows on them share one
+    partitioning."""
+    return [F.coalesce(doc_id, F.lit(0)).alias(f"{name}_id"), doc_id.isNull().alias(f"{name}_none"), mark.alias(f"{name}_mark")]
 
 
 def successors(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, n_chars, times, next and previous key, need of the previous): the documents by descending
+    """(key, times, key of the previous, what the previous needs of this one): the documents by descending
     doc_id (null last), equal ones by a hash of the text; after the last comes the first. Repeated rows are one row
     with a count. Only keys are sorted, in ranges; the ends of ranges meet in a table with one row a range."""
     slim = docs.select(
@@ -128,22 +155,18 @@ def successors(docs: DataFrame) -> DataFrame:
     key = F.struct("doc_id", "mark", "n_chars")
     inside = Window.partitionBy("part").orderBy(*order)
     placed = dealt.withColumn("next", F.lead(key).over(inside)).withColumn("before", F.lag(key).over(inside))
-    ends = placed.groupBy("part").agg(
-        F.max(F.when(F.col("before").isNull(), key)).alias("first"), F.max(F.when(F.col("next").isNull(), key)).alias("last")
-    )
+    ends = placed.groupBy("part").agg(F.max(F.when(F.col("next").isNull(), key)).alias("last"))
     by_part = Window.orderBy("part")
     whole = by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     around = ends.select(
         "part",
-        F.coalesce(F.lead("first").over(by_part), F.first("first").over(whole)).alias("next_first"),
         F.coalesce(F.lag("last").over(by_part), F.last("last").over(whole)).alias("last_before"),
     )
     joined = placed.join(around, "part")
-    following, previous = F.coalesce("next", "next_first"), F.coalesce("before", "last_before")
+    previous = F.coalesce("before", "last_before")
     return joined.select(
-        F.col("doc_id").alias("key_id"), F.col("mark").alias("key_mark"), "times",
-        following["doc_id"].alias("next_id"), following["mark"].alias("next_mark"),
-        previous["doc_id"].alias("before_id"), previous["mark"].alias("before_mark"),
+        *_key(F.col("doc_id"), F.col("mark"), "key"), "times",
+        *_key(previous["doc_id"], previous["mark"], "before"),
         F.floor(previous["n_chars"] / 3).cast("int").alias("before_need"),
     )
 
@@ -153,17 +176,16 @@ def edited_versions(docs: DataFrame) -> DataFrame:
     text (edited) and of the next document (following). The edited text has its last floor(n_chars / 3) code points
     replaced by the first as many, or all, of the next document. A repeated row's next document is its repetition."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    texts = texts.withColumn("mark", F.xxhash64("text"))
+    key, before = ["key_id", "key_none", "key_mark"], ["before_id", "before_none", "before_mark"]
+    texts = texts.select("doc_id", "text", *_key(F.col("doc_id"), F.xxhash64("text"), "key"))
     chain = stored(successors(docs), "iblt-chain")
-    same = texts["doc_id"].eqNullSafe(chain["key_id"]) & (texts["mark"] == chain["key_mark"])
-    nth = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("doc_id"))
-    placed = texts.join(chain, same).withColumn("nth", nth)
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
+    placed = texts.join(chain, key).withColumn("nth", nth)
     heads = placed.filter("nth = 1").select(
-        F.col("before_id").alias("for_id"), F.col("before_mark").alias("for_mark"),
+        *[F.col(b).alias(k) for b, k in zip(before, key, strict=True)],
         F.expr("left(text, before_need)").alias("head"), digests(F.col("text")).alias("head_digests"),
     )
-    meant = placed["doc_id"].eqNullSafe(heads["for_id"]) & (placed["mark"] == heads["for_mark"])
-    both = placed.join(heads, meant).select(
+    both = placed.join(heads, key).select(
         "doc_id", "text", "head", "head_digests",
         F.length("text").alias("n"), (F.col("nth") < F.col("times")).alias("repeats"),
         digests(F.col("text")).alias("own"),
