@@ -1,39 +1,20 @@
-"""Ordered gathering of rows per key that stays bounded however large a key is."""
+"""Ordered gathering of all rows of a key."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def gather_segments(
-    df: DataFrame, key: str, bucket: Column, order: list[Column], item: Column, max_rows: int = 1000
-) -> DataFrame:
-    """(key, segment, items): arrays of at most ``max_rows`` items, in the order (bucket, order).
+def gather(df: DataFrame, key: str, bucket: Column, order: list[Column], item: Column) -> DataFrame:
+    """(key, items): one array per key with every row's item, in the order (bucket, order).
 
-    Nearly every key fits in segment 0 and is gathered directly. A key with more
-    rows than that is never brought together in one place: its rows are counted
-    per bucket, the running total of earlier buckets gives each bucket its
-    offset, and the position inside the bucket completes the rank. Every row
-    ends up in exactly one segment.
+    Rows meet per (key, bucket) first and are sorted there, so that the work on a key with very many rows is spread
+    over its buckets; what meets per key is one sorted array per bucket, which only needs to be laid end to end.
     """
     rows = df.select(key, bucket.alias("_b"), F.struct(*order).alias("_o"), item.alias("_i"))
-    crowded = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_rows).select(key)
-
-    def pack(frame: DataFrame, *keys: str) -> DataFrame:
-        packed = F.sort_array(F.collect_list(F.struct("_b", "_o", "_i")))
-        return frame.groupBy(*keys).agg(packed.alias("_p")).withColumn("items", F.col("_p._i")).drop("_p")
-
-    small = pack(rows.join(crowded, key, "left_anti"), key).select(
-        key, F.lit(0).cast("bigint").alias("segment"), "items"
-    )
-    large = rows.join(crowded, key, "left_semi")
-    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = large.groupBy(key, "_b").agg(F.count("*").alias("_n")).select(
-        key, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy(key, "_b").orderBy("_o")
-    ranked = large.join(offsets, [key, "_b"]).withColumn(
-        "segment", F.floor((F.col("_offset") + F.row_number().over(inside) - 1) / max_rows)
+    parts = rows.groupBy(key, "_b").agg(F.sort_array(F.collect_list(F.struct("_o", "_i"))).alias("_p"))
+    whole = parts.select(key, F.struct("_b", F.col("_p._i").alias("_items")).alias("_part")).groupBy(key)
+    return whole.agg(F.sort_array(F.collect_list("_part")).alias("_parts")).select(
+        key, F.flatten("_parts._items").alias("items")
     )
-    return small.unionByName(pack(ranked, key, "segment").select(key, "segment", "items"))

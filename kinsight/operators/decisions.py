@@ -6,7 +6,7 @@ so replaying the same decisions yields the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinsight.functions.numeric import count_if, ratio
@@ -107,32 +107,37 @@ def action_outcomes(
 ) -> DataFrame:
     """What happened after a committed action: the customer's next policy term within the horizon decides.
 
-    Policies shrink to one row per (customer, start date) before the join, so a
-    customer with very many policies meets each follow-up once per day at most.
-    ``escalations`` (customer_id, escalated_on) marks escalated follow-ups.
+    Follow-ups, terms and escalations of a customer are laid on one line of dates and read backwards once, carrying
+    the nearest later term and escalation along; no follow-up ever meets a term it doesn't need. Policies shrink to
+    one row per (customer, start date) first. ``escalations`` (customer_id, escalated_on) marks escalated follow-ups.
     """
     status = F.col("status")
     kind = (
         F.when(status.isin("active", "renewed", "bound"), "renewed").when(status.isin("lapsed", "cancelled"), "lapsed")
         .otherwise("no_change")
     )
-    terms = policies.select("customer_id", F.col("effective_date").alias("started"), kind.alias("kind")).groupBy(
-        "customer_id", "started"
+    terms = policies.select("customer_id", F.col("effective_date").alias("on"), kind.alias("kind")).groupBy(
+        "customer_id", "on"
     ).agg(F.max("kind").alias("kind"))
-    decided = F.to_date("created_at")
-    acted = follow_up.select("follow_up_id", "customer_id", decided.alias("decided_on"))
-    end = F.date_add("decided_on", horizon_days)
-    nearest = acted.join(terms, "customer_id").filter(
-        (F.col("started") > F.col("decided_on")) & (F.col("started") <= end)
-    ).groupBy("follow_up_id").agg(F.min(F.struct("started", "kind")).alias("next"))
-    out = acted.join(nearest, "follow_up_id", "left")
-    escalated = F.lit(False)
+    acted = follow_up.select("customer_id", F.to_date("created_at").alias("on"), "follow_up_id")
+    line = acted.unionByName(terms, allowMissingColumns=True)
     if escalations is not None:
-        first = acted.join(escalations, "customer_id").filter(
-            (F.col("escalated_on") > F.col("decided_on")) & (F.col("escalated_on") <= end)
-        ).select("follow_up_id").distinct().withColumn("_escalated", F.lit(True))
-        out = out.join(first, "follow_up_id", "left")
-        escalated = F.coalesce("_escalated", F.lit(False))
+        marks = escalations.select("customer_id", F.col("escalated_on").alias("on")).distinct()
+        line = line.unionByName(marks.withColumn("raised", F.lit(True)), allowMissingColumns=True)
+    else:
+        line = line.withColumn("raised", F.lit(None).cast("boolean"))
+    # on one date the follow-ups come first, so that only later dates count
+    back = Window.partitionBy("customer_id").orderBy(F.desc("on"), F.col("follow_up_id").isNull())
+    sofar = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.date_add("decided_on", horizon_days)
+    found = line.select(
+        "customer_id", "follow_up_id", F.col("on").alias("decided_on"),
+        F.last(F.when(F.col("kind").isNotNull(), F.struct(F.col("on").alias("started"), "kind")), ignorenulls=True)
+        .over(sofar).alias("later"),
+        F.last(F.when(F.col("raised"), F.col("on")), ignorenulls=True).over(sofar).alias("raised_on"),
+    ).filter(F.col("follow_up_id").isNotNull())
+    out = found.withColumn("next", F.when(F.col("later.started") <= end, F.col("later")))
+    escalated = F.coalesce(F.col("raised_on") <= end, F.lit(False))
     known = F.col("next").isNotNull()
     outcome = (
         F.when(known, F.col("next.kind")).when(escalated, "escalated").when(end > today, "unknown")
@@ -163,14 +168,18 @@ def decision_history(log, snapshots, follow_up, outcomes, events) -> DataFrame:
     )
 
 
-def outcome_rates(outcomes: DataFrame, follow_up: DataFrame, log: DataFrame, summary: DataFrame) -> DataFrame:
-    """Renewal rate by leading signal and action."""
+def outcome_rates(outcomes: DataFrame, follow_up: DataFrame, log: DataFrame, signals: DataFrame) -> DataFrame:
+    """Renewal rate by combination of active signals and action. A customer has at most one row per signal, so a
+    combination is a short list; ``none`` stands for no active signal."""
+    active = signals.filter(F.col("weighted_score") > 0).groupBy("customer_id").agg(
+        F.array_join(F.sort_array(F.collect_list("signal_type")), " + ").alias("signal_combination"))
     linked = outcomes.select("follow_up_id", "customer_id", "outcome_type") \
         .join(follow_up.select("follow_up_id", "recommendation_log_id"), "follow_up_id") \
         .join(log.select("recommendation_log_id", "action_type"), "recommendation_log_id") \
-        .join(summary.select("customer_id", "top_signal_by_score"), "customer_id")
+        .join(active, "customer_id", "left") \
+        .withColumn("signal_combination", F.coalesce("signal_combination", F.lit("none")))
     renewed = count_if(F.col("outcome_type") == "renewed")
-    return linked.groupBy("top_signal_by_score", "action_type").agg(
+    return linked.groupBy("signal_combination", "action_type").agg(
         F.count("*").alias("follow_ups"), renewed.alias("renewed"), ratio(renewed, F.count("*"), 4).alias("renewal_rate")
     )
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from kinsight.config import DEFAULT_INTENT, DEFAULT_TOPIC, INTENTS, TOPICS, URGENCIES, URGENCY_ORDER, TextRules
 from kinsight.functions import text as tx
 from kinsight.functions.numeric import count_if, ordinal, ratio
+from kinsight.operators.search import word_counts
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -226,37 +227,41 @@ def failure_rate(enriched: DataFrame) -> DataFrame:
     ).withColumn("failure_rate", ratio(F.col("failed"), F.col("attempted"), 6))
 
 
-def extracted_topics(words: Column, rules: TextRules, limit: int = 5) -> Column:
+def extracted_topics(words: Column, rules: TextRules, limit: int | None = 5) -> Column:
     """All topics with a keyword in the text, in rule order, at most ``limit``; else ['general']."""
     hits = F.array_compact(F.array(*[F.when(tx.has_any(words, keys), F.lit(name)) for name, keys in rules.topics]))
-    return F.when(F.size(hits) == 0, F.array(F.lit(DEFAULT_TOPIC))).otherwise(F.slice(hits, 1, limit))
+    return F.when(F.size(hits) == 0, F.array(F.lit(DEFAULT_TOPIC))).otherwise(hits if limit is None else F.slice(hits, 1, limit))
 
 
-def key_phrases(
-    transcripts: DataFrame, rules: TextRules, phrases: int = 10, max_chars: int = 50, topics: int = 5
-) -> DataFrame:
-    """Most distinctive words of each consented text: tf x (docs / docs with the word), with topics.
+def transcript_words(transcripts: DataFrame, rules: TextRules, topics: int | None = 5) -> DataFrame:
+    """(doc_id, extracted_topics, doc_length, words) of each consented text: all that phrases need, in one pass."""
+    spoken = transcripts.filter(~F.col("recording_consent_flag").eqNullSafe("FALSE"))
+    found = spoken.select(F.col("transcript_id").alias("doc_id"), F.col("raw_text").alias("content"))
+    counted = word_counts(found)
+    return counted.withColumn("extracted_topics", extracted_topics(F.col("words.term"), rules, topics))
+
 
-    Term frequencies come from one grouping by (transcript, word). The per-word
-    document counts are a second grouping, joined back on the word; a word that
-    occurs in a third of all texts is spread by the skew-join handling. The top
-    phrases are cut per transcript before the final gather, which therefore
-    holds at most ``phrases`` rows per key.
+def key_phrases(words: DataFrame, phrases: int | None = 10, max_chars: int | None = 50) -> DataFrame:
+    """Most distinctive words of each text: tf x (texts / texts with the word), with its topics.
+
+    ``words`` is a stored ``transcript_words``, so the texts themselves are not read here. Counts per word are one
+    grouping, joined back on the word; a word that occurs in a third of all texts is spread by the skew-join
+    handling. The top phrases are cut per text before the final gather, which therefore holds at most ``phrases``
+    rows per key; None keeps all.
     """
-    spoken = transcripts.filter(~F.col("recording_consent_flag").eqNullSafe("FALSE")).select(
-        "transcript_id", tx.tokens(F.col("raw_text")).alias("_words")
-    )
-    # explode_outer: explode would add a size filter that tokenises every text a second time
-    tf = spoken.select("transcript_id", F.explode_outer("_words").alias("word")).filter(
-        (F.length("word") > 0) & (F.length("word") <= max_chars)
-    ).groupBy("transcript_id", "word").agg(F.count("*").alias("tf"))
+    tf = words.select(F.col("doc_id").alias("transcript_id"), F.explode("words").alias("x")).select(
+        "transcript_id", F.col("x.term").alias("word"), "x.tf")
+    if max_chars is not None:
+        tf = tf.filter(F.length("word") <= max_chars)
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "word").withColumn("_weight", F.col("tf").cast("double") / F.col("df"))
+    weighed = tf.join(df, "word").withColumn("_weight", F.col("tf").cast("double") / F.col("df"))
     best = Window.partitionBy("transcript_id").orderBy(F.desc("_weight"), "word")
-    top = scored.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= phrases)
+    top = weighed.withColumn("_rank", F.row_number().over(best))
+    if phrases is not None:
+        top = top.filter(F.col("_rank") <= phrases)
     gathered = top.groupBy("transcript_id").agg(
         F.sort_array(F.collect_list(F.struct("_rank", "word"))).alias("_top")
     ).select("transcript_id", F.col("_top.word").alias("key_phrases"))
-    return spoken.select("transcript_id", extracted_topics(F.col("_words"), rules, topics).alias("extracted_topics")) \
-        .join(gathered, "transcript_id", "left") \
-        .withColumn("key_phrases", F.coalesce("key_phrases", F.array().cast("array<string>")))
+    return words.select(F.col("doc_id").alias("transcript_id"), "extracted_topics").join(
+        gathered, "transcript_id", "left"
+    ).withColumn("key_phrases", F.coalesce("key_phrases", F.array().cast("array<string>")))

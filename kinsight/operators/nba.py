@@ -8,6 +8,8 @@ instead of a shuffle and a window.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -255,7 +257,8 @@ def primary(recommendations: DataFrame) -> DataFrame:
 
 
 def alternatives(recommendations: DataFrame) -> DataFrame:
-    return recommendations.filter(F.col("action_rank").between(2, 4))
+    """Every kept action but the first; how many are kept is decided where they are ranked."""
+    return recommendations.filter(F.col("action_rank") >= 2)
 
 
 def rank_candidates(scored: DataFrame, keep: int = 4) -> DataFrame:
@@ -303,31 +306,39 @@ def exclusion_frame(spark: SparkSession, rules=PRODUCT_ACTION_EXCLUSIONS) -> Dat
     return spark.createDataFrame(list(rules), "product_type string, action_type string, rule_description string")
 
 
-def evidence_lineage(enriched: DataFrame, payments: DataFrame, claims: DataFrame, clock) -> DataFrame:
-    """Which source rows stand behind each signal: one row per (customer, signal, source row).
+def evidence_lineage(
+    enriched: DataFrame, payments: DataFrame, claims: DataFrame, policies: DataFrame, agg_policy: DataFrame, clock
+) -> DataFrame:
+    """Which source rows stand behind each signal: one row per (customer, signal, source row), for all eight signals.
 
-    Long form on purpose: a customer with many contacts must not become one huge array.
+    Long form on purpose: a customer with many contacts must not become one huge array. Contacts are read once.
     """
-    current = clock.in_current(F.col("interaction_date")) & (F.col("enrichment_status") == "completed")
+    done, now = F.col("enrichment_status") == "completed", clock.in_current(F.col("interaction_date"))
 
     def rows(df: DataFrame, signal: str, kind: str, key: str) -> DataFrame:
         return df.select("customer_id", F.lit(signal).alias("signal_type"), F.lit(kind).alias("source_type"),
                          F.col(key).cast("string").alias("source_id"))
 
-    contacts = enriched.filter(current).select(
-        "customer_id", "interaction_id", "transcript_id", "sentiment_label", "is_complaint", "is_escalation"
-    )
     signals = F.array_compact(F.array(
-        F.when(F.col("sentiment_label") == "negative", F.lit("sentiment_negative")),
-        F.when(F.col("is_complaint") | F.col("is_escalation"), F.lit("complaint_activity")),
+        F.when(done & now & (F.col("sentiment_label") == "negative"), F.lit("sentiment_negative")),
+        F.when(done & now & (F.col("is_complaint") | F.col("is_escalation")), F.lit("complaint_activity")),
+        F.when(done, F.lit("sentiment_trend")),
+        F.lit("engagement_drop"),
     ))
-    sources = F.array(
+    sources = F.array_compact(F.array(
         F.struct(F.lit("interaction").alias("source_type"), F.col("interaction_id").cast("string").alias("source_id")),
-        F.struct(F.lit("transcript").alias("source_type"), F.col("transcript_id").cast("string").alias("source_id")),
-    )
-    from_contacts = contacts.withColumn("signal_type", F.explode(signals)).select(
+        F.when(F.col("transcript_id").isNotNull(), F.struct(
+            F.lit("transcript").alias("source_type"), F.col("transcript_id").cast("string").alias("source_id"))),
+    ))
+    recent = enriched.filter(clock.in_recent(F.col("interaction_date")))
+    from_contacts = recent.withColumn("signal_type", F.explode(signals)).select(
         "customer_id", "signal_type", F.explode(sources).alias("s")
     ).select("customer_id", "signal_type", "s.source_type", "s.source_id")
     from_payments = rows(payments.filter(F.col("status").isin("late", "missed")), "payment_risk", "payment", "payment_id")
     from_claims = rows(claims.filter(F.col("status").isin("filed", "under_review")), "claim_activity", "claim", "claim_id")
-    return from_contacts.unionByName(from_payments).unionByName(from_claims)
+    active = policies.filter(F.col("status") == "active")
+    nearest = agg_policy.select("customer_id", F.col("nearest_renewal_date").alias("expiration_date"))
+    from_renewals = rows(active.join(nearest, ["customer_id", "expiration_date"]), "renewal_proximity", "policy", "policy_id")
+    from_holdings = rows(active, "cross_sell_opportunity", "policy", "policy_id")
+    parts = (from_payments, from_claims, from_renewals, from_holdings)
+    return reduce(DataFrame.unionByName, parts, from_contacts)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinsight.config import Clock
-from kinsight.functions.gather import gather_segments
+from kinsight.functions.gather import gather
 from kinsight.functions.numeric import count_if, count_where
 
 
@@ -138,16 +138,16 @@ def timeline_entries(enriched: DataFrame, clock: Clock) -> DataFrame:
     )
 
 
-def timeline_segments(entries: DataFrame, max_rows: int = 1000) -> DataFrame:
-    """Ordered arrays of contact details, newest first, in segments of at most ``max_rows``.
+def timeline(entries: DataFrame) -> DataFrame:
+    """Per customer the ordered array of all contact details, newest first.
 
-    The minute is the bucket: a customer with a third of all contacts still
-    spreads over as many buckets as the two windows have minutes.
+    The day is the bucket: a customer with a third of all contacts still
+    spreads over as many buckets as the two windows have days.
     """
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', interaction_date)")
-    return gather_segments(
-        entries, "customer_id", bucket=-F.floor(micros / 60_000_000), order=[-micros, F.col("interaction_id")],
-        item=F.col("detail"), max_rows=max_rows,
+    return gather(
+        entries, "customer_id", bucket=-F.floor(micros / 86_400_000_000), order=[-micros, F.col("interaction_id")],
+        item=F.col("detail"),
     ).withColumnRenamed("items", "details")
 
 
@@ -157,33 +157,13 @@ NBA_COLUMNS = (
 )
 
 
-def assemble_profile(
-    base: DataFrame, sentiment: DataFrame, risk: DataFrame, primary: DataFrame, segments: DataFrame | None = None,
-) -> DataFrame:
-    """Profile from stored products: base ⟕ sentiment summary ⟕ risk summary ⟕ primary recommendation."""
-    risk_side = risk.select(
-        "customer_id", "composite_risk_score", "risk_tier", "worsening_signals", "improving_signals",
-        "overall_direction",
-    )
-    nba = primary.select("customer_id", *[F.col(c).alias(f"nba_{c}") for c in NBA_COLUMNS])
-    joined = base.join(sentiment.drop("transcripts_total", "transcripts_enriched"), "customer_id", "left") \
-        .join(risk_side, "customer_id", "left").join(nba, "customer_id", "left")
-    return serve(joined, segments)
-
-
-def serve(joined: DataFrame, segments: DataFrame | None = None) -> DataFrame:
-    """The serving columns with their defaults and the system-status ladder.
-
-    With ``segments`` the newest timeline segment is attached, plus the number
-    of segments, so that a reader knows when older ones exist.
-    """
+def serve(joined: DataFrame, details: DataFrame | None = None) -> DataFrame:
+    """The serving columns with their defaults and the system-status ladder; with ``details`` (from ``timeline``) also
+    every contact of both windows."""
     extra = []
-    if segments is not None:
-        newest = segments.withColumn("_count", F.count("*").over(Window.partitionBy("customer_id"))).filter(
-            "segment = 0"
-        ).selectExpr("customer_id", "details AS recent_interaction_details", "_count AS recent_detail_segments")
-        joined = joined.join(newest, "customer_id", "left")
-        extra = ["recent_interaction_details", *_zero_filled("recent_detail_segments")]
+    if details is not None:
+        joined = joined.join(details.withColumnRenamed("details", "recent_interaction_details"), "customer_id", "left")
+        extra = ["recent_interaction_details"]
 
     degraded = "coalesce(enriched_interactions_90d, 0) = 0 AND has_interactions"
     return joined.selectExpr(

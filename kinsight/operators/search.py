@@ -1,15 +1,16 @@
 """Document search: term postings, BM25, vector similarity, rank fusion, entity-linked lookup.
 
 Queries are small and known when the plan is built; documents are not. A query
-is therefore folded into the plan as literals, every document is scored on its
-own row, and only the best k rows are ever sorted (top-k is distributed).
+is therefore folded into the plan as literals, answered from a stored index, and
+only the best k rows are ever sorted (top-k is distributed).
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinsight.functions import text as tx
@@ -25,35 +26,83 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(words))
 
 
-def search_index(documents: DataFrame, attributes: tuple[str, ...] = ()) -> DataFrame:
-    """Postings (doc_id, term, tf, doc_length, attributes...): one row per document and distinct word.
+def word_counts(documents: DataFrame, attributes: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, attributes..., doc_length, words): the distinct words of each document with their counts.
 
-    The document length rides along, so scoring never joins a length table back. Length and
-    attributes depend on the document and are grouping columns: as aggregates, text
-    attributes would turn the hash aggregation into a sort.
+    Counted inside the row: the words are sorted once and the ends of equal runs give the counts, so nothing is
+    shuffled and the text is read once.
     """
-    words = documents.select("doc_id", *attributes, tx.tokens(F.col("content")).alias("_w"))
-    # the length is taken before the explosion, or every word would carry the whole array along;
-    # explode_outer, because explode adds a size filter that tokenises every text a second time
-    counted = words.withColumn("doc_length", tx.token_count("_w"))
-    return counted.select(
-        "doc_id", *attributes, "doc_length", F.explode_outer("_w").alias("term")
-    ).filter("term != ''").groupBy("doc_id", *attributes, "doc_length", "term").agg(F.count("*").alias("tf"))
-
-
-def write_index(postings: DataFrame, path: str, partitions: int = 64, spread: int = 32) -> None:
-    """Store postings partitioned by a hash of the term, sorted inside: a query skips the files without its terms."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(partitions)).cast("int")
+    # names bound by transform(array(x), name -> ...)[0] are computed once, whatever uses them
+    bare = F.filter(tx.tokens(F.col("content")), lambda w: w != "")
+    begins = "filter(sequence(1, size(w)), i -> i = 1 or w[i - 1] <> w[i - 2])"
+    runs = (
+        "transform(b, (x, i) -> named_struct('term', w[x - 1], 'tf', "
+        "CAST(coalesce(get(b, i + 1), size(w) + 1) - x AS BIGINT)))"
+    )
+    counted = (
+        f"transform(array(sort_array(_bare)), w -> named_struct('doc_length', size(w), 'words', "
+        f"if(size(w) = 0, cast(array() as array<struct<term: string, tf: bigint>>), "
+        f"transform(array({begins}), b -> {runs})[0])))[0]"
+    )
+    return documents.select("doc_id", *attributes, bare.alias("_bare")).select(
+        "doc_id", *attributes, F.expr(counted).alias("_c")).select("doc_id", *attributes, "_c.doc_length", "_c.words")
+
+
+def search_index(documents: DataFrame, attributes: tuple[str, ...] = ()) -> DataFrame:
+    """Postings (doc_id, term, tf, doc_length, attributes...): one row per document and distinct word."""
+    return postings(word_counts(documents, attributes), attributes)
+
+
+def postings(counted: DataFrame, attributes: tuple[str, ...] = ()) -> DataFrame:
+    return counted.select("doc_id", *attributes, "doc_length", F.explode("words").alias("x")).select(
+        "doc_id", *attributes, "doc_length", "x.term", "x.tf")
+
+
+PARTITIONS = 32
+
+
+def _bucket(term: Column, partitions: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(partitions)).cast("int")
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored index: postings by a hash of the term, the documents' attributes and lengths, one row of statistics."""
+
+    postings: DataFrame
+    documents: DataFrame
+    statistics: DataFrame
+    partitions: int = PARTITIONS
+
+
+def write_index(
+    documents: DataFrame, path: str, attributes: tuple[str, ...] = (), partitions: int = PARTITIONS, spread: int = 32
+) -> Index:
+    """Store an index of (doc_id, content, attributes...) below ``path``. The texts are read once; no query reads
+    them again. Postings are partitioned by a hash of the term and sorted inside, so that a query opens only the
+    folders of its terms and skips the files' other row groups."""
+    spark = documents.sparkSession
+    word_counts(documents, attributes).write.mode("overwrite").parquet(f"{path}/words")
+    counted = spark.read.parquet(f"{path}/words")
     # the document takes part in the shuffle key, so that a frequent term fills several tasks
-    postings.withColumn("term_bucket", bucket) \
+    postings(counted).withColumn("term_bucket", _bucket(F.col("term"), partitions)) \
         .repartition(F.col("term_bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(spread))) \
-        .sortWithinPartitions("term").write.mode("overwrite").partitionBy("term_bucket").parquet(path)
+        .sortWithinPartitions("term").write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings")
+    counted.drop("words").write.mode("overwrite").parquet(f"{path}/documents")
+    corpus_stats(counted).write.mode("overwrite").parquet(f"{path}/statistics")
+    if counted.isEmpty():  # then there is no folder of postings to read
+        none = postings(counted).withColumn("term_bucket", F.lit(0))
+        return Index(none, counted.drop("words"), corpus_stats(counted), partitions)
+    return open_index(spark, path, partitions)
+
 
+def open_index(spark: SparkSession, path: str, partitions: int = PARTITIONS) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "documents", "statistics")), partitions)
 
-def corpus_stats(postings: DataFrame) -> DataFrame:
-    """Document count and total length, from postings."""
-    per_doc = postings.groupBy("doc_id").agg(F.max("doc_length").alias("doc_length"))
-    return per_doc.agg(F.count("*").alias("n_docs"), F.sum("doc_length").alias("total_length"))
+
+def corpus_stats(documents: DataFrame) -> DataFrame:
+    """Document count and total length of the documents that have words."""
+    return documents.filter("doc_length > 0").agg(F.count("*").alias("n_docs"), F.sum("doc_length").alias("total_length"))
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -73,46 +122,26 @@ def _matches(filters: dict[str, object]) -> Column:
     return kept
 
 
-def scored_documents(documents: DataFrame, query: str, filters: dict[str, object] | None = None) -> DataFrame:
-    """BM25 score of every document (0 without a match); ``filters`` are attribute equalities.
+def scored(index: Index, query: str, filters: dict[str, object] | None = None) -> DataFrame:
+    """(doc_id, score) of every document with a word of the query, from the index alone.
 
-    Statistics cover the documents that pass the filters and arrive as one
-    scalar subquery; documents are scored in place without any shuffle.
+    ``filters`` are equalities of attributes; statistics then cover the documents that pass. The buckets of the
+    query's terms are constants of the plan, so other folders are never opened.
     """
     terms = query_terms(query)
+    buckets = [_bucket(F.lit(t), index.partitions) for t in terms]
+    hits = index.postings.filter(F.col("term_bucket").isin(*buckets) & F.col("term").isin(terms)) if terms else index.postings.filter("false")
+    statistics = index.statistics
     if filters:
-        documents = documents.filter(_matches(filters))
-    counted = documents.withColumn("_w", tx.tokens(F.col("content"))).withColumns({
-        "_len": tx.token_count("_w"), "_hits": tx.only(F.col("_w"), terms),
-    }).select(
-        *documents.columns, "_len",
-        *[tx.count_in(F.col("_hits"), [t]).alias(f"_tf{i}") for i, t in enumerate(terms)],
-    )
-    stats = counted.agg(F.struct(
-        F.sum((F.col("_len") > 0).cast("bigint")).alias("n"), F.sum("_len").alias("total"),
-        *[F.sum((F.col(f"_tf{i}") > 0).cast("bigint")).alias(f"df{i}") for i in range(len(terms))],
-    ).alias("s")).scalar()
-    total = F.lit(0).cast(SCORE)
-    for i in range(len(terms)):
-        total = total + F.when(F.col(f"_tf{i}") > 0, _contribution(
-            F.col(f"_tf{i}"), F.col(f"_s.df{i}"), F.col("_len"), F.col("_s.n"), F.col("_s.total"),
-        )).otherwise(F.lit(0).cast(SCORE))
-    return counted.withColumn("_s", stats).select(*documents.columns, total.cast(SCORE).alias("score"))
-
-
-def best(scored: DataFrame, k: int) -> DataFrame:
-    """The k best rows with a positive score; ties go to the smaller doc_id.
-
-    The score is tested after the cut: a filter on it before would be pushed
-    down to the scan and evaluate the scoring expression, and with it the
-    tokenisation, a second time for every document.
-    """
-    return scored.orderBy(F.desc("score"), "doc_id").limit(k).filter("score > 0")
+        kept = index.documents.filter(_matches(filters))
+        hits, statistics = hits.join(kept.select("doc_id"), "doc_id", "left_semi"), corpus_stats(kept)
+    return search_postings(hits, statistics, query, None)
 
 
-def search(documents: DataFrame, query: str, k: int = 5, filters: dict[str, object] | None = None) -> DataFrame:
-    """The k best documents for a query; ties go to the smaller doc_id."""
-    return best(scored_documents(documents, query, filters), k)
+def search(index: Index, query: str, k: int = 5, filters: dict[str, object] | None = None) -> DataFrame:
+    """The k best documents for a query with their attributes; ties go to the smaller doc_id."""
+    top = scored(index, query, filters).orderBy(F.desc("score"), "doc_id").limit(k)
+    return top.join(index.documents, "doc_id").orderBy(F.desc("score"), "doc_id")
 
 
 def search_postings(postings: DataFrame, stats: DataFrame, query: str, k: int | None = 5) -> DataFrame:
@@ -148,36 +177,60 @@ def search_vector(vectors: DataFrame, query: list[float], k: int = 5, key: str =
     return scored_vectors(vectors, query, key).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
-def _ranked(top: DataFrame, name: str) -> DataFrame:
-    """Rank of rows that have been cut to a fixed number before; the window runs over those rows only."""
-    return top.select("doc_id", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias(name))
+def _true_ranks(scored: DataFrame, candidates: DataFrame, name: str) -> DataFrame:
+    """Rank among all scored documents of the few candidates that have a score.
 
+    Every scored row meets the sorted candidates in one small array and says only behind how many of them it stands;
+    one aggregate over those numbers gives all ranks, without sorting or shuffling the scores.
+    """
+    row = F.struct((-F.col("score")).alias("s"), F.col("doc_id").alias("d"))
+    wanted = scored.join(F.broadcast(candidates), "doc_id", "left_semi")
+    order = wanted.agg(F.sort_array(F.collect_list(row)).alias("o")).scalar()
+    before = F.size(F.filter("_order", lambda o: o < row))  # candidates that stand before this row
+    counted = scored.withColumn("_order", order).select(before.alias("behind")).groupBy("behind").count()
+    steps = counted.agg(F.map_from_entries(F.collect_list(F.struct("behind", "count"))).alias("m"))
+    placed = steps.withColumn("_order", order).select("m", F.posexplode("_order").alias("i", "o"))
+    # all rows behind at most i candidates stand at or before candidate i
+    total = F.aggregate(F.sequence(F.lit(0), F.col("i")), F.lit(0).cast("bigint"), lambda a, k: a + F.coalesce(F.element_at("m", k), F.lit(0)))
+    return placed.select(F.col("o.d").alias("doc_id"), total.cast("int").alias(name))
 
-def search_hybrid(
-    documents: DataFrame, vectors: DataFrame, query: str, vector: list[float], k: int = 5, depth: int = 100,
-) -> DataFrame:
-    """Reciprocal rank fusion of the ``depth`` best text hits and the ``depth`` best vector hits."""
-    by_text = _ranked(best(scored_documents(documents, query), depth), "text_rank")
-    by_vector = _ranked(search_vector(vectors, vector, depth), "vector_rank")
+
+def fusion_depth(k: int) -> int:
+    """How deep either list must be read: a document beyond it in both can't be among the k best, since even
+    2 / (constant + depth + 1) stays below 1 / (constant + k)."""
+    return max(k, RRF_CONSTANT + 2 * k)
+
+
+def search_hybrid(texts: DataFrame, vectors: DataFrame, vector: list[float], k: int = 5) -> DataFrame:
+    """Reciprocal rank fusion of all text hits and all vector hits; the k best.
+
+    ``texts`` holds (doc_id, score) of the documents that match. Candidates are those near the top of either list;
+    each counts with its true rank on both sides, however far down that is.
+    """
+    depth = fusion_depth(k)
+    by_vector = scored_vectors(vectors, vector)
+    tops = [s.orderBy(F.desc("score"), "doc_id").limit(depth).select("doc_id") for s in (texts, by_vector)]
+    candidates = tops[0].union(tops[1]).distinct()  # at most twice the depth
+    ranked = _true_ranks(texts, candidates, "text_rank").join(_true_ranks(by_vector, candidates, "vector_rank"), "doc_id", "full_outer")
 
     def part(rank: str) -> Column:
         return F.coalesce(F.lit(1.0) / (F.lit(float(RRF_CONSTANT)) + F.col(rank)), F.lit(0.0))
 
-    return by_text.join(by_vector, "doc_id", "full_outer").select(
+    return ranked.select(
         "doc_id", "text_rank", "vector_rank",
         F.round(part("text_rank") + part("vector_rank"), 8).cast(SCORE).alias("score"),
     ).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
 def entity_linked_search(
-    profile: DataFrame, documents: DataFrame, owners: DataFrame, query: str, k: int = 5, name: str | None = None,
+    profile: DataFrame, index: Index, owners: DataFrame, query: str, k: int = 5, name: str | None = None,
 ) -> DataFrame:
     """Customers (by full name, or all) with their own k best documents next to their key metrics.
 
     Names resolve to customer_id first and documents are tied to customers by id
-    (``owners``: doc_id, customer_id), never by name. Documents are scored where
-    they lie; only ids and scores are joined, and the per-customer cut is a top-k
-    window, which trims each input task to k rows per customer before the shuffle.
+    (``owners``: doc_id, customer_id), never by name. Scores come from the index; the
+    per-customer cut is a top-k window, which trims each input task to k rows per
+    customer before the shuffle, and only what it keeps gets its attributes.
     """
     card = profile.select(
         "customer_id", F.concat_ws(" ", "first_name", "last_name").alias("customer_name"), "risk_tier",
@@ -185,7 +238,7 @@ def entity_linked_search(
     )
     if name is not None:
         card = card.filter(F.lower("customer_name") == name.lower())
-    scored = scored_documents(documents, query).drop("content").join(owners, "doc_id")
+    owned = scored(index, query).join(owners, "doc_id")
     order = Window.partitionBy("customer_id").orderBy(F.desc("score"), "doc_id")
-    top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).filter("score > 0")
-    return card.join(top, "customer_id")
+    top = owned.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return card.join(top, "customer_id").join(index.documents.drop("doc_length"), "doc_id")

@@ -11,7 +11,7 @@ from kinsight.operators import aggregates, curated, enrichment, nba, profile, ri
 
 
 def customer_360_enriched(
-    base: DataFrame, windows: DataFrame, settings: Settings, segments: DataFrame | None = None
+    base: DataFrame, windows: DataFrame, settings: Settings, details: DataFrame | None = None
 ) -> DataFrame:
     """The enriched profile in one pass over base ⟕ windows.
 
@@ -32,7 +32,7 @@ def customer_360_enriched(
         *base.columns, *profile.SUMMARY, "composite_risk_score", "risk_tier", "worsening_signals", "improving_signals",
         "overall_direction", *[f"nba_{c}" for c in profile.NBA_COLUMNS],
     )
-    return profile.serve(row, segments)
+    return profile.serve(row, details)
 
 
 class Build:
@@ -134,8 +134,8 @@ class Build:
         return nba.primary(self.recommendations)
 
     @cached_property
-    def segments(self) -> DataFrame:
-        return profile.timeline_segments(profile.timeline_entries(self.enriched, self.clock))
+    def timeline(self) -> DataFrame:
+        return profile.timeline(profile.timeline_entries(self.enriched, self.clock))
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -143,4 +143,4 @@ class Build:
 
     @cached_property
     def profile_with_timeline(self) -> DataFrame:
-        return customer_360_enriched(self.base, self.windows, self.settings, self.segments)
+        return customer_360_enriched(self.base, self.windows, self.settings, self.timeline)

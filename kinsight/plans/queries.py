@@ -118,7 +118,7 @@ def load_rejects(b: Build) -> DataFrame:
 
 @query("raw_audit_stamp")
 def raw_audit_stamp(b: Build) -> DataFrame:
-    stamped = landing.stamp_audit(b.tables.raw("customer"), BATCH, LOADED_AT, ["c_custkey", "c_name", "c_mktsegment"])
+    stamped = landing.stamp_audit(b.tables.raw("customer"), BATCH, LOADED_AT, ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
     return stamped.select("c_custkey", "_loaded_at", "_source_file", "_batch_id", "_row_hash")
 
 
@@ -136,14 +136,35 @@ def landed(b: Build, name: str) -> DataFrame:
 
 @query("row_hash")
 def row_hash_query(b: Build) -> DataFrame:
-    return hashed(b.policies).select("policy_id", "_row_hash").unionByName(
-        hashed(b.claims).select("policy_id", "_row_hash"))
+    """Row hashes of all landed tables, by table and primary key."""
+    return quality.union([
+        hashed(b.tables.table(name)).select(
+            F.lit(name).alias("table_name"), F.col(quality.PRIMARY_KEYS[name]).cast("string").alias("key"), "_row_hash")
+        for name in ALL_TABLES
+    ])
+
+
+ALL_TABLES = ("customers", "policies", "coverages", "claims", "payments", "interactions", "transcripts",
+              "service_representatives")
+
+
+def source_counts(b: Build) -> DataFrame:
+    """(table_name, expected_rows): the rows of the files behind each logical table, counted there."""
+    lines = "lineitem"
+    whole = {"customers": "customer", "policies": "orders", "coverages": lines, "interactions": "events",
+             "transcripts": "documents", "service_representatives": "supplier"}
+    part = {"claims": "l_returnflag IN ('R', 'A')", "payments": "l_returnflag = 'N'"}
+    counted = [(name, b.tables.raw(raw)) for name, raw in whole.items()]
+    counted += [(name, b.tables.raw(lines).filter(kept)) for name, kept in part.items()]
+    return quality.union([
+        rows.agg(F.count("*").alias("expected_rows")).select(F.lit(name).alias("table_name"), "expected_rows")
+        for name, rows in counted
+    ])
 
 
 @query("load_check")
 def load_check(b: Build) -> DataFrame:
-    names = ("customers", "policies", "coverages", "interactions", "service_representatives")
-    return landing.load_check({n: hashed(b.tables.table(n)) for n in names}, {"customers": 1500})
+    return landing.load_check({n: hashed(b.tables.table(n)) for n in ALL_TABLES}, source_counts(b))
 
 
 def now_literal():
@@ -191,7 +212,7 @@ def transcript_documents(b: Build) -> DataFrame:
 
 
 def email_documents(b: Build) -> DataFrame:
-    return corpus.emails(b.customers, b.policies, b.interactions, CLOCK.today, number=F.col("customer_id"))
+    return corpus.email_documents(b.interactions, b.transcripts, b.customers)
 
 
 simple(
@@ -264,10 +285,10 @@ simple(
         b.customers, b.payments, b.claims, b.interactions, CLOCK.today_col(), CLOCK.now_col()),
     customer_360_base=lambda b: b.base,
     sentiment_summary=lambda b: profile.sentiment_summary(b.windows),
-    interaction_timeline_array=lambda b: stored(b).segments,
-    customer_360_enriched=lambda b: b.profile,
+    interaction_timeline_array=lambda b: b.timeline,
+    customer_360_enriched=lambda b: stored(b).profile_with_timeline,
     customer_360_with_timeline=lambda b: stored(b).profile_with_timeline.select(
-        "customer_id", "recent_detail_segments", "recent_interaction_details", "system_status"),
+        "customer_id", "recent_interaction_details", "system_status"),
     status_distribution=lambda b: profile.status_distribution(b.profile),
     risk_action_matrix=lambda b: profile.risk_action_matrix(b.profile),
     coverage_kpis=lambda b: profile.coverage_kpis(b.profile),
@@ -276,6 +297,13 @@ simple(
 # --- 2.5 enrichment ------------------------------------------------------------------------------------------------
 
 
+def written(b: Build, name: str, frame: DataFrame) -> DataFrame:
+    """The frame, stored once in the shared folder."""
+    folder = run_folder(b.tables.spark, name)
+    frame.write.parquet(folder)
+    return b.tables.spark.read.parquet(folder)
+
+
 def scored_texts(b: Build) -> DataFrame:
     return enrichment.score_transcripts(b.transcripts, RULES)
 
@@ -308,7 +336,7 @@ simple(
     enrichment_reports_topic_intent=lambda b: enrichment.report_topic_intent(b.enriched),
     enrichment_reports_urgency=lambda b: enrichment.report_urgency(b.enriched),
     enrichment_reports_most_negative=lambda b: enrichment.report_most_negative(b.enriched),
-    key_phrases=lambda b: enrichment.key_phrases(b.transcripts, RULES),
+    key_phrases=lambda b: enrichment.key_phrases(written(b, "words", enrichment.transcript_words(b.transcripts, RULES))),
     enrichment_failure_rate=lambda b: enrichment.failure_rate(b.enriched),
     enrich_idempotent=re_enriched,
 )
@@ -367,7 +395,8 @@ simple(
         b.recommendations, nba.exclusion_frame(b.tables.spark)).select("customer_id", "action_rank", "action_type"),
     nba_withheld=lambda b: nba.recommend(b.context, withhold_low_confidence=True).select(
         "customer_id", "action_rank", "action_type", "confidence_level"),
-    evidence_lineage=lambda b: nba.evidence_lineage(b.enriched, b.payments, b.claims, CLOCK),
+    evidence_lineage=lambda b: nba.evidence_lineage(
+        b.enriched, b.payments, b.claims, b.policies, b.agg_policy, CLOCK),
 )
 
 # --- 2.8 decisions -------------------------------------------------------------------------------------------------
@@ -434,7 +463,7 @@ def decision_history(b: Build) -> DataFrame:
 @query("outcome_rates")
 def outcome_rates(b: Build) -> DataFrame:
     d = Decisions(b)
-    return decisions.outcome_rates(d.outcomes, d.follow_ups, d.log, d.b.summary)
+    return decisions.outcome_rates(d.outcomes, d.follow_ups, d.log, d.b.signals)
 
 
 @query("decision_integrity")
@@ -463,10 +492,6 @@ simple(
 
 # --- 2.9 quality ---------------------------------------------------------------------------------------------------
 
-ALL_TABLES = ("customers", "policies", "coverages", "claims", "payments", "interactions", "transcripts",
-              "service_representatives")
-
-
 def logical(b: Build, *names: str) -> dict[str, DataFrame]:
     return {n: b.tables.table(n) for n in (names or ALL_TABLES)}
 
@@ -474,19 +499,13 @@ def logical(b: Build, *names: str) -> dict[str, DataFrame]:
 @query("dq_row_counts")
 def dq_row_counts(b: Build) -> DataFrame:
     """Logical tables against the size of the files they come from."""
-    sources = {"customers": "customer", "policies": "orders", "coverages": "lineitem", "interactions": "events",
-               "transcripts": "labels"}
-    expected = quality.union([
-        b.tables.raw(raw).agg(F.count("*").alias("expected_rows")).select(F.lit(name).alias("table_name"), "expected_rows")
-        for name, raw in sources.items()
-    ])
-    return quality.row_counts(logical(b, *sources), expected)
+    return quality.row_counts(logical(b), source_counts(b))
 
 
 @query("dq_batch")
 def dq_batch(b: Build) -> DataFrame:
     daily = b.interactions.withColumn("_batch_id", F.date_format("interaction_date", "yyyyMMdd"))
-    return quality.batch_consistency({"customers": landed(b, "customers"), "interactions": daily})
+    return quality.batch_consistency({**{n: landed(b, n) for n in ALL_TABLES}, "interactions": daily})
 
 
 @query("dq_rejects")
@@ -561,7 +580,7 @@ simple(
     dq_positive=lambda b: quality.positive_amount(b.payments),
     dq_enums=lambda b: quality.enums(logical(b)),
     dq_consent=lambda b: quality.consent(b.transcripts),
-    dq_audit_columns=lambda b: quality.audit_columns({n: landed(b, n) for n in ("customers", "policies", "interactions")}),
+    dq_audit_columns=lambda b: quality.audit_columns({n: landed(b, n) for n in ALL_TABLES}),
     dq_golden_graph=lambda b: quality.golden_graph(logical(b)),
     dq_required_ids=lambda b: quality.required_ids(
         b.customers.filter(F.col("status") == "active"), b.interactions, "customer_id", "contacted_customers_present"),
@@ -593,13 +612,24 @@ simple(
     customer_options=lambda b: semantic.customer_options(b.customers),
     top_high_risk=lambda b: semantic.top_high_risk(b.profile),
     home_kpis=lambda b: semantic.home_kpis(b.profile),
-    profile_lookup=lambda b: semantic.summary_card(b.profile),
     interaction_timeline=lambda b: semantic.interaction_timeline(b.enriched),
     renewal_banner=lambda b: semantic.renewal_banner(b.base),
     risk_explanation=lambda b: semantic.risk_explanation(b.signals),
     evidence_top5=lambda b: semantic.evidence_top(b.primary),
 )
 
+#: The customers that the point read asks for.
+LOOKUP_IDS = [1, 42, 113]
+
+
+@query("profile_lookup")
+def profile_lookup(b: Build) -> DataFrame:
+    """The header cards of single customers, read from the stored serving table."""
+    folder = run_folder(b.tables.spark, "serving-profile")
+    tables.write_serving(stored(b).profile_with_timeline, folder, "customer_id")
+    return semantic.summary_card(tables.read_serving(b.tables.spark, folder, "customer_id", LOOKUP_IDS))
+
+
 # --- 2.11 search ---------------------------------------------------------------------------------------------------
 
 
@@ -607,31 +637,48 @@ def documents(b: Build) -> DataFrame:
     return b.tables.raw("documents").select("doc_id", "lang", "source", F.col("text").alias("content"))
 
 
+def indexed(b: Build, documents: DataFrame, *attributes: str) -> search.Index:
+    """A stored index of the documents."""
+    return search.write_index(documents, run_folder(b.tables.spark, "index"), attributes)
+
+
+def text_hits(b: Build, text: str) -> DataFrame:
+    return search.scored(indexed(b, documents(b)), text)
+
+
 @query("entity_linked_search")
 def entity_linked_search(b: Build) -> DataFrame:
     texts = b.transcripts.selectExpr("transcript_id AS doc_id", "content_type AS doc_type", "raw_text AS content",
                                      "concat('text ', transcript_id) AS title")
     owners = b.transcripts.selectExpr("transcript_id AS doc_id", "interaction_id").join(
         b.interactions.select("interaction_id", "customer_id"), "interaction_id").select("doc_id", "customer_id")
-    return search.entity_linked_search(b.profile, texts, owners, SEARCH_TEXT)
+    return search.entity_linked_search(b.profile, indexed(b, texts, "doc_type", "title"), owners, SEARCH_TEXT)
 
 
 @query("search_postings")
 def search_postings(b: Build) -> DataFrame:
-    folder = run_folder(b.tables.spark, "index")
-    search.write_index(search.search_index(documents(b)), folder, partitions=8)
-    postings = b.tables.spark.read.parquet(folder)
-    return search.search_postings(postings, search.corpus_stats(postings), SEARCH_TEXT)
+    index = indexed(b, documents(b))
+    return search.search_postings(index.postings, index.statistics, SEARCH_TEXT)
+
+
+@query("search_corpus")
+def search_corpus(b: Build) -> DataFrame:
+    """The assembled corpus, restricted by a key attribute."""
+    whole = corpus.corpus(policy_documents(b), email_documents(b), transcript_documents(b))
+    index = indexed(b, whole, "customer_id", "policy_id", "doc_type", "title")
+    return search.search(index, SEARCH_TEXT, filters={"doc_type": "transcript"}).select(
+        "doc_id", "customer_id", "doc_type", "title", "score")
 
 
 simple(
     search_index=lambda b: search.search_index(documents(b), ("lang",)),
-    search_bm25=lambda b: search.search(documents(b), SEARCH_TEXT).select("doc_id", "lang", "score"),
-    search_filtered=lambda b: search.search(documents(b), SEARCH_TEXT, filters={"lang": "en"}).select(
-        "doc_id", "source", "score"),
+    search_bm25=lambda b: search.search(indexed(b, documents(b), "lang"), SEARCH_TEXT).select("doc_id", "lang", "score"),
+    search_filtered=lambda b: search.search(
+        indexed(b, documents(b), "lang", "source"), SEARCH_TEXT, filters={"lang": "en"}
+    ).select("doc_id", "source", "score"),
     search_vector=lambda b: search.search_vector(b.tables.raw("embeddings"), SEARCH_VECTOR),
     search_hybrid=lambda b: search.search_hybrid(
-        documents(b), b.tables.raw("embeddings"), SEARCH_TEXT, SEARCH_VECTOR),
+        text_hits(b, SEARCH_TEXT), b.tables.raw("embeddings"), SEARCH_VECTOR),
 )
 
 # --- 2.12 incremental and streaming --------------------------------------------------------------------------------
@@ -694,8 +741,7 @@ def stream_dedup(b: Build) -> DataFrame:
     overlap = F.col("interaction_date") >= F.expr("TIMESTAMP_NTZ '2024-01-10 00:00:00'")
     for rows in (past(b.interactions), b.interactions.filter(overlap)):
         feed.arrive(rows)
-        unique = incremental.deduplicated(feed.stream(), "interaction_id", "interaction_date", "40 days")
-        incremental.run_available(unique, feed.checkpoint, sink)
+        incremental.run_available(feed.stream(), feed.checkpoint, sink)
     return incremental.stored_batches(feed.spark, feed.table).select("interaction_id", "customer_id", "interaction_date")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinsight.session import shared_root
+from kinsight.session import run_folder, shared_root
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], now: Column) -> DataFrame:
@@ -66,6 +66,43 @@ def next_keys(existing: DataFrame, incoming: DataFrame, key: str, name: str) ->
     return existing.select(key, name).unionByName(dense_keys(fresh, key, name, highest).select(key, name))
 
 
+# --- serving tables ----------------------------------------------------------------------------------------------
+
+SERVING_BUCKETS = 64
+
+
+def _serving_bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int")
+
+
+def write_serving(df: DataFrame, path: str, key: str, buckets: int = SERVING_BUCKETS) -> None:
+    """Store a table for reads of single keys: partitioned by a hash of the key, sorted inside, so that a read opens
+    one folder and skips the row groups without the key."""
+    df.withColumn("_bucket", _serving_bucket(F.col(key), buckets)).repartition("_bucket").sortWithinPartitions(key) \
+        .write.mode("overwrite").partitionBy("_bucket").parquet(path)
+
+
+def read_serving(spark: SparkSession, path: str, key: str, values: list, buckets: int = SERVING_BUCKETS) -> DataFrame:
+    """The rows of the given keys; their buckets are constants of the plan and prune the scan."""
+    table = spark.read.parquet(path)
+    own = [_serving_bucket(F.lit(v), buckets) for v in values]
+    return table.filter(F.col("_bucket").isin(*own) & F.col(key).isin(values)).drop("_bucket")
+
+
+def refresh_serving(changed: DataFrame, path: str, key: str, buckets: int = SERVING_BUCKETS) -> None:
+    """Exchange the rows of the changed keys. Only buckets that hold one are read and written again; they are put
+    together in the shared folder first, because a folder can't be read and replaced at once."""
+    spark = changed.sparkSession
+    fresh = changed.withColumn("_bucket", _serving_bucket(F.col(key), buckets))
+    table = spark.read.parquet(path)
+    touched = table.join(fresh.select("_bucket").distinct(), "_bucket", "left_semi")
+    merged = touched.join(fresh.select(key), key, "left_anti").unionByName(fresh.select(*table.columns))
+    staged = run_folder(spark, "serving")
+    merged.write.parquet(staged)
+    spark.read.schema(merged.schema).parquet(staged).repartition("_bucket").sortWithinPartitions(key).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+
+
 # --- stored versions -------------------------------------------------------------------------------------------
 
 

@@ -87,18 +87,6 @@ def fold_sink(
     return on_batch
 
 
-def deduplicated(stream: DataFrame, key: str, event_time: str, watermark: str = "1 day") -> DataFrame:
-    """Drop re-deliveries of an id within the watermark; state stays bounded.
-
-    Rows older than the watermark are dropped as late, so it must cover the
-    longest delay that can occur. Where no such bound is known, leave this step
-    out: ``insert_only_sink`` alone is exact for any delay. Event time may be a
-    timestamp without zone; watermarks need one with.
-    """
-    timed = stream.withColumn("_event_time", F.col(event_time).cast("timestamp"))
-    return timed.withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark([key]).drop("_event_time")
-
-
 def insert_only_sink(spark: SparkSession, table: str, key: str,
                      transform: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """Add rows whose key is not stored yet, whatever the age of the earlier delivery.

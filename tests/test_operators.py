@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 import re
 from datetime import datetime
@@ -5,8 +6,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from kinsight.functions.gather import gather_segments
-from kinsight.operators import aggregates, corpus, privacy, quality, search, semantic
+from kinsight.functions.gather import gather
+from kinsight.operators import aggregates, corpus, decisions, privacy, profile, quality, search, semantic
+from kinsight.session import run_folder
+from kinsight.sources import tables
 from kinsight.streaming import incremental
 from scenarios import SETTINGS, Scenarios
 
@@ -30,8 +33,8 @@ def brute_bm25(query):
 def test_bm25_against_brute_force(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, content string")
     want = brute_bm25("red fox the")
-    postings = search.search_index(docs)
-    for got in (search.search(docs, "red fox the"), search.search_postings(postings, search.corpus_stats(postings), "red fox the")):
+    index = search.write_index(docs, run_folder(spark, "index"))
+    for got in (search.search(index, "red fox the"), search.search_postings(index.postings, index.statistics, "red fox the")):
         rows = got.collect()
         assert [r.doc_id for r in rows] == sorted(want, key=lambda k: (-want[k], k))[:5]
         assert all(abs(float(r.score) - want[r.doc_id]) < 1e-6 for r in rows)
@@ -43,22 +46,93 @@ def test_vector_search(spark):
     assert [r.doc_id for r in out] == [1, 2] and abs(float(out[1].score) - 0.6) < 1e-6
 
 
-def test_gathering_splits_a_dominant_key_without_loss(spark):
-    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 1 ELSE id END AS k", "id")
-    out = gather_segments(rows, "k", F.floor(F.col("id") / 50), [F.col("id")], F.col("id"), max_rows=100)
-    crowded = out.filter("k = 1").orderBy("segment").collect()
-    items = [i for r in crowded for i in r["items"]]
-    assert max(len(r["items"]) for r in out.collect()) <= 100 and len(crowded) == 11
-    assert items == sorted(items) and out.select(F.sum(F.size("items"))).first()[0] == 3000
+def test_gathering_is_whole_and_ordered(spark):
+    rows = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN 1 ELSE id END AS k", "id")
+    out = gather(rows, "k", F.floor(F.col("id") / 50), [F.col("id")], F.col("id"))
+    items = out.filter("k = 1").first()["items"]
+    assert len(items) == 3001 and items == sorted(items)
+    assert out.select(F.sum(F.size("items"))).first()[0] == 9000 and out.count() == out.select("k").distinct().count()
 
 
-def test_policy_document_parts_keep_every_line(spark):
+def test_timeline_of_a_busy_customer_is_complete(spark):
+    entries = spark.range(2500).selectExpr(
+        "1L AS customer_id", "CAST(TIMESTAMP_NTZ '2024-01-20 00:00:00' + make_dt_interval(0, 0, id % 1200) AS TIMESTAMP_NTZ) AS interaction_date",
+        "id AS interaction_id", "named_struct('interaction_id', id) AS detail")
+    (row,) = profile.timeline(entries).collect()
+    assert [d.interaction_id for d in row.details] == sorted(range(2500), key=lambda i: (-(i % 1200), i))
+
+
+def test_policy_document_keeps_every_line(spark):
     s = Scenarios(spark)
-    lines = spark.range(25).selectExpr("concat('V', id) AS coverage_id", "'P1' AS policy_id", "'fire' AS coverage_type",
-                                       "CAST(id * 100 AS DECIMAL(12,2)) AS limit_amount", "CAST(1 AS DECIMAL(12,2)) AS deductible_amount")
-    docs = corpus.policy_summaries(s.table("policies"), s.table("customers"), lines, max_lines=10)
-    mine = docs.filter("policy_id = 'P1'").collect()
-    assert len(mine) == 3 and sum(d.content.count("  - Fire") for d in mine) == 25
+    lines = spark.range(2500).selectExpr("concat('V', id) AS coverage_id", "'P1' AS policy_id", "'fire' AS coverage_type",
+                                         "CAST(id % 50 * 100 AS DECIMAL(12,2)) AS limit_amount", "CAST(1 AS DECIMAL(12,2)) AS deductible_amount")
+    docs = corpus.policy_summaries(s.table("policies"), s.table("customers"), lines)
+    (mine,) = docs.filter("policy_id = 'P1'").collect()
+    assert mine.content.count("  - Fire") == 2500
+
+
+def test_search_opens_only_its_buckets_and_no_text(spark):
+    docs = spark.createDataFrame([(i, f"w{i} common" + (" rare" if i == 7 else ""), i % 2) for i in range(50)], "doc_id long, content string, side int")
+    index = search.write_index(docs, run_folder(spark, "index"), ("side",))
+    found = search.search(index, "rare common", k=3)
+    assert [r.doc_id for r in found.orderBy(F.desc("score"), "doc_id").collect()][0] == 7
+    plan = search.scored(index, "rare common")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(term_bucket" in plan or "PartitionFilters: [term_bucket" in plan
+    assert "content" not in plan
+    assert {r.side for r in search.search(index, "common", filters={"side": 1}).collect()} == {1}
+    empty = search.write_index(docs.filter("false"), run_folder(spark, "index"), ("side",))
+    assert search.search(empty, "rare").collect() == []
+
+
+def test_fusion_counts_true_ranks(spark):
+    """A document at text rank 45 and vector rank 101 counts with both ranks."""
+    texts = spark.createDataFrame([(i, 1000.0 - i) for i in range(300)], "doc_id long, score double")
+    order = [1000 + i for i in range(100)] + [44] + [2000 + i for i in range(300)]
+    vectors = spark.createDataFrame([(d, [1.0, n / 100]) for n, d in enumerate(order)], "vec_id long, embedding array<double>")
+    got = search.search_hybrid(texts.withColumn("score", F.col("score").cast(search.SCORE)), vectors, [1.0, 0.0], k=7)
+    rank = {i: (i + 1, None) for i in range(300)}
+    for n, d in enumerate(order):
+        rank[d] = (rank.get(d, (None, None))[0], n + 1)
+    score = {d: round(sum(1 / (60 + r) for r in both if r), 8) for d, both in rank.items()}
+    want = sorted(score, key=lambda d: (-score[d], d))[:7]
+    rows = got.collect()
+    assert [r.doc_id for r in rows] == want and 44 in want
+    assert [(r.text_rank, r.vector_rank) for r in rows] == [rank[d] for d in want]
+
+
+def test_outcomes_of_a_customer_with_many_terms_and_follow_ups(spark):
+    follow = spark.range(10_000).selectExpr("concat('F', id) AS follow_up_id", "1L AS customer_id", "CAST(date_add(DATE '1990-01-01', CAST(id * 2 AS INT)) AS TIMESTAMP_NTZ) AS created_at")
+    terms = spark.range(10_000).selectExpr("1L AS customer_id", "date_add(DATE '1990-01-01', CAST(id * 2 AS INT)) AS effective_date", "'renewed' AS status")
+    out = decisions.action_outcomes(follow, terms, F.lit(dt.date(2100, 1, 1)), 30)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = {r.follow_up_id: r for r in out.collect()}
+    assert len(rows) == 10_000
+    assert all(rows[f"F{i}"].observed_date == dt.date(1990, 1, 1) + dt.timedelta(2 * i + 2) for i in range(0, 9_999, 500))
+    assert rows["F9999"].outcome_type == "no_change"
+
+
+def test_escalations_count_only_within_the_horizon(spark):
+    follow = spark.createDataFrame([("a", 1, dt.datetime(2000, 1, 1)), ("b", 2, dt.datetime(2000, 1, 1))], "follow_up_id string, customer_id long, created_at timestamp_ntz")
+    terms = spark.createDataFrame([], "customer_id long, effective_date date, status string")
+    raised = spark.createDataFrame([(1, dt.date(2000, 1, 5)), (2, dt.date(2000, 3, 5)), (2, dt.date(2000, 1, 1))], "customer_id long, escalated_on date")
+    out = decisions.action_outcomes(follow, terms, F.lit(dt.date(2001, 1, 1)), 30, raised).collect()
+    assert {r.follow_up_id: r.outcome_type for r in out} == {"a": "escalated", "b": "no_change"}
+
+
+def test_serving_table_reads_and_refreshes_single_buckets(spark):
+    path = run_folder(spark, "serving")
+    tables.write_serving(spark.range(1000).selectExpr("id AS k", "0 AS v"), path, "k", buckets=16)
+    tables.refresh_serving(spark.createDataFrame([(5, 1), (2000, 1)], "k long, v int"), path, "k", buckets=16)
+    got = tables.read_serving(spark, path, "k", [5, 6, 2000, 3000], buckets=16)
+    assert "PartitionFilters: [" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.k, r.v) for r in got.collect()) == [(5, 1), (6, 0), (2000, 1)]
+    assert spark.read.parquet(path).count() == 1001 and spark.read.parquet(path).filter("v = 1").count() == 2
+
+
+def test_word_counts_of_awkward_texts(spark):
+    texts = [(1, "b a b"), (2, ""), (3, None), (4, "12 !"), (5, "Ärger ärger x")]
+    got = {r.doc_id: sorted((w.term, w.tf) for w in r.words or []) for r in search.word_counts(spark.createDataFrame(texts, "doc_id long, content string")).collect()}
+    assert got == {1: [("a", 1), ("b", 2)], 2: [], 3: [], 4: [], 5: [("x", 1), ("ärger", 2)]}
 
 
 def test_model_is_complete_and_resolves_terms():

@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from kinsight.plans.queries import QUERIES
+from oracle.sql import ORACLES
 
 SF = "/root/testdata/sf0.001"
 KEYS = ("load_rejects", "upsert_merge", "dim_household", "dim_date", "agg_customer_policy", "sentiment_score",
@@ -25,7 +27,8 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(ORACLES) <= set(oracle_sql()) and set(QUERIES) <= set(queries())
 
 
 @pytest.mark.parametrize("key", KEYS)

@@ -123,15 +123,12 @@ def test_fused_windows_equal_single_definitions(build):
             assert r.avg_current == one[r.customer_id].avg_sentiment_90d
 
 
-def test_crowded_customer_is_segmented_whole(build):
+def test_timeline_is_newest_first(build):
     entries = profile.timeline_entries(build.enriched, SETTINGS.clock)
-    whole = {r.customer_id: [d.interaction_id for d in r.details]
-             for r in profile.timeline_segments(entries).collect()}
-    parts = {}
-    for r in profile.timeline_segments(entries, max_rows=1).orderBy("customer_id", "segment").collect():
-        assert len(r.details) == 1
-        parts.setdefault(r.customer_id, []).extend(d.interaction_id for d in r.details)
-    assert parts == whole and any(len(v) > 2 for v in whole.values())
+    want = {}
+    for r in sorted(entries.collect(), key=lambda r: (-r.interaction_date.timestamp(), r.interaction_id)):
+        want.setdefault(r.customer_id, []).append(r.interaction_id)
+    assert {r.customer_id: [d.interaction_id for d in r.details] for r in profile.timeline(entries).collect()} == want
 
 
 def test_scorer_never_sees_refused_text(spark, build):

@@ -20,7 +20,7 @@ def write(tmp_path, text, name="reps.csv"):
 
 def test_csv_keeps_quotes_breaks_and_nulls(spark, tmp_path):
     path = write(tmp_path, REPS + 'R1,"A ""B"", C\nD",service_rep,TRUE,\nR2, x ,supervisor,FALSE,t\n')
-    rows = landing.read_strict(spark, path, SCHEMAS["service_representatives"]).orderBy("representative_id").collect()
+    rows = landing.read_strict(spark, path, SCHEMAS["service_representatives"], multi_line=True).orderBy("representative_id").collect()
     assert rows[0].name == 'A "B", C\nD' and rows[0].team is None and rows[1].name == " x "
 
 
@@ -42,9 +42,9 @@ def test_lenient_load_splits_rejects(spark, tmp_path):
 def test_load_stamps_and_checks(spark, tmp_path):
     path = write(tmp_path, REPS + "R1,a,service_rep,TRUE,\nR2,b,service_rep,TRUE,x\n")
     df = landing.load_table(spark, "service_representatives", path, "B1", datetime(2025, 1, 1))
-    row = landing.load_check({"reps": df}, {"reps": 2}).first()
+    row = landing.load_check({"reps": df}, spark.createDataFrame([("reps", 2)], "table_name string, expected_rows long")).first()
     assert row.status == "PASS" and row.min_hash_length == 64
-    assert landing.load_check({"reps": df}, {"reps": 3}).first().status == "FAIL"
+    assert landing.load_check({"reps": df}, spark.createDataFrame([("reps", 3)], "table_name string, expected_rows long")).first().status == "FAIL"
     assert {r._source_file for r in df.collect()} == {"reps.csv"}
 
 
