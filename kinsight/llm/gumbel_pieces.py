@@ -41,7 +41,7 @@ class Lattices:
     law on the vocabulary's ranks, to the power ``alpha``: 1 samples by probability, 0 alike; nothing is trained. A character that is no piece is a chain of byte pieces.
     """
 
-    def __init__(self, path: str, alpha: float, limit: int = 10_000_000):
+    def __init__(self, path: str, alpha: float, limit: int = 3_000_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -64,8 +64,9 @@ class Lattices:
 
     def forget(self) -> None:
         self.parts: dict[str, int] = {}
+        self.endings: dict[str, int] = {}
         self.chunks: dict[str, bytes] = {}
-        self.first, self.share = array("q", [0]), array("d")
+        self.first, self.share, self.onward = array("q", [0]), array("d"), array("d")
         self.next, self.piece = array("i"), array("i")
 
     def views(self) -> None:
@@ -93,20 +94,33 @@ class Lattices:
 
     def part(self, text: str) -> int:
         """State at the beginning of a part; builds its lattice when it is new."""
-        known = self.parts.get(text)
+        known = self.endings.get(text) if len(text) <= self.short else None
+        if known is None:
+            known = self.parts.get(text)
         if known is None:
             known = self._plain(text) if len(text) <= self.short else -1
-            known = self.parts[text] = self._general(text) if known < 0 else known
+            if known < 0:
+                known = self.parts[text] = self._general(text)
         return known
 
     def _plain(self, text: str) -> int:
-        """Lattice of a short part whose characters are all pieces: one state a place, the last place first. -1 where
-        a character is none."""
-        n, get, base, size = len(text), self.table.get, len(self.first) - 1, len(self.share)
-        state = [*range(base + n - 1, base - 1, -1), -1]
+        """Lattice of a short part whose characters are all pieces, one state a place; -1 where a character is none.
+
+        What can follow a place depends on the text behind it alone, so parts with the same ending share its states:
+        only the places before the longest known ending are new.
+        """
+        n, get, known, weights = len(text), self.table.get, self.endings, self.onward
+        begin = 1
+        while begin < n and text[begin:] not in known:
+            begin += 1
+        state = [0] * n + [-1]
         onward = [0.0] * n + [1.0]  # weight of all ways from a place to the end
-        share, onto, pieces, first = [], [], [], []
-        for i in range(n - 1, -1, -1):
+        for j in range(begin, n):
+            state[j] = to = known[text[j:]]
+            onward[j] = weights[to]
+        last, size = len(self.first) - 1, len(self.share)
+        share, onto, pieces, first, made = [], [], [], [], []
+        for i in range(begin - 1, -1, -1):
             j, total, ways = i + 1, 0.0, []
             hit = get(text[i])
             if hit is None or hit[0] < 0:
@@ -123,11 +137,14 @@ class Lattices:
                 if j > n:
                     break
                 hit = get(text[i:j])
-            onward[i] = total
+            onward[i], state[i] = total, last
             share += [way / total for way in ways]
             first.append(size + len(share))
-        self._add(share, onto, pieces, first)
-        return base + n - 1
+            made.append(total)
+            last += 1
+        known.update((text[i:], state[i]) for i in range(begin))
+        self._add(share, onto, pieces, first, made)
+        return state[0]
 
     def _general(self, text: str) -> int:
         """Lattice of any part, in logarithms, with chains of bytes; only places that can be reached get states."""
@@ -167,24 +184,33 @@ class Lattices:
             onto.append(to)
             pieces.append(b)
             first.append(size + len(share))
-        self._add(share, onto, pieces, first)
+        self._add(share, onto, pieces, first, [0.0] * len(first))  # endings of such parts aren't shared
         return state[0]
 
-    def _add(self, share: list[float], onto: list[int], pieces: list[int], first: list[int]) -> None:
-        """Append the children of new states, and where those of each state end."""
+    def _add(self, share: list[float], onto: list[int], pieces: list[int], first: list[int], onward: list[float]) -> None:
+        """Append the children of new states, where those of each state end, and the weights of all ways from them."""
+        self.onward.extend(onward)
         self.share.extend(share)
         self.next.extend(onto)
         self.piece.extend(pieces)
         self.first.extend(first)
 
     def _chunk(self, chunk: str) -> bytes:
-        """States at the beginnings of the parts of a chunk, as 64-bit integers."""
-        cuts = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in self.beside]
-        return array("q", [self.part(chunk[a:b]) for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)]).tobytes()
+        """States at the beginnings of the parts of a chunk, as 64-bit integers. A word with closing punctuation is cut
+        between the two, if at all; other chunks wherever no piece goes across."""
+        word = chunk.rstrip(".,;:!?")
+        if word[1:].isalpha():
+            ending = chunk[len(word) :]
+            whole = not ending or word[-1] + ending[0] in self.beside
+            parts = [chunk] if whole else [word, ending]
+        else:
+            cuts = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in self.beside]
+            parts = [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)]
+        return array("q", map(self.part, parts)).tobytes()
 
     def starts(self, texts: list[str]) -> list[np.ndarray]:
         """For each text the states at the beginnings of its parts."""
-        if len(self.share) > self.limit:
+        if len(self.share) > self.limit:  # about a million states
             self.forget()
         if len(self.chunks) > 400_000:
             self.chunks.clear()
@@ -230,7 +256,9 @@ class Lattices:
 def truncated(location: np.ndarray, bound: np.ndarray | float, u: np.ndarray) -> np.ndarray:
     """Gumbel numbers with these locations that do not exceed ``bound``."""
     free = location - np.log(-np.log(u))
-    return np.minimum(bound, -np.logaddexp(-bound, -free))
+    near = np.flatnonzero(free > bound - 40)  # elsewhere the bound changes less than a float can hold
+    free[near] = np.minimum(bound, -np.logaddexp(-bound, -free[near]))
+    return free
 
 
 class Path:
@@ -247,6 +275,28 @@ class Path:
         self.best = float(self.values.max()) if len(self.values) else -math.inf
 
 
+#: So many branches of a path are looked at first. Those behind begin with a probability that falls from piece to
+#: piece; where even the first of them is exp(45) times less likely than the k-th best so far, none is looked at: that
+#: one of them would be taken has a chance below 10^-15.
+FIRST, HOPELESS = 256, 45.0
+
+
+def _nodes(lattices, children, logs, fork, tried, bound, key, sample, most) -> np.ndarray:
+    """Perturbed values of the branches not taken at the first ``most`` pieces from the fork on."""
+    own = slice(fork, min(len(children), fork + most))
+    mass = np.cumsum(logs[: own.stop]) - logs[: own.stop]
+    p = lattices.shares[children[own]]
+    if len(tried) > 1:
+        p[0] = math.fsum(lattices.shares[c] for c in tried)
+    with np.errstate(divide="ignore"):
+        rest = np.where(p < 1 - 1e-12, np.log1p(-np.minimum(p, 1.0)), -np.inf)
+    u = uniform(mixed(np.arange(fork, own.stop).astype(np.uint64) ^ key, 50 + sample))
+    with np.errstate(invalid="ignore"):
+        values = truncated(mass[own] + rest, bound, u)
+    values[~np.isfinite(rest)] = -np.inf
+    return values
+
+
 def sample_group(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[tuple[list[Path], float]]:
     """For each text at most ``k`` distinct paths, best perturbed value first, and the value of the next one."""
     lattices.release()
@@ -270,16 +320,12 @@ def sample_group(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
             new_parts = parts[owners[cuts[n] : cuts[n + 1]] - begins[n]]
             children, all_parts = np.concatenate([before, new]), np.concatenate([parts_before, new_parts])
             logs = np.log(lattices.shares[children])
-            mass = np.cumsum(logs) - logs
-            own, p = slice(fork, len(children)), lattices.shares[children[fork:]]
-            if len(tried) > 1:
-                p[0] = math.fsum(lattices.shares[c] for c in tried)
-            with np.errstate(divide="ignore"):
-                rest = np.where(p < 1 - 1e-12, np.log1p(-np.minimum(p, 1.0)), -np.inf)
-            u = uniform(mixed(np.arange(fork, len(children)).astype(np.uint64) ^ keys[i], 50 + sample))
-            with np.errstate(invalid="ignore"):
-                values = truncated(mass[own] + rest, bound, u)
-            values[~np.isfinite(rest)] = -np.inf
+            values = _nodes(lattices, children, logs, fork, tried, bound, keys[i], sample, FIRST)
+            ahead = fork + len(values)
+            if ahead < len(children):
+                best = np.sort(values)[::-1]
+                if len(best) < k or best[k - 1] < logs[:ahead].sum() + HOPELESS:
+                    values = _nodes(lattices, children, logs, fork, tried, bound, keys[i], sample, len(children))
             found[i].append(Path(children, all_parts, fork, tried, float(logs.sum()), bound, values))
         if sample == k - 1:
             break
