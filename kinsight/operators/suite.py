@@ -3,6 +3,10 @@
 Each product is scanned once: its checks are conditional aggregates of the same
 row, unpivoted afterwards. The acceptance checks that vouch for particular
 customers take a cohort; without one they cover every customer.
+
+The names of the checks that mean the same as the published ones are theirs
+(fixed values); checks on one named customer are about a cohort here and named
+for that.
 """
 
 from __future__ import annotations
@@ -70,19 +74,19 @@ def enrichment_checks(enriched: DataFrame, expected_rows: int | None, expected_c
     repeated = enriched.groupBy("interaction_id").agg(F.count("*").alias("n")).filter("n > 1").agg(
         F.count("*").alias("n"))
     return _rows(m, [
-        ("T01_ENRICHED_ROWS", right_rows, "rows", F.col("rows")),
-        ("T02_CONSENTED_TEXTS_ENRICHED", right_done, "failed", F.col("failed")),
+        ("T01_ENRICHED_TABLE_EXISTS", right_rows, "rows", F.col("rows")),
+        ("T02_CONSENTED_TRANSCRIPTS_ENRICHED", right_done, "failed", F.col("failed")),
         *_zero({
-            "T03_SCORE_NOT_NULL": ("null_score", "completed rows without score"),
-            "T04_SCORE_RANGE": ("out_of_range", "scores out of range"),
-            "T05_LABEL_CONSISTENT": ("mislabelled", "label/score mismatches"),
+            "T03_SENTIMENT_SCORE_NOT_NULL": ("null_score", "completed rows without score"),
+            "T04_SENTIMENT_SCORE_RANGE": ("out_of_range", "scores out of range"),
+            "T05_SENTIMENT_LABEL_CONSISTENT": ("mislabelled", "label/score mismatches"),
             "T06_SUMMARY_POPULATED": ("null_summary", "completed rows without summary"),
-            "T07_TOPIC_ENUM": ("bad_topic", "invalid topics"),
-            "T08_INTENT_ENUM": ("bad_intent", "invalid intents"),
-            "T09_URGENCY_ENUM": ("bad_urgency", "invalid urgencies"),
-            "T11_CONSENT_RESPECTED": ("leaked", "withheld rows with derived values"),
+            "T07_TOPIC_ENUM_VALID": ("bad_topic", "invalid topics"),
+            "T08_INTENT_ENUM_VALID": ("bad_intent", "invalid intents"),
+            "T09_URGENCY_ENUM_VALID": ("bad_urgency", "invalid urgencies"),
+            "T11_CONSENT_WITHHELD_NO_AI": ("leaked", "withheld rows with derived values"),
         }),
-    ]).unionByName(_rows(repeated, [("T10_NO_DUPLICATES", F.col("n") == 0, "repeated interaction ids", F.col("n"))]))
+    ]).unionByName(_rows(repeated, [("T10_ENRICHED_NO_DUPLICATES", F.col("n") == 0, "repeated interaction ids", F.col("n"))]))
 
 
 def cohort_checks(profile: DataFrame, enriched: DataFrame, scored: DataFrame, recommendations: DataFrame,
@@ -152,14 +156,14 @@ def product_checks(signals: DataFrame, weights: DataFrame, actions: DataFrame, r
         .filter("n > 1").agg(F.count("*").alias("n"))
     return union([
         _rows(spread, [
-            ("T17_SIGNALS_POPULATED", F.col("rows") > 0, "signal rows", F.col("rows")),
-            ("T22_SCORES_IN_RANGE", F.col("out_of_range") == 0, "scores outside [0,1]", F.col("out_of_range")),
+            ("T17_RISK_SIGNALS_POPULATED", F.col("rows") > 0, "signal rows", F.col("rows")),
+            ("T22_SIGNAL_SCORES_IN_RANGE", F.col("out_of_range") == 0, "scores outside [0,1]", F.col("out_of_range")),
         ]),
-        _rows(total, [("T23_WEIGHTS_SUM_TO_ONE", F.abs(F.col("total") - 1) < F.lit(Decimal("0.001")),
+        _rows(total, [("T23_SIGNAL_WEIGHTS_SUM_TO_ONE", F.abs(F.col("total") - 1) < F.lit(Decimal("0.001")),
                        "sum of weights", F.col("total"))]),
-        _rows(library, [("T24_ACTION_LIBRARY", F.col("n") == len(ACTIONS), "actions", F.col("n"))]),
-        _rows(offered, [("T25_RECOMMENDATIONS_POPULATED", F.col("n") > 0, "recommendations", F.col("n"))]),
-        _rows(firsts, [("T40_UNIQUE_PRIMARY", F.col("n") == 0, "customers with several primaries", F.col("n"))]),
+        _rows(library, [("T24_ACTION_LIBRARY_LOADED", F.col("n") == len(ACTIONS), "actions", F.col("n"))]),
+        _rows(offered, [("T25_NBA_RECOMMENDATIONS_POPULATED", F.col("n") > 0, "recommendations", F.col("n"))]),
+        _rows(firsts, [("T40_UNIQUE_PRIMARY_NBA_PER_CUSTOMER", F.col("n") == 0, "customers with several primaries", F.col("n"))]),
     ])
 
 
@@ -170,8 +174,8 @@ def cross_layer_checks(enriched: DataFrame, base: DataFrame, signals: DataFrame)
         F.col("signal_type").isin("sentiment_negative", "complaint_activity") & (F.col("signal_score") > 0)
     ).select("customer_id").distinct()
     unbacked = claimed.join(contacted, "customer_id", "left_anti").agg(F.count("*").alias("n"))
-    return _rows(orphans, [("T38_NO_ORPHAN_CUSTOMERS", F.col("n") == 0, "enriched customers not in the base", F.col("n"))]) \
-        .unionByName(_rows(unbacked, [("T39_SIGNALS_HAVE_CONTACTS", F.col("n") == 0,
+    return _rows(orphans, [("T38_NO_ORPHAN_ENRICHED_CUSTOMERS", F.col("n") == 0, "enriched customers not in the base", F.col("n"))]) \
+        .unionByName(_rows(unbacked, [("T39_RISK_SIGNALS_HAVE_INTERACTIONS", F.col("n") == 0,
                                        "contact signals without contacts", F.col("n"))]))
 
 

@@ -422,7 +422,7 @@ def rep_decisions(b: Build) -> DataFrame:
 
 
 class Decisions:
-    """Decision products of one build. Logs are stored when first used and read from there afterwards."""
+    """Decision products of one build. The logs are append-only tables: each session adds its own rows."""
 
     def __init__(self, b: Build):
         self.b, self.made = stored(b), rep_decisions(b)
@@ -430,17 +430,23 @@ class Decisions:
     def _stored(self, name: str, frame: DataFrame) -> DataFrame:
         return self.b._kept(f"decision_{name}", frame)
 
+    def _appended(self, name: str, rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        path = f"{self.b.workspace}/decision_{name}"
+        for session in ("s-0", "s-1"):
+            tables.append_log(rows(self.made.filter(F.col("session_id") == session)), path)
+        return self.b.tables.spark.read.parquet(path)
+
     @cached_property
     def log(self) -> DataFrame:
-        return self._stored("log", decisions.recommendation_log(self.made, self.b.primary))
+        return self._appended("log", lambda made: decisions.recommendation_log(made, self.b.primary))
 
     @cached_property
     def events(self) -> DataFrame:
-        return self._stored("events", decisions.decision_events(self.made, self.log))
+        return self._appended("events", lambda made: decisions.decision_events(made, self.log))
 
     @cached_property
     def follow_ups(self) -> DataFrame:
-        return self._stored("follow_ups", decisions.follow_ups(self.made, self.log))
+        return self._appended("follow_ups", lambda made: decisions.follow_ups(made, self.log))
 
     @cached_property
     def outcomes(self) -> DataFrame:
@@ -528,9 +534,12 @@ def checksum(b: Build) -> DataFrame:
 @query("pipeline_suite")
 def pipeline_suite(b: Build) -> DataFrame:
     s = stored(b)
+    # the customers that the acceptance scenarios describe: unhappy, and soon to renew or decide
+    cohort = risk.scenario_labels(s.wide).filter(
+        "renewal_proximity in ('very_high', 'high') and negative_sentiment_count_90d >= 2").select("customer_id")
     return suite.pipeline_suite(
         s.enriched, s.base, s.profile, s.scored, s.signals, s.recommendations, nba.weight_frame(b.tables.spark),
-        nba.action_frame(b.tables.spark))
+        nba.action_frame(b.tables.spark), cohort)
 
 
 @query("dq_freshness")

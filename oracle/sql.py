@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from kinsight.plans.queries import SEARCH_TEXT, SEARCH_VECTOR
 from oracle.base import CURRENT, NOW, PRIOR, RECENT, TODAY, direction, rdiv, sql, tidy, ts
 
 ORACLES: dict[str, str] = {}
+# what the registered searches ask for
+SEARCH_TEXT = "thble erin thor and"
+SEARCH_VECTOR = [((i * 7) % 11 - 5) / 10.0 for i in range(64)]
 
 
 def add(**queries: str) -> None:
@@ -642,40 +644,41 @@ WITH cohort AS (
              FROM v_signals GROUP BY 1) g ON g.customer_id = p.customer_id
   LEFT JOIN (SELECT customer_id, count(*) AS offers, count(*) FILTER (action_rank = 1) AS firsts,
                max(f1000) FILTER (action_rank = 1) AS best FROM v_recommendations GROUP BY 1) r
-    ON r.customer_id = p.customer_id)
+    ON r.customer_id = p.customer_id
+  WHERE p.customer_id IN (SELECT customer_id FROM v_wide WHERE days_to_renewal <= 30 AND negative_count_90d >= 2))
 """ + union([
-        single("T01_ENRICHED_ROWS", "n > 0", "rows", "SELECT count(*) AS n FROM v_enriched"),
-        enriched("T02_CONSENTED_TEXTS_ENRICHED", "failed", "enrichment_status = 'failed'"),
-        enriched("T03_SCORE_NOT_NULL", "completed rows without score", f"{_COMPLETE} AND s4 IS NULL"),
-        enriched("T04_SCORE_RANGE", "scores out of range", f"{_COMPLETE} AND abs(s4) > 10000"),
-        enriched("T05_LABEL_CONSISTENT", "label/score mismatches",
+        single("T01_ENRICHED_TABLE_EXISTS", "n > 0", "rows", "SELECT count(*) AS n FROM v_enriched"),
+        enriched("T02_CONSENTED_TRANSCRIPTS_ENRICHED", "failed", "enrichment_status = 'failed'"),
+        enriched("T03_SENTIMENT_SCORE_NOT_NULL", "completed rows without score", f"{_COMPLETE} AND s4 IS NULL"),
+        enriched("T04_SENTIMENT_SCORE_RANGE", "scores out of range", f"{_COMPLETE} AND abs(s4) > 10000"),
+        enriched("T05_SENTIMENT_LABEL_CONSISTENT", "label/score mismatches",
                  f"{_COMPLETE} AND NOT ((s4 < -2000 AND sentiment_label = 'negative') OR (s4 > 2000 AND sentiment_label = 'positive')"
                  " OR (abs(s4) <= 2000 AND sentiment_label = 'neutral'))"),
         enriched("T06_SUMMARY_POPULATED", "completed rows without summary", f"{_COMPLETE} AND summary IS NULL"),
-        enriched("T07_TOPIC_ENUM", "invalid topics",
+        enriched("T07_TOPIC_ENUM_VALID", "invalid topics",
                  f"{_COMPLETE} AND primary_topic NOT IN ('billing', 'claims', 'coverage', 'service', 'cancellation', 'general')"),
-        enriched("T08_INTENT_ENUM", "invalid intents",
+        enriched("T08_INTENT_ENUM_VALID", "invalid intents",
                  f"{_COMPLETE} AND primary_intent NOT IN ('complaint', 'inquiry', 'request', 'praise', 'escalation')"),
-        enriched("T09_URGENCY_ENUM", "invalid urgencies", "urgency_level NOT IN ('critical', 'high', 'medium', 'low')"),
-        single("T10_NO_DUPLICATES", "n = 0", "repeated interaction ids",
+        enriched("T09_URGENCY_ENUM_VALID", "invalid urgencies", "urgency_level NOT IN ('critical', 'high', 'medium', 'low')"),
+        single("T10_ENRICHED_NO_DUPLICATES", "n = 0", "repeated interaction ids",
                "SELECT count(*) AS n FROM (SELECT interaction_id FROM v_enriched GROUP BY 1 HAVING count(*) > 1)"),
-        enriched("T11_CONSENT_RESPECTED", "withheld rows with derived values",
+        enriched("T11_CONSENT_WITHHELD_NO_AI", "withheld rows with derived values",
                  "enrichment_status = 'consent_withheld' AND (s4 IS NOT NULL OR summary IS NOT NULL OR primary_topic IS NOT NULL)"),
         cohort("T12_CUSTOMER_EXISTS", "customer_id IS NOT NULL"),
         cohort("T13_TEXTS_ENRICHED", "coalesce(texts, 0) = coalesce(texts_done, 0)"),
         cohort("T14_NEGATIVE_SENTIMENT", "negative_count_90d >= 2"),
         cohort("T15_HAS_COMPLAINT", "complaints >= 1"),
         cohort("T16_SUMMARIES_POPULATED", "coalesce(no_summary, 0) = 0"),
-        single("T17_SIGNALS_POPULATED", "n > 0", "signal rows", "SELECT count(*) AS n FROM v_signals"),
+        single("T17_RISK_SIGNALS_POPULATED", "n > 0", "signal rows", "SELECT count(*) AS n FROM v_signals"),
         cohort("T18_ALL_SIGNAL_TYPES", "signal_types = 8"),
         cohort("T19_RENEWAL_ACTIVE", "renewal_on"),
         cohort("T20_NEGATIVE_ACTIVE", "negative_on"),
         cohort("T21_TIER_ELEVATED", "risk_tier IN ('high', 'critical')"),
-        single("T22_SCORES_IN_RANGE", "n = 0", "scores outside [0,1]",
+        single("T22_SIGNAL_SCORES_IN_RANGE", "n = 0", "scores outside [0,1]",
                "SELECT count(*) AS n FROM v_signals WHERE signal_score < 0 OR signal_score > 1"),
-        single("T23_WEIGHTS_SUM_TO_ONE", "true", "sum of weights", "SELECT '1.00' AS n"),
-        single("T24_ACTION_LIBRARY", "n = 8", "actions", "SELECT count(*) AS n FROM v_actions"),
-        single("T25_RECOMMENDATIONS_POPULATED", "n > 0", "recommendations", "SELECT count(*) AS n FROM v_recommendations"),
+        single("T23_SIGNAL_WEIGHTS_SUM_TO_ONE", "true", "sum of weights", "SELECT '1.00' AS n"),
+        single("T24_ACTION_LIBRARY_LOADED", "n = 8", "actions", "SELECT count(*) AS n FROM v_actions"),
+        single("T25_NBA_RECOMMENDATIONS_POPULATED", "n > 0", "recommendations", "SELECT count(*) AS n FROM v_recommendations"),
         cohort("T26_PRIMARY_EXISTS", "firsts = 1"),
         cohort("T27_PRIMARY_IS_RETENTION", "nba_action_type IN ('retention_outreach', 'complaint_followup')"),
         cohort("T28_HAS_ALTERNATIVES", "offers >= 2"),
@@ -688,12 +691,12 @@ WITH cohort AS (
         cohort("T35_PROFILE_NEGATIVE", "negative_count_90d >= 2"),
         cohort("T36_RENEWAL_IN_WINDOW", "days_to_renewal <= 30 AND days_to_renewal > 0"),
         cohort("T37_PROFILE_ACTION", "nba_action_type IS NOT NULL"),
-        single("T38_NO_ORPHAN_CUSTOMERS", "n = 0", "enriched customers not in the base",
+        single("T38_NO_ORPHAN_ENRICHED_CUSTOMERS", "n = 0", "enriched customers not in the base",
                "SELECT count(DISTINCT customer_id) AS n FROM v_enriched WHERE customer_id NOT IN (SELECT customer_id FROM v_base)"),
-        single("T39_SIGNALS_HAVE_CONTACTS", "n = 0", "contact signals without contacts",
+        single("T39_RISK_SIGNALS_HAVE_INTERACTIONS", "n = 0", "contact signals without contacts",
                "SELECT count(DISTINCT customer_id) AS n FROM v_signals WHERE signal_type IN ('sentiment_negative', "
                "'complaint_activity') AND signal_score > 0 AND customer_id NOT IN (SELECT customer_id FROM v_enriched)"),
-        single("T40_UNIQUE_PRIMARY", "n = 0", "customers with several primaries",
+        single("T40_UNIQUE_PRIMARY_NBA_PER_CUSTOMER", "n = 0", "customers with several primaries",
                "SELECT count(*) AS n FROM (SELECT customer_id FROM v_recommendations WHERE action_rank = 1 GROUP BY 1 HAVING count(*) > 1)"),
     ])
 
