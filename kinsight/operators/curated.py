@@ -63,6 +63,7 @@ def dim_product(policies: DataFrame) -> DataFrame:
         F.initcap(F.replace(kind, F.lit("_"), F.lit(" "))).alias("product_name"),
         F.when(kind == "auto", "Vehicle").when(kind.isin("home", "renters"), "Property")
         .when(kind == "umbrella", "Liability").otherwise("Other").alias("product_category"),
+        *[c for c in ("_source_hash", "_batch_id") if _max_audit(policies)],
     )
 
 
@@ -82,11 +83,12 @@ def dim_coverage(coverages: DataFrame) -> DataFrame:
 
 def dim_channel(interactions: DataFrame) -> DataFrame:
     code = F.col("channel")
-    return interactions.groupBy("channel").agg(F.count("*").alias("_rows")).select(
+    return interactions.groupBy("channel").agg(*(_max_audit(interactions) or [F.count("*").alias("_rows")])).select(
         code.alias("channel_code"),
         F.initcap(code).alias("channel_name"),
         F.when(code.isin("email", "chat"), "Digital").when(code == "phone", "Traditional").otherwise("Other")
         .alias("channel_category"),
+        *[c for c in ("_source_hash", "_batch_id") if _max_audit(interactions)],
     )
 
 

@@ -26,12 +26,19 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], now: Column) -
     )
 
 
+def one_per_key(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """One row per key, the one with the greatest ``by``; a merge needs unique keys on both sides."""
+    others = [c for c in rows.columns if c not in (key, by)]
+    best = rows.groupBy(key).agg(F.max(F.struct(by, *others)).alias("_best"))
+    return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in (by, *others)])
+
+
 def insert_only(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """Source rows whose key the target does not have yet; existing keys are never reprocessed."""
     return source.dropDuplicates([key]).join(target.select(key), key, "left_anti")
 
 
-def dense_keys(df: DataFrame, key: str, name: str, start: int = 0) -> DataFrame:
+def dense_keys(df: DataFrame, key: str, name: str, start: int | Column = 0) -> DataFrame:
     """Numbers start+1, start+2, ... in key order, without a single-task sort.
 
     Rows are range-partitioned and sorted on the key; a row's number is its
@@ -55,13 +62,14 @@ def dense_keys(df: DataFrame, key: str, name: str, start: int = 0) -> DataFrame:
 
 
 def hash_keys(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Surrogate key from the business key alone: no numbering, no shuffle, stable across rebuilds."""
-    return df.withColumn(name, F.xxhash64(F.col(key).cast("string")))
+    """Surrogate key from the business key alone: no numbering, no shuffle, stable across rebuilds and loads. It has
+    128 bits, so that two keys never share one at any table size."""
+    return df.withColumn(name, F.md5(F.col(key).cast("string").cast("binary")))
 
 
 def next_keys(existing: DataFrame, incoming: DataFrame, key: str, name: str) -> DataFrame:
     """Existing rows keep their surrogate key; new business keys continue after the highest one."""
-    highest = existing.agg(F.max(name)).first()[0] or 0
+    highest = existing.agg(F.coalesce(F.max(name), F.lit(0))).scalar()
     fresh = incoming.join(existing.select(key), key, "left_anti")
     return existing.select(key, name).unionByName(dense_keys(fresh, key, name, highest).select(key, name))
 

@@ -141,16 +141,56 @@ _V = ("policy_id", "customer_id", "product_type", "status", "premium_amount")
 OLD = f"(SELECT *, {hash_of(*_V)} AS h FROM v_policies_earlier WHERE effective_date <= DATE '2000-08-01')"
 NEW = (f"(SELECT *, {hash_of(*_V)} AS h FROM v_policies "
        "WHERE NOT (status = 'quoted' AND effective_date < DATE '1996-01-01'))")
+
+
+def load(text: str, key: str, surrogate: str, digest: str | None = None) -> str:
+    """Rows after two loads: surrogate key, lineage (``digest`` is the row hash, unless the rows have it) and times."""
+    marks = f", {digest} AS _source_hash, 'BATCH-2024-02-01' AS _batch_id" if digest else ", 'BATCH-2024-02-01' AS _batch_id"
+    return (f"SELECT *, md5(CAST({key} AS VARCHAR)) AS {surrogate}{marks}, '2023-01-01 00:00:00.000000' AS _loaded_at, "
+            f"'2024-02-01 06:00:00.000000' AS _processed_at FROM ({text})")
+
+
+def source_of(table: str) -> tuple[str, str]:
+    """(view, row hash) of a landed table."""
+    view, columns = next((v, c) for t, v, c in LANDED if t == table)
+    return view, hash_of(*columns)
+
+
+def with_hash(table: str, select: str) -> str:
+    """A projection of a landed table with its row hash."""
+    view, digest = source_of(table)
+    return f"SELECT {select}, {digest} AS _source_hash FROM {view}"
+
+
 add(
-    dim_household="SELECT * REPLACE (CAST(member_count AS BIGINT) AS member_count) FROM v_household",
-    dim_customer=f"SELECT *, {hash_of(*CUSTOMER)} AS _source_hash, 'BATCH-2024-02-01' AS _batch_id, "
-                 "'RAW.RAW_CUSTOMERS' AS _source_table FROM v_customers",
-    dim_product=f"""SELECT DISTINCT product_type, {initcap('product_type')} AS product_name,
+    dim_household=load(
+        "SELECT h.* REPLACE (CAST(member_count AS BIGINT) AS member_count), x._source_hash FROM v_household h JOIN "
+        f"(SELECT household_id, max(_h) AS _source_hash FROM (SELECT household_id, {source_of('customers')[1]} AS _h FROM v_customers) "
+        "GROUP BY 1) x ON x.household_id IS NOT DISTINCT FROM h.household_id", "household_id", "household_sk"),
+    dim_customer=load(with_hash("customers", "*, 'RAW.RAW_CUSTOMERS' AS _source_table"), "customer_id", "customer_sk"),
+    dim_product=load(f"""SELECT product_type, {initcap('product_type')} AS product_name,
         CASE product_type WHEN 'auto' THEN 'Vehicle' WHEN 'home' THEN 'Property' WHEN 'renters' THEN 'Property'
-             WHEN 'umbrella' THEN 'Liability' ELSE 'Other' END AS product_category FROM v_policies""",
-    dim_policy=f"SELECT * REPLACE ({doubles('premium_amount')}), 'RAW.RAW_POLICIES' AS _source_table FROM v_policies",
-    dim_coverage=f"SELECT * REPLACE ({doubles('limit_amount', 'deductible_amount')}), "
-                 "'RAW.RAW_COVERAGES' AS _source_table FROM v_coverages",
+             WHEN 'umbrella' THEN 'Liability' ELSE 'Other' END AS product_category, max(_h) AS _source_hash
+        FROM (SELECT product_type, {source_of('policies')[1]} AS _h FROM v_policies) GROUP BY 1""", "product_type", "product_sk"),
+    dim_policy=load(f"SELECT * REPLACE ({doubles('premium_amount')}) FROM (" + with_hash(
+        "policies", "*, 'RAW.RAW_POLICIES' AS _source_table") + ")", "policy_id", "policy_sk"),
+    dim_coverage=load(f"SELECT * REPLACE ({doubles('limit_amount', 'deductible_amount')}) FROM (" + with_hash(
+        "coverages", "*, 'RAW.RAW_COVERAGES' AS _source_table")
+        + ") QUALIFY row_number() OVER (PARTITION BY coverage_id ORDER BY _source_hash DESC) = 1", "coverage_id", "coverage_sk"),
+    dim_channel=load(f"""SELECT channel AS channel_code, upper(left(channel, 1)) || substr(channel, 2) AS channel_name,
+        CASE WHEN channel IN ('email', 'chat') THEN 'Digital' WHEN channel = 'phone' THEN 'Traditional' ELSE 'Other' END
+            AS channel_category, max(_h) AS _source_hash
+        FROM (SELECT channel, {source_of('interactions')[1]} AS _h FROM v_interactions) GROUP BY 1""", "channel_code", "channel_sk"),
+    dim_service_rep=load("SELECT * REPLACE (active = 'TRUE' AS active) FROM (" + with_hash(
+        "service_representatives", "*, 'RAW.RAW_SERVICE_REPRESENTATIVES' AS _source_table") + ")", "representative_id", "service_rep_sk"),
+    fact_claim=load(f"SELECT * REPLACE ({doubles('reserve_amount', 'paid_amount')}) FROM (" + with_hash(
+        "claims", "*, 'RAW.RAW_CLAIMS' AS _source_table") + ")", "claim_id", "claim_sk"),
+    fact_payment=load(f"SELECT * REPLACE ({doubles('amount', 'amount_paid')}) FROM (" + with_hash(
+        "payments", "*, 'RAW.RAW_PAYMENTS' AS _source_table") + ")", "payment_id", "payment_sk"),
+    fact_interaction=load(f"SELECT * REPLACE ({ts('interaction_date')} AS interaction_date) FROM (" + with_hash(
+        "interactions", "*, CAST(interaction_date AS DATE) AS interaction_date_key, 'RAW.RAW_INTERACTIONS' AS _source_table") + ")",
+        "interaction_id", "interaction_sk"),
+    transcript_content=load(with_hash("transcripts", "*, 'RAW.RAW_TRANSCRIPTS' AS _source_table"), "transcript_id", "transcript_sk"),
     dim_date="""
         WITH d AS (SELECT customer_since AS dt FROM v_customers UNION SELECT effective_date FROM v_policies
           UNION SELECT expiration_date FROM v_policies UNION SELECT bound_date FROM v_policies WHERE bound_date IS NOT NULL
@@ -163,15 +203,6 @@ add(
           month(c) AS month_number, strftime(c, '%b') AS month_name, quarter(c) AS quarter_number, year(c) AS year_number,
           isodow(c) IN (6, 7) AS is_weekend, quarter(c) AS fiscal_quarter, year(c) AS fiscal_year
         FROM (SELECT CAST(unnest(generate_series(min(dt), max(dt), INTERVAL 1 DAY)) AS DATE) AS c FROM d)""",
-    dim_channel="""SELECT DISTINCT channel AS channel_code, upper(left(channel, 1)) || substr(channel, 2) AS channel_name,
-        CASE WHEN channel IN ('email', 'chat') THEN 'Digital' WHEN channel = 'phone' THEN 'Traditional' ELSE 'Other' END
-            AS channel_category FROM v_interactions""",
-    dim_service_rep="SELECT * REPLACE (active = 'TRUE' AS active), 'RAW.RAW_SERVICE_REPRESENTATIVES' AS _source_table FROM v_reps",
-    fact_claim=f"SELECT * REPLACE ({doubles('reserve_amount', 'paid_amount')}), 'RAW.RAW_CLAIMS' AS _source_table FROM v_claims",
-    fact_payment=f"SELECT * REPLACE ({doubles('amount', 'amount_paid')}), 'RAW.RAW_PAYMENTS' AS _source_table FROM v_payments",
-    fact_interaction=f"""SELECT * REPLACE ({ts('interaction_date')} AS interaction_date),
-        CAST(interaction_date AS DATE) AS interaction_date_key, 'RAW.RAW_INTERACTIONS' AS _source_table FROM v_interactions""",
-    transcript_content="SELECT *, 'RAW.RAW_TRANSCRIPTS' AS _source_table FROM v_transcripts",
     scd2_policy=f"""
         SELECT coalesce(o.policy_id, n.policy_id) AS policy_id, x.status, x.valid_from, x.valid_to, x.is_current
         FROM {OLD} o FULL JOIN {NEW} n ON n.policy_id = o.policy_id,
