@@ -168,22 +168,31 @@ def judged(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return stored(both.mapInPandas(run, "a long, b long, similarity double"), "bagminhash-judged")
 
 
-def near_roots(all_nodes: DataFrame, docs: DataFrame, words: int, threshold: float, block: int = 64) -> DataFrame | None:
+def near_roots(
+    all_nodes: DataFrame, docs: DataFrame, words: int, threshold: float, block: int = 64, probes: int = 16
+) -> DataFrame | None:
     """(node, root): the classes of all nodes that have a near one. None where no two nodes share a bucket.
 
-    The members of a bucket are first compared with its smallest node: each node with the smallest of its buckets'
-    smallest, which connects most of a group of copies at once, then with the others that it isn't connected to yet.
-    In the buckets that still have strays, nodes not connected to the smallest, ``block`` strays at a time are compared
-    with all members that they aren't connected to. So every two members of a bucket end up connected or compared, and
-    a group of copies costs one comparison a node, however large it is.
+    A bucket's leader is the member that shares most buckets with others, as the original of many edited copies does.
+    The members are first compared with it: each node with the best of its buckets' leaders, which connects most of a
+    group at once, then with the others that it isn't connected to yet. Strays, nodes not connected to their bucket's
+    leader, meet the next best members, and whichever are left then meet, ``block`` at a time, all members that they
+    aren't connected to, except where distances to the leader differ by more than 1 - threshold: distances are a
+    metric, so such two can't be near. So every two members of a bucket end up connected, compared or ruled out, and
+    a group of copies costs a few comparisons a node, however large it is.
     """
+    far = 1 - threshold + 1e-9
     spread = all_nodes.select("node", F.posexplode("buckets").alias("band", "value"))
     spread = spread.select("node", F.xxhash64("band", "value").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1")
-    members = stored(spread.join(shared.select("bucket", "first"), "bucket"), "bagminhash-members")
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = stored(spread.join(shared, "bucket"), "bagminhash-members")
     if members.isEmpty():
         return None
-    wanted = all_nodes.join(members.select("node").distinct(), "node").select("node", "sha", "keep_id")
+    degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    members = members.select("bucket", "node").join(degrees, "node").withColumn("rank", F.struct("degree", (-F.col("node")).alias("low")))
+    leaders = members.groupBy("bucket").agg(F.max_by("node", "rank").alias("first"), F.max("rank").alias("first_rank"))
+    members = stored(members.join(leaders, "bucket"), "bagminhash-members")
+    wanted = all_nodes.join(degrees.select("node"), "node").select("node", "sha", "keep_id")
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     bare = bare.withColumn("own_sha", F.sha2("text", 256))
     same = (bare["own_sha"] == wanted["sha"]) & bare["doc_id"].eqNullSafe(wanted["keep_id"])
@@ -197,32 +206,50 @@ def near_roots(all_nodes: DataFrame, docs: DataFrame, words: int, threshold: flo
         close = made.filter(F.col("similarity") >= threshold - 1e-12).select("a", "b")
         if not close.isEmpty():
             roots = joined_by(roots, close)
-        return (made if known is None else known.union(made)), roots
+        return (made if known is None else stored(known.union(made), "bagminhash-known")), roots
 
-    stars = members.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    known, roots = judge(stars.groupBy("a").agg(F.min("b").alias("b")), None, None)
-    known, roots = judge(_apart(stars, roots), known, roots)
-    members = members.select("bucket", "node")
+    stars = members.filter("node <> first").groupBy(F.col("node").alias("a"), F.col("first").alias("b"))
+    stars = stored(stars.agg(F.max("first_rank").alias("rank")), "bagminhash-stars")
+    known, roots = judge(stars.groupBy("a").agg(F.max_by("b", "rank").alias("b")), None, None)
+    known, roots = judge(_apart(stars.select("a", "b"), roots), known, roots)
+    members, probing = members.select("bucket", "node", "first", "rank"), True
     while True:
         rooted = members
         if roots is None:
             rooted = rooted.withColumn("root", F.col("node"))
         else:
             rooted = rooted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        main = rooted.groupBy("bucket").agg(F.min(F.struct("node", "root")).alias("main")).select("bucket", "main.root")
-        split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-        rooted = stored(rooted.join(split.select("bucket"), "bucket"), "bagminhash-mixed")
+        ends = rooted.groupBy("bucket").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", "rank").alias("main")
+        )
+        rooted = stored(rooted.join(ends.filter("low < high").select("bucket", "main"), "bucket"), "bagminhash-mixed")
         if rooted.isEmpty():
             return roots
-        strays = rooted.join(main.withColumnRenamed("root", "main"), "bucket").filter("root <> main")
-        nth = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        chosen = strays.withColumn("nth", nth).filter(F.col("nth") <= block)
-        chosen = stored(chosen.select("bucket", F.col("node").alias("stray"), F.col("root").alias("stray_root")), "bagminhash-strays")
-        met = rooted.join(chosen, "bucket").filter("root <> stray_root")
+        best = Window.partitionBy("bucket", F.col("root") == F.col("main")).orderBy(F.desc("rank"))
+        placed = rooted.withColumn("nth", F.row_number().over(best))
+        strays, main = F.col("root") != F.col("main"), F.col("root") == F.col("main")
+        near_leader = known.select(F.col("a").alias("node"), F.col("b").alias("first"), "similarity")
+        if probing:  # all strays with a few members of the main component
+            met = placed.filter(strays).select("bucket", F.col("node").alias("stray")).join(
+                placed.filter(main & (F.col("nth") <= probes)).select("bucket", "node"), "bucket")
+            done = None
+        else:
+            measured = rooted.join(near_leader, ["node", "first"], "left").withColumn(
+                "near", F.when(F.col("node") == F.col("first"), 1.0).otherwise(F.col("similarity"))).drop("similarity")
+            chosen = placed.filter(strays & (F.col("nth") <= block)).select("bucket", "node")
+            chosen = measured.join(chosen, ["bucket", "node"], "left_semi").select(
+                "bucket", F.col("node").alias("stray"), F.col("root").alias("stray_root"), F.col("near").alias("stray_near"))
+            chosen = stored(chosen, "bagminhash-strays")
+            possible = F.coalesce(F.abs(F.col("near") - F.col("stray_near")) <= far, F.lit(True))
+            met = measured.join(chosen, "bucket").filter((F.col("root") != F.col("stray_root")) & possible)
+            done = chosen.select("bucket", F.col("stray").alias("node"))
         pairs = met.select(F.greatest("node", "stray").alias("a"), F.least("node", "stray").alias("b")).distinct()
-        known, roots = judge(pairs, known, roots)
-        done = chosen.select("bucket", F.col("stray").alias("node"))
-        members = stored(rooted.select("bucket", "node").join(done, ["bucket", "node"], "left_anti"), "bagminhash-members")
+        turned = known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        known, roots = judge(pairs.join(turned, ["a", "b"], "left_anti"), known, roots)
+        members = rooted.select("bucket", "node", "first", "rank")
+        if done is not None:
+            members = stored(members.join(done, ["bucket", "node"], "left_anti"), "bagminhash-members")
+        probing = False
 
 
 def _with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
