@@ -99,15 +99,6 @@ def test_scores_and_ranks_stay_in_bounds(build):
     assert sum(SETTINGS.weights.values()) == 1
 
 
-def test_stored_and_fused_profiles_agree(build):
-    stored = profile.assemble_profile(
-        build.base, profile.sentiment_summary(build.windows), risk.summarise_signals(build.signals), build.primary)
-    order = sorted(stored.columns)
-    as_text = [F.to_json(F.struct(*order)).alias("j")]
-    assert sorted(r.j for r in stored.select(*as_text).collect()) == \
-        sorted(r.j for r in build.profile.select(*as_text).collect())
-
-
 def test_row_ranking_equals_window_ranking(build):
     def key(df):
         return sorted((r.customer_id, r.action_rank, r.action_type) for r in df.collect())
