@@ -172,7 +172,7 @@ def successors(docs: DataFrame) -> DataFrame:
 
 
 def edited_versions(docs: DataFrame) -> DataFrame:
-    """One stored row per document: doc_id, n_chars, edited_sha256, and the digests of the text (own), of the edited
+    """One stored row per document: doc_id, next_id (doc_id of the next document), n_chars, edited_sha256, and the digests of the text (own), of the edited
     text (edited) and of the next document (following). The edited text has its last floor(n_chars / 3) code points
     replaced by the first as many, or all, of the next document. A repeated row's next document is its repetition."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -183,10 +183,11 @@ def edited_versions(docs: DataFrame) -> DataFrame:
     placed = texts.join(chain, key).withColumn("nth", nth)
     heads = placed.filter("nth = 1").select(
         *[F.col(b).alias(k) for b, k in zip(before, key, strict=True)],
-        F.expr("left(text, before_need)").alias("head"), digests(F.col("text")).alias("head_digests"),
+        F.col("doc_id").alias("next_id"), F.expr("left(text, before_need)").alias("head"),
+        digests(F.col("text")).alias("head_digests"),
     )
     both = placed.join(heads, key).select(
-        "doc_id", "text", "head", "head_digests",
+        "doc_id", "next_id", "text", "head", "head_digests",
         F.length("text").alias("n"), (F.col("nth") < F.col("times")).alias("repeats"),
         digests(F.col("text")).alias("own"),
     )
@@ -194,7 +195,7 @@ def edited_versions(docs: DataFrame) -> DataFrame:
         "edited_text", F.concat(F.expr("left(text, n - need)"), F.expr("if(repeats, left(text, need), head)"))
     )
     versions = both.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"), "own",
+        "doc_id", F.expr("if(repeats, doc_id, next_id)").alias("next_id"), F.col("n").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"), "own",
         digests(F.col("edited_text")).alias("edited"), F.expr("if(repeats, own, head_digests)").alias("following"),
     )
     return stored(versions.withColumn("row", F.monotonically_increasing_id()), "iblt-versions")
@@ -256,7 +257,8 @@ def likeness(pairs: DataFrame, sizes: tuple[int, ...] = (8, 8, 16, 32, 64, 128))
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
+    next_id.
 
     Equal texts have equal fingerprints; an empty text, or one of blanks, has an empty one, and two such are wholly
     alike. In a table with one document that is its own next document."""
@@ -274,7 +276,9 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
         F.max(F.when(F.col("pair") == "edited", F.col("likeness"))).alias("near_edited"),
         F.max(F.when(F.col("pair") == "next", F.col("likeness"))).alias("near_next"),
     )
-    prints = versions.select(
-        "row", "doc_id", "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"), fingerprint("edited").alias("edited_fingerprint")
-    )
-    return prints.join(near, "row").drop("row")
+    # the tables' texts are made behind the join, which then moves digests only
+    joined = versions.join(near, "row")
+    return joined.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"),
+        fingerprint("edited").alias("edited_fingerprint"), "near_edited", "near_next", "next_id",
+    )
