@@ -169,7 +169,7 @@ def judged(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
 
 def near_roots(
-    all_nodes: DataFrame, docs: DataFrame, words: int, threshold: float, block: int = 64, probes: int = 16
+    all_nodes: DataFrame, docs: DataFrame, words: int, threshold: float, block: int = 256, probes: int = 16
 ) -> DataFrame | None:
     """(node, root): the classes of all nodes that have a near one. None where no two nodes share a bucket.
 
