@@ -1,8 +1,8 @@
 """Document fingerprints as invertible Bloom lookup tables, with DataFrame functions alone.
 
-A text's paragraphs (lines, further cut behind a sentence whose successor begins with one of a few letters, so that
-an insertion moves no other cut; in short texts sentences, or words) have 48-bit digests. A table spreads them over blocks, and in a block each digest
-over three cells, which keep a count and the exclusive-or of digests and of check values. Subtracting two tables
+A text's passages end at words that their own hash chooses, so that an insertion moves no other cut and equal passages
+have equal digests, however long the texts around them are. They have 48-bit digests. A table spreads them over
+blocks, and in a block each digest over three cells, which keep a count and the exclusive-or of digests and of check values. Subtracting two tables
 cancels what both have; a cell with one digest left gives it away, and taking it out of its other cells opens more,
 until all that differs is known. A block that can't be solved is tried again larger: in four parts, then with twice
 the cells, and so on. The likeness of two fingerprints is the Jaccard similarity that the differing digests leave.
@@ -10,6 +10,7 @@ the cells, and so on. The likeness of two fingerprints is the Jaccard similarity
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +18,14 @@ from pyspark.sql import functions as F
 
 from kinsight.llm.common import stored, text_or_empty
 
-#: Where a text is cut, by its length in code points: short ones behind every word or every sentence, long ones at
-#: line breaks and between a sentence's end and a next one that begins with one of a few letters.
+#: Where words end: at white space, before each character of a script without spaces (Thai to Burmese, Khmer, kana, Han)
+#: or beyond the basic plane, and behind each character of a run from its 24th on.
+WORDS = r"\s+|(?=[\u0E00-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\x{10000}-\x{10FFFF}])|(?<=\S{24})"
+#: One in so many distinct words ends a passage (a power of two), and so many words at a text's beginning end one each,
+#: whatever their hash: a short text has passages, too.
+ONE_IN, FIRST = 8, 4
+#: Where ``paragraphs`` cuts, by the text's length in code points: short texts behind every word or every sentence, long
+#: ones at line breaks and between a sentence's end and a next one that begins with one of a few letters.
 CUTS = ((100, r"\s"), (1000, r"\n|(?<=[.!?]) "), (None, r"\n|(?<=[.!?]) (?=[A-D])"))
 #: Digests for which one block of 24 cells is meant; a larger text has a power of two as many blocks.
 BLOCK = 16
@@ -106,12 +113,27 @@ def _attempt(a: str, b: str, cells: int, level: int) -> str:
     return _solved(_subtracted(_cells(a, cells, level), _cells(b, cells, level)), cells, level)
 
 
-def digests(text: Column) -> Column:
-    """Distinct digests of a text's paragraphs; blank ones have none."""
+def passages(text: Column) -> Column:
+    """A text's passages: its first words one by one, then runs of words up to one that its hash chooses, or the text's
+    end. The rule is the same for every length of text; the white space between words doesn't count."""
+    words = F.filter(F.split(text, WORDS), lambda w: w != "")
+    ends = lambda w: F.xxhash64(w).bitwiseAND(F.lit(ONE_IN - 1)) == 0
+    marked = F.transform(words, lambda w, i: F.when((i < FIRST) | ends(w), F.concat(w, F.lit("\n"))).otherwise(w))
+    return F.split(F.array_join(marked, " "), "\n ?")
+
+
+def paragraphs(text: Column) -> Column:
+    """A text's words, sentences or paragraphs, by its length: two texts compare only where ``CUTS`` has one rule for
+    both."""
     cut = F.split(text, CUTS[-1][1])
     for below, pattern in reversed(CUTS[:-1]):
         cut = F.when(F.length(text) < below, F.split(text, pattern)).otherwise(cut)
-    parts = F.filter(cut, lambda p: F.trim(p) != "")
+    return cut
+
+
+def digests(text: Column, cut: Callable[[Column], Column] = paragraphs) -> Column:
+    """Distinct digests of a text's parts; blank ones have none."""
+    parts = F.filter(cut(text), lambda p: F.trim(p) != "")
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(F.trim(p)).bitwiseAND(F.lit((1 << 48) - 1))))
 
 
@@ -171,7 +193,7 @@ def successors(docs: DataFrame) -> DataFrame:
     )
 
 
-def edited_versions(docs: DataFrame) -> DataFrame:
+def edited_versions(docs: DataFrame, cut: Callable[[Column], Column] = paragraphs) -> DataFrame:
     """One stored row per document: doc_id, next_id (doc_id of the next document), n_chars, edited_sha256, and the digests of the text (own), of the edited
     text (edited) and of the next document (following). The edited text has its last floor(n_chars / 3) code points
     replaced by the first as many, or all, of the next document. A repeated row's next document is its repetition."""
@@ -184,19 +206,19 @@ def edited_versions(docs: DataFrame) -> DataFrame:
     heads = placed.filter("nth = 1").select(
         *[F.col(b).alias(k) for b, k in zip(before, key, strict=True)],
         F.col("doc_id").alias("next_id"), F.expr("left(text, before_need)").alias("head"),
-        digests(F.col("text")).alias("head_digests"),
+        digests(F.col("text"), cut).alias("head_digests"),
     )
     both = placed.join(heads, key).select(
         "doc_id", "next_id", "text", "head", "head_digests",
         F.length("text").alias("n"), (F.col("nth") < F.col("times")).alias("repeats"),
-        digests(F.col("text")).alias("own"),
+        digests(F.col("text"), cut).alias("own"),
     )
     both = both.withColumn("need", F.floor(F.col("n") / 3).cast("int")).withColumn(
         "edited_text", F.concat(F.expr("left(text, n - need)"), F.expr("if(repeats, left(text, need), head)"))
     )
     versions = both.select(
         "doc_id", F.expr("if(repeats, doc_id, next_id)").alias("next_id"), F.col("n").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"), "own",
-        digests(F.col("edited_text")).alias("edited"), F.expr("if(repeats, own, head_digests)").alias("following"),
+        digests(F.col("edited_text"), cut).alias("edited"), F.expr("if(repeats, own, head_digests)").alias("following"),
     )
     return stored(versions.withColumn("row", F.monotonically_increasing_id()), "iblt-versions")
 
@@ -256,13 +278,13 @@ def likeness(pairs: DataFrame, sizes: tuple[int, ...] = (8, 8, 16, 32, 64, 128))
     return sums.select("row", "pair", F.when(total == 0, 1.0).otherwise(common / total).alias("likeness"))
 
 
-def document_fingerprints(docs: DataFrame) -> DataFrame:
+def document_fingerprints(docs: DataFrame, cut: Callable[[Column], Column] = paragraphs) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
-    next_id.
+    next_id. Fingerprints of the parts that ``cut`` makes; with ``passages`` texts of any two lengths compare.
 
     Equal texts have equal fingerprints; an empty text, or one of blanks, has an empty one, and two such are wholly
     alike. In a table with one document that is its own next document."""
-    versions = edited_versions(docs)
+    versions = edited_versions(docs, cut)
     pairs = versions.select(
         "row",
         F.explode(

@@ -64,7 +64,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iblt.document_fingerprints(table(spark, sf_dir, "documents"))
+    return iblt.document_fingerprints(table(spark, sf_dir, "documents"), iblt.passages)
 
 
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

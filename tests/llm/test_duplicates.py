@@ -6,6 +6,7 @@ import numpy as np
 
 from kinsight.llm import bagminhash, exact_dedup, iblt
 from kinsight.llm.mixing import mixed
+from kinsight.llm.queries import QUERIES
 from tests.llm.cases import ROWS, SCHEMA, awkward, nothing, texts_of
 
 
@@ -152,6 +153,33 @@ def test_fingerprints_against_sets_of_paragraphs(spark):
     assert got[100].fingerprint == got[3].fingerprint != got[101].fingerprint
 
 
+def test_near_copies_of_any_length_and_script(spark, tmp_path):
+    """Pairs of texts are next to each other by doc_id; the measure beside is of pairs of neighbouring words or letters."""
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(n))[:n]
+    han = "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(1100))
+    more, kinds = " Then one more sentence ends it.", {}
+    kinds["across 100"] = [(t, t + more) for t in (words(n) for n in range(88, 100))]
+    kinds["across 1000"] = [(t, t + more) for t in (words(n) for n in range(960, 1000, 4))]
+    kinds["no cut"] = [(t, t[:600] + " new " + t[620:]) for t in (words(n) for n in range(1100, 3000, 200))]
+    kinds["han"] = [(han[k : k + n], "\u65b0" + han[k : k + n]) for k, n in ((0, 90), (100, 99), (200, 400), (90, 1000))]
+    kinds["one run"] = [(t, "z" + t) for t in ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n)) for n in (400, 999, 2000))]
+    kinds["strange"] = [(words(900), words(1100)) for _ in range(9)]
+    pairs = [(kind, *p) for kind, some in kinds.items() for p in some]
+    rows = [(2 * i + side, p[2 - side]) for i, p in enumerate(pairs) for side in (1, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op8_fingerprints"](spark, str(tmp_path)).collect()}
+
+    def two(text):
+        parts = text.split() if " " in text else list(text)
+        return set(zip(parts, parts[1:]))
+
+    for kind in kinds:
+        found = [(got[2 * i + 1].near_next, alike(two(a), two(b))) for i, (k, a, b) in enumerate(pairs) if k == kind]
+        assert abs(sum(f for f, _ in found) - sum(w for _, w in found)) / len(found) < 0.2, (kind, found)
+    assert all(r.near_edited > 0.1 for r in got.values())
+
+
 def test_fingerprints_of_repeated_and_null_rows(spark):
     got = iblt.document_fingerprints(awkward(spark)).collect()
     assert len(got) == len(ROWS) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
