@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 from kinsight.llm.common import bounded_sample, fold_of, ship
 
+#: Sizes of text for which a bar is learned: powers of two of runs, the last one for all larger texts; and the lengths
+#: of the beginnings of learning texts that stand for shorter ones.
+SIZES, BEGINNINGS = 10, (8, 16, 32, 64, 128, 256, 512)
+
 _SPACES: dict[tuple[int, int, int], LetterSpace] = {}
 
 
@@ -106,12 +110,14 @@ def letter_space(dimensions: int, run: int, seed: int) -> LetterSpace:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Prototypes, one row a language; the languages are in alphabetical order, which settles ties."""
+    """Prototypes, one row a language; the languages are in alphabetical order, which settles ties. ``lengths`` are those
+    of the sums of learning texts, before they were scaled to 1."""
 
     languages: tuple[str, ...]
     prototypes: np.ndarray
     run: int
     seed: int
+    lengths: np.ndarray
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         space = letter_space(self.prototypes.shape[1], self.run, self.seed)
@@ -124,6 +130,18 @@ class LanguageModel:
         score = np.where(known, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0.0)
         return [self.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], score
 
+    def sizes(self, texts: list[str]) -> np.ndarray:
+        """The size class of each text: the power of two below its number of runs, at most ``SIZES`` - 1."""
+        space = letter_space(self.prototypes.shape[1], self.run, self.seed)
+        return np.array([min(SIZES - 1, max(0, len(space.runs(t)).bit_length() - 1)) for t in texts], np.int64)
+
+
+def _sample(docs: DataFrame, most: int, folds: int, held: int) -> DataFrame:
+    """The learning texts: (text, lang)."""
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", folds) != held))
+    return bounded_sample(known, "doc_id", most).select("text", "lang")
+
 
 def fit(
     docs: DataFrame, most: int = 20_000, folds: int = 3, held: int = 1, dimensions: int = 1024, run: int = 3, seed: int = 5
@@ -131,9 +149,7 @@ def fit(
     """Prototypes from about ``most`` texts with a language whose crc32 of doc_id as text modulo ``folds`` isn't
     ``held``. Every text counts alike, whatever its length; tasks send one partial sum a language."""
     ship(docs.sparkSession)
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", folds) != held))
-    sample = bounded_sample(known, "doc_id", most).select("text", "lang")
+    sample = _sample(docs, most, folds, held)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space, held_sums = letter_space(dimensions, run, seed), {}
@@ -152,7 +168,7 @@ def fit(
     prototypes = np.zeros((len(languages), dimensions))
     prototypes[[languages.index(x) for x in found["lang"]], found["dimension"]] = found["value"]
     length = np.linalg.norm(prototypes, axis=1, keepdims=True)
-    return LanguageModel(languages, (prototypes / np.maximum(length, 1e-9)).astype(np.float32), run, seed)
+    return LanguageModel(languages, (prototypes / np.maximum(length, 1e-9)).astype(np.float32), run, seed, length[:, 0] / 1e6)
 
 
 def predictor(model: LanguageModel) -> Column:
@@ -178,9 +194,54 @@ def identify(docs: DataFrame, most: int = 20_000, folds: int = 3, held: int = 1)
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-def accepted(docs: DataFrame, least: float = 0.02, most: int = 20_000) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are in some learned language: their text has letters and
-    its cosine with the best prototype is at least ``least``."""
+def bars(docs: DataFrame, model: LanguageModel, quantile: float, ease: float, most: int, folds: int = 3, held: int = 1) -> np.ndarray:
+    """The least cosine by language and size class: ``ease`` times the ``quantile`` of the learning texts' cosines with
+    the prototype of their own language's other texts. Beginnings of the texts stand for short ones, whose cosines are
+    lower; a class without any takes the next smaller one's bar, and 0 if there is none."""
+    sample = _sample(docs, most, folds, held)
+
+    def cosines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        space, place = letter_space(model.prototypes.shape[1], model.run, model.seed), {x: i for i, x in enumerate(model.languages)}
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                texts, langs = list(batch["text"].iloc[at : at + 500]), list(batch["lang"].iloc[at : at + 500])
+                own = [place[x] for x in langs]
+                whole = space.sums(texts)
+                others = model.prototypes[own] * model.lengths[own, None] - whole
+                others /= np.maximum(np.linalg.norm(others, axis=1, keepdims=True), 1e-3)
+                for n in (None, *BEGINNINGS):
+                    rows = [i for i, t in enumerate(texts) if n is None or len(t) > n]
+                    parts = [texts[i][:n] for i in rows]
+                    sums = whole if n is None else space.sums(parts)
+                    if not sums.any():
+                        continue
+                    found = pd.DataFrame({"lang": [langs[i] for i in rows], "size": model.sizes(parts), "cosine": (sums * others[rows]).sum(axis=1).astype(float)})
+                    yield found[sums.any(axis=1)]
+
+    rows = sample.mapInPandas(cosines, "lang string, size int, cosine double").groupBy("lang", "size")
+    found = {(r["lang"], r["size"]): r["bar"] for r in rows.agg(F.percentile_approx("cosine", quantile, 10_000).alias("bar")).collect()}
+    out = np.zeros((len(model.languages), SIZES))
+    for i, lang in enumerate(model.languages):
+        for size in range(SIZES):
+            out[i, size] = max(0.0, ease * found[lang, size]) if (lang, size) in found else out[i, size - 1] if size else 0.0
+    return out
+
+
+def accepted(docs: DataFrame, quantile: float = 0.01, ease: float = 0.4, most: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are in some learned language: their text has letters, and
+    its cosine with the best prototype reaches the bar that the learning texts set for that language and size."""
     model = fit(docs, most)
-    found = docs.withColumn("__found", predictor(model))
-    return found.filter(F.expr(f"__found.lang_pred <> 'und' and __found.score >= {least}")).select(*docs.columns)
+    least = bars(docs, model, quantile, ease, most)
+
+    @F.pandas_udf("boolean")
+    def reached(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        place = {x: i for i, x in enumerate(model.languages)}
+        for batch in texts:
+            kept = []
+            for at in range(0, len(batch), 500):
+                some = [t or "" for t in batch.iloc[at : at + 500]]
+                langs, scores = model.predict(some)
+                kept += [x in place and c >= least[place[x], n] for x, c, n in zip(langs, scores, model.sizes(some), strict=True)]
+            yield pd.Series(kept, dtype=bool)
+
+    return docs.filter(reached(F.col("text").cast("string")))

@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 import zlib
 
 import numpy as np
@@ -68,6 +69,24 @@ def test_language_takes_awkward_rows_and_empty_tables(spark):
     assert language.accepted(awkward(spark)).columns == awkward(spark).columns
 
 
+def test_texts_in_no_learned_language_go_and_short_ones_stay(spark):
+    rng, docs = random.Random(6), spark.read.parquet(f"{SF}/documents.parquet")
+    alphabets = {
+        "cyrillic": [chr(c) for c in range(0x430, 0x450)], "greek": [chr(c) for c in range(0x3B1, 0x3CA)],
+        "han": [chr(c) for c in range(0x4E00, 0x5200)], "arabic": [chr(c) for c in range(0x627, 0x64B)], "random": list("abcdefghijklmnopqrstuvwxyz"),
+    }
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(2, 9)))
+    made = [(-1 - i, " ".join(word(letters) for _ in range(150)), None) for i, letters in enumerate(a for a in alphabets.values() for _ in range(30))]
+    rows = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    short = docs.filter("length(text) > 100").select((F.col("doc_id") + 10_000_000).alias("doc_id"), F.expr("left(text, 60)").alias("text"), F.lit(None).cast("string").alias("lang"))
+    kept = {r.doc_id for r in language.accepted(rows.unionByName(short)).select("doc_id").collect()}
+    assert sum(i in kept for i, _, _ in made) <= 3
+    clean = {r.doc_id for r in docs.filter("text rlike '[a-z]'").select("doc_id").collect()}
+    assert len(clean - kept) <= 0.005 * len(clean)
+    brief = {r.doc_id for r in short.select("doc_id").collect()}
+    assert len(brief - kept) <= 0.03 * len(brief)
+
+
 def test_profile_is_the_sum_of_bound_letters():
     space = language.LetterSpace(256, 3, 5)
     text = "Ab, é1c"
