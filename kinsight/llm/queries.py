@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsight.llm import bagminhash, chat, exact_dedup, gumbel_pieces, iblt, language, packing, token_files, toxicity, url_filter
+from kinsight.llm import (
+    bagminhash, chat, exact_dedup, gumbel_pieces, iblt, language, packing, phrases, pii, repair, token_files, toxicity, url_filter,
+)
 from kinsight.llm.common import run_folder, table
 from kinsight.llm.encoding import vocabulary_path
 
@@ -76,6 +78,21 @@ def op10_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after their rows are damaged."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.report(repair.damaged(given), given)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
@@ -87,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_bagminhash": op9_bagminhash,
     "op10_gumbel_pieces": op10_gumbel_pieces,
+    "op11_pii": op11_pii,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_collocations": op13_collocations,
 }
 
 #: In ``formatted``, a control string inside a text is one character longer.
@@ -151,5 +171,122 @@ WITH t AS (
   FROM t
 )
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r
+""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE table_ AS (
+  SELECT list(list_reduce(range(8), lambda c, b: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1), i) ORDER BY i) AS t FROM range(256) r(i)
+), source AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations
+), hashed AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS fate
+  FROM source, table_
+), rows_ AS (
+  SELECT conv_id, turn, if(fate = 4, 'user', role) AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(if(fate = 3, 2, 1))) AS nth
+  FROM hashed WHERE fate <> 0
+), marked AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS initial, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+         count(*) OVER (PARTITION BY conv_id) AS rows_
+  FROM rows_
+), faulty AS (
+  SELECT *, CASE WHEN final = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                 WHEN final NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM marked
+), start_ AS (
+  SELECT conv_id, rows_ + 1 AS i, {'c': 0, 's': ''} AS n, {'c': 6, 's': 'II'} AS s, {'c': 3, 's': 'I'} AS u, {'c': 0, 's': ''} AS a
+  FROM faulty WHERE i = rows_
+), back AS (
+  SELECT * FROM start_
+  UNION ALL
+  SELECT conv_id, i, list_min([bn, {'c': u.c + 3, 's': 'I' || u.s}]), list_min([bs, {'c': u.c + 3, 's': 'I' || u.s}]), u, a
+  FROM (
+    SELECT conv_id, i, bn, bs, list_min([bu, {'c': ba.c + 3, 's': 'I' || ba.s}]) AS u, list_min([ba, {'c': bu.c + 3, 's': 'I' || bu.s}]) AS a
+    FROM (
+      SELECT f.conv_id, f.i,
+        list_min([{'c': b.n.c + 4, 's': 'D' || b.n.s}, if(stays, {'c': b.u.c + 3 + e, 's': 'R' || b.u.s}, NULL),
+                  if(stays AND initial = 's', {'c': b.s.c + e, 's': 'K' || b.s.s}, NULL),
+                  if(stays AND initial = 'u', {'c': b.u.c + e, 's': 'K' || b.u.s}, NULL)]) AS bn,
+        list_min([{'c': b.s.c + 4, 's': 'D' || b.s.s}, if(stays, {'c': b.u.c + 3 + e, 's': 'R' || b.u.s}, NULL),
+                  if(stays AND initial = 'u', {'c': b.u.c + e, 's': 'K' || b.u.s}, NULL)]) AS bs,
+        list_min([{'c': b.u.c + 4, 's': 'D' || b.u.s}, if(stays, {'c': b.a.c + 3 + e, 's': 'R' || b.a.s}, NULL),
+                  if(stays AND initial = 'a', {'c': b.a.c + e, 's': 'K' || b.a.s}, NULL)]) AS bu,
+        list_min([{'c': b.a.c + 4, 's': 'D' || b.a.s}, if(stays, {'c': b.u.c + 3 + e, 's': 'R' || b.u.s}, NULL),
+                  if(stays AND initial = 'u', {'c': b.u.c + e, 's': 'K' || b.u.s}, NULL)]) AS ba
+      FROM back b JOIN (SELECT *, fault NOT IN ('b', 'd') AS stays, if(fault = 't', 3, 0) AS e FROM faulty) f
+        ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i - 1
+    )
+  )
+), best AS (
+  SELECT conv_id, n.c AS cost, n.s AS audit FROM back WHERE i = 1
+), walk AS (
+  SELECT conv_id, 0 AS p, 0 AS i, 'n' AS state, '' AS whole, 0 AS kept FROM best
+  UNION ALL
+  SELECT conv_id, p + 1, if(edit = 'I', i, i + 1),
+         CASE WHEN edit = 'D' THEN state WHEN edit = 'K' THEN initial WHEN state = 'u' THEN 'a' ELSE 'u' END,
+         CASE WHEN edit = 'D' THEN whole ELSE whole || if(kept > 0, chr(10), '')
+           || CASE WHEN edit = 'K' THEN role WHEN state = 'u' THEN 'assistant' ELSE 'user' END || ':' || if(edit = 'I', '', text) END,
+         kept + if(edit = 'D', 0, 1)
+  FROM (
+    SELECT w.*, audit[p + 1] AS edit, f.initial, f.role, f.text
+    FROM walk w JOIN best ON best.conv_id IS NOT DISTINCT FROM w.conv_id AND p < length(audit)
+    LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+  )
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM faulty GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN walk w ON w.conv_id IS NOT DISTINCT FROM o.conv_id AND w.p = length(b.audit)
+""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM words GROUP BY lang
+), places AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), sized AS (
+  SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS k FROM places
+), phrases AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, k AS size, count(*) AS a FROM sized GROUP BY ALL
+  HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, phrase, size, a, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM phrases WHERE size > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.size, c.a, l.a AS l, r.a AS r, n, c.k,
+         1000 * CAST(c.a AS HUGEINT) * n // (CAST(l.a AS HUGEINT) * r.a) AS score
+  FROM cuts c JOIN totals USING (lang)
+  JOIN phrases l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(w, 1, k), ' ')
+  JOIN phrases r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(w, k + 1, c.size), ' ')
+), weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT lang, size, a, string_split(phrase, ' ') AS w, unnest(range(2, size)) AS k FROM phrases WHERE size > 2
+), inside AS (
+  SELECT lang, w, a, size, k, unnest(range(1, size - k + 2)) AS i FROM inner_parts
+), longer AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, max(a) AS longer FROM inside GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM weakest LEFT JOIN longer USING (lang, phrase)
+WHERE longer IS NULL OR 100 * longer < 100 * a
+QUALIFY rank <= 2000
 """,
 }
