@@ -184,7 +184,7 @@ def _found(shared):
         for batch in batches:
             rows = []
             for text, digest in zip(batch["body"], batch["digest"], strict=True):
-                hits = {w for w in {w.lower() for w in _WORD.findall(text)} if maybe(w)}
+                hits = {w for w in {w.lower() for w in set(_WORD.findall(text))} if maybe(w)}
                 if not hits:
                     continue
                 taken = sorted({(a, b) for _, a, b in base_spans(text)})
@@ -206,9 +206,8 @@ def _found(shared):
 
 def disclosing(
     scanned: DataFrame, texts: DataFrame, least: int, variety: float, share: float, all_of_it: float
-) -> tuple[DataFrame, DataFrame] | None:
-    """(words that disclose an entity: word, disclosed, kind; where candidate words stand: digest, word, at), or None
-    where no word can.
+) -> tuple[DataFrame, DataFrame]:
+    """(words that disclose an entity: word, disclosed, kind; where candidate words stand: digest, word, at).
 
     A candidate joins an entity in ``least`` different contexts, in ``variety`` of them for each text that joins the
     two, and would disclose enough if it stood nowhere but beside entities. In how many texts it does stand is then
@@ -225,8 +224,6 @@ def disclosing(
     gain = lambda n_word: 1 + F.log(F.col("n_both") / n_word) / F.log(corpus / F.col("n_entity"))
     likely = pairs.join(of_entity, "entity").filter(F.col("n_entity") < corpus).join(beside, "word")
     likely = stored(likely.filter(gain(F.col("n_beside")) >= share), "pii-candidates")
-    if likely.isEmpty():
-        return None
     shared = spark.sparkContext.broadcast(candidate_filter(likely.select("word").distinct()))
     places = texts.mapInPandas(_found(shared), "digest binary, word string, at array<long>")
     places = stored(places.dropDuplicates(["digest", "word"]), "pii-places")
@@ -237,7 +234,7 @@ def disclosing(
 
 
 def personal_data(
-    docs: DataFrame, reach: int = 8, least: int = 3, variety: float = 0.2, share: float = 0.9, all_of_it: float = 0.98
+    docs: DataFrame, reach: int = 8, least: int = 5, variety: float = 0.2, share: float = 0.9, all_of_it: float = 0.98
 ) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base, spans, digest.
 
@@ -254,19 +251,12 @@ def personal_data(
     texts = texts.withColumn("digest", _digest(F.col("body")))
     scanned = stored(texts.mapInPandas(_scanned(reach), SCANNED), "pii-scan")
     result = scanned.drop("contexts")
-    found = disclosing(scanned, texts.select("body", "digest"), least, variety, share, all_of_it)
-    if found is None:
-        spans = result.withColumn("spans", F.col("base"))
-    else:
-        words, places = found
-        one = F.expr("transform(sequence(0, size(at) - 1, 2), i -> struct(kind, at[i] as a, at[i + 1] as b))")
-        added = places.join(words, "word").select("digest", F.explode(one).alias("s")).groupBy("digest").agg(
-            F.concat_ws(",", F.transform(F.sort_array(F.collect_list("s")), lambda s: F.concat_ws(":", s["kind"], s["a"], s["b"]))).alias("added")
-        )
-        empty = F.col("base") == ""
-        spans = result.join(added, "digest", "left").withColumn(
-            "spans", F.when(F.col("added").isNull(), F.col("base")).when(empty, F.col("added")).otherwise(F.concat_ws(",", "base", "added"))
-        ).drop("added")
+    words, places = disclosing(scanned, texts.select("body", "digest"), least, variety, share, all_of_it)
+    one = F.expr("transform(sequence(0, size(at) - 1, 2), i -> struct(kind, at[i] as a, at[i + 1] as b))")
+    each = F.transform(F.sort_array(F.collect_list("s")), lambda s: F.concat_ws(":", s["kind"], s["a"], s["b"]))
+    added = places.join(words, "word").select("digest", F.explode(one).alias("s")).groupBy("digest").agg(F.concat_ws(",", each).alias("added"))
+    both = F.array_join(F.filter(F.array(F.nullif("base", F.lit("")), F.col("added")), lambda x: x.isNotNull()), ",")
+    spans = scanned.drop("contexts").join(added, "digest", "left").withColumn("spans", both).drop("added")
     return spans.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 

@@ -86,7 +86,7 @@ def test_words_that_disclose_by_brute_force(spark):
     for (entity, word), found in joins.items():
         both, marks, n_entity = len({t for t, _ in found}), len({m for _, m in found}), len(beside[entity])
         n_word = sum(word in w for w in words_of.values())
-        if marks >= 3 and marks >= 0.2 * both and n_entity < len(texts):
+        if marks >= 5 and marks >= 0.2 * both and n_entity < len(texts):
             gain = 1 + math.log(both / n_word) / math.log(len(texts) / n_entity)
             disclosed[word] = max(gain, disclosed.get(word, 0))
     kinds = {w: "removed" if g >= 0.98 else "general" for w, g in disclosed.items() if g >= 0.9}
