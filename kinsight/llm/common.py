@@ -43,6 +43,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def emptied(df: DataFrame) -> None:
+    """Give back the space of a table made by ``stored`` that nothing reads any more: its files are replaced by none.
+    ``df`` is the frame that ``stored`` returned, before any change."""
+    folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+    for folder in folders:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(folder)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -52,11 +60,16 @@ def fold_of(name: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def hash_bound(most: int, total: int) -> int:
+    """A signed 64-bit bound below which ``most`` of ``total`` hashes fall on average; it tells shares apart down to
+    one in 2^64, so a sample of a large table is never empty by rounding."""
+    return -(1 << 63) + (most << 64) // total
+
+
 def bounded_sample(rows: DataFrame, key: str, most: int, seed: int = 17) -> DataFrame:
     """About ``most`` rows, chosen by a hash of ``key``; everything when there are fewer. Only classifiers are
     fitted on such a sample; the rows that are judged are never sampled."""
     total = rows.count()
     if total <= most:
         return rows
-    share = int(most / total * 1_000_000)
-    return rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < share)
+    return rows.filter(F.xxhash64(F.col(key), F.lit(seed)) < hash_bound(most, total))

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinsight.llm.common import ship, stored
+from kinsight.llm.common import emptied, ship, stored
 from kinsight.llm.mixing import mixed
 
 #: Where pieces end; words end at spaces and tabs.
@@ -273,6 +273,7 @@ def automaton(docs: DataFrame, least: int, longest: int, block_words: int, cell_
     cells = max(1, -(-mass // cell_words))
     layers = shards.select("block", "lang", "words", "counts").mapInPandas(_word_layers(cells), LAYER)
     rounds = [stored(layers.groupBy("cell").applyInPandas(_united_words(least, cell_words), UNITED), "phrase-states")]
+    walked = shards
     for _ in range(longest - 1):
         mass = rounds[-1].select(F.sum(F.aggregate("weight", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
         cells = max(1, -(-mass // cell_words))
@@ -281,6 +282,8 @@ def automaton(docs: DataFrame, least: int, longest: int, block_words: int, cell_
         grown = stored(walks.groupBy("block").cogroup(numbers.groupBy("block")).applyInPandas(_grown(cells), LAYER), "phrase-layers")
         layers = grown.filter("cell is not null").select("cell", "block", "at", "prefix", "suffix", "counts")
         rounds.append(stored(layers.groupBy("cell").applyInPandas(_united_links(least, cell_words), UNITED), "phrase-states"))
+        emptied(walked)
+        walked = grown
         shards = grown.filter("cell is null")
     return totals, [_states(r) for r in rounds]
 

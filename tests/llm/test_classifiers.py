@@ -146,3 +146,15 @@ def test_split_is_the_most_probable():
         )
         assert math.isclose(score(words.split(text)), max(map(score, ways)))
     assert words.split("cheappillsonline") == ["cheap", "pills", "online"]
+
+
+def test_samples_of_huge_tables_are_bounded_and_not_empty(spark):
+    from pyspark.sql import functions as F
+
+    from kinsight.llm.common import bounded_sample, hash_bound
+
+    for total in (30_000, 2 * 10**10, 5 * 10**10, 10**12, 10**15):
+        share = (hash_bound(20_000, total) + 2**63) / 2**64
+        assert 0.999 < share * total / 20_000 < 1.001
+    rows = spark.range(50_000).withColumn("text", F.lit("x"))
+    assert 1_800 < bounded_sample(rows, "id", 2_000).count() < 2_200

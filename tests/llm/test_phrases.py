@@ -71,3 +71,12 @@ def test_slices_of_long_texts_end_with_a_piece():
     whole.add(text)
     sliced.add(text, slice_bytes=97)
     assert whole.ids == sliced.ids and list(whole.numbers) == list(sliced.numbers)
+
+
+def test_emptied_tables_give_back_their_space(spark):
+    from kinsight.llm.common import emptied, stored
+
+    kept = stored(spark.range(100), "emptied-test")
+    folder = kept.inputFiles()[0].rsplit("/", 1)[0]
+    emptied(kept)
+    assert spark.read.parquet(folder).count() == 0
