@@ -24,6 +24,7 @@ from kinsight.plans.pipeline import Build
 from kinsight.schemas import SCHEMAS
 from kinsight.session import run_folder
 from kinsight.sources import landing, tables
+from kinsight.sources.buckets import Buckets, KeyedLog
 from kinsight.sources.testbed import CLOCK, RULES, SETTINGS, Testbed
 from kinsight.streaming import incremental
 
@@ -647,14 +648,17 @@ simple(
 
 #: The customers that the point read asks for.
 LOOKUP_IDS = [1, 42, 113]
+#: A point read opens one bucket of about so many profiles.
+PROFILES_PER_BUCKET = 20_000
 
 
 @query("profile_lookup")
 def profile_lookup(b: Build) -> DataFrame:
     """The header cards of single customers, read from the stored serving table."""
     folder = run_folder(b.tables.spark, "serving-profile")
-    tables.write_serving(stored(b).profile_with_timeline, folder, "customer_id")
-    return semantic.summary_card(tables.read_serving(b.tables.spark, folder, "customer_id", LOOKUP_IDS))
+    serving = Buckets(b.tables.spark, folder, "customer_id", per_bucket=PROFILES_PER_BUCKET)
+    serving.replace(stored(b).profile_with_timeline, 1)
+    return semantic.summary_card(serving.lookup(LOOKUP_IDS))
 
 
 # --- 2.11 search ---------------------------------------------------------------------------------------------------
@@ -724,9 +728,6 @@ class Feed:
     def stream(self) -> DataFrame:
         return incremental.change_stream(self.spark, self.inbox, self.spark.read.parquet(self.inbox).schema)
 
-    def history(self) -> DataFrame:
-        return self.spark.read.parquet(self.inbox)
-
 
 @query("stream_new_rows")
 def stream_new_rows(b: Build) -> DataFrame:
@@ -746,14 +747,15 @@ def maintained(b: Build, sink) -> tuple[DataFrame, DataFrame]:
     feed.arrive(past(b.interactions))
     on_batch = sink(feed)
     incremental.run_available(feed.stream(), feed.checkpoint, on_batch)
-    before = tables.latest_snapshot(feed.spark, feed.table)
+    kept = Buckets(feed.spark, feed.table, "customer_id")
+    before = kept.read()
     feed.arrive(later(b.interactions))
     incremental.run_available(feed.stream(), feed.checkpoint, on_batch)
-    return before, tables.latest_snapshot(feed.spark, feed.table)
+    return before, kept.read()
 
 
 def recompute(feed: Feed):
-    return incremental.recompute_sink(feed.spark, feed.history, feed.table)
+    return incremental.recompute_sink(feed.spark, KeyedLog(feed.spark, f"{feed.root}/log", "customer_id"), feed.table)
 
 
 def fold(feed: Feed):

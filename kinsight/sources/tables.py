@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinsight.session import run_folder, shared_root
+from kinsight.sources.buckets import Buckets
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], now: Column) -> DataFrame:
@@ -122,7 +123,11 @@ def write_snapshot(df: DataFrame, root: str, version: int) -> str:
 
 
 def latest_snapshot(spark: SparkSession, root: str, below: int | None = None) -> DataFrame | None:
-    """Newest complete version (below a given one), or None. A version counts once its success marker exists."""
+    """Newest complete version (below a given one), or None. A version counts once its success marker exists; tables in
+    buckets know their versions themselves."""
+    bucketed = Buckets(spark, root, "").read(below)
+    if bucketed is not None:
+        return bucketed
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(root)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

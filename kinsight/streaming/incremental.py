@@ -1,14 +1,16 @@
 """Incremental maintenance: change stream in, affected customers recomputed, serving data refreshed.
 
-All sinks work per micro-batch and are idempotent: a batch writes the table
-version that carries its own number, built on the newest version below it, so a
-batch replayed after a failure replaces its own output and nothing else.
+All sinks work per micro-batch and are idempotent: a batch writes the version
+that carries its own number, built on the newest version below it, so a batch
+replayed after a failure replaces its own output and nothing else. Maintained
+tables lie in hash buckets; a batch reads and writes the buckets of the customers
+it touches (``kinsight.sources.buckets``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from kinsight.operators.aggregates import agg_customer_interaction, fold_interaction_delta
-from kinsight.sources.tables import insert_only, latest_snapshot, write_snapshot
+from kinsight.sources.buckets import Buckets, KeyedLog, read_if_there
+from kinsight.sources.known import KnownKeys
 
 
 def change_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1000) -> DataFrame:
@@ -44,78 +47,86 @@ def affected(history: DataFrame, changes: DataFrame, key: str = "customer_id") -
     return history.join(changes.select(key).distinct(), key, "left_semi")
 
 
-def replace_keys(target: DataFrame, recomputed: DataFrame, key: str = "customer_id") -> DataFrame:
-    """Target with the recomputed keys exchanged."""
-    return target.join(recomputed.select(key), key, "left_anti").unionByName(recomputed.select(*target.columns))
-
-
 def recompute_sink(
-    spark: SparkSession, history: Callable[[], DataFrame], table: str,
+    spark: SparkSession, history: KeyedLog | Callable[[], DataFrame], table: str,
     aggregate: Callable[[DataFrame], DataFrame] = agg_customer_interaction,
-    refresh: Callable[[DataFrame], None] | None = None,
+    refresh: Callable[[DataFrame], None] | None = None, key: str = "customer_id", per_bucket: int = 1_000_000,
 ) -> Callable[[DataFrame, int], None]:
-    """Re-aggregate the affected customers over their whole history and merge them into ``table``.
+    """Re-aggregate the affected customers over their whole history and exchange their rows in ``table``.
 
-    For aggregates that cannot be merged from partial results; ``refresh`` is
-    called with the new table version (for example to rebuild the serving table).
+    For aggregates that cannot be merged from partial results. A ``KeyedLog`` as history takes each batch in first and
+    opens only the buckets of its customers; a function gives a table that is scanned. ``refresh`` is called with the
+    re-aggregated rows of the batch, to bring a serving table up to date.
     """
+    kept = Buckets(spark, table, key, per_bucket)
+
     def on_batch(batch: DataFrame, number: int) -> None:
-        target = latest_snapshot(spark, table, below=number + 1)
-        fresh = aggregate(affected(history(), batch))
-        merged = fresh if target is None else replace_keys(target, fresh)
-        path = write_snapshot(merged, table, number + 1)
+        if isinstance(history, KeyedLog):
+            history.append(batch, number)
+            past = history.of_keys(batch.select(key), below=number + 1)
+        else:
+            past = affected(history(), batch, key)
+        pointer = kept.upsert(number + 1, aggregate(past))
         if refresh:
-            refresh(spark.read.parquet(path))
+            fresh = kept.read(below=pointer.version + 1)
+            refresh(fresh.join(batch.select(key).distinct(), key, "left_semi"))
 
     return on_batch
 
 
 def fold_sink(
     spark: SparkSession, table: str, aggregate: Callable[[DataFrame], DataFrame] = agg_customer_interaction,
-    fold: Callable[[DataFrame, DataFrame], DataFrame] = fold_interaction_delta,
+    fold: Callable[[DataFrame, DataFrame], DataFrame] = fold_interaction_delta, key: str = "customer_id",
+    per_bucket: int = 1_000_000,
 ) -> Callable[[DataFrame, int], None]:
-    """Merge the batch's own aggregate into the table: history is never read again.
+    """Merge the batch's own aggregate into the buckets of its customers: neither the history nor another bucket is read.
 
-    The cheap path for counts and maxima; the cost of a batch depends on the
-    batch and on the number of customers, not on the length of the history.
+    The cheap path for counts and maxima; the cost of a batch depends on the batch and the buckets it touches.
     """
+    kept = Buckets(spark, table, key, per_bucket)
+
     def on_batch(batch: DataFrame, number: int) -> None:
         delta = aggregate(batch)
-        target = latest_snapshot(spark, table, below=number + 1)
-        write_snapshot(delta if target is None else fold(target, delta), table, number + 1)
+        kept.change(number + 1, batch.select(key), lambda old: delta if old is None else fold(old, delta))
 
     return on_batch
 
 
+def serving_refresh(serving: Buckets) -> Callable[[DataFrame], None]:
+    """For ``recompute_sink``: exchange the changed rows in a serving table, in the buckets that hold them."""
+
+    def refresh(changed: DataFrame) -> None:
+        pointer = serving.pointer()
+        serving.upsert(1 if pointer is None else pointer.version + 1, changed)
+
+    return refresh
+
+
 def insert_only_sink(spark: SparkSession, table: str, key: str,
                      transform: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """Add rows whose key is not stored yet, whatever the age of the earlier delivery.
 
-    Each batch owns the folder of its number. Rows of earlier batches are the
-    stored table; rows of a half-written replay of the same batch are not.
+    Each batch owns the folder of its number. Which keys are stored is told by their summaries; only key files that may
+    hold a key of the batch are opened. A half-written replay of a batch is not part of what it is compared with.
     """
+    known = KnownKeys(spark, f"{table.rstrip('/')}-known", key)
+
     def on_batch(batch: DataFrame, number: int) -> None:
-        known = stored_batches(spark, table, below=number)
-        fresh = batch.dropDuplicates([key]) if known is None else insert_only(known, batch, key)
+        fresh, _ = known.unseen(batch, number)
         out = transform(fresh) if transform else fresh
-        out.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        path = f"{table}/batch={number}"
+        out.write.mode("overwrite").parquet(path)
+        known.add(spark.read.schema(out.schema).parquet(path), number)
 
     return on_batch
 
 
 def stored_batches(spark: SparkSession, table: str, below: int | None = None) -> DataFrame | None:
     """All rows written by ``insert_only_sink``, optionally only those of earlier batches."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(table)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root) or len(fs.listStatus(root)) == 0:
+    rows = read_if_there(spark, table)
+    if rows is None:
         return None
-    rows = spark.read.option("basePath", table).parquet(table)
-    if below is not None:
-        if below <= 0 and not any(s.getPath().getName() == "batch=-1" for s in fs.listStatus(root)):
-            return None
-        rows = rows.filter(F.col("batch") < below)
-    return rows.drop("batch")
+    return (rows if below is None else rows.filter(F.col("batch") < below)).drop("batch")
 
 
 def before_after(before: DataFrame, after: DataFrame, key: str, column: str) -> DataFrame:
@@ -128,9 +139,14 @@ def before_after(before: DataFrame, after: DataFrame, key: str, column: str) ->
 
 
 def latency_record(query: StreamingQuery, first_seen: datetime) -> dict:
-    """End-to-end latency of the last batch: from the moment the rows were written to the end of the refresh."""
+    """End-to-end latency of the last batch: from the moment the rows were written (a time without zone is UTC) to the
+    end of the batch, as the stream's own progress has it."""
     progress = query.lastProgress
-    finished = datetime.now(tz=first_seen.tzinfo)
+    finished = first_seen
+    if progress:
+        began = datetime.fromisoformat(progress["timestamp"].replace("Z", "+00:00"))
+        finished = began + timedelta(milliseconds=progress["durationMs"].get("triggerExecution", 0))
+        finished = finished.astimezone(first_seen.tzinfo) if first_seen.tzinfo else finished.replace(tzinfo=None)
     return {
         "batch": progress["batchId"] if progress else None,
         "rows": progress["numInputRows"] if progress else 0,
