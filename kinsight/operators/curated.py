@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -227,3 +228,45 @@ def scd2_apply(history: DataFrame, snapshot: DataFrame, key: str, as_of: Column,
     ))
     rows = both.select(F.explode(F.array(old_row, new_row)).alias("r")).filter("r is not null").select("r.*")
     return closed.unionByName(rows)
+
+
+def scd2_insert(
+    history: DataFrame, snapshot: DataFrame, key: str, as_of: date, known: list[date], hash_col: str = "_row_hash"
+) -> DataFrame:
+    """Merge a snapshot of any date into a versioned dimension, so that snapshots give one history in any order.
+
+    ``known`` are the dates of the snapshots that the history was made of; a snapshot says what holds from its date to
+    the next of them. Versions that cover this stretch are split around it, the snapshot's rows fill it, and versions
+    that touch and are the same become one. Only versions that touch the stretch are worked on; the others pass
+    through. A date that is known already is replaced. Keys are unique in the snapshot.
+    """
+    later = [d for d in known if d > as_of]
+    end = F.lit(min(later)) if later else F.lit(None).cast("date")
+    start, forever = F.lit(as_of), F.lit(date.max)
+    business = [c for c in history.columns if c not in ("valid_from", "valid_to", "is_current")]
+    ends = F.coalesce("valid_to", forever)
+    near = (ends >= start) & (F.col("valid_from") <= F.coalesce(end, forever))
+    row = [F.col(c) for c in business]
+    touching = history.filter(near).select(*row, "valid_from", ends.alias("until"))
+    before = touching.filter(F.col("valid_from") < start).select(*row, "valid_from", F.least("until", start).alias("until"))
+    inside = snapshot.select(*row, start.alias("valid_from"), F.coalesce(end, forever).alias("until"))
+    parts = before.unionByName(inside)
+    if later:
+        parts = parts.unionByName(touching.filter(F.col("until") > end).select(*row, F.greatest("valid_from", end).alias("valid_from"), "until"))
+    # at most the versions around the stretch meet for a key: one before, one inside, one after
+    pieces = F.array_sort(F.collect_list(F.struct("valid_from", "until", F.struct(*business).alias("row"))))
+    joined = F.aggregate(
+        "pieces", F.slice("pieces", 1, 0),
+        lambda done, x: F.when(
+            (F.size(done) > 0) & (F.element_at(done, -1)["until"] == x["valid_from"])
+            & F.element_at(done, -1)["row"][hash_col].eqNullSafe(x["row"][hash_col]),
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(
+                F.struct(F.element_at(done, -1)["valid_from"].alias("valid_from"), x["until"].alias("until"), x["row"].alias("row")))),
+        ).otherwise(F.concat(done, F.array(x))),
+    )
+    fresh = parts.groupBy(key).agg(pieces.alias("pieces")).select(F.explode(joined).alias("p")).select(
+        *[F.col(f"p.row.{c}").alias(c) for c in business], F.col("p.valid_from").alias("valid_from"),
+        F.when(F.col("p.until") != forever, F.col("p.until")).alias("valid_to"),
+        (F.col("p.until") == forever).alias("is_current"),
+    )
+    return history.filter(~near).unionByName(fresh.select(*history.columns))

@@ -52,6 +52,11 @@ def row_counts(tables: Tables, expected: DataFrame) -> DataFrame:
         df.agg(F.count("*").alias("actual_rows")).select(F.lit(name).alias("table_name"), "actual_rows")
         for name, df in tables.items()
     ])
+    return counted(counts, expected)
+
+
+def counted(counts: DataFrame, expected: DataFrame) -> DataFrame:
+    """(table_name, actual_rows) against (table_name, expected_rows), wherever the counts come from."""
     return counts.join(expected, "table_name", "left").select(
         "table_name", "actual_rows", "expected_rows",
         verdict(F.col("actual_rows").eqNullSafe(F.col("expected_rows"))).alias("status"),

@@ -23,8 +23,11 @@ from kinsight.operators import (
 from kinsight.plans.pipeline import Build
 from kinsight.schemas import SCHEMAS
 from kinsight.session import run_folder
-from kinsight.sources import landing, tables
+from kinsight.operators.tiles import DayTiles
+from kinsight.sources import landing, loads, tables
 from kinsight.sources.buckets import Buckets, KeyedLog
+from kinsight.sources.checksums import HashedTable, changes
+from kinsight.sources.loads import LandedTable
 from kinsight.sources.testbed import CLOCK, RULES, SETTINGS, Testbed
 from kinsight.streaming import incremental
 
@@ -150,22 +153,47 @@ ALL_TABLES = ("customers", "policies", "coverages", "claims", "payments", "inter
 
 
 def source_counts(b: Build) -> DataFrame:
-    """(table_name, expected_rows): the rows of the files behind each logical table, counted there."""
-    lines = "lineitem"
-    whole = {"customers": "customer", "policies": "orders", "coverages": lines, "interactions": "events",
-             "transcripts": "documents", "service_representatives": "supplier"}
-    part = {"claims": "l_returnflag IN ('R', 'A')", "payments": "l_returnflag = 'N'"}
-    counted = [(name, b.tables.raw(raw)) for name, raw in whole.items()]
-    counted += [(name, b.tables.raw(lines).filter(kept)) for name, kept in part.items()]
-    return quality.union([
-        rows.agg(F.count("*").alias("expected_rows")).select(F.lit(name).alias("table_name"), "expected_rows")
-        for name, rows in counted
-    ])
+    """(table_name, expected_rows): the rows of the files behind each logical table, counted there, each file once."""
+    whole = {"customers": "customer", "policies": "orders", "interactions": "events", "transcripts": "documents",
+             "service_representatives": "supplier"}
+    counted = [
+        b.tables.raw(raw).agg(F.count("*").alias("expected_rows")).select(F.lit(name).alias("table_name"), "expected_rows")
+        for name, raw in whole.items()
+    ]
+    lines = {"coverages": "true", "claims": "l_returnflag IN ('R', 'A')", "payments": "l_returnflag = 'N'"}
+    each = [F.struct(F.lit(name).alias("table_name"), F.count_if(F.expr(kept)).alias("expected_rows")) for name, kept in lines.items()]
+    split = b.tables.raw("lineitem").agg(F.array(*each).alias("each")).select(F.explode("each").alias("e")).select("e.*")
+    return quality.union([*counted, split])
+
+
+def loaded(b: Build) -> DataFrame:
+    """The figures of a full load of all landed tables, one row a table."""
+    folder = run_folder(b.tables.spark, "landed")
+    for name in ALL_TABLES:
+        LandedTable(b.tables.spark, f"{folder}/{name}").load(landed(b, name), 1, full=True)
+    return quality.union([LandedTable(b.tables.spark, f"{folder}/{name}").figures(name) for name in ALL_TABLES])
+
+
+simple(
+    load_figures=lambda b: loaded(b).select("table_name", "rows", "null_hashes", "min_hash_length", "audit_nulls", "rejected", "loads"),
+)
+
+
+@query("full_reload")
+def full_reload(b: Build) -> DataFrame:
+    """A full load, one more batch, then a full load that is repeated: its rows stand once."""
+    table = LandedTable(b.tables.spark, run_folder(b.tables.spark, "reload"))
+    rows = landed(b, "customers")
+    table.load(rows.filter("status = 'active'"), 1, full=True)
+    table.load(rows.filter("status <> 'active'"), 2)
+    for _ in range(2):
+        table.load(rows, 3, full=True)
+    return table.read().select("customer_id", "status", "_batch_id", "_source_file")
 
 
 @query("load_check")
 def load_check(b: Build) -> DataFrame:
-    return landing.load_check({n: hashed(b.tables.table(n)) for n in ALL_TABLES}, source_counts(b))
+    return loads.check(loaded(b), source_counts(b))
 
 
 def now_literal():
@@ -240,6 +268,41 @@ def policy_versions(b: Build) -> tuple[DataFrame, DataFrame]:
     )
 
 
+#: Snapshots of customers: date, and the rows and status that it has.
+CUSTOMER_SNAPSHOTS = {
+    date(2000, 1, 1): ("customer_id % 5 <> 0", "'active'"),
+    date(2000, 6, 1): ("customer_id % 7 <> 0", "status"),
+    date(2001, 8, 1): ("true", "status"),
+}
+
+
+@query("scd2_customer")
+def scd2_customer(b: Build) -> DataFrame:
+    """History of customers; the snapshot in the middle arrives last."""
+    first, middle, last = CUSTOMER_SNAPSHOTS
+    history, known = None, []
+    for day in (first, last, middle):
+        kept, status = CUSTOMER_SNAPSHOTS[day]
+        rows = b.customers.filter(kept).select("customer_id", "household_id", F.expr(status).alias("status"))
+        rows = rows.withColumn("_row_hash", row_hash(rows, ["customer_id", "household_id", "status"]))
+        if history is None:
+            history = rows.limit(0).selectExpr("*", "CAST(NULL AS DATE) AS valid_from", "CAST(NULL AS DATE) AS valid_to", "true AS is_current")
+        history = curated.scd2_insert(history, rows, "customer_id", day, known)
+        known.append(day)
+    return history.select("customer_id", "status", "valid_from", "valid_to", "is_current")
+
+
+@query("change_feed_pruned")
+def change_feed_pruned(b: Build) -> DataFrame:
+    """The changes between two stored versions, from the buckets whose checksums differ."""
+    folder, stored_versions = run_folder(b.tables.spark, "hashed"), []
+    for name, rows in zip(("old", "new"), policy_versions(b), strict=True):
+        table = HashedTable(b.tables.spark, f"{folder}/{name}", "policy_id", leaves=64)
+        table.write(rows)
+        stored_versions.append(table)
+    return changes(*stored_versions)
+
+
 @query("scd2_policy")
 def scd2_policy(b: Build) -> DataFrame:
     old, new = policy_versions(b)
@@ -370,9 +433,20 @@ for _key, _signal in (
 ):
     query(_key)(lambda b, s=_signal: risk.one_signal(b.wide, s))
 
+def day_tiles(b: Build) -> DayTiles:
+    """Contacts and tiles in two deliveries."""
+    tiles, enriched = DayTiles(b.tables.spark, run_folder(b.tables.spark, "tiles")), stored(b).enriched
+    tiles.add(past(enriched), 0)
+    tiles.add(later(enriched), 1)
+    return tiles
+
+
 simple(
     risk_sentiment_windows=lambda b: risk.sentiment_windows(b.enriched, CLOCK),
     interaction_frequency=lambda b: risk.interaction_frequency(b.interactions, CLOCK),
+    tiled_sentiment_summary=lambda b: profile.sentiment_summary(day_tiles(b).engagement_windows(CLOCK)),
+    tiled_risk_windows=lambda b: day_tiles(b).sentiment_windows(CLOCK),
+    tiled_interaction_frequency=lambda b: day_tiles(b).interaction_frequency(CLOCK),
     product_gaps=lambda b: risk.product_gaps(b.agg_policy),
     risk_wide=lambda b: b.wide,
     risk_signals=lambda b: b.signals,
@@ -523,8 +597,8 @@ def logical(b: Build, *names: str) -> dict[str, DataFrame]:
 
 @query("dq_row_counts")
 def dq_row_counts(b: Build) -> DataFrame:
-    """Logical tables against the size of the files they come from."""
-    return quality.row_counts(logical(b), source_counts(b))
+    """What the load counted, against the size of the files it came from: no table is scanned again."""
+    return quality.counted(loaded(b).select("table_name", F.col("rows").alias("actual_rows")), source_counts(b))
 
 
 @query("dq_batch")

@@ -1019,3 +1019,35 @@ add(
         WHERE CAST(interaction_date AS DATE) >= DATE '2024-01-31' - 20
           AND customer_id NOT IN (SELECT customer_id FROM v_customers WHERE status = 'inactive')""",
 )
+
+# --- maintained by what changes ------------------------------------------------------------------------------------
+
+SNAPSHOTS = " UNION ALL ".join(
+    f"SELECT DATE '{day}' AS day, customer_id, household_id, {status} AS status FROM v_customers WHERE {kept}"
+    for day, kept, status in (
+        ("2000-01-01", "customer_id % 5 <> 0", "'active'"), ("2000-06-01", "customer_id % 7 <> 0", "status"),
+        ("2001-08-01", "true", "status")))
+
+add(
+    load_figures=" UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS rows, CAST(0 AS BIGINT) AS null_hashes, CAST(64 AS BIGINT) AS min_hash_length, "
+        f"CAST(0 AS BIGINT) AS audit_nulls, CAST(0 AS BIGINT) AS rejected, CAST(1 AS BIGINT) AS loads FROM {v}" for t, v, _ in LANDED),
+    full_reload="""SELECT customer_id, status, 'BATCH-2024-02-01' AS _batch_id, 'customers.csv' AS _source_file FROM v_customers""",
+    change_feed_pruned=f"SELECT * FROM ({ORACLES['change_feed']}) WHERE change_type <> 'unchanged'",
+    # a version begins where a snapshot has another status than the one before it, or the customer wasn't in that
+    scd2_customer=f"""
+        WITH s AS ({SNAPSHOTS}), days AS (SELECT day, lead(day) OVER (ORDER BY day) AS until, lag(day) OVER (ORDER BY day) AS earlier
+          FROM (SELECT DISTINCT day FROM s)),
+        seen AS (SELECT s.*, until, coalesce(lag(s.day) OVER w = earlier AND lag(status) OVER w = status, false) AS goes_on
+          FROM s JOIN days USING (day) WINDOW w AS (PARTITION BY customer_id ORDER BY s.day)),
+        numbered AS (SELECT *, count(*) FILTER (NOT goes_on) OVER (PARTITION BY customer_id ORDER BY day) AS version FROM seen)
+        SELECT customer_id, any_value(status) AS status, min(day) AS valid_from,
+          nullif(arg_max(coalesce(until, DATE '9999-12-31'), day), DATE '9999-12-31') AS valid_to,
+          arg_max(until IS NULL, day) AS is_current
+        FROM numbered GROUP BY customer_id, version""",
+)
+
+# the same answers, by another way
+ORACLES["tiled_sentiment_summary"] = ORACLES["sentiment_summary"]
+ORACLES["tiled_risk_windows"] = ORACLES["risk_sentiment_windows"]
+ORACLES["tiled_interaction_frequency"] = ORACLES["interaction_frequency"]
