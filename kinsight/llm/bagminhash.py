@@ -7,9 +7,10 @@ component keeps its earliest point; two texts agree in a component with the prob
 similarity. Points are drawn in order of time and only until they can't change a signature any more.
 
 Signatures are cut into bands; documents that share a band's value share a bucket. A bucket is never expanded into
-pairs: its members are compared with its smallest one, and then only those that this leaves unconnected, in blocks,
-with the members they aren't connected to. Similarities that decide are exact, over whole texts. Equal texts are one
-node throughout.
+pairs: its members are compared with its leader, and then only those that this leaves unconnected, in blocks, with the
+members they aren't connected to. Before that, shingles that one text alone has bound what it can share with any
+other; most edited copies that their leader is too far from are too far from everything by this bound. Similarities
+that decide are exact, over whole texts. Equal texts are one node throughout.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinsight.llm.common import ship, stored, text_or_empty
@@ -168,6 +169,33 @@ def judged(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return stored(both.mapInPandas(run, "a long, b long, similarity double"), "bagminhash-judged")
 
 
+def overlaps(texts: DataFrame, of: DataFrame, words: int) -> DataFrame:
+    """(node, size, shared): how many shingle occurrences a text has, and how many are of shingles that another text
+    of the nodes ``of`` has too. No two of these texts share more than the lesser ``shared`` of theirs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for node, text in zip(batch["node"], batch["text"], strict=True):
+                hashes, times = shingles(text, words)
+                own = pd.DataFrame({"node": node, "shingle": hashes.view(np.int64), "times": times}).astype({"shingle": "Int64"})
+                yield own
+                yield pd.DataFrame({"node": [node], "shingle": pd.array([None], "Int64"), "times": [int(times.sum())]})
+
+    counted = texts.join(of, "node", "left_semi").select("node", "text").mapInPandas(run, "node long, shingle long, times long")
+    # a row without a shingle has the size of its text, and is a group of its own
+    whole = F.when(F.col("shingle").isNull(), F.col("node")).alias("whole")
+    single = counted.groupBy("shingle", whole).agg(F.count("*").alias("n"), F.min("node").alias("node"), F.sum("times").alias("times"))
+    size = F.sum(F.when(F.col("shingle").isNull(), F.col("times")))
+    alone = F.coalesce(F.sum(F.when(F.col("shingle").isNotNull(), F.col("times"))), F.lit(0))
+    found = single.filter("n = 1").groupBy("node").agg(size.alias("size"), alone.alias("alone"))
+    return stored(found.select("node", "size", (F.col("size") - F.col("alone")).alias("shared")), "bagminhash-overlaps")
+
+
+def bound(shared: Column, size: Column, other: Column) -> Column:
+    """No text of size ``other`` is more similar than this to one of which only ``shared`` occurs elsewhere."""
+    return shared / (size + other - shared)
+
+
 def near_roots(
     all_nodes: DataFrame, docs: DataFrame, words: int, threshold: float, block: int = 256, probes: int = 16
 ) -> DataFrame | None:
@@ -178,7 +206,8 @@ def near_roots(
     group at once, then with the others that it isn't connected to yet. Strays, nodes not connected to their bucket's
     leader, meet the next best members, and whichever are left then meet, ``block`` at a time, all members that they
     aren't connected to, except where distances to the leader differ by more than 1 - threshold: distances are a
-    metric, so such two can't be near. So every two members of a bucket end up connected, compared or ruled out, and
+    metric, so such two can't be near; or where what either shares with any text at all is too little (``overlaps``).
+    A member for which that holds against the smallest text of the bucket leaves the bucket. So every two members of a bucket end up connected, compared or ruled out, and
     a group of copies costs a few comparisons a node, however large it is.
     """
     far = 1 - threshold + 1e-9
@@ -213,45 +242,61 @@ def near_roots(
     known, roots = judge(stars.groupBy("a").agg(F.max_by("b", "rank").alias("b")), None, None)
     known, roots = judge(_apart(stars.select("a", "b"), roots), known, roots)
     members, probing = members.select("bucket", "node", "first", "rank"), True
+    unsettled = _mixed(members, roots)
+    if unsettled.isEmpty():
+        return roots
+    sizes = overlaps(texts, unsettled.select("node").distinct(), words)
+    members = unsettled.select("bucket", "node", "first", "rank").join(sizes, "node")
+    least = members.groupBy("bucket").agg(F.min("size").alias("least"))
+    nearest = bound(F.col("shared"), F.col("size"), F.greatest("least", "shared"))
+    members = members.join(least, "bucket").filter(nearest >= threshold - 1e-9).drop("least")
     while True:
-        rooted = members
-        if roots is None:
-            rooted = rooted.withColumn("root", F.col("node"))
-        else:
-            rooted = rooted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        ends = rooted.groupBy("bucket").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", "rank").alias("main")
-        )
-        rooted = stored(rooted.join(ends.filter("low < high").select("bucket", "main"), "bucket"), "bagminhash-mixed")
+        rooted = _mixed(members, roots)
         if rooted.isEmpty():
             return roots
         best = Window.partitionBy("bucket", F.col("root") == F.col("main")).orderBy(F.desc("rank"))
         placed = rooted.withColumn("nth", F.row_number().over(best))
         strays, main = F.col("root") != F.col("main"), F.col("root") == F.col("main")
-        near_leader = known.select(F.col("a").alias("node"), F.col("b").alias("first"), "similarity")
+        stray = [F.col(c).alias(f"stray_{c}") for c in ("root", "size", "shared")]
+        lesser = F.least("shared", "stray_shared")
+        enough = bound(lesser, F.col("size"), F.col("stray_size")) >= threshold - 1e-9
         if probing:  # all strays with a few members of the main component
-            met = placed.filter(strays).select("bucket", F.col("node").alias("stray")).join(
-                placed.filter(main & (F.col("nth") <= probes)).select("bucket", "node"), "bucket")
+            met = placed.filter(strays).select("bucket", F.col("node").alias("stray"), *stray).join(
+                placed.filter(main & (F.col("nth") <= probes)).select("bucket", "node", "size", "shared"), "bucket").filter(enough)
             done = None
         else:
+            near_leader = known.select(F.col("a").alias("node"), F.col("b").alias("first"), "similarity")
             measured = rooted.join(near_leader, ["node", "first"], "left").withColumn(
                 "near", F.when(F.col("node") == F.col("first"), 1.0).otherwise(F.col("similarity"))).drop("similarity")
             chosen = placed.filter(strays & (F.col("nth") <= block)).select("bucket", "node")
             chosen = measured.join(chosen, ["bucket", "node"], "left_semi").select(
-                "bucket", F.col("node").alias("stray"), F.col("root").alias("stray_root"), F.col("near").alias("stray_near"))
+                "bucket", F.col("node").alias("stray"), *stray, F.col("near").alias("stray_near"))
             chosen = stored(chosen, "bagminhash-strays")
-            possible = F.coalesce(F.abs(F.col("near") - F.col("stray_near")) <= far, F.lit(True))
+            possible = F.coalesce(F.abs(F.col("near") - F.col("stray_near")) <= far, F.lit(True)) & enough
             met = measured.join(chosen, "bucket").filter((F.col("root") != F.col("stray_root")) & possible)
             done = chosen.select("bucket", F.col("stray").alias("node"))
         pairs = met.select(F.greatest("node", "stray").alias("a"), F.least("node", "stray").alias("b")).distinct()
         turned = known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         known, roots = judge(pairs.join(turned, ["a", "b"], "left_anti"), known, roots)
-        members = rooted.select("bucket", "node", "first", "rank")
+        members = rooted.select("bucket", "node", "first", "rank", "size", "shared")
         if done is not None:
             members = stored(members.join(done, ["bucket", "node"], "left_anti"), "bagminhash-members")
         probing = False
 
 
+def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The members of buckets that are not of one component: with their ``root``, and ``main``, the bucket's component
+    of highest rank."""
+    if roots is None:
+        rooted = members.withColumn("root", F.col("node"))
+    else:
+        rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = rooted.groupBy("bucket").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", "rank").alias("main")
+    )
+    return stored(rooted.join(ends.filter("low < high").select("bucket", "main"), "bucket"), "bagminhash-mixed")
+
+
 def _with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
     of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))

@@ -116,6 +116,32 @@ def test_near_duplicate_classes(spark):
     assert kept.count() == len({(w[1], w[2]) if w[1] is not None else w for w in want})
 
 
+def test_bounds_of_what_texts_share(spark):
+    """A group of edited copies with strays: the bound never falls below a similarity, and rules most strays out."""
+    from kinsight.llm import bagminhash
+
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(300)]
+    edited = lambda share: " ".join(w if rng.random() > share else f"x{rng.random()}" for w in base)
+    texts = [edited(0.01) for _ in range(30)] + [edited(0.08) for _ in range(30)] + ["", "one", "one two one two one two one"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    found = {r.node: r for r in bagminhash.overlaps(frame, frame.select("node"), 5).collect()}
+    bags = [bagminhash.shingles(t, 5) for t in texts]
+    ruled_out = 0
+    for i, a in enumerate(bags):
+        assert found[i].size == a[1].sum()
+        for j, b in enumerate(bags):
+            if i != j and found[i].size + found[j].size:
+                shared = min(found[i].shared, found[j].shared)
+                limit = shared / (found[i].size + found[j].size - shared)
+                assert bagminhash.similarity(a, b) <= limit + 1e-12
+                ruled_out += limit < 0.8 and 30 <= i < 60 and j < 60
+    assert ruled_out > 0.9 * 30 * 59
+    rows = list(enumerate(texts))
+    got = {(r.doc_id, r.class_id, r.class_size) for r in bagminhash.near_duplicates(frame.withColumnRenamed("node", "doc_id")).collect()}
+    assert got == set(classes_by_hand(rows))
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     got = bagminhash.near_duplicates(awkward(spark)).collect()
     assert len(got) == len(ROWS)
