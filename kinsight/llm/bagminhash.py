@@ -7,10 +7,11 @@ component keeps its earliest point; two texts agree in a component with the prob
 similarity. Points are drawn in order of time and only until they can't change a signature any more.
 
 Signatures are cut into bands; documents that share a band's value share a bucket. A bucket is never expanded into
-pairs: its members are compared with its leader, and then only those that this leaves unconnected, in blocks, with the
-members they aren't connected to. Before that, shingles that one text alone has bound what it can share with any
-other; most edited copies that their leader is too far from are too far from everything by this bound. Similarities
-that decide are exact, over whole texts. Equal texts are one node throughout.
+pairs: its members are compared with its leader, which connects most of a group of copies. For members that this leaves
+unconnected, shingles that one text alone has bound what it can share with any other, and rule most of them out. The
+rest are joined by their rarest shingles: two texts that are near share one of the first few, where edited copies
+differ, so that only texts with an edit in common meet. Similarities that decide are exact, over whole texts. Equal
+texts are one node throughout.
 """
 
 from __future__ import annotations
@@ -196,21 +197,45 @@ def bound(shared: Column, size: Column, other: Column) -> Column:
     return shared / (size + other - shared)
 
 
-def near_roots(
-    all_nodes: DataFrame, docs: DataFrame, words: int, threshold: float, block: int = 256, probes: int = 16
-) -> DataFrame | None:
+def rare_tokens(texts: DataFrame, of: DataFrame, words: int, threshold: float) -> DataFrame:
+    """The rarest shingle occurrences of the nodes ``of`` (node, size, least, and more columns that are kept): shingle,
+    kth occurrence and position, in one order for all texts, rarest first.
+
+    Two texts of sizes a and b that reach the threshold share t / (1 + t) (a + b) occurrences, so the first that they
+    share comes early in both: as many are listed as it takes, for partners of at least the size ``least``.
+    Occurrences that no other text has are counted but not listed.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for node, text in zip(batch["node"], batch["text"], strict=True):
+                hashes, times = shingles(text, words)
+                yield pd.DataFrame({"node": node, "shingle": hashes.view(np.int64), "times": times})
+
+    counted = texts.join(of.select("node"), "node", "left_semi").select("node", "text")
+    counted = stored(counted.mapInPandas(run, "node long, shingle long, times long"), "bagminhash-shingles")
+    spread = counted.groupBy("shingle").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("node").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.join(spread, "shingle").withColumn("before", F.coalesce(F.sum("times").over(before), F.lit(0))).join(of, "node")
+    needed = F.ceil(threshold / (1 + threshold) * (F.col("size") + F.greatest("least", threshold * F.col("size"))) - 1e-6)
+    listed = (F.col("size") - needed + 1 - F.col("before")).cast("long")
+    near = placed.withColumn("listed", F.least("times", listed)).filter("listed > 0 and n > 1")
+    kth = F.explode(F.sequence(F.lit(0).cast("long"), F.col("listed") - 1)).alias("kth")
+    kept = [c for c in of.columns if c != "node"]
+    tokens = near.select("node", *kept, "shingle", "before", kth).withColumn("position", F.col("before") + F.col("kth"))
+    return stored(tokens.drop("before"), "bagminhash-tokens")
+
+
+def near_roots(all_nodes: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame | None:
     """(node, root): the classes of all nodes that have a near one. None where no two nodes share a bucket.
 
     A bucket's leader is the member that shares most buckets with others, as the original of many edited copies does.
     The members are first compared with it: each node with the best of its buckets' leaders, which connects most of a
-    group at once, then with the others that it isn't connected to yet. Strays, nodes not connected to their bucket's
-    leader, meet the next best members, and whichever are left then meet, ``block`` at a time, all members that they
-    aren't connected to, except where distances to the leader differ by more than 1 - threshold: distances are a
-    metric, so such two can't be near; or where what either shares with any text at all is too little (``overlaps``).
-    A member for which that holds against the smallest text of the bucket leaves the bucket. So every two members of a bucket end up connected, compared or ruled out, and
-    a group of copies costs a few comparisons a node, however large it is.
+    group at once, then with the others that it isn't connected to yet. A member that shares too little with any text
+    at all to be near the smallest text of the bucket (``overlaps``) leaves the bucket. What is still unconnected in a
+    bucket meets by rare shingles (``rare_tokens``): first the leader of each shingle, then, unless that has connected
+    them, the others. So every two members of a bucket end up connected, compared or ruled out.
     """
-    far = 1 - threshold + 1e-9
     spread = all_nodes.select("node", F.posexplode("buckets").alias("band", "value"))
     spread = spread.select("node", F.xxhash64("band", "value").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -241,47 +266,34 @@ def near_roots(
     stars = stored(stars.agg(F.max("first_rank").alias("rank")), "bagminhash-stars")
     known, roots = judge(stars.groupBy("a").agg(F.max_by("b", "rank").alias("b")), None, None)
     known, roots = judge(_apart(stars.select("a", "b"), roots), known, roots)
-    members, probing = members.select("bucket", "node", "first", "rank"), True
-    unsettled = _mixed(members, roots)
+    unsettled = _mixed(members.select("bucket", "node", "rank"), roots)
     if unsettled.isEmpty():
         return roots
     sizes = overlaps(texts, unsettled.select("node").distinct(), words)
-    members = unsettled.select("bucket", "node", "first", "rank").join(sizes, "node")
-    least = members.groupBy("bucket").agg(F.min("size").alias("least"))
+    sized = unsettled.join(sizes, "node")
+    least = sized.groupBy("bucket").agg(F.min("size").alias("least"))
     nearest = bound(F.col("shared"), F.col("size"), F.greatest("least", "shared"))
-    members = members.join(least, "bucket").filter(nearest >= threshold - 1e-9).drop("least")
-    while True:
-        rooted = _mixed(members, roots)
-        if rooted.isEmpty():
-            return roots
-        best = Window.partitionBy("bucket", F.col("root") == F.col("main")).orderBy(F.desc("rank"))
-        placed = rooted.withColumn("nth", F.row_number().over(best))
-        strays, main = F.col("root") != F.col("main"), F.col("root") == F.col("main")
-        stray = [F.col(c).alias(f"stray_{c}") for c in ("root", "size", "shared")]
-        lesser = F.least("shared", "stray_shared")
-        enough = bound(lesser, F.col("size"), F.col("stray_size")) >= threshold - 1e-9
-        if probing:  # all strays with a few members of the main component
-            met = placed.filter(strays).select("bucket", F.col("node").alias("stray"), *stray).join(
-                placed.filter(main & (F.col("nth") <= probes)).select("bucket", "node", "size", "shared"), "bucket").filter(enough)
-            done = None
-        else:
-            near_leader = known.select(F.col("a").alias("node"), F.col("b").alias("first"), "similarity")
-            measured = rooted.join(near_leader, ["node", "first"], "left").withColumn(
-                "near", F.when(F.col("node") == F.col("first"), 1.0).otherwise(F.col("similarity"))).drop("similarity")
-            chosen = placed.filter(strays & (F.col("nth") <= block)).select("bucket", "node")
-            chosen = measured.join(chosen, ["bucket", "node"], "left_semi").select(
-                "bucket", F.col("node").alias("stray"), *stray, F.col("near").alias("stray_near"))
-            chosen = stored(chosen, "bagminhash-strays")
-            possible = F.coalesce(F.abs(F.col("near") - F.col("stray_near")) <= far, F.lit(True)) & enough
-            met = measured.join(chosen, "bucket").filter((F.col("root") != F.col("stray_root")) & possible)
-            done = chosen.select("bucket", F.col("stray").alias("node"))
-        pairs = met.select(F.greatest("node", "stray").alias("a"), F.least("node", "stray").alias("b")).distinct()
+    left = stored(sized.join(least, "bucket").filter(nearest >= threshold - 1e-9), "bagminhash-left")
+    stray = F.max(F.col("root") != F.col("main")).alias("stray")
+    found = _mixed(left.select("bucket", "node", "rank", "size", "least"), roots)
+    of = found.groupBy("node").agg(F.min("size").alias("size"), F.min("least").alias("least"), F.max("rank").alias("rank"), stray)
+    tokens = rare_tokens(texts, of, words, threshold)
+
+    def unjudged(pairs: DataFrame) -> DataFrame:
         turned = known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        known, roots = judge(pairs.join(turned, ["a", "b"], "left_anti"), known, roots)
-        members = rooted.select("bucket", "node", "first", "rank", "size", "shared")
-        if done is not None:
-            members = stored(members.join(done, ["bucket", "node"], "left_anti"), "bagminhash-members")
-        probing = False
+        ends = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        return _apart(ends.join(turned, ["a", "b"], "left_anti"), roots)
+
+    first = tokens.groupBy("shingle", "kth").agg(F.max_by("node", "rank").alias("y"))
+    known, roots = judge(unjudged(tokens.select(F.col("node").alias("x"), "shingle", "kth").join(first, ["shingle", "kth"]).filter("x <> y")), known, roots)
+    tokens = tokens.withColumn("root", F.col("node")) if roots is None else tokens.join(roots, "node", "left").withColumn(
+        "root", F.coalesce("root", "node"))
+    sides = [tokens.select("shingle", "kth", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "root", "size", "position", "stray")]) for s in "xy"]
+    rest = [F.col(f"{s}_size") - F.col(f"{s}_position") for s in "xy"]
+    share = threshold / (1 + threshold) * (F.col("x_size") + F.col("y_size")) - 1e-6
+    met = sides[0].filter("x_stray").join(sides[1], ["shingle", "kth"]).filter((F.col("x_root") != F.col("y_root")) & (F.least(*rest) >= share))
+    known, roots = judge(unjudged(met.select(F.col("x_node").alias("x"), F.col("y_node").alias("y"))), known, roots)
+    return roots
 
 
 def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:

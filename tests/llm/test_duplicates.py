@@ -142,6 +142,22 @@ def test_bounds_of_what_texts_share(spark):
     assert got == set(classes_by_hand(rows))
 
 
+def test_strays_that_share_their_edits_find_each_other(spark):
+    """One edit in a short text is too far from the original, but texts with the same edit are near."""
+    rng, rows = random.Random(12), []
+    for family in range(2):
+        base = [f"f{family}w{i}" for i in range(40)]
+        for _ in range(120):
+            at, words = rng.randrange(5, 30), list(base)
+            words[at] = f"edit{rng.randrange(3)}"
+            rows.append(" ".join([*words, *rng.choice([[], ["end"], ["end", "more"], ["so"]])]))
+        rows += [" ".join(base), " ".join(base[:38]), " ".join(base + base[:6])]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, bagminhash.near_duplicates(docs).collect()), key=str)
+    assert got == classes_by_hand(rows)
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     got = bagminhash.near_duplicates(awkward(spark)).collect()
     assert len(got) == len(ROWS)
