@@ -526,8 +526,8 @@ class Decisions:
     def _appended(self, name: str, rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
         path = f"{self.b.workspace}/decision_{name}"
         for session in ("s-0", "s-1"):
-            tables.append_log(rows(self.made.filter(F.col("session_id") == session)), path)
-        return self.b.tables.spark.read.parquet(path)
+            tables.append_log(rows(self.made.filter(F.col("session_id") == session)), path, session)
+        return tables.read_log(self.b.tables.spark, path)
 
     @cached_property
     def log(self) -> DataFrame:

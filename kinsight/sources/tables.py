@@ -142,6 +142,10 @@ def latest_snapshot(spark: SparkSession, root: str, below: int | None = None) ->
     return spark.read.parquet(f"{root.rstrip('/')}/{max(found)}") if found else None
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    """Append-only sink of the decision logs."""
-    df.write.mode("append").parquet(path)
+def append_log(df: DataFrame, path: str, batch: str) -> None:
+    """Append one batch to a log of decisions. A batch owns its folder, so one that is retried stands once."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("batch")

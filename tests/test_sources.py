@@ -110,3 +110,12 @@ def test_scd2_and_change_feed(spark):
     assert out.filter("not is_current and valid_from >= valid_to").count() == 0
     feed = {r.k: r.change_type for r in curated.change_feed(old, new, "k").collect()}
     assert feed == {1: "unchanged", 2: "update", 3: "delete", 4: "insert"}
+
+
+def test_a_retried_append_stands_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    tables.append_log(spark.range(3), path, "s-0")
+    for _ in range(2):
+        tables.append_log(spark.range(3, 5), path, "s-1")
+    log = tables.read_log(spark, path)
+    assert log.columns == ["id"] and sorted(r.id for r in log.collect()) == [0, 1, 2, 3, 4]
