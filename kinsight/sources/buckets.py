@@ -28,10 +28,11 @@ def bucket_of(key: str | Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(column.cast("string")), F.lit(buckets)).cast("long")
 
 
-def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
-    """The Parquet table at ``path``, or None where nothing has been written."""
+def read_if_there(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame | None:
+    """The Parquet table at ``path``, or None where nothing has been written. A known schema saves looking for it."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
     try:
-        return spark.read.parquet(path)
+        return reader.parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -72,7 +73,7 @@ class Buckets:
 
     def pointer(self, below: int | None = None) -> Pointer | None:
         """The newest finished version, or the newest below a number."""
-        found = read_if_there(self.spark, f"{self.root}/pointer")
+        found = read_if_there(self.spark, f"{self.root}/pointer", POINTER + ", v long")
         if found is not None and below is not None:
             found = found.filter(F.col("v") < below)
         newest = None if found is None else found.agg(F.max("v")).first()[0]
@@ -107,8 +108,7 @@ class Buckets:
         path = f"{self.root}/data/v={version}"
         rows.withColumn("b", bucket_of(self.key, buckets)).repartition("b").sortWithinPartitions("b", self.key) \
             .write.mode("overwrite").partitionBy("b").parquet(path)
-        fresh = read_if_there(self.spark, path)
-        counts = [] if fresh is None else fresh.groupBy(F.col("b").cast("long").alias("b")).count().collect()
+        counts = self.spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("b", T.LongType())])).parquet(path).groupBy("b").count().collect()
         held = {**kept, **{r["b"]: (version, r["count"]) for r in counts}}
         columns = rows.schema.json()
         listed = [(b, *held.get(b, (None, None)), buckets, columns) for b in range(buckets)]
