@@ -14,6 +14,7 @@ space is handled as by the tokenizer itself: a space in front, and spaces as the
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 from array import array
@@ -31,6 +32,7 @@ MARK = "▁"
 SAMPLES = "doc_id long, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids binary"
 
 _LATTICES: dict[tuple[str, float], Lattices] = {}
+_SPELLINGS: dict[str, Spellings] = {}
 
 
 class Lattices:
@@ -398,3 +400,56 @@ def sample_segmentations(docs: DataFrame, path: str, k: int = 3, alpha: float =
                 start, held = end, 0
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, SAMPLES)
+
+
+def _each_byte(error: UnicodeError) -> tuple[str, int]:
+    """U+FFFD for every byte that belongs to no character."""
+    return "\ufffd" * (error.end - error.start), error.end
+
+
+codecs.register_error("kinsight.each_byte", _each_byte)
+
+
+class Spellings:
+    """What each id stands for, in bytes: a piece's characters, with spaces for the mark, or a byte piece's one byte.
+    Control ids stand for nothing. The unknown id, and every id that the vocabulary doesn't have, is U+2047 between
+    spaces, as the library writes it."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.unknown, self.of = " \u2047 ".encode(), []
+        for i in range(model.get_piece_size()):
+            if model.is_byte(i):
+                self.of.append(bytes([int(model.id_to_piece(i)[3:5], 16)]))
+            elif model.is_unknown(i):
+                self.of.append(self.unknown)
+            else:
+                self.of.append(b"" if model.is_control(i) else model.id_to_piece(i).replace(MARK, " ").encode())
+
+    def text(self, ids: bytes) -> str:
+        of, unknown, n = self.of, self.unknown, len(self.of)
+        joined = b"".join([of[i] if 0 <= i < n else unknown for i in np.frombuffer(ids, "<i4").tolist()])
+        # the space that encoding puts in front; only a piece that begins with the mark, or the byte, can have left it
+        front = joined[:1] == b" " and not joined.startswith(unknown)
+        return joined[front:].decode("utf-8", "kinsight.each_byte")
+
+
+def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "text") -> DataFrame:
+    """``rows`` with the text that the column ``ids`` (little-endian 32-bit integers) spells, in the column ``into``.
+
+    The inverse of ``sample_segmentations``, whichever segmentation was drawn: all samples of a text decode to it,
+    except that a U+2581 in the text comes back as the space that it stands for. Null ids have a null text, no ids the
+    empty text. Bytes that form no character become U+FFFD, one each. Repeated rows stay, and a column that is called
+    like ``into`` is replaced; all other columns are handed through. A row is decoded by itself, so a lost task is
+    simply run again, and no more than one batch of rows is in memory.
+    """
+    ship(rows.sparkSession)
+
+    @F.pandas_udf("string")
+    def spelled(column: pd.Series) -> pd.Series:
+        known = _SPELLINGS.get(path) or _SPELLINGS.setdefault(path, Spellings(path))
+        return pd.Series([None if v is None else known.text(v) for v in column], dtype=object)
+
+    return rows.withColumn(into, spelled(F.col(ids)))

@@ -188,6 +188,38 @@ def test_samples_decode_to_the_text_and_repeat(spark):
     assert gumbel_pieces.sample_segmentations(nothing(spark), PIECES).collect() == []
 
 
+def test_every_sample_decodes_in_spark(spark):
+    from pyspark.sql import functions as F
+
+    given = awkward(spark)
+    found = gumbel_pieces.decode(gumbel_pieces.sample_segmentations(given, PIECES, k=3), PIECES)
+    want = {}
+    for doc_id, text in texts_of(ROWS):
+        want.setdefault(doc_id, set()).add(text)
+    rows = found.collect()
+    assert {i: {r.text for r in rows if r.doc_id == i} for i in want} == want
+    clashing = given.withColumn("ids", F.when(F.col("doc_id") != 3, F.lit(b"")))
+    back = gumbel_pieces.decode(clashing, PIECES).collect()
+    assert len(back) == len(ROWS) and {r.text for r in back} == {"", None} and back[0].source is not None
+    assert gumbel_pieces.decode(nothing(spark), PIECES).collect() == []
+
+
+def test_decoding_is_the_librarys():
+    import sentencepiece
+
+    model, known = sentencepiece.SentencePieceProcessor(model_file=PIECES), gumbel_pieces.Spellings(PIECES)
+    rng = np.random.default_rng(4)
+    size = model.get_piece_size()
+    alike = [i for i in range(size) if not model.is_byte(i)]
+    broken = [i for i in range(size) if model.is_byte(i)][128:]
+    for _ in range(2000):
+        ids = [int(rng.choice(broken if rng.random() < 0.3 else alike)) for _ in range(rng.integers(0, 12))]
+        assert known.text(np.array(ids, "<i4").tobytes()) == model.decode(ids), ids
+    for text in ("", "  two  spaces ", "a\tb\nc", "日本語 🎉 e\u0301", "x" * 5000):
+        assert known.text(np.array(model.encode(text), "<i4").tobytes()) == model.decode(model.encode(text))
+    assert known.text(np.array([-5, size + 9], "<i4").tobytes()) == " \u2047  \u2047 "
+
+
 def test_long_part_without_a_cut():
     lattices = gumbel_pieces.Lattices(PIECES, 0.2)
     text = "abcde" * 800
