@@ -8,7 +8,9 @@ A scorer is any function DataFrame -> DataFrame that adds two columns to the
 rows it is given: ``sentiment_raw`` (number in [-1, 1] or NULL) and
 ``extraction_raw`` (JSON text with summary, intent, urgency and topic). It reads
 ``scorable_text``, which is NULL wherever consent is refused, so refused text
-cannot reach a scorer, built-in or plugged in.
+cannot reach a scorer, built-in or plugged in. A scorer may add ``scorer_error``,
+why a text has no result (``scoring.batched_scorer`` does). Products keep summaries,
+raw output and errors whole; ``shown`` cuts them for display.
 """
 
 from __future__ import annotations
@@ -81,7 +83,8 @@ def score_transcripts(transcripts: DataFrame, rules: TextRules, scorer: Scorer |
         F.coalesce(tx.like_any(F.lower("raw_text"), rules.escalation_patterns), F.lit(False)).alias("text_escalates"),
         F.when(~refused, F.col("raw_text")).alias("scorable_text"),
     )
-    return (scorer or lexicon_scorer(rules))(gated).drop("scorable_text")
+    scored = (scorer or lexicon_scorer(rules))(gated).drop("scorable_text")
+    return scored if "scorer_error" in scored.columns else scored.withColumn("scorer_error", F.lit(None).cast("string"))
 
 
 IN_RANGE = "coalesce(sentiment_raw BETWEEN -1 AND 1, false)"
@@ -94,7 +97,7 @@ def _closed(name: str, allowed: tuple[str, ...], default: str) -> str:
 
 
 def validated(scored: DataFrame) -> DataFrame:
-    """Check the scorer's output: range, closed enumerations, safe defaults, length limits.
+    """Check the scorer's output: range, closed enumerations, safe defaults.
 
     The JSON is parsed once into a variant; every field is read from it with a
     try-cast, so malformed or adversarial output can only become a default.
@@ -108,11 +111,11 @@ def validated(scored: DataFrame) -> DataFrame:
         f"CAST(CASE WHEN {IN_RANGE} THEN round(sentiment_raw, 4) END AS {SCORE}) AS sentiment_score",
         "CASE WHEN sentiment_raw < -0.2 THEN 'negative' WHEN sentiment_raw > 0.2 THEN 'positive' "
         "WHEN sentiment_raw IS NOT NULL THEN 'neutral' END AS sentiment_label",
-        "left(try_variant_get(_json, '$.summary', 'string'), 500) AS summary",
+        "try_variant_get(_json, '$.summary', 'string') AS summary",
         _closed("topic", TOPICS, f"'{DEFAULT_TOPIC}'") + " AS primary_topic",
         _closed("intent", INTENTS, f"'{DEFAULT_INTENT}'") + " AS primary_intent",
         _closed("urgency", URGENCIES, "NULL") + " AS extracted_urgency",
-        "left(extraction_raw, 2000) AS extraction_raw",
+        "extraction_raw",
         "_json IS NOT NULL AS json_ok",
     )
 
@@ -126,6 +129,25 @@ URGENCY = (
 )
 
 
+NOT_JSON, RAISED = "extraction returned non-JSON: ", "scorer raised: "
+
+
+def shown(enriched: DataFrame, summary: int | None = 500, raw: int | None = 2000, error: int | None = 200) -> DataFrame:
+    """The product as a page shows it: summary, raw output and what an error quotes cut to so many characters; None
+    keeps all. What is stored is never cut."""
+
+    def cut(name: str, limit: int | None) -> Column:
+        return F.col(name) if limit is None else F.left(name, F.lit(limit))
+
+    quoting = [F.col("enrichment_error").startswith(start) for start in (NOT_JSON, RAISED)]
+    message = F.col("enrichment_error")
+    if error is not None:
+        message = F.when(quoting[0], F.left(message, F.lit(len(NOT_JSON) + error))).when(
+            quoting[1], F.left(message, F.lit(len(RAISED) + error))).otherwise(message)
+    return enriched.withColumns({
+        "summary": cut("summary", summary), "extraction_raw": cut("extraction_raw", raw), "enrichment_error": message})
+
+
 def scored_once(scored: DataFrame) -> DataFrame:
     """Same rows, behind a generator that conditions on the scores cannot be pushed through.
 
@@ -155,13 +177,14 @@ def enrich(
         "coalesce(disposition = 'complaint', false) OR coalesce(primary_intent = 'complaint', false) "
         "OR coalesce(sentiment_raw < -0.5, false) AS is_complaint",
         "coalesce(primary_intent = 'escalation', false) OR coalesce(text_escalates, false) AS is_escalation",
-        f"CASE WHEN _gate != 'eligible' THEN _gate WHEN {IN_RANGE} AND json_ok THEN 'completed' ELSE 'failed' END "
+        f"CASE WHEN _gate != 'eligible' THEN _gate WHEN scorer_error IS NULL AND {IN_RANGE} AND json_ok THEN 'completed' ELSE 'failed' END "
         "AS enrichment_status",
         f"CASE WHEN _gate = 'eligible' THEN '{rules.model_name}' END AS enrichment_model",
-        f"CASE WHEN _gate != 'eligible' THEN NULL WHEN NOT {IN_RANGE} THEN concat('sentiment scorer returned invalid: ', "
+        f"CASE WHEN _gate != 'eligible' THEN NULL WHEN scorer_error IS NOT NULL THEN concat('{RAISED}', scorer_error) "
+        f"WHEN NOT {IN_RANGE} THEN concat('sentiment scorer returned invalid: ', "
         "coalesce(CAST(CAST(sentiment_raw AS DOUBLE) AS STRING), 'NULL')) "
         "WHEN extraction_raw IS NULL THEN 'extraction returned NULL' "
-        "WHEN NOT json_ok THEN concat('extraction returned non-JSON: ', left(extraction_raw, 200)) END "
+        f"WHEN NOT json_ok THEN concat('{NOT_JSON}', extraction_raw) END "
         "AS enrichment_error",
         "interaction_id AS _source_event_id",
     )
