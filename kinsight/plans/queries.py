@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from kinsight.config import Clock
 from kinsight.functions.hashing import row_hash, table_checksum, with_missing_hashes
 from kinsight.operators import (
-    aggregates, corpus, curated, decisions, enrichment, nba, privacy, profile, quality, risk, search, semantic, suite,
+    aggregates, corpus, curated, decisions, enrichment, erasure, nba, privacy, profile, quality, risk, search, semantic, suite,
 )
 from kinsight.plans.pipeline import Build
 from kinsight.schemas import SCHEMAS
@@ -879,3 +879,33 @@ simple(
         b.interactions, "interaction_date", CLOCK.now.date(), 20, b.customers.filter(F.col("status") == "inactive")
     ).select("interaction_id", "customer_id", "interaction_date"),
 )
+
+#: What an erased customer takes along, and by which key.
+CUSTOMER_PRODUCTS = [
+    erasure.Product("customers", "customer_id"),
+    erasure.Product("policies", "customer_id"),
+    erasure.Product("coverages", "policy_id", "policies", "policy_id"),
+    erasure.Product("interactions", "customer_id"),
+    erasure.Product("transcripts", "interaction_id", "interactions", "interaction_id"),
+    erasure.Product("words", "doc_id", "transcripts", "transcript_id"),
+    erasure.Product("recommendations", "customer_id"),
+]
+
+
+@query("erasure_report")
+def erasure_report(b: Build) -> DataFrame:
+    """Inactive customers erased from stored tables and all that hangs on them; what is left is counted on the disk."""
+    spark, folder = b.tables.spark, run_folder(b.tables.spark, "erasure")
+    s = stored(b)
+    words = enrichment.transcript_words(b.transcripts, RULES).select("doc_id", "words")
+    before = {**{n: b.tables.table(n) for n in ("customers", "policies", "coverages", "interactions", "transcripts")},
+              "words": written(b, "erasure-words", words), "recommendations": s.recommendations}
+    stores = {p.name: Buckets(spark, f"{folder}/{p.name}", p.key) for p in CUSTOMER_PRODUCTS}
+    for name, store in stores.items():
+        store.replace(before[name], 0)
+    listed = b.customers.filter(F.col("status") == "inactive").select("customer_id")
+    rows = {name: sum(store.pointer().rows.values()) for name, store in stores.items()}
+    found = erasure.keys_to_erase(CUSTOMER_PRODUCTS, {name: store.read() for name, store in stores.items()}, listed)
+    keys = {name: written(b, f"erased-{name}", k) for name, k in found.items()}
+    erasure.erase_stored(CUSTOMER_PRODUCTS, stores, keys, 1)
+    return erasure.report(CUSTOMER_PRODUCTS, rows, keys, {name: store.read() for name, store in stores.items()})

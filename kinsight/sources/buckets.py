@@ -117,17 +117,26 @@ class Buckets:
 
     def replace(self, rows: DataFrame, version: int) -> Pointer:
         """The whole table anew. The rows are made once: they are put down to be counted, then dealt to buckets."""
+        if self._sealed(version):
+            return self.pointer()
         folder = run_folder(self.spark, "buckets")
         rows.write.parquet(folder)
         made = self.spark.read.schema(rows.schema).parquet(folder)
         return self._write(made, version, self.fitting(made.count()), {})
 
+    def _sealed(self, version: int) -> bool:
+        """Whether older rows that this version was made from are gone; then it was finished."""
+        sealed = read_if_there(self.spark, f"{self.root}/sealed", "version long")
+        return sealed is not None and sealed.filter(F.col("version") >= version).limit(1).count() > 0
+
     def change(self, version: int, keys: DataFrame, merged: Callable[[DataFrame | None], DataFrame]) -> Pointer:
         """Write new versions of the buckets that hold ``keys``.
 
         ``merged`` is given the rows of these buckets as of the newest version below (None for the first) and returns
         all their rows from now on; the other buckets are neither read nor written.
         """
+        if self._sealed(version):
+            return self.pointer()
         pointer = self.pointer(below=version)
         if pointer is None:
             return self.replace(merged(None), version)
@@ -169,6 +178,31 @@ class Buckets:
             spark.createDataFrame([], pointer.schema).write.mode("overwrite").parquet(f"{self.root}/data/v={version}")
         return sorted(old)
 
+    def scrub(self) -> list[int]:
+        """Replace each bucket folder that the newest pointer no longer names by a row of nulls, so that no row that was
+        exchanged or deleted stays on disk. ``reclaim`` frees whole versions; here a version that still holds other
+        buckets loses the outdated ones. One write a version, whatever the number of buckets. Returns these versions.
+
+        The newest version is sealed first: it can't be built again from what lay below it, and a batch up to it that
+        is repeated changes nothing.
+        """
+        pointer, spark = self.pointer(), self.spark
+        stored = read_if_there(spark, f"{self.root}/data")
+        if pointer is None or stored is None or "v" not in stored.columns:
+            return []
+        found = stored.filter(F.col("v") <= pointer.version).groupBy("v", "b").agg(
+            F.count("*").alias("rows"), F.count(self.key).alias("keyed")).filter("rows > 1 or keyed > 0").collect()
+        spark.createDataFrame([(pointer.version,)], "version long").coalesce(1).write.mode("append").parquet(f"{self.root}/sealed")
+        old: dict[int, list[int]] = {}
+        for row in found:
+            if pointer.holders.get(row["b"]) != row["v"]:
+                old.setdefault(row["v"], []).append(row["b"])
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in pointer.schema.fields]
+        for version, buckets in old.items():
+            spark.createDataFrame([(b,) for b in buckets], "b long").select(*blank, "b").write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic").partitionBy("b").parquet(f"{self.root}/data/v={version}")
+        return sorted(old)
+
 
 class KeyedLog:
     """An append-only table that can be asked for the rows of a few keys.

@@ -1047,6 +1047,23 @@ add(
         FROM numbered GROUP BY customer_id, version""",
 )
 
+# product, its rows, and whether a row leads to an inactive customer
+_INACTIVE = "{0} IN (SELECT customer_id FROM v_customers WHERE status = 'inactive')"
+_CONTACT = f"interaction_id IN (SELECT interaction_id FROM v_interactions WHERE {_INACTIVE.format('customer_id')})"
+_ERASED = (
+    ("customers", "v_customers", _INACTIVE.format("customer_id")),
+    ("policies", "v_policies", _INACTIVE.format("customer_id")),
+    ("coverages", "v_coverages", f"policy_id IN (SELECT policy_id FROM v_policies WHERE {_INACTIVE.format('customer_id')})"),
+    ("interactions", "v_interactions", _INACTIVE.format("customer_id")),
+    ("transcripts", "v_transcripts", _CONTACT),
+    ("words", "v_transcripts WHERE recording_consent_flag IS DISTINCT FROM 'FALSE'", _CONTACT),
+    ("recommendations", "v_recommendations", _INACTIVE.format("customer_id")),
+)
+
+add(erasure_report=" UNION ALL ".join(
+    f"SELECT '{name}' AS product, count(*) AS rows_before, count(*) FILTER ({gone}) AS rows_removed, "
+    f"count(*) FILTER (NOT coalesce({gone}, false)) AS rows_kept, CAST(0 AS BIGINT) AS rows_left FROM {rows}" for name, rows, gone in _ERASED))
+
 # the same answers, by another way
 ORACLES["tiled_sentiment_summary"] = ORACLES["sentiment_summary"]
 ORACLES["tiled_risk_windows"] = ORACLES["risk_sentiment_windows"]
