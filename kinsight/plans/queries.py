@@ -111,6 +111,17 @@ def damaged_interactions(b: Build) -> DataFrame:
         b.tables.spark, f"{folder}/lines", SCHEMAS["interactions"], f"{folder}/landed", multi_line=False, header=False)
 
 
+@query("manifest_rows")
+def manifest_rows(b: Build) -> DataFrame:
+    """Rows of every logical table, counted from the bytes of its CSV files while they are hashed."""
+    folder = run_folder(b.tables.spark, "manifest")
+    for name in ALL_TABLES:
+        landing.write_csv(as_declared(b.tables.table(name), name), f"{folder}/csv/table_name={name}")
+    found = landing.block_manifest(b.tables.spark, f"{folder}/csv", f"{folder}/manifest", block_bytes=1 << 20)
+    return found.groupBy(F.regexp_extract("path", "/table_name=([^/]+)/", 1).alias("table_name")).agg(
+        F.sum("rows").alias("rows"), (F.min(F.length("sha256")) == 64).alias("hashed"))
+
+
 @query("load_rejects")
 def load_rejects(b: Build) -> DataFrame:
     bad = F.col("_corrupt_record").isNotNull()

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,13 +114,101 @@ def load_check(tables: dict[str, DataFrame], expected: DataFrame) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """Name, size and SHA-256 of each file. Files are hashed one per task and must fit binaryFile's size limit."""
+    """Name, size and SHA-256 of each file. Files are hashed one per task and must fit binaryFile's size limit;
+    ``block_manifest`` has none."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(
         F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("bytes"),
         F.sha2("content", 256).alias("sha256"),
     )
 
 
+BLOCK = "filename string, path string, bytes long, start long, sha256 string, quotes long, rows_even long, rows_odd long"
+
+
+def _block_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per block of a file, from its lines in order: their digest, how many quotes they have, and how many
+    records end in them if the block begins outside (even) or inside (odd) a quoted field."""
+    schema = pa.schema([("filename", pa.string()), ("path", pa.string()), ("bytes", pa.int64()), ("start", pa.int64()), ("sha256", pa.string()),
+                        ("quotes", pa.int64()), ("rows_even", pa.int64()), ("rows_odd", pa.int64())])
+    now, digest, quotes, even, odd = None, None, 0, 0, 0
+
+    def closed() -> pa.RecordBatch:
+        path, size, start = now
+        row = (path.rsplit("/", 1)[-1], path, size, start, digest.hexdigest(), quotes, even, odd)
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        names, sizes, begins = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("path", "bytes", "start"))
+        new = np.flatnonzero((names[1:] != names[:-1]) | (begins[1:] != begins[:-1])) + 1
+        for a, b in zip([0, *new], [*new, len(names)], strict=True):
+            if b == a:
+                continue
+            if now != (names[a], int(sizes[a]), int(begins[a])):
+                if now is not None:
+                    yield closed()
+                now, digest, quotes, even, odd = (names[a], int(sizes[a]), int(begins[a])), hashlib.sha256(), 0, 0, 0
+            lines = batch.column("line").slice(a, b - a)
+            for line in lines:
+                digest.update(line.as_buffer() or b"")
+                digest.update(b"\n")
+            # a record ends where the quotes so far are even; a blank line outside quotes is no record
+            inside = (quotes + np.cumsum(pc.count_substring(lines, b'"').to_numpy(zero_copy_only=False))) & 1
+            filled = np.not_equal(pc.binary_length(lines).to_numpy(zero_copy_only=False), 0) & ~pc.equal(lines, pa.scalar(b"\r", lines.type)).to_numpy(zero_copy_only=False)
+            even += int((filled & (inside == 0)).sum())
+            odd += int((filled & (inside == 1)).sum())
+            # blank lines inside quotes neither end a record nor add quotes, so they need no care
+            quotes += int(pc.sum(pc.count_substring(lines, b'"')).as_py())
+    if now is not None:
+        yield closed()
+
+
+def block_manifest(spark: SparkSession, folder: str, into: str, pattern: str = "*.csv", block_bytes: int = 128 << 20,
+                   header: bool = True) -> DataFrame:
+    """(filename, path, bytes, rows, blocks, sha256) of each CSV file, stored in ``into``; for files of any size.
+
+    A file is read in ranges of ``block_bytes``, one task each, however many executors there are. A line belongs to the
+    range it begins in. Each range gives the SHA-256 of its lines, and a file's digest is the SHA-256 of its size and
+    its ranges' digests in order: it depends on the bytes and on ``block_bytes`` alone, and two manifests compare where
+    these are equal. ``rows`` counts records in the same pass, without the header line; line breaks inside quotes end
+    none, and blank lines are none. Driver and tasks see a row per
+    range. Spark's readers pass over files of no bytes, so these are not listed.
+    """
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionNum")
+    before = {name: spark.conf.get(name, None) for name in names}
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", pattern).text(folder).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"),
+        F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+    try:
+        # with both alike a range is exactly so long, whatever the size of the folder and the number of cores
+        for name in names[:2]:
+            spark.conf.set(name, str(block_bytes))
+        spark.conf.unset(names[2])
+        lines.mapInArrow(_block_digests, BLOCK).write.mode("overwrite").parquet(f"{into}/blocks")
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+    blocks = spark.read.schema(BLOCK).parquet(f"{into}/blocks")
+    inside = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    counted = blocks.withColumn("open", F.coalesce(F.sum("quotes").over(inside), F.lit(0)) % 2).groupBy("path").agg(
+        F.sum(F.when(F.col("open") == 0, F.col("rows_even")).otherwise(F.col("rows_odd"))).alias("records"),
+        F.count("*").alias("blocks"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "sha256"))), lambda x: x["sha256"]), ",").alias("digests"))
+    # names and sizes alone: the content of the files is not read
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(
+        F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"))
+    records = F.coalesce(F.col("records"), F.lit(0))
+    made = files.join(counted, "path", "left").select(
+        F.element_at(F.split("path", "/"), -1).alias("filename"), "path", "bytes",
+        (F.greatest(records - 1, F.lit(0)) if header else records).cast("long").alias("rows"),
+        F.coalesce("blocks", F.lit(0)).cast("long").alias("blocks"),
+        F.sha2(F.concat_ws(":", F.col("bytes").cast("string"), F.coalesce("digests", F.lit(""))), 256).alias("sha256"))
+    made.write.mode("overwrite").parquet(f"{into}/files")
+    return spark.read.schema(made.schema).parquet(f"{into}/files")
+
+
 def verify_manifest(actual: DataFrame, manifest: DataFrame) -> DataFrame:
     """Manifest rows (filename, sha256) against the files found: ok / changed / missing / unlisted."""
     want = manifest.select("filename", F.col("sha256").alias("expected"))

@@ -1064,6 +1064,8 @@ add(erasure_report=" UNION ALL ".join(
     f"SELECT '{name}' AS product, count(*) AS rows_before, count(*) FILTER ({gone}) AS rows_removed, "
     f"count(*) FILTER (NOT coalesce({gone}, false)) AS rows_kept, CAST(0 AS BIGINT) AS rows_left FROM {rows}" for name, rows, gone in _ERASED))
 
+add(manifest_rows=" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows, true AS hashed FROM {v}" for t, v in VIEW.items()))
+
 # the same answers, by another way
 ORACLES["tiled_sentiment_summary"] = ORACLES["sentiment_summary"]
 ORACLES["tiled_risk_windows"] = ORACLES["risk_sentiment_windows"]

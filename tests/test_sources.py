@@ -1,3 +1,4 @@
+import hashlib
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -57,6 +58,38 @@ def test_manifest_detects_change(spark, tmp_path):
     assert {r.filename: r.status for r in found.collect()} == {"a.csv": "ok", "b.csv": "changed", "c.csv": "unlisted"}
 
 
+def test_large_files_are_hashed_by_ranges(spark, tmp_path):
+    folder, into = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    records = ["id,text"] + [f'{i},"said ""{i}""\n\nand more, {"y" * (i % 50)}"' if i % 3 else f"{i},plain" for i in range(4000)]
+    write(folder, "\n".join(records) + "\n", "big.csv"), write(folder, "", "empty.csv"), write(folder, "id\n", "header.csv")
+    write(folder, "id\r\n1\r\n\r\n2", "crlf.csv"), write(folder, "x", "other.txt")
+    write(folder, "id\n" + "z" * 30_000 + "\n2\n", "longline.csv")
+    (folder / "latin.csv").write_bytes(b"id\n\xe9\xff\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    rows = {r.filename: r for r in landing.block_manifest(spark, str(folder), into, block_bytes=10_000).collect()}
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert {n: r.rows for n, r in rows.items()} == {
+        "big.csv": 4000, "header.csv": 0, "crlf.csv": 2, "longline.csv": 2, "latin.csv": 1}
+    size = (folder / "big.csv").stat().st_size
+    assert rows["big.csv"].bytes == size and rows["big.csv"].blocks == -(-size // 10_000) > 10
+    # the digest by hand: a line belongs to the range it begins in
+    data, ranges, at = (folder / "big.csv").read_bytes(), {}, 0
+    for line in data.split(b"\n")[:-1]:
+        ranges.setdefault(max(at - 1, 0) // 10_000, hashlib.sha256()).update(line + b"\n")
+        at += len(line) + 1
+    joined = ",".join(ranges[k].hexdigest() for k in sorted(ranges))
+    assert rows["big.csv"].sha256 == hashlib.sha256(f"{size}:{joined}".encode()).hexdigest()
+    again = {r.filename: r.sha256 for r in landing.block_manifest(spark, str(folder), into + "2", block_bytes=10_000).collect()}
+    assert again == {n: r.sha256 for n, r in rows.items()}
+    at = size // 2
+    (folder / "big.csv").write_bytes(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])
+    (folder / "crlf.csv").write_text("id\n1\n\n2\n", encoding="utf-8")
+    found = landing.verify_manifest(landing.block_manifest(spark, str(folder), into + "3", block_bytes=10_000), spark.createDataFrame(
+        [(n, r.sha256) for n, r in rows.items()], "filename string, sha256 string"))
+    assert {r.filename for r in found.collect() if r.status != "ok"} == {"big.csv", "crlf.csv"}
+
+
 def test_hash_tells_nulls_apart(spark):
     df = spark.createDataFrame([("a", None, "b"), ("a", "b", None)], "x string, y string, z string")
     assert df.select(row_hash(df, ["x", "y", "z"]).alias("h")).distinct().count() == 2
