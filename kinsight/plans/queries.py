@@ -24,6 +24,7 @@ from kinsight.plans.pipeline import Build
 from kinsight.schemas import SCHEMAS
 from kinsight.session import run_folder
 from kinsight.operators.tiles import DayTiles
+from kinsight.operators.vectors import VectorIndex
 from kinsight.sources import landing, loads, tables
 from kinsight.sources.buckets import Buckets, KeyedLog
 from kinsight.sources.checksums import HashedTable, changes
@@ -891,6 +892,15 @@ simple(
     ).select("interaction_id", "customer_id", "interaction_date"),
 )
 
+
+@query("search_vector_pruned")
+def search_vector_pruned(b: Build) -> DataFrame:
+    """The five nearest vectors from a stored index, of which only the cells that can hold one are opened."""
+    index = VectorIndex(b.tables.spark, run_folder(b.tables.spark, "vectors"))
+    index.add(b.tables.raw("embeddings"), len(SEARCH_VECTOR))
+    return index.search(SEARCH_VECTOR)
+
+
 #: What an erased customer takes along, and by which key.
 CUSTOMER_PRODUCTS = [
     erasure.Product("customers", "customer_id"),

@@ -1067,6 +1067,7 @@ add(erasure_report=" UNION ALL ".join(
 add(manifest_rows=" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows, true AS hashed FROM {v}" for t, v in VIEW.items()))
 
 # the same answers, by another way
+ORACLES["search_vector_pruned"] = ORACLES["search_vector"]
 ORACLES["tiled_sentiment_summary"] = ORACLES["sentiment_summary"]
 ORACLES["tiled_risk_windows"] = ORACLES["risk_sentiment_windows"]
 ORACLES["tiled_interaction_frequency"] = ORACLES["interaction_frequency"]
