@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinsight.llm.common import ship, stored, text_or_empty
+from kinsight.llm.common import ship, stored, text_or_empty, unused
 from kinsight.llm.mixing import mixed, uniform
 
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
@@ -351,8 +351,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, ban
 
 def survivors(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for their class; one row a class."""
-    found = classes(docs, words, threshold).filter("owner").select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"))
-    marked = docs.withColumn("__own", F.sha2(text_or_empty(), 256)).withColumn("__id", F.col("doc_id").cast("long"))
-    same = (marked["__own"] == found["__sha"]) & marked["__id"].eqNullSafe(found["__keep"])
-    nth = F.row_number().over(Window.partitionBy("__own").orderBy("__id"))
-    return marked.join(found, same, "left_semi").withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
+    sha, keep, own, key, rank = unused(docs, "__sha", "__keep", "__own", "__id", "__nth")
+    found = classes(docs, words, threshold).filter("owner").select(F.col("sha").alias(sha), F.col("keep_id").alias(keep))
+    marked = docs.withColumn(own, F.sha2(text_or_empty(), 256)).withColumn(key, F.col("doc_id").cast("long"))
+    same = (F.col(own) == F.col(sha)) & F.col(key).eqNullSafe(F.col(keep))
+    nth = F.row_number().over(Window.partitionBy(own).orderBy(key))
+    return marked.join(found, same, "left_semi").withColumn(rank, nth).filter(F.col(rank) == 1).select(*docs.columns)

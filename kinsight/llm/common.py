@@ -51,6 +51,17 @@ def emptied(df: DataFrame) -> None:
         df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(folder)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` doesn't have, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsight.llm.common import ship, text_or_empty
+from kinsight.llm.common import ship, text_or_empty, unused
 
 #: ASCII white space: space and the characters 9 to 13.
 WHITE = " \t\n\x0b\x0c\r"
@@ -204,14 +204,13 @@ def survivors(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay: the owner of each distinct text."""
     from pyspark.sql import Window
 
-    marks = {"__sha": F.sha2(F.translate(text_or_empty(), WHITE, "").cast("binary"), 256), "__chars": F.length(text_or_empty()).cast("long")}
+    sha, chars, key, rank, own_sha, own_chars, keep = unused(docs, "__sha", "__chars", "__id", "__nth", "__own_sha", "__own_chars", "__keep")
+    marks = {sha: F.sha2(F.translate(text_or_empty(), WHITE, "").cast("binary"), 256), chars: F.length(text_or_empty()).cast("long")}
     owners = classes(docs).select(
-        F.col("text_sha256").alias("__sha"), F.col("keep_chars").alias("__chars"), F.col("keep_id").alias("__keep")
+        F.col("text_sha256").alias(own_sha), F.col("keep_chars").alias(own_chars), F.col("keep_id").alias(keep)
     )
-    marked = docs.withColumns(marks).withColumn("__id", F.col("doc_id").cast("long"))
-    same = (
-        (marked["__sha"] == owners["__sha"]) & (marked["__chars"] == owners["__chars"]) & marked["__id"].eqNullSafe(owners["__keep"])
-    )
-    nth = F.row_number().over(Window.partitionBy("__sha", "__chars", "__id").orderBy("__id"))
+    marked = docs.withColumns(marks).withColumn(key, F.col("doc_id").cast("long"))
+    same = (F.col(sha) == F.col(own_sha)) & (F.col(chars) == F.col(own_chars)) & F.col(key).eqNullSafe(F.col(keep))
+    nth = F.row_number().over(Window.partitionBy(sha, chars, key).orderBy(key))
     found = marked.join(owners, same, "left_semi")
-    return found.withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
+    return found.withColumn(rank, nth).filter(F.col(rank) == 1).select(*docs.columns)

@@ -90,10 +90,14 @@ class LetterSpace:
         if not len(unique):
             return
         row = np.repeat(np.arange(len(group)), [len(codes) for _, codes in group])
-        counts = np.bincount(row * len(unique) + inverse, minlength=len(group) * len(unique)).reshape(len(group), -1)
-        for at in range(0, len(unique), 4096):  # a bounded number of vectors at a time
-            part = slice(at, at + 4096)
-            total = counts[:, part].astype(np.float32) @ self.bound(unique[part]).astype(np.float32)
+        by_run = np.argsort(inverse, kind="stable")
+        row, inverse = row[by_run], inverse[by_run]
+        for at in range(0, len(unique), 4096):  # a bounded number of vectors, and of counts, at a time
+            part = unique[at : at + 4096]
+            own = slice(*np.searchsorted(inverse, [at, at + len(part)]))
+            places = row[own] * len(part) + (inverse[own] - at)
+            counts = np.bincount(places, minlength=len(group) * len(part)).reshape(len(group), -1)
+            total = counts.astype(np.float32) @ self.bound(part).astype(np.float32)
             out[[i for i, _ in group]] += total
         rows = [i for i, _ in group]
         length = np.linalg.norm(out[rows], axis=1, keepdims=True)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinsight.llm.common import bounded_sample, fold_of, ship, text_or_empty
+from kinsight.llm.common import bounded_sample, fold_of, ship, text_or_empty, unused
 
 #: Common insults, and words that address the reader (English, French, German, Spanish).
 INSULTS = (
@@ -251,4 +251,5 @@ def score(docs: DataFrame, labels: DataFrame, most: int = 20_000, folds: int = 5
 def accepted(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score is below 0.5."""
     model = fit(docs, labels, most)
-    return docs.withColumn("__score", scorer(model)).filter("__score < 0.5").select(*docs.columns)
+    (mark,) = unused(docs, "__score")
+    return docs.withColumn(mark, scorer(model)).filter(F.col(mark) < 0.5).select(*docs.columns)

@@ -19,7 +19,8 @@ ROWS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
-CLASHES = ("row", "mark", "sha", "node", "bucket", "score", "ids", "rank", "body", "n", "a", "b", "tokens", "text_hash", "keep_id", "key_id")
+CLASHES = ("row", "mark", "sha", "node", "bucket", "score", "ids", "rank", "body", "n", "a", "b", "tokens", "text_hash", "keep_id", "key_id",
+           "__score", "__sha", "__chars", "__id", "__own", "__keep", "__nth")
 
 
 def awkward(spark):

@@ -30,6 +30,7 @@ def test_toxicity_takes_awkward_rows_and_empty_tables(spark):
     assert toxicity.score(nothing(spark), labels).collect() == []
     assert {r.score for r in toxicity.score(awkward(spark), labels.filter("false")).collect()} == {0.0}
     kept = toxicity.accepted(awkward(spark), labels.filter("false"))
+    assert {r["__score"] for r in kept.collect()} <= {"x__score"}
     assert kept.columns == awkward(spark).columns and kept.count() == len(ROWS)
 
 
@@ -87,6 +88,22 @@ def test_texts_in_no_learned_language_go_and_short_ones_stay(spark):
     assert len(brief - kept) <= 0.03 * len(brief)
 
 
+def test_many_distinct_letters_take_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 395))) for _ in range(500)]
+    space = language.LetterSpace(1024, 3, 5)
+    space.sums(texts[:1])
+    tracemalloc.start()
+    sums = space.sums(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6
+    alone = np.concatenate([language.LetterSpace(1024, 3, 5).sums([t]) for t in texts[:3]])
+    assert np.allclose(sums[:3], alone, atol=1e-5)
+
+
 def test_profile_is_the_sum_of_bound_letters():
     space = language.LetterSpace(256, 3, 5)
     text = "Ab, é1c"
