@@ -1,17 +1,19 @@
 """Document fingerprints as invertible Bloom lookup tables, with DataFrame functions alone.
 
 A text's passages end at words that their own hash chooses, so that an insertion moves no other cut and equal passages
-have equal digests, however long the texts around them are. They have 48-bit digests. A table spreads them over
-blocks, and in a block each digest over three cells, which keep a count and the exclusive-or of digests and of check values. Subtracting two tables
-cancels what both have; a cell with one digest left gives it away, and taking it out of its other cells opens more,
-until all that differs is known. A block that can't be solved is tried again larger: in four parts, then with twice
-the cells, and so on. The likeness of two fingerprints is the Jaccard similarity that the differing digests leave.
+have equal digests, however long the texts around them are. They have 48-bit digests. A fingerprint is three tables,
+in each of which a digest has one cell; cells keep a count and the exclusive-or of digests and of check values.
+Subtracting two fingerprints cancels what both have; a cell with one digest left gives it away, and taking it out of its
+other cells opens more, until all that differs is known. A pair that can't be solved is tried again larger. The likeness
+of two fingerprints is the Jaccard similarity that the differing digests leave.
+
+Cells are rows, so filling, subtracting and peeling are sums by key: their work is in proportion to a text's length, and
+a table of versions that is partitioned once by row stays so to the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,90 +29,8 @@ ONE_IN, FIRST = 8, 4
 #: Where ``paragraphs`` cuts, by the text's length in code points: short texts behind every word or every sentence, long
 #: ones at line breaks and between a sentence's end and a next one that begins with one of a few letters.
 CUTS = ((100, r"\s"), (1000, r"\n|(?<=[.!?]) "), (None, r"\n|(?<=[.!?]) (?=[A-D])"))
-#: Digests for which one block of 24 cells is meant; a larger text has a power of two as many blocks.
-BLOCK = 16
-_names = count()
-
-
-def _let(value: str, body) -> str:
-    """``body`` with a name for ``value``, which is computed once."""
-    name = f"v{next(_names)}"
-    return f"transform(array({value}), {name} -> {body(name)})[0]"
-
-
-def _check(digest: str) -> str:
-    return f"(xxhash64({digest}) & 65535L)"
-
-
-def _marked(digest: str, cells: int, level: int, more: str = "") -> str:
-    """A digest with its check value and its cell in each of the three tables; each level hashes anew."""
-    g = f"g{next(_names)}"
-    places = ", ".join(f"'p{t}', cast(shiftright({g}, {16 * t}) & {cells - 1} as int)" for t in range(3))
-    return _let(f"xxhash64({digest}, {level})", lambda h: f"named_struct('d', {digest}, 'c', {_check(digest)}, {places.replace(g, h)}{more})")
-
-
-def _cells(digests: str, cells: int, level: int) -> str:
-    """The three tables (t0, t1, t2) of an array of digests: arrays of cells (n, key, chk)."""
-    x = f"x{next(_names)}"
-    zero = "named_struct('n', 0, 'key', 0L, 'chk', 0L)"
-
-    def tables(marked: str) -> str:
-        parts = []
-        for t in range(3):
-            i, d, s, e = (f"{v}{next(_names)}" for v in "idse")
-            step = f"named_struct('n', {s}.n + 1, 'key', {s}.key ^ {e}.d, 'chk', {s}.chk ^ {e}.c)"
-            cell = f"aggregate(filter({marked}, {d} -> {d}.p{t} = {i}), {zero}, ({s}, {e}) -> {step})"
-            parts.append(f"'t{t}', transform(sequence(0, {cells - 1}), {i} -> {cell})")
-        return f"named_struct({', '.join(parts)})"
-
-    return _let(f"transform({digests}, {x} -> {_marked(x, cells, level)})", tables)
-
-
-def _subtracted(a: str, b: str) -> str:
-    """Table by table and cell by cell; what both sides have cancels."""
-
-    def minus(p: str, q: str) -> str:
-        parts = []
-        for t in range(3):
-            x, y = f"x{next(_names)}", f"y{next(_names)}"
-            cell = f"named_struct('n', {x}.n - {y}.n, 'key', {x}.key ^ {y}.key, 'chk', {x}.chk ^ {y}.chk)"
-            parts.append(f"'t{t}', zip_with({p}.t{t}, {q}.t{t}, ({x}, {y}) -> {cell})")
-        return f"named_struct({', '.join(parts)})"
-
-    return _let(a, lambda p: _let(b, lambda q: minus(p, q)))
-
-
-def _solved(difference: str, cells: int, level: int, rounds: int = 12) -> str:
-    """(ok, a, b): whether all differing digests were found, and how many each side has. All pure cells are taken in
-    a round; rounds after the last change cost nothing but a test."""
-    st, r, z, u, q = (f"{x}{next(_names)}" for x in ("st", "r", "z", "u", "q"))
-    every = f"concat({st}.t.t0, {st}.t.t1, {st}.t.t2)"
-    single = f"filter({every}, {z} -> abs({z}.n) = 1 and {z}.chk = {_check(f'{z}.key')})"
-    pure = f"array_distinct(transform({single}, {u} -> {_marked(f'{u}.key', cells, level, f', {chr(39)}n{chr(39)}, {u}.n')}))"
-
-    def taken(p: str) -> str:
-        left = []
-        for t in range(3):
-            c, i, w, k, o = (f"{x}{next(_names)}" for x in "ciwko")
-            out = f"named_struct('n', {w}.n - {k}.n, 'key', {w}.key ^ {k}.d, 'chk', {w}.chk ^ {k}.c)"
-            cell = f"aggregate(filter({p}, {o} -> {o}.p{t} = {i}), {c}, ({w}, {k}) -> {out})"
-            left.append(f"'t{t}', transform({st}.t.t{t}, ({c}, {i}) -> {cell})")
-        return (
-            f"if(size({p}) = 0, named_struct('t', {st}.t, 'a', {st}.a, 'b', {st}.b, 'on', false), "
-            f"named_struct('t', named_struct({', '.join(left)}), 'a', {st}.a + size(filter({p}, {q} -> {q}.n = 1)), "
-            f"'b', {st}.b + size(filter({p}, {q} -> {q}.n = -1)), 'on', true))"
-        )
-
-    start = f"named_struct('t', {difference}, 'a', 0, 'b', 0, 'on', true)"
-    step = f"({st}, {r}) -> if({st}.on, {_let(pure, taken)}, {st})"
-    end, rest = f"e{next(_names)}", f"f{next(_names)}"
-    filled = f"exists({end}.t.t0, {rest} -> {rest}.n <> 0 or {rest}.key <> 0L)"
-    done = f"{end} -> named_struct('ok', not {filled}, 'a', {end}.a, 'b', {end}.b)"
-    return f"aggregate(sequence(1, {rounds}), {start}, {step}, {done})"
-
-
-def _attempt(a: str, b: str, cells: int, level: int) -> str:
-    return _solved(_subtracted(_cells(a, cells, level), _cells(b, cells, level)), cells, level)
+#: The sizes at which pairs are tried: cells of a table for each ``DIGESTS`` digests of both sides.
+SIZES, DIGESTS = (16, 64, 256), 16
 
 
 def passages(text: Column) -> Column:
@@ -137,23 +57,64 @@ def digests(text: Column, cut: Callable[[Column], Column] = paragraphs) -> Colum
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(F.trim(p)).bitwiseAND(F.lit((1 << 48) - 1))))
 
 
-def _blocks(size: str) -> str:
-    """How many blocks a table for so many digests has: a power of two."""
-    return f"cast(pow(2, ceil(log2(greatest(1D, {size} / {BLOCK}D)))) as int)"
+def _bits(size: Column | str) -> Column:
+    """How many bits tell a table's cells apart: eight cells at least."""
+    return F.ceil(F.log2(F.greatest(F.lit(8.0), F.col(size) if isinstance(size, str) else size))).cast("int")
+
+
+def _check(digest: str) -> str:
+    return f"(xxhash64({digest}) & 4294967295L)"
+
+
+def _cell(digest: str, t: str, bits: str, level: int) -> str:
+    """The number of a digest's cell in table ``t``: its place, the table and the tables' size; each level hashes anew."""
+    return f"((((xxhash64({digest}, {t} + {3 * level}) & (shiftleft(1L, {bits}) - 1)) * 3 + {t}) * 64) + {bits})"
+
 
+def _summed(cells: DataFrame, *keys: str) -> DataFrame:
+    """Cell by cell the sum of counts and the exclusive-or of digests and of check values; what cancels leaves no row."""
+    sums = cells.groupBy(*keys, "cell").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk"))
+    return sums.filter("n <> 0 or key <> 0 or chk <> 0")
 
-def fingerprint(column: str) -> Column:
-    """The table of an array of digests at its first size, as text: blocks joined by ``|``, the filled cells of a
-    block as place:count:digest:check."""
-    d, b, i, z = (f"{v}{next(_names)}" for v in "dbiz")
 
-    def text(n: str) -> str:
-        cells = _let(_cells(f"filter({column}, {d} -> ({d} & ({n} - 1)) = {b})", 8, 0), lambda t: f"concat({t}.t0, {t}.t1, {t}.t2)")
-        cell = f"concat_ws(':', cast({i} as string), cast({z}.n as string), lower(hex({z}.key)), lower(hex({z}.chk)))"
-        filled = f"filter(transform({cells}, ({z}, {i}) -> if({z}.n = 0, '', {cell})), {z} -> {z} <> '')"
-        return f"concat_ws('|', transform(sequence(0, {n} - 1), {b} -> concat_ws(',', {filled})))"
+def _filled(sides: DataFrame, level: int, *keys: str) -> DataFrame:
+    """Cells (keys, cell, n, key, chk) of digest arrays (keys, bits, sign, ds): three for each digest."""
+    rows = sides.select(*keys, "bits", "sign", F.explode("ds").alias("key"))
+    rows = rows.select(*keys, "bits", "sign", "key", F.expr(_check("key")).alias("chk"), F.explode(F.expr("array(0, 1, 2)")).alias("t"))
+    return _summed(rows.select(*keys, F.expr(_cell("key", "t", "bits", level)).alias("cell"), F.col("sign").alias("n"), "key", "chk"), *keys)
 
-    return F.expr(_let(_blocks(f"size({column})"), text))
+
+def _peeled(cells: DataFrame, level: int, rounds: int) -> DataFrame:
+    """The cells after ``rounds`` rounds; digests that were found are counted in cell -1 (of the first side) or -2.
+
+    A round takes the pure cells of one of the three tables, in turn: there a digest has one cell, so none is taken
+    twice. A pure cell has a count of one, the check value of its digest, and lies where that digest belongs.
+    """
+    for r in range(rounds):
+        t = r % 3
+        pure = f"cell >= 0 and abs(n) = 1 and (cell div 64) % 3 = {t} and chk = {_check('key')} and cell = {_cell('key', str(t), '(cell & 63)', level)}"
+        others = [f"named_struct('cell', {_cell('key', str(o), '(cell & 63)', level)}, 'n', -n, 'key', key, 'chk', chk)" for o in range(3) if o != t]
+        found = "named_struct('cell', if(n = 1, -1L, -2L), 'n', 1L, 'key', 0L, 'chk', 0L)"
+        itself = "named_struct('cell', cell, 'n', n, 'key', key, 'chk', chk)"
+        taken = F.expr(f"if({pure}, array({found}, {', '.join(others)}), array({itself}))")
+        cells = _summed(cells.select("row", "pair", F.inline(taken)), "row", "pair")
+    return cells
+
+
+def tables(versions: DataFrame, *names: str) -> DataFrame:
+    """(row, one text per name): the tables of the arrays of digests of these names. A text has the cells of one table,
+    then its filled cells in order as cell:count:digest:check. A row without any digest is left out, and its texts are
+    null where only some are empty. Rows are to be partitioned by ``row``."""
+    sides = F.array(*(F.struct(F.lit(k).alias("side"), F.col(name).alias("ds")) for k, name in enumerate(names)))
+    arrays = versions.select("row", F.explode(sides).alias("x")).select(
+        "row", "x.side", "x.ds", _bits(2.0 * F.size("x.ds")).alias("bits"), F.lit(1).cast("long").alias("sign")
+    )
+    cells = _filled(arrays, 0, "row", "side")
+    text = F.expr("concat_ws(':', cell div 64, n, lower(hex(key)), lower(hex(chk)))")
+    texts = cells.select("row", "side", F.struct(F.expr("cell div 64").alias("at"), text.alias("text"), F.expr("cell & 63").alias("bits")).alias("c"))
+    lists = texts.groupBy("row").agg(*(F.sort_array(F.collect_list(F.when(F.col("side") == k, F.col("c")))).alias(n) for k, n in enumerate(names)))
+    size = lambda n: F.expr(f"cast(shiftleft(1L, get({n}, 0).bits) as string)")
+    return lists.select("row", *(F.concat(size(n), F.lit("|"), F.array_join(f"{n}.text", ",")).alias(n) for n in names))
 
 
 def _key(doc_id: Column, mark: Column, name: str) -> list[Column]:
@@ -223,84 +184,80 @@ def edited_versions(docs: DataFrame, cut: Callable[[Column], Column] = paragraph
     return stored(versions.withColumn("row", F.monotonically_increasing_id()), "iblt-versions")
 
 
-def blocks_of(pairs: DataFrame, most_blocks: int = 64) -> DataFrame:
-    """(row, pair, a, b) with one row per block of each pair: what both sides have in it. Pairs of more than
-    ``most_blocks`` blocks are dealt out digest by digest, the others within their row."""
-    sized = pairs.withColumn("blocks", F.expr(_blocks("greatest(size(a), size(b))")))
-    n, d, e = (f"{v}{next(_names)}" for v in "nde")
-    own = f"named_struct('a', filter(a, {d} -> ({d} & (blocks - 1)) = {n}), 'b', filter(b, {e} -> ({e} & (blocks - 1)) = {n}))"
-    small = sized.filter(f"blocks <= {most_blocks}")
-    small = small.select("row", "pair", F.explode(F.expr(f"transform(sequence(0, blocks - 1), {n} -> {own})")).alias("x"))
-    sides = F.concat(
-        F.transform("a", lambda d: F.struct(F.lit(0).alias("side"), d.alias("d"))),
-        F.transform("b", lambda d: F.struct(F.lit(1).alias("side"), d.alias("d"))),
-    )
-    spread = sized.filter(f"blocks > {most_blocks}").select("row", "pair", "blocks", F.explode(sides).alias("x"))
-    large = spread.groupBy("row", "pair", F.expr("x.d & (blocks - 1)").alias("block")).agg(
-        F.collect_list(F.when(F.col("x.side") == 0, F.col("x.d"))).alias("a"),
-        F.collect_list(F.when(F.col("x.side") == 1, F.col("x.d"))).alias("b"),
-    )
-    return small.select("row", "pair", "x.a", "x.b").unionByName(large.select("row", "pair", "a", "b"))
-
-
-def likeness(pairs: DataFrame, sizes: tuple[int, ...] = (8, 8, 16, 32, 64, 128)) -> DataFrame:
-    """(row, pair, likeness) of pairs (row, pair, a, b) of digest arrays: the Jaccard similarity, from the differing
-    digests that the subtracted tables give away; 1 for two empty arrays.
+def differences(pairs: DataFrame, sizes: tuple[int, ...] = SIZES, rounds: int = 9) -> DataFrame:
+    """(row, pair, only_a, only_b): how many digests only one side of a pair (row, pair, a, b) has; pairs that do not
+    differ are left out. The pairs are to be partitioned by ``row``: then no round moves a row to another task.
 
-    Blocks that the first size leaves unsolved are split into four parts, and then tried with twice the cells each
-    time. What even the last size leaves (digests whose cells collide at every size: a chance below one in 10^12)
-    counts as differing.
+    The sides' tables have one size, which their numbers of digests choose, and are subtracted by adding up cells with
+    opposite signs. Pairs that peeling does not solve are tried again larger, with other hashes, size by size; what the
+    last size leaves is compared digest by digest.
     """
-    rest, done = blocks_of(pairs), []
+    rest, done = pairs, []
     for level, cells in enumerate(sizes):
-        if level == 1:
-            n, d, e = (f"{v}{next(_names)}" for v in "nde")
-            part = f"named_struct('a', filter(a, {d} -> (shiftright({d}, 40) & 3) = {n}), 'b', filter(b, {e} -> (shiftright({e}, 40) & 3) = {n}))"
-            rest = rest.select("row", "pair", F.explode(F.expr(f"transform(sequence(0, 3), {n} -> {part})")).alias("x"))
-            rest = rest.select("row", "pair", "x.a", "x.b")
-        tried = rest.withColumn("found", F.expr(_attempt("a", "b", cells, level))).select(
-            "row", "pair", F.size("a").alias("size_a"), F.size("b").alias("size_b"), "found",
-            F.when(~F.col("found.ok"), F.col("a")).alias("a"), F.when(~F.col("found.ok"), F.col("b")).alias("b"),
+        sides = F.array(
+            F.struct(F.lit(1).cast("long").alias("sign"), F.col("a").alias("ds")),
+            F.struct(F.lit(-1).cast("long").alias("sign"), F.col("b").alias("ds")),
+        )
+        sized = rest.select("row", "pair", _bits((F.size("a") + F.size("b")) * (cells / DIGESTS)).alias("bits"), F.explode(sides).alias("x"))
+        filled = _filled(sized.select("row", "pair", "bits", "x.sign", "x.ds"), level, "row", "pair")
+        found = _peeled(filled, level, rounds).groupBy("row", "pair").agg(
+            F.sum(F.expr("if(cell = -1, n, 0)")).alias("only_a"),
+            F.sum(F.expr("if(cell = -2, n, 0)")).alias("only_b"),
+            F.max(F.expr("cell >= 0")).alias("open"),
         )
-        tried = stored(tried, "iblt-tried")
-        solved = tried.filter("found.ok")
-        done.append(solved.select("row", "pair", "size_a", "size_b", F.col("found.a").alias("only_a"), F.col("found.b").alias("only_b")))
-        rest = tried.filter("not found.ok").select("row", "pair", "a", "b")
-        if rest.isEmpty():
+        found = stored(found, "iblt-found")
+        done.append(found.filter("not open").drop("open"))
+        unsolved = found.filter("open").select("row", "pair")
+        if unsolved.isEmpty():
             break
-    sizes_left = [F.size("a").alias("size_a"), F.size("b").alias("size_b"), F.size("a").alias("only_a"), F.size("b").alias("only_b")]
-    whole = rest.select("row", "pair", *sizes_left)
-    for part in done:
+        rest = pairs.join(unsolved, ["row", "pair"], "left_semi")
+    else:
+        one, other = F.size(F.array_except("a", "b")), F.size(F.array_except("b", "a"))
+        done.append(rest.select("row", "pair", one.cast("long").alias("only_a"), other.cast("long").alias("only_b")))
+    whole = done[0]
+    for part in done[1:]:
         whole = whole.unionByName(part)
-    sums = whole.groupBy("row", "pair").agg(*(F.sum(c).alias(c) for c in ("size_a", "size_b", "only_a", "only_b")))
-    common = F.col("size_a") - F.col("only_a")
-    total = common + F.col("only_a") + F.col("only_b")
-    return sums.select("row", "pair", F.when(total == 0, 1.0).otherwise(common / total).alias("likeness"))
+    return whole
+
+
+def _jaccard(size_a: str, size_b: str, only_a: str) -> Column:
+    """The similarity of sets of these sizes, by what only the first has (null: nothing); two empty ones are alike."""
+    alone = F.coalesce(F.col(only_a), F.lit(0))
+    return F.when(F.col(size_b) + alone == 0, 1.0).otherwise((F.col(size_a) - alone) / (F.col(size_b) + alone))
+
 
+def likeness(pairs: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """(row, pair, likeness) of pairs (row, pair, a, b) of arrays of distinct digests: the Jaccard similarity, from the
+    differing digests that the subtracted tables give away; 1 for two empty arrays. ``row`` is not null."""
+    found = differences(pairs.repartition("row"), sizes)
+    counted = pairs.select("row", "pair", F.size("a").alias("size_a"), F.size("b").alias("size_b")).join(found, ["row", "pair"], "left")
+    return counted.select("row", "pair", _jaccard("size_a", "size_b", "only_a").alias("likeness"))
 
-def document_fingerprints(docs: DataFrame, cut: Callable[[Column], Column] = paragraphs) -> DataFrame:
+
+def document_fingerprints(docs: DataFrame, cut: Callable[[Column], Column] = paragraphs, task_digests: int = 400_000) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
-    next_id. Fingerprints of the parts that ``cut`` makes; with ``passages`` texts of any two lengths compare.
+    next_id, n_parts, n_next_parts (distinct digests). Fingerprints of the parts that ``cut`` makes; with ``passages``
+    texts of any two lengths compare. Where two texts have fingerprints of one size, their likeness is what the two
+    leave when one is subtracted from the other; elsewhere the smaller is made in a larger size, the other folded.
 
     Equal texts have equal fingerprints; an empty text, or one of blanks, has an empty one, and two such are wholly
-    alike. In a table with one document that is its own next document."""
+    alike. In a table with one document that is its own next document. ``task_digests`` is how many digests share a task.
+    """
     versions = edited_versions(docs, cut)
-    pairs = versions.select(
-        "row",
-        F.explode(
-            F.array(
-                F.struct(F.lit("edited").alias("pair"), F.col("own").alias("a"), F.col("edited").alias("b")),
-                F.struct(F.lit("next").alias("pair"), F.col("own").alias("a"), F.col("following").alias("b")),
-            )
-        ).alias("x"),
-    ).select("row", "x.pair", "x.a", "x.b")
-    near = likeness(pairs).groupBy("row").agg(
-        F.max(F.when(F.col("pair") == "edited", F.col("likeness"))).alias("near_edited"),
-        F.max(F.when(F.col("pair") == "next", F.col("likeness"))).alias("near_next"),
+    total = versions.agg(F.sum(F.size("own") + F.size("edited") + F.size("following"))).first()[0] or 0
+    dealt = versions.repartition(max(8, total // task_digests), "row")
+    pair = lambda k, other: F.struct(F.lit(k).alias("pair"), F.col("own").alias("a"), F.col(other).alias("b"))
+    pairs = dealt.select("row", F.explode(F.array(pair(0, "edited"), pair(1, "following"))).alias("x")).select("row", "x.*")
+    found = differences(pairs).groupBy("row").agg(
+        *(F.max(F.when(F.col("pair") == k, F.col("only_a"))).alias(f"only_{k}") for k in (0, 1))
+    )
+    slim = dealt.select(
+        "row", "doc_id", "n_chars", "edited_sha256", "next_id", F.size("own").alias("n_parts"),
+        F.size("edited").alias("n_edited_parts"), F.size("following").alias("n_next_parts"),
     )
-    # the tables' texts are made behind the join, which then moves digests only
-    joined = versions.join(near, "row")
+    joined = slim.join(tables(dealt, "own", "edited"), "row", "left").join(found, "row", "left")
     return joined.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"),
-        fingerprint("edited").alias("edited_fingerprint"), "near_edited", "near_next", "next_id",
+        "doc_id", "n_chars", "edited_sha256", F.coalesce("own", F.lit("")).alias("fingerprint"),
+        F.coalesce("edited", F.lit("")).alias("edited_fingerprint"), _jaccard("n_parts", "n_edited_parts", "only_0").alias("near_edited"),
+        _jaccard("n_parts", "n_next_parts", "only_1").alias("near_next"), "next_id", "n_parts", "n_next_parts",
     )
