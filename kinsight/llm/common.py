@@ -34,12 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, drop_shuffles: bool = False) -> DataFrame:
     """Write to the shared folder and read back: later steps, and tasks that are run again after an executor is
-    lost, see one fixed version of the rows."""
+    lost, see one fixed version of the rows. ``drop_shuffles`` gives back the space of the shuffles behind the table
+    once it is written."""
     spark = df.sparkSession
-    folder = run_folder(spark, purpose)
-    df.write.option("compression", "zstd").parquet(folder)
+    folder, setting = run_folder(spark, purpose), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    if drop_shuffles:
+        spark.conf.set(setting, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        if drop_shuffles:
+            spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 

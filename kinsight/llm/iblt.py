@@ -156,11 +156,12 @@ def successors(docs: DataFrame) -> DataFrame:
 
 def edited_versions(docs: DataFrame, cut: Callable[[Column], Column] = paragraphs) -> DataFrame:
     """One stored row per document: doc_id, next_id (doc_id of the next document), n_chars, edited_sha256, and the digests of the text (own), of the edited
-    text (edited) and of the next document (following). The edited text has its last floor(n_chars / 3) code points
+    text (edited) and of the next document (following), with their numbers. The edited text has its last floor(n_chars / 3) code points
     replaced by the first as many, or all, of the next document. A repeated row's next document is its repetition."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     key, before = ["key_id", "key_none", "key_mark"], ["before_id", "before_none", "before_mark"]
-    texts = texts.select("doc_id", "text", *_key(F.col("doc_id"), F.xxhash64("text"), "key"))
+    # both uses of the texts, for themselves and as the next of another, read this one shuffle
+    texts = texts.select("doc_id", "text", *_key(F.col("doc_id"), F.xxhash64("text"), "key")).repartition(*key)
     chain = stored(successors(docs), "iblt-chain")
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
     placed = texts.join(chain, key).withColumn("nth", nth)
@@ -181,17 +182,22 @@ def edited_versions(docs: DataFrame, cut: Callable[[Column], Column] = paragraph
         "doc_id", F.expr("if(repeats, doc_id, next_id)").alias("next_id"), F.col("n").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"), "own",
         digests(F.col("edited_text"), cut).alias("edited"), F.expr("if(repeats, own, head_digests)").alias("following"),
     )
-    return stored(versions.withColumn("row", F.monotonically_increasing_id()), "iblt-versions")
+    counts = {"n_parts": "own", "n_edited_parts": "edited", "n_next_parts": "following"}
+    versions = versions.withColumns({n: F.size(c) for n, c in counts.items()})
+    return stored(versions.withColumn("row", F.monotonically_increasing_id()), "iblt-versions", drop_shuffles=True)
 
 
-def differences(pairs: DataFrame, sizes: tuple[int, ...] = SIZES, rounds: int = 9) -> DataFrame:
+def differences(
+    pairs: DataFrame, sizes: tuple[int, ...] = SIZES, rounds: int = 9, again: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """(row, pair, only_a, only_b): how many digests only one side of a pair (row, pair, a, b) has; pairs that do not
     differ are left out. The pairs are to be partitioned by ``row``: then no round moves a row to another task.
 
     The sides' tables have one size, which their numbers of digests choose, and are subtracted by adding up cells with
     opposite signs. Pairs that peeling does not solve are tried again larger, with other hashes, size by size; what the
-    last size leaves is compared digest by digest.
+    last size leaves is compared digest by digest. ``again`` gives the pairs of a table (row, pair), partitioned alike.
     """
+    again = again or (lambda wanted: pairs.join(wanted, ["row", "pair"], "left_semi"))
     rest, done = pairs, []
     for level, cells in enumerate(sizes):
         sides = F.array(
@@ -205,12 +211,12 @@ def differences(pairs: DataFrame, sizes: tuple[int, ...] = SIZES, rounds: int =
             F.sum(F.expr("if(cell = -2, n, 0)")).alias("only_b"),
             F.max(F.expr("cell >= 0")).alias("open"),
         )
-        found = stored(found, "iblt-found")
+        found = stored(found, "iblt-found", drop_shuffles=True)
         done.append(found.filter("not open").drop("open"))
-        unsolved = found.filter("open").select("row", "pair")
+        unsolved = stored(found.filter("open").select("row", "pair"), "iblt-unsolved")
         if unsolved.isEmpty():
             break
-        rest = pairs.join(unsolved, ["row", "pair"], "left_semi")
+        rest = again(unsolved)
     else:
         one, other = F.size(F.array_except("a", "b")), F.size(F.array_except("b", "a"))
         done.append(rest.select("row", "pair", one.cast("long").alias("only_a"), other.cast("long").alias("only_b")))
@@ -244,18 +250,23 @@ def document_fingerprints(docs: DataFrame, cut: Callable[[Column], Column] = par
     alike. In a table with one document that is its own next document. ``task_digests`` is how many digests share a task.
     """
     versions = edited_versions(docs, cut)
-    total = versions.agg(F.sum(F.size("own") + F.size("edited") + F.size("following"))).first()[0] or 0
-    dealt = versions.repartition(max(8, total // task_digests), "row")
+    total = versions.agg(F.sum(F.expr("n_parts + n_edited_parts + n_next_parts"))).first()[0] or 0
+    tasks = max(8, total // task_digests)
     pair = lambda k, other: F.struct(F.lit(k).alias("pair"), F.col("own").alias("a"), F.col(other).alias("b"))
-    pairs = dealt.select("row", F.explode(F.array(pair(0, "edited"), pair(1, "following"))).alias("x")).select("row", "x.*")
-    found = differences(pairs).groupBy("row").agg(
+
+    def pairs_of(some: DataFrame) -> DataFrame:
+        both = F.explode(F.array(pair(0, "edited"), pair(1, "following"))).alias("x")
+        return some.repartition(tasks, "row").select("row", both).select("row", "x.*")
+
+    def again(wanted: DataFrame) -> DataFrame:
+        some = versions.join(wanted.select("row").distinct(), "row", "left_semi")
+        return pairs_of(some).join(wanted, ["row", "pair"], "left_semi")
+
+    found = differences(pairs_of(versions), again=again).groupBy("row").agg(
         *(F.max(F.when(F.col("pair") == k, F.col("only_a"))).alias(f"only_{k}") for k in (0, 1))
     )
-    slim = dealt.select(
-        "row", "doc_id", "n_chars", "edited_sha256", "next_id", F.size("own").alias("n_parts"),
-        F.size("edited").alias("n_edited_parts"), F.size("following").alias("n_next_parts"),
-    )
-    joined = slim.join(tables(dealt, "own", "edited"), "row", "left").join(found, "row", "left")
+    slim = versions.select("row", "doc_id", "n_chars", "edited_sha256", "next_id", "n_parts", "n_edited_parts", "n_next_parts")
+    joined = slim.repartition(tasks, "row").join(tables(versions.repartition(tasks, "row"), "own", "edited"), "row", "left").join(found, "row", "left")
     return joined.select(
         "doc_id", "n_chars", "edited_sha256", F.coalesce("own", F.lit("")).alias("fingerprint"),
         F.coalesce("edited", F.lit("")).alias("edited_fingerprint"), _jaccard("n_parts", "n_edited_parts", "only_0").alias("near_edited"),
