@@ -75,15 +75,21 @@ class LetterSpace:
 
     def sums(self, texts: list[str], together: int = 200_000) -> np.ndarray:
         """One row a text: the sum of its runs' vectors, scaled to length 1; zeros for a text without letters."""
+        return self.measured(texts, together)[0]
+
+    def measured(self, texts: list[str], together: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+        """The sums of the texts, and how many runs each has."""
         out, group, held = np.zeros((len(texts), self.dimensions), np.float32), [], 0
+        runs = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             codes = self.runs(text)
+            runs[i] = len(codes)
             group.append((i, codes))
             held += len(codes)
             if held >= together or i == len(texts) - 1:
                 self._add(group, out)
                 group, held = [], 0
-        return out
+        return out, runs
 
     def _add(self, group: list[tuple[int, np.ndarray]], out: np.ndarray) -> None:
         unique, inverse = np.unique(np.concatenate([codes for _, codes in group]), return_inverse=True)
@@ -124,36 +130,39 @@ class LanguageModel:
     lengths: np.ndarray
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        space = letter_space(self.prototypes.shape[1], self.run, self.seed)
-        sums = space.sums(texts)
+        return self.nearest(letter_space(self.prototypes.shape[1], self.run, self.seed).sums(texts))
+
+    def nearest(self, sums: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """The language of each sum and the cosine with its prototype; ``und`` and 0 where nothing was summed."""
         known = sums.any(axis=1)
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
+            return ["und"] * len(sums), np.zeros(len(sums))
         cosine = sums @ self.prototypes.T
         best = cosine.argmax(axis=1)
-        score = np.where(known, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0.0)
+        score = np.where(known, np.clip(cosine[np.arange(len(sums)), best], 0, 1), 0.0)
         return [self.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], score
 
-    def sizes(self, texts: list[str]) -> np.ndarray:
-        """The size class of each text: the power of two below its number of runs, at most ``SIZES`` - 1."""
-        space = letter_space(self.prototypes.shape[1], self.run, self.seed)
-        return np.array([min(SIZES - 1, max(0, len(space.runs(t)).bit_length() - 1)) for t in texts], np.int64)
 
+def size_classes(runs: np.ndarray) -> np.ndarray:
+    """The size class of texts by their numbers of runs: the power of two below, at most ``SIZES`` - 1."""
+    return np.array([min(SIZES - 1, max(0, int(n).bit_length() - 1)) for n in runs], np.int64)
 
-def _sample(docs: DataFrame, most: int, folds: int, held: int) -> DataFrame:
-    """The learning texts: (text, lang)."""
+
+def _learning(docs: DataFrame, most: int | None, folds: int, held: int) -> DataFrame:
+    """The learning texts: (text, lang); all of them, or about ``most``."""
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", folds) != held))
-    return bounded_sample(known, "doc_id", most).select("text", "lang")
+    known = known if most is None else bounded_sample(known, "doc_id", most)
+    return known.select("text", "lang")
 
 
 def fit(
-    docs: DataFrame, most: int = 20_000, folds: int = 3, held: int = 1, dimensions: int = 1024, run: int = 3, seed: int = 5
+    docs: DataFrame, most: int | None = 20_000, folds: int = 3, held: int = 1, dimensions: int = 1024, run: int = 3, seed: int = 5
 ) -> LanguageModel:
-    """Prototypes from about ``most`` texts with a language whose crc32 of doc_id as text modulo ``folds`` isn't
-    ``held``. Every text counts alike, whatever its length; tasks send one partial sum a language."""
+    """Prototypes from about ``most`` texts, or all for None, with a language whose crc32 of doc_id as text modulo
+    ``folds`` isn't ``held``. Every text counts alike, whatever its length; tasks send one partial sum a language."""
     ship(docs.sparkSession)
-    sample = _sample(docs, most, folds, held)
+    learning = _learning(docs, most, folds, held)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space, held_sums = letter_space(dimensions, run, seed), {}
@@ -166,7 +175,7 @@ def fit(
         for lang, total in held_sums.items():
             yield pd.DataFrame({"lang": lang, "dimension": np.arange(dimensions), "value": total.astype(np.int64)})
 
-    sums = sample.mapInPandas(partial, "lang string, dimension int, value long").groupBy("lang", "dimension")
+    sums = learning.mapInPandas(partial, "lang string, dimension int, value long").groupBy("lang", "dimension")
     found = sums.agg(F.sum("value").alias("value")).toPandas()
     languages = tuple(sorted(set(found["lang"])))
     prototypes = np.zeros((len(languages), dimensions))
@@ -198,11 +207,12 @@ def identify(docs: DataFrame, most: int = 20_000, folds: int = 3, held: int = 1)
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-def bars(docs: DataFrame, model: LanguageModel, quantile: float, ease: float, most: int, folds: int = 3, held: int = 1) -> np.ndarray:
-    """The least cosine by language and size class: ``ease`` times the ``quantile`` of the learning texts' cosines with
+def bars(docs: DataFrame, model: LanguageModel, quantile: float, ease: float, folds: int = 3, held: int = 1) -> np.ndarray:
+    """The least cosine by language and size class: ``ease`` times the ``quantile`` of all learning texts' cosines with
     the prototype of their own language's other texts. Beginnings of the texts stand for short ones, whose cosines are
-    lower; a class without any takes the next smaller one's bar, and 0 if there is none."""
-    sample = _sample(docs, most, folds, held)
+    lower; a class without any takes the next smaller one's bar, and 0 if there is none. ``model`` was fitted on all
+    learning texts too."""
+    learning = _learning(docs, None, folds, held)
 
     def cosines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space, place = letter_space(model.prototypes.shape[1], model.run, model.seed), {x: i for i, x in enumerate(model.languages)}
@@ -210,19 +220,19 @@ def bars(docs: DataFrame, model: LanguageModel, quantile: float, ease: float, mo
             for at in range(0, len(batch), 500):
                 texts, langs = list(batch["text"].iloc[at : at + 500]), list(batch["lang"].iloc[at : at + 500])
                 own = [place[x] for x in langs]
-                whole = space.sums(texts)
+                whole, sizes = space.measured(texts)
                 others = model.prototypes[own] * model.lengths[own, None] - whole
                 others /= np.maximum(np.linalg.norm(others, axis=1, keepdims=True), 1e-3)
                 for n in (None, *BEGINNINGS):
                     rows = [i for i, t in enumerate(texts) if n is None or len(t) > n]
                     parts = [texts[i][:n] for i in rows]
-                    sums = whole if n is None else space.sums(parts)
+                    sums, runs = (whole, sizes) if n is None else space.measured(parts)
                     if not sums.any():
                         continue
-                    found = pd.DataFrame({"lang": [langs[i] for i in rows], "size": model.sizes(parts), "cosine": (sums * others[rows]).sum(axis=1).astype(float)})
+                    found = pd.DataFrame({"lang": [langs[i] for i in rows], "size": size_classes(runs), "cosine": (sums * others[rows]).sum(axis=1).astype(float)})
                     yield found[sums.any(axis=1)]
 
-    rows = sample.mapInPandas(cosines, "lang string, size int, cosine double").groupBy("lang", "size")
+    rows = learning.mapInPandas(cosines, "lang string, size int, cosine double").groupBy("lang", "size")
     found = {(r["lang"], r["size"]): r["bar"] for r in rows.agg(F.percentile_approx("cosine", quantile, 10_000).alias("bar")).collect()}
     out = np.zeros((len(model.languages), SIZES))
     for i, lang in enumerate(model.languages):
@@ -231,21 +241,23 @@ def bars(docs: DataFrame, model: LanguageModel, quantile: float, ease: float, mo
     return out
 
 
-def accepted(docs: DataFrame, quantile: float = 0.01, ease: float = 0.4, most: int = 20_000) -> DataFrame:
+def accepted(docs: DataFrame, quantile: float = 0.01, ease: float = 0.4) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are in some learned language: their text has letters, and
-    its cosine with the best prototype reaches the bar that the learning texts set for that language and size."""
-    model = fit(docs, most)
-    least = bars(docs, model, quantile, ease, most)
+    its cosine with the best prototype reaches the bar that the learning texts set for that language and size. Both
+    prototypes and bars come from all learning texts."""
+    model = fit(docs, None)
+    least = bars(docs, model, quantile, ease)
 
     @F.pandas_udf("boolean")
     def reached(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        place = {x: i for i, x in enumerate(model.languages)}
+        space, place = letter_space(model.prototypes.shape[1], model.run, model.seed), {x: i for i, x in enumerate(model.languages)}
         for batch in texts:
             kept = []
             for at in range(0, len(batch), 500):
                 some = [t or "" for t in batch.iloc[at : at + 500]]
-                langs, scores = model.predict(some)
-                kept += [x in place and c >= least[place[x], n] for x, c, n in zip(langs, scores, model.sizes(some), strict=True)]
+                sums, runs = space.measured(some)
+                langs, scores = model.nearest(sums)
+                kept += [x in place and c >= least[place[x], n] for x, c, n in zip(langs, scores, size_classes(runs), strict=True)]
             yield pd.Series(kept, dtype=bool)
 
     return docs.filter(reached(F.col("text").cast("string")))

@@ -175,3 +175,16 @@ def test_samples_of_huge_tables_are_bounded_and_not_empty(spark):
         assert 0.999 < share * total / 20_000 < 1.001
     rows = spark.range(50_000).withColumn("text", F.lit("x"))
     assert 1_800 < bounded_sample(rows, "id", 2_000).count() < 2_200
+
+
+def test_accepted_languages_learn_from_every_learning_text(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    want = sorted(r.doc_id for r in language.accepted(docs).collect())
+    assert len(want) > 280
+    model = language.fit(docs, None)
+    learning = [r for r in docs.collect() if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    space = language.letter_space(1024, 3, 5)
+    for lang, length in zip(model.languages, model.lengths, strict=True):
+        assert math.isclose(np.linalg.norm(space.sums([r.text for r in learning if r.lang == lang]).sum(axis=0)), length, rel_tol=1e-3)
+    monkeypatch.setattr(language, "bounded_sample", lambda rows, *_: rows.limit(0))
+    assert sorted(r.doc_id for r in language.accepted(docs).collect()) == want
