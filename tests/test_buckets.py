@@ -58,6 +58,22 @@ def test_buckets_follow_the_size(spark, tmp_path):
     assert table.reclaim() == [1, 2, 3] and table.read().count() == 410
 
 
+def test_large_rows_make_smaller_buckets(spark, tmp_path):
+    rows = spark.range(600).selectExpr("id AS k", "repeat('x', 2000) AS v", "transform(sequence(1, 20), i -> struct(repeat('w', 30) AS term, i AS tf)) AS words")
+    table = Buckets(spark, str(tmp_path / "t"), "k", per_bucket=1_000, bucket_bytes=200_000)
+    made = table.replace(rows, 1)
+    assert 2_000 + 20 * 30 < made.row_bytes < 10_000
+    assert made.buckets == 16 and max(made.rows.values()) * made.row_bytes < 3 * table.bucket_bytes
+    assert len(list(Path(table.root, "data", "v=1").glob("b=*/*.parquet"))) == 16
+    assert rows_of(table.read().select("k")) == rows_of(rows.select("k"))
+    gone = table.delete(2, spark.range(100).selectExpr("id AS k"))
+    assert gone.buckets == 16 and gone.row_bytes == made.row_bytes and sum(gone.rows.values()) == 500
+    # a table that starts without rows learns their size from the first ones
+    later = Buckets(spark, str(tmp_path / "later"), "k", per_bucket=1_000, bucket_bytes=200_000)
+    later.replace(rows.limit(0), 1)
+    assert later.upsert(2, rows).buckets == 16 and later.read().count() == 600
+
+
 def test_empty_tables_and_batches(spark, tmp_path):
     table = Buckets(spark, str(tmp_path / "t"), "k")
     assert table.read() is None and table.pointer() is None
