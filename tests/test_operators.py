@@ -198,3 +198,23 @@ def test_stream_maintenance_equals_rebuild(spark, tmp_path):
 def test_clock_is_explicit(spark):
     assert "current_timestamp" not in Scenarios(spark).table("interactions")._jdf.queryExecution().toString()
     assert SETTINGS.clock.window_days == 90
+
+
+def test_postings_are_not_shuffled(spark):
+    docs = spark.range(90).selectExpr("id AS doc_id", "concat('alpha beta ', id % 7) AS content").repartition(3)
+    folder = run_folder(spark, "index")
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0")
+    index = search.write_index(docs, folder)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0") == before
+    files = index.postings.filter("term = 'alpha'").select("_metadata.file_path").distinct()
+    assert files.count() == spark.read.parquet(f"{folder}/words").rdd.getNumPartitions() > 1
+    assert index.postings.count() == 180 and search.scored(index, "alpha").count() == 90
+
+
+def test_scores_are_computed_once_whatever_the_candidates(spark):
+    vectors = spark.range(40).selectExpr("id AS vec_id", "array(cast(id AS float), cast(1 AS float)) AS embedding")
+    scored = search.scored_vectors(vectors, [1.0, 0.5])
+    ranks = search._true_ranks(scored, scored.select("doc_id").limit(5), "rank")
+    plan = ranks._jdf.queryExecution().optimizedPlan().toString()
+    compared = re.findall(r"lambdafunction\(\(lambda \S+ < (.{0,12})", plan)
+    assert compared and all(right.startswith("lambda ") for right in compared)
