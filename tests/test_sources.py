@@ -152,3 +152,28 @@ def test_a_retried_append_stands_once(spark, tmp_path):
         tables.append_log(spark.range(3, 5), path, "s-1")
     log = tables.read_log(spark, path)
     assert log.columns == ["id"] and sorted(r.id for r in log.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_load_figures_come_from_what_was_written(spark, tmp_path):
+    from kinsight.sources.loads import LandedTable
+
+    rows = spark.range(50).selectExpr(
+        "id", "if(id % 10 = 0, null, sha2(string(id), 256)) AS _row_hash", "'b' AS _batch_id",
+        "if(id = 3, null, timestamp_ntz '2024-01-01 00:00:00') AS _loaded_at", "'f' AS _source_file")
+    table = LandedTable(spark, str(tmp_path / "t"))
+    got = table.load(rows, 1, full=True)
+    assert (got["rows"], got["null_hashes"], got["min_hash_length"], got["rejected"]) == (50, 5, 64, 0)
+    assert got["first_id"] == got["last_id"] == "b" and got["is_full"] and got["audit_nulls"] >= 1
+    assert all(f.endswith(".zstd.parquet") for f in table.read().inputFiles())
+    none = table.load(rows.limit(0), 2)
+    assert (none["rows"], none["null_hashes"], none["min_hash_length"]) == (0, 0, None)
+
+
+def test_sessions_share_one_ranking(spark):
+    from kinsight.plans.queries import Decisions
+    from kinsight.plans.pipeline import Build
+    from kinsight.sources.testbed import SETTINGS, Testbed
+
+    made = Decisions(Build(Testbed(spark, "/root/testdata/sf0.001"), SETTINGS))
+    assert made.log.count() > 0
+    assert all("/decision_primary/" in f for f in made.primary.inputFiles()) and made.primary.inputFiles()
