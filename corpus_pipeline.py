@@ -10,33 +10,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinsight.llm import bagminhash, exact_dedup, language, packing, toxicity
-from kinsight.llm.common import stored, table
+from kinsight.llm.common import stored, table, tasks_for
 from kinsight.llm.encoding import vocabulary_path
 
 
+def files(result: DataFrame, docs: DataFrame) -> DataFrame:
+    """What a stage makes of ``docs``, in tasks of up to some 5,000 documents, four a core at least: partitions that
+    are smaller are taken together, so that a stage doesn't write a file for each of many almost empty ones."""
+    return result.coalesce(4 * tasks_for(docs.sparkSession, docs.count(), 20_000))
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; the model learns from the labels of the documents at hand."""
-    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
+    return files(toxicity.accepted(docs, table(spark, sf_dir, "labels")), docs)
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the documents at hand are marked with."""
-    return language.accepted(docs)
+    return files(language.accepted(docs), docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, white space apart."""
-    return exact_dedup.survivors(docs)
+    return files(exact_dedup.survivors(docs), docs)
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: that with the smallest doc_id."""
-    return bagminhash.survivors(docs)
+    return files(bagminhash.survivors(docs), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 ids, with their ids."""
-    return packing.pack(docs, vocabulary_path("byte_bpe_50k.json"))
+    return files(packing.pack(docs, vocabulary_path("byte_bpe_50k.json")), docs)
 
 
 STAGES = [

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinsight.llm.common import ship, stored, text_or_empty, unused
+from kinsight.llm.common import ship, stored, tasks_for, text_or_empty, unused
 from kinsight.llm.mixing import mixed, uniform
 
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
@@ -116,15 +116,18 @@ def nodes(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     distinct = signed.groupBy("sha").agg(
         F.min("doc_id").alias("keep_id"), F.count("*").alias("copies"), F.first("buckets").alias("buckets")
     )
-    return stored(distinct.withColumn("node", F.monotonically_increasing_id()), "bagminhash-nodes")
+    tasks = tasks_for(docs.sparkSession, docs.count(), 5000)
+    return stored(distinct.withColumn("node", F.monotonically_increasing_id()), "bagminhash-nodes", tasks=tasks)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of all nodes in ``links`` (a, b): the smallest node each can be reached from. Labels spread along
     links and jump to their own label's label, so chains shorten by half in a round; each round is stored."""
-    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(both, "links", tasks=tasks_for(links.sparkSession, 2 * links.count()))
     roots = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root"))
-    roots = stored(roots, "roots")
+    tasks = tasks_for(links.sparkSession, both.count())
+    roots = stored(roots, "roots", tasks=tasks)
     while True:
         near = both.join(roots, both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("near"))
         step = roots.join(near, roots["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("best"))
@@ -132,7 +135,7 @@ def components(links: DataFrame) -> DataFrame:
         jumped = step.join(onward, step["best"] == onward["via"]).select(
             "node", F.col("root").alias("old"), F.least("best", "beyond").alias("root")
         )
-        made = stored(jumped, "roots")
+        made = stored(jumped, "roots", tasks=tasks)
         if made.filter("old <> root").isEmpty():
             return made.select("node", "root")
         roots = made.select("node", "root")
@@ -148,11 +151,12 @@ def joined_by(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     moved = components(between).select(F.col("node").alias("old"), F.col("root").alias("new"))
     nodes_now = roots.unionByName(moved.select(F.col("old").alias("node"), F.col("old").alias("root"))).distinct()
     found = nodes_now.join(moved, F.col("root") == F.col("old"), "left")
-    return stored(found.groupBy("node").agg(F.min(F.coalesce("new", "root")).alias("root")), "roots")
+    tasks = tasks_for(roots.sparkSession, roots.count())
+    return stored(found.groupBy("node").agg(F.min(F.coalesce("new", "root")).alias("root")), "roots", tasks=tasks)
 
 
 def judged(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Stored (a, b, similarity) of the pairs, from the whole texts."""
+    """Stored (a, b, similarity) of the pairs, which are stored, from the whole texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, bag = None, None
@@ -167,7 +171,8 @@ def judged(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return stored(both.mapInPandas(run, "a long, b long, similarity double"), "bagminhash-judged")
+    tasks = 4 * tasks_for(pairs.sparkSession, pairs.count(), 4000)
+    return stored(both.mapInPandas(run, "a long, b long, similarity double"), "bagminhash-judged", tasks=tasks)
 
 
 def overlaps(texts: DataFrame, of: DataFrame, words: int) -> DataFrame:
@@ -189,7 +194,7 @@ def overlaps(texts: DataFrame, of: DataFrame, words: int) -> DataFrame:
     size = F.sum(F.when(F.col("shingle").isNull(), F.col("times")))
     alone = F.coalesce(F.sum(F.when(F.col("shingle").isNotNull(), F.col("times"))), F.lit(0))
     found = single.filter("n = 1").groupBy("node").agg(size.alias("size"), alone.alias("alone"))
-    return stored(found.select("node", "size", (F.col("size") - F.col("alone")).alias("shared")), "bagminhash-overlaps")
+    return stored(found.select("node", "size", (F.col("size") - F.col("alone")).alias("shared")), "bagminhash-overlaps", tasks=tasks_for(of.sparkSession, of.count(), 20_000))
 
 
 def bound(shared: Column, size: Column, other: Column) -> Column:
@@ -223,7 +228,7 @@ def rare_tokens(texts: DataFrame, of: DataFrame, words: int, threshold: float) -
     kth = F.explode(F.sequence(F.lit(0).cast("long"), F.col("listed") - 1)).alias("kth")
     kept = [c for c in of.columns if c != "node"]
     tokens = near.select("node", *kept, "shingle", "before", kth).withColumn("position", F.col("before") + F.col("kth"))
-    return stored(tokens.drop("before"), "bagminhash-tokens")
+    return stored(tokens.drop("before"), "bagminhash-tokens", tasks=tasks_for(of.sparkSession, counted.count()))
 
 
 def near_roots(all_nodes: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame | None:
@@ -239,31 +244,37 @@ def near_roots(all_nodes: DataFrame, docs: DataFrame, words: int, threshold: flo
     spread = all_nodes.select("node", F.posexplode("buckets").alias("band", "value"))
     spread = spread.select("node", F.xxhash64("band", "value").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = stored(spread.join(shared, "bucket"), "bagminhash-members")
-    if members.isEmpty():
+    spark, count = all_nodes.sparkSession, all_nodes.count()
+    members = stored(spread.join(shared, "bucket"), "bagminhash-members", tasks=tasks_for(spark, count, 10_000))
+    shares = members.count()
+    if not shares:
         return None
+    few = tasks_for(spark, shares)
     degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
     members = members.select("bucket", "node").join(degrees, "node").withColumn("rank", F.struct("degree", (-F.col("node")).alias("low")))
     leaders = members.groupBy("bucket").agg(F.max_by("node", "rank").alias("first"), F.max("rank").alias("first_rank"))
-    members = stored(members.join(leaders, "bucket"), "bagminhash-members")
+    members = stored(members.join(leaders, "bucket"), "bagminhash-members", tasks=few)
     wanted = all_nodes.join(degrees.select("node"), "node").select("node", "sha", "keep_id")
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     bare = bare.withColumn("own_sha", F.sha2("text", 256))
     same = (bare["own_sha"] == wanted["sha"]) & bare["doc_id"].eqNullSafe(wanted["keep_id"])
     texts = bare.join(wanted, same).groupBy("node").agg(F.first("text").alias("text"))
-    texts = stored(texts, "bagminhash-texts")
+    texts = stored(texts, "bagminhash-texts", tasks=tasks_for(spark, count, 5000))
 
     def judge(pairs: DataFrame, known: DataFrame | None, roots: DataFrame | None):
         """Judge the pairs that were not judged before, and connect those that are near."""
         todo = pairs if known is None else pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        made = judged(todo, texts, words)
+        made = judged(stored(todo, "bagminhash-pairs", tasks=few), texts, words)
         close = made.filter(F.col("similarity") >= threshold - 1e-12).select("a", "b")
         if not close.isEmpty():
             roots = joined_by(roots, close)
-        return (made if known is None else stored(known.union(made), "bagminhash-known")), roots
+        if known is not None:
+            both = known.union(made)
+            made = stored(both, "bagminhash-known", tasks=tasks_for(spark, both.count()))
+        return made, roots
 
     stars = members.filter("node <> first").groupBy(F.col("node").alias("a"), F.col("first").alias("b"))
-    stars = stored(stars.agg(F.max("first_rank").alias("rank")), "bagminhash-stars")
+    stars = stored(stars.agg(F.max("first_rank").alias("rank")), "bagminhash-stars", tasks=few)
     known, roots = judge(stars.groupBy("a").agg(F.max_by("b", "rank").alias("b")), None, None)
     known, roots = judge(_apart(stars.select("a", "b"), roots), known, roots)
     unsettled = _mixed(members.select("bucket", "node", "rank"), roots)
@@ -273,7 +284,7 @@ def near_roots(all_nodes: DataFrame, docs: DataFrame, words: int, threshold: flo
     sized = unsettled.join(sizes, "node")
     least = sized.groupBy("bucket").agg(F.min("size").alias("least"))
     nearest = bound(F.col("shared"), F.col("size"), F.greatest("least", "shared"))
-    left = stored(sized.join(least, "bucket").filter(nearest >= threshold - 1e-9), "bagminhash-left")
+    left = stored(sized.join(least, "bucket").filter(nearest >= threshold - 1e-9), "bagminhash-left", tasks=few)
     stray = F.max(F.col("root") != F.col("main")).alias("stray")
     found = _mixed(left.select("bucket", "node", "rank", "size", "least"), roots)
     of = found.groupBy("node").agg(F.min("size").alias("size"), F.min("least").alias("least"), F.max("rank").alias("rank"), stray)
@@ -306,7 +317,8 @@ def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     ends = rooted.groupBy("bucket").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", "rank").alias("main")
     )
-    return stored(rooted.join(ends.filter("low < high").select("bucket", "main"), "bucket"), "bagminhash-mixed")
+    tasks = tasks_for(members.sparkSession, members.count())
+    return stored(rooted.join(ends.filter("low < high").select("bucket", "main"), "bucket"), "bagminhash-mixed", tasks=tasks)
 
 
 def _with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -34,11 +34,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, purpose: str, drop_shuffles: bool = False) -> DataFrame:
+def tasks_for(spark: SparkSession, rows: int, each: int = 100_000) -> int:
+    """How many tasks share ``rows`` when each takes about so many: all cores at least, and more as rows grow."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
+def stored(df: DataFrame, purpose: str, drop_shuffles: bool = False, tasks: int | None = None) -> DataFrame:
     """Write to the shared folder and read back: later steps, and tasks that are run again after an executor is
     lost, see one fixed version of the rows. ``drop_shuffles`` gives back the space of the shuffles behind the table
-    once it is written."""
+    once it is written. ``tasks`` bounds the number of files, each task taking several of the partitions behind them:
+    on file systems of the local kind Hadoop starts a process or two for every file."""
     spark = df.sparkSession
+    df = df if tasks is None else df.coalesce(tasks)
     folder, setting = run_folder(spark, purpose), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(setting, "false")
     if drop_shuffles:

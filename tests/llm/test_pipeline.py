@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kinsight.llm import language, toxicity
+from kinsight.llm.bagminhash import components
 from tests.llm.cases import ROWS, SCHEMA
 from tests.llm.test_duplicates import classes_by_hand, owners_by_hand
 
@@ -42,3 +43,22 @@ def test_clean_documents_stay(spark):
     kept = corpus_pipeline.STAGES[0][1](spark, docs, SF).select("doc_id")
     assert clean.join(kept, "doc_id", "left_anti").count() <= 0.03 * clean.count()
     assert corpus_pipeline.STAGES[1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_small_tables_are_few_files(spark):
+    """Each file costs a process or two on local file systems, whatever the number of shuffle partitions."""
+    settings = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    links = spark.range(2000).selectExpr("id a", "id + id % 2 b").filter("a <> b")
+    docs = spark.createDataFrame([(i, f"text number {i} of a few", "en", "a", 0) for i in range(500)], SCHEMA)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        roots = components(links)
+        assert len(roots.inputFiles()) <= spark.sparkContext.defaultParallelism
+        assert {(r.node, r.root) for r in roots.collect()} == {(n, n - (n + 1) % 2) for n in range(1, 2001)}
+        most = 4 * spark.sparkContext.defaultParallelism
+        assert corpus_pipeline.STAGES[2][1](spark, docs, SF).rdd.getNumPartitions() <= most
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
