@@ -37,7 +37,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, spaces_kept: bool = True)
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at : at + 1000]
-                ids = [np.frombuffer(b, "<u4").astype("<u2").tobytes() + end for b in encode(list(part["text"]))]
+                ids = [b + end for b in encode(list(part["text"]), width=2)]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "tokens": [len(b) // 2 for b in ids], "ids": ids})
 
     ship(docs.sparkSession)

@@ -132,9 +132,9 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, spaces_kept: boo
         for batch in batches:
             for at in range(0, len(batch), 500):
                 some = batch.iloc[at : at + 500]
-                for key, wide in zip(some["doc_id"], encode(list(some["text"])), strict=True):
+                for key, found in zip(some["doc_id"], encode(list(some["text"]), width=2), strict=True):
                     keys.append(None if pd.isna(key) else int(key))
-                    ids.append(np.frombuffer(wide, "<u4").astype("<u2").tobytes() + end)
+                    ids.append(found + end)
                     held += len(ids[-1]) // 2
                     if held >= shard_tokens:
                         yield pd.DataFrame([shard_row(part, shard, keys, ids)], columns=columns)

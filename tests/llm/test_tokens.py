@@ -22,6 +22,16 @@ def test_ids_are_the_librarys(path, kept):
     assert encode(texts) == want and encode(texts) == want
 
 
+@pytest.mark.parametrize(("path", "kept"), [(BYTES, True), (WORDS, False)])
+def test_two_byte_ids_and_lines_ends_between_words(path, kept):
+    texts = ["one two.\nThree four", "a\n b", "a \nb", "x.\n\nY z", " lead", "trail ", "two  spaces", "naïve,\nÉté!? it's\nso", "\n", "é\u00a0b c", "a b\n", "", "a<|endoftext|> b"]
+    encode = ChunkEncoder(path, kept)
+    want = [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for together in (1, 10, 4_000_000):
+        for width in (2, 4):
+            assert [np.frombuffer(b, f"<u{width}").tolist() for b in encode(texts, width=width, together=together)] == want
+
+
 def ids_of(encode, text, end):
     return np.array([*encode.tokenizer.encode(text, add_special_tokens=False).ids, end], "<u4")
 
