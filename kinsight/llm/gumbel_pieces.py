@@ -19,9 +19,12 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +46,7 @@ class Lattices:
     law on the vocabulary's ranks, to the power ``alpha``: 1 samples by probability, 0 alike; nothing is trained. A character that is no piece is a chain of byte pieces.
     """
 
-    def __init__(self, path: str, alpha: float, limit: int = 3_000_000):
+    def __init__(self, path: str, alpha: float, limit: int = 8_000_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -60,15 +63,27 @@ class Lattices:
         #: Every beginning of a piece; those that are no piece themselves have the id -1.
         self.table = {p[:n]: (-1, 0.0) for p in self.pieces for n in range(1, len(p))} | self.pieces
         self.beside = {p[n : n + 2] for p in self.pieces for n in range(len(p) - 1)}
+        # the same for many places at once: beginnings are numbered, and found by their last character's kind
+        letters = sorted({c for p in self.table for c in p})
+        self.kinds, self.kind = len(letters) + 1, np.zeros(0x110000, np.int64)
+        self.kind[[ord(c) for c in letters]] = np.arange(1, self.kinds)
+        numbers = {"": 0} | {p: n for n, p in enumerate(self.table, 1)}
+        keys = np.array([numbers[p[:-1]] * self.kinds + self.kind[ord(p[-1])] for p in self.table] + [np.iinfo(np.int64).max])
+        self.longer = np.argsort(keys)
+        self.keys, self.longer = keys[self.longer], self.longer + 1
+        self.piece_at = np.array([-1, *[i for i, _ in self.table.values()]], np.int32)
+        self.weight_at = np.array([0.0, *[w for _, w in self.table.values()]])
+        alone = self.step(np.zeros(self.kinds, np.int64), np.arange(self.kinds))
+        self.single = np.where(self.piece_at[alone] >= 0, alone, 0)  # the characters that are pieces, by kind
         #: Up to this length the smallest product of weights is far from the smallest float.
         self.short = int(200 / max(1e-9, -4 * math.log10(self.byte_weight)))
         self.forget()
 
     def forget(self) -> None:
         self.parts: dict[str, int] = {}
-        self.endings: dict[str, int] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.first, self.share, self.onward = array("q", [0]), array("d"), array("d")
+        self.chunks: dict[str, int] = {}
+        self.cuts, self.begins = array("q", [0]), array("q")
+        self.first, self.share = array("q", [0]), array("d")
         self.next, self.piece = array("i"), array("i")
 
     def views(self) -> None:
@@ -94,59 +109,66 @@ class Lattices:
             hit = table.get(text[i:j])
         return found
 
-    def part(self, text: str) -> int:
-        """State at the beginning of a part; builds its lattice when it is new."""
-        known = self.endings.get(text) if len(text) <= self.short else None
-        if known is None:
-            known = self.parts.get(text)
-        if known is None:
-            known = self._plain(text) if len(text) <= self.short else -1
-            if known < 0:
-                known = self.parts[text] = self._general(text)
-        return known
-
-    def _plain(self, text: str) -> int:
-        """Lattice of a short part whose characters are all pieces, one state a place; -1 where a character is none.
-
-        What can follow a place depends on the text behind it alone, so parts with the same ending share its states:
-        only the places before the longest known ending are new.
-        """
-        n, get, known, weights = len(text), self.table.get, self.endings, self.onward
-        begin = 1
-        while begin < n and text[begin:] not in known:
-            begin += 1
-        state = [0] * n + [-1]
-        onward = [0.0] * n + [1.0]  # weight of all ways from a place to the end
-        for j in range(begin, n):
-            state[j] = to = known[text[j:]]
-            onward[j] = weights[to]
-        last, size = len(self.first) - 1, len(self.share)
-        share, onto, pieces, first, made = [], [], [], [], []
-        for i in range(begin - 1, -1, -1):
-            j, total, ways = i + 1, 0.0, []
-            hit = get(text[i])
-            if hit is None or hit[0] < 0:
-                return -1
-            while hit is not None:
-                piece, weight = hit
-                if piece >= 0:
-                    way = weight * onward[j]
-                    total += way
-                    ways.append(way)
-                    onto.append(state[j])
-                    pieces.append(piece)
-                j += 1
-                if j > n:
-                    break
-                hit = get(text[i:j])
-            onward[i], state[i] = total, last
-            share += [way / total for way in ways]
-            first.append(size + len(share))
-            made.append(total)
-            last += 1
-        known.update((text[i:], state[i]) for i in range(begin))
-        self._add(share, onto, pieces, first, made)
-        return state[0]
+    def _build(self, parts: list[str]) -> None:
+        """Lattices of new parts: together where all characters are pieces and the part is short, else one by one."""
+        short = [t for t in parts if len(t) <= self.short]
+        if short:
+            codes = np.frombuffer("".join([f"{t}\n" for t in short]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            ends = np.cumsum([len(t) + 1 for t in short]) - 1
+            kinds = self.kind[codes]
+            kinds[ends] = 0
+            alone = self.single[kinds]
+            fit = alone > 0
+            fit[ends] = True
+            plain = np.logical_and.reduceat(fit, np.concatenate([[0], ends[:-1] + 1]))
+            if not plain.all():
+                kept = np.repeat(plain, np.diff(ends, prepend=-1))
+                kinds, alone = kinds[kept], alone[kept]
+            short = [t for t, p in zip(short, plain.tolist(), strict=True) if p]
+        if short:
+            self.parts.update(zip(short, self._plain(kinds, alone, np.cumsum([len(t) + 1 for t in short]) - 1).tolist(), strict=True))
+        for text in parts:
+            if text not in self.parts:
+                self.parts[text] = self._general(text)
+
+    def step(self, nodes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Beginnings of pieces, by number, that are one character longer; 0 where none is."""
+        keys = nodes * self.kinds + kinds
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.longer[at], 0)
+
+    def _plain(self, kinds: np.ndarray, alone: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Lattices of parts whose characters are all pieces, one state a place: the states at their beginnings.
+        ``kinds`` has the parts' characters one after the other, with a place behind each part, at ``ends``; ``alone``
+        the beginnings of pieces that these are."""
+        places, nodes, found, n = np.arange(len(kinds)), alone, [], 0
+        while len(places):  # all pieces at all places, a character longer each time; none goes over an end
+            nodes = self.step(nodes, kinds[places + n]) if n else nodes
+            on = nodes > 0
+            places, nodes, n = places[on], nodes[on], n + 1
+            piece = self.piece_at[nodes]
+            is_piece = piece >= 0
+            found.append((places[is_piece], places[is_piece] + n, piece[is_piece], self.weight_at[nodes[is_piece]]))
+        start, end, piece, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(start, kind="stable")  # shortest first at each place
+        start, end, piece, weight = start[order], end[order], piece[order], weight[order]
+        left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(kinds))  # characters up to the part's end
+        onward, share = np.ones(len(kinds)), np.empty(len(start))  # weight of all ways from a place to the end
+        by_left = np.argsort(left[start].astype(np.uint8 if left.max() < 256 else np.int64), kind="stable")
+        levels = np.searchsorted(left[start[by_left]], np.arange(1, left.max() + 2))
+        for a, b in zip(levels[:-1], levels[1:], strict=True):
+            these = by_left[a:b]
+            ways, own = weight[these] * onward[end[these]], start[these]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            rank = np.repeat(np.arange(len(first)), np.diff(first, append=len(own)))
+            total = np.bincount(rank, ways)
+            onward[own[first]] = total
+            share[these] = ways / total[rank]
+        inside = left > 0
+        state = np.where(inside, np.cumsum(inside) - 1 + len(self.first) - 1, -1)
+        counts = np.bincount(start, minlength=len(kinds))[inside]
+        self._add(share, state[end].astype(np.int32), piece, len(self.share) + np.cumsum(counts))
+        return state[np.concatenate([[0], ends[:-1] + 1])]
 
     def _general(self, text: str) -> int:
         """Lattice of any part, in logarithms, with chains of bytes; only places that can be reached get states."""
@@ -186,49 +208,78 @@ class Lattices:
             onto.append(to)
             pieces.append(b)
             first.append(size + len(share))
-        self._add(share, onto, pieces, first, [0.0] * len(first))  # endings of such parts aren't shared
+        self._add(np.array(share), np.array(onto, np.int32), np.array(pieces, np.int32), np.array(first, np.int64))
         return state[0]
 
-    def _add(self, share: list[float], onto: list[int], pieces: list[int], first: list[int], onward: list[float]) -> None:
-        """Append the children of new states, where those of each state end, and the weights of all ways from them."""
-        self.onward.extend(onward)
-        self.share.extend(share)
-        self.next.extend(onto)
-        self.piece.extend(pieces)
-        self.first.extend(first)
-
-    def _chunk(self, chunk: str) -> bytes:
-        """States at the beginnings of the parts of a chunk, as 64-bit integers. A word with closing punctuation is cut
-        between the two, if at all; other chunks wherever no piece goes across."""
+    def _add(self, share: np.ndarray, onto: np.ndarray, pieces: np.ndarray, first: np.ndarray) -> None:
+        """Append the children of new states, and where those of each state end."""
+        self.share.frombytes(share.tobytes())
+        self.next.frombytes(onto.tobytes())
+        self.piece.frombytes(pieces.tobytes())
+        self.first.frombytes(first.tobytes())
+
+    def _cut(self, chunk: str) -> tuple[str, ...]:
+        """The parts of a chunk. A word with closing punctuation is cut between the two, if at all; other chunks
+        wherever no piece goes across."""
         word = chunk.rstrip(".,;:!?")
         if word[1:].isalpha():
-            ending = chunk[len(word) :]
-            whole = not ending or word[-1] + ending[0] in self.beside
-            parts = [chunk] if whole else [word, ending]
-        else:
-            cuts = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in self.beside]
-            parts = [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)]
-        return array("q", map(self.part, parts)).tobytes()
+            whole = len(word) == len(chunk) or word[-1] + chunk[len(word)] in self.beside
+            return (chunk,) if whole else (word, chunk[len(word) :])
+        cuts = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in self.beside]
+        return tuple(chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True))
+
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        """Numbers of distinct chunks, given without the mark in front; what is new is built at once. The states at the
+        beginnings of the parts of chunk n are ``begins[cuts[n] : cuts[n + 1]]``."""
+        numbers = np.array(list(map(self.chunks.get, chunks, repeat(-1))), np.int64)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            fresh = [chunks[i] for i in new.tolist()]
+            cut = [(MARK + c,) if c.isalpha() else self._cut(MARK + c) for c in fresh]
+            flat, of = list(chain.from_iterable(cut)), self.parts
+            missing = [p for p in dict.fromkeys(flat) if p not in of]
+            for at in range(0, len(missing), 4000):  # so that what is worked on stays near the processor
+                self._build(missing[at : at + 4000])
+            self.cuts.extend((len(self.begins) + np.cumsum(list(map(len, cut)))).tolist())
+            self.begins.extend([of[p] for p in flat])
+            known = len(self.chunks)
+            numbers[new] = np.arange(known, known + len(new))
+            self.chunks.update(zip(fresh, range(known, known + len(new)), strict=True))
+        return numbers
 
     def starts(self, texts: list[str]) -> list[np.ndarray]:
         """For each text the states at the beginnings of its parts."""
-        if len(self.share) > self.limit:  # about a million states
+        if len(self.share) > self.limit or len(self.chunks) > 400_000:  # some 3 million states, of some 400,000 parts
             self.forget()
-        if len(self.chunks) > 400_000:
-            self.chunks.clear()
-        chunks, out = self.chunks, []
-        for text in texts:
-            split = re.findall(rf"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK)) if text else []
-            for chunk in set(split).difference(chunks):
-                chunks[chunk] = self._chunk(chunk)
-            out.append(np.frombuffer(b"".join(map(chunks.__getitem__, split)), np.int64))
+        # a chunk is a mark and what goes up to the next; where marks follow each other, all of them and what follows
+        spaced = [text.replace(MARK, " ") for text in texts]
+        odd = [i for i, text in enumerate(spaced) if not text or text[0] == " " or "  " in text]
+        runs = [[c[1:] for c in re.findall(" +[^ ]*", " " + spaced[i])] if spaced[i] else [] for i in odd]
+        for i in odd:
+            spaced[i] = None
+        split = pc.split_pattern(pa.array(spaced, pa.large_string()), " ")
+        counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+        chunks = pa.concat_arrays([split.flatten(), pa.array([c.replace(" ", MARK) for r in runs for c in r], pa.large_string())])
+        numbered = chunks.dictionary_encode()
+        own = self._numbers(numbered.dictionary.to_pylist())[numbered.indices.to_numpy()]
+        cuts, begins = np.array(self.cuts), np.array(self.begins)
+        sizes = (cuts[1:] - cuts[:-1])[own]
+        ends = np.cumsum(sizes)
+        states = begins[np.arange(int(sizes.sum())) + np.repeat(cuts[own] - (ends - sizes), sizes)]
+        place = np.concatenate([[0], ends])
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        out = [states[place[a] : place[b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        begin = bounds[-1]
+        for i, r in zip(odd, runs, strict=True):
+            out[i] = states[place[begin] : place[begin + len(r)]]
+            begin += len(r)
         return out
 
     def draw(self, states: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Complete each state's part by drawing; all pieces (as child numbers) and which state they belong to, in
         order."""
         owner, pieces, step = np.arange(len(states)), [], 0
-        owners, current = [], states
+        owners, current, counts = [], states, np.zeros(len(states), np.int64)
         while len(current):
             u = uniform(mixed(seeds[owner], 100 + step))
             begin, child = self.at[current], self.at[current + 1] - 1  # from the longest piece on
@@ -239,14 +290,14 @@ class Lattices:
                 more = more[(u[more] >= self.shares[child[more]]) & (child[more] > begin[more])]
             pieces.append(child)
             owners.append(owner)
+            counts[owner] += 1
             to = self.to[child]
             on = to >= 0
             owner, current, step = owner[on], to[on].astype(np.int64), step + 1
-        if not pieces:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        all_owners = np.concatenate(owners)
-        order = np.argsort(all_owners, kind="stable")
-        return np.concatenate(pieces)[order], all_owners[order]
+        first, out = np.cumsum(counts) - counts, np.empty(int(counts.sum()), np.int64)
+        for step, (owner, child) in enumerate(zip(owners, pieces, strict=True)):
+            out[first[owner] + step] = child
+        return out, np.repeat(np.arange(len(states)), counts)
 
     def state_of(self, child: int) -> int:
         return int(np.searchsorted(self.at, child, "right")) - 1
@@ -301,10 +352,20 @@ def _nodes(lattices, children, logs, fork, tried, bound, key, sample, most) -> n
 
 def sample_group(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[tuple[list[Path], float]]:
     """For each text at most ``k`` distinct paths, best perturbed value first, and the value of the next one."""
+    return sample_starts(lattices, begun(lattices, texts), keys, k)
+
+
+def begun(lattices: Lattices, texts: list[str]) -> list[np.ndarray]:
+    """For each text the states at the beginnings of its parts, whose lattices are then there."""
     lattices.release()
     starts = lattices.starts(texts)
     lattices.views()
-    found: list[list[Path]] = [[] for _ in texts]
+    return starts
+
+
+def sample_starts(lattices: Lattices, starts: list[np.ndarray], keys: np.ndarray, k: int) -> list[tuple[list[Path], float]]:
+    """``sample_group`` for texts whose lattices are there."""
+    found: list[list[Path]] = [[] for _ in starts]
     # what is to be completed: text, path so far, its parts, fork, tried children, states, their parts, bound
     todo = []
     for i, states in enumerate(starts):
@@ -361,6 +422,16 @@ def take(lattices: Lattices, i: int, paths: list[Path], starts: np.ndarray, key:
     return i, before, np.append(path.parts[:step], part), step, (*tried, branch), states, parts, bound
 
 
+def spans(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Where groups of neighbouring texts begin and end that have about ``most`` characters, or a text more."""
+    begin, held = 0, 0
+    for end, text in enumerate(texts, 1):
+        held += len(text)
+        if held >= most or end == len(texts):
+            yield begin, end
+            begin, held = end, 0
+
+
 def lattices_of(path: str, alpha: float) -> Lattices:
     """One per Python worker and set of parameters."""
     if (path, alpha) not in _LATTICES:
@@ -384,20 +455,19 @@ def sample_segmentations(docs: DataFrame, path: str, k: int = 3, alpha: float =
         for batch in batches:
             ids = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
             numbers = np.array([-1 if i is None else i for i in ids], np.int64).view(np.uint64)
-            keys, texts, start, held = mixed(numbers, seed), list(batch["text"]), 0, 0
-            for end in range(1, len(texts) + 1):
-                held += len(texts[end - 1])
-                if held < 200_000 and end < len(texts):
-                    continue
-                rows = []
-                for n, (paths, following) in enumerate(sample_group(lattices, texts[start:end], keys[start:end], k), start):
-                    for place, p in enumerate(paths, 1):
-                        gap = p.log_prob - following
-                        inclusion = 0.0 if following == -math.inf or gap > 5 else gap if gap < -30 else math.log(-math.expm1(-math.exp(gap)))
-                        rows.append((ids[n], place, len(p.children), p.log_prob, p.perturbed, inclusion, lattices.ids[p.children].tobytes()))
+            keys, texts = mixed(numbers, seed), list(batch["text"])
+            for first, last in spans(texts, 4_000_000):  # lattices are made for many texts at once, samples for fewer
+                starts = begun(lattices, texts[first:last])
+                for begin, end in spans(texts[first:last], 200_000):
+                    rows, own = [], slice(first + begin, first + end)
+                    found = sample_starts(lattices, starts[begin:end], keys[own], k)
+                    for doc_id, (paths, following) in zip(ids[own], found, strict=True):
+                        for place, p in enumerate(paths, 1):
+                            gap = p.log_prob - following
+                            inclusion = 0.0 if following == -math.inf or gap > 5 else gap if gap < -30 else math.log(-math.expm1(-math.exp(gap)))
+                            rows.append((doc_id, place, len(p.children), p.log_prob, p.perturbed, inclusion, lattices.ids[p.children].tobytes()))
+                    yield pd.DataFrame(rows, columns=columns)
                 lattices.release()
-                yield pd.DataFrame(rows, columns=columns)
-                start, held = end, 0
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, SAMPLES)
 

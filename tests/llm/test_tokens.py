@@ -239,3 +239,25 @@ def test_long_part_without_a_cut():
     whole = sorted((i, p) for p, (i, _) in lattices.pieces.items())
     spelled = ["".join(dict(whole)[i] for i in ids) for ids in pieces]
     assert spelled == [gumbel_pieces.MARK + text] * 2 and pieces[0] != pieces[1]
+
+
+def test_lattices_of_new_words_are_made_together(monkeypatch):
+    """All words of a group are added at once, with the probabilities that each has alone."""
+    letters, words = "etaoinshr", []
+    for n in range(600):
+        words.append("".join(letters[int(x)] for x in np.base_repr(n * 7919 + 11, 9)))
+    words += ["it's", "x=1;y", "日本", "a\nb", "end.", "end"]
+    lattices, added = gumbel_pieces.Lattices(PIECES, 0.2), []
+    add = gumbel_pieces.Lattices._add
+    monkeypatch.setattr(gumbel_pieces.Lattices, "_add", lambda self, *a: (added.append(1), add(self, *a))[1])
+    starts = gumbel_pieces.begun(lattices, [" ".join(words), "", "  two  spaces "])
+    assert len(added) <= 20 and len(starts[1]) == 0
+    for word in words[:600:7]:
+        own, n = lattices.parts[gumbel_pieces.MARK + word], len(word) + 1
+        lattices.release()
+        other = lattices._general(gumbel_pieces.MARK + word)
+        lattices.views()
+        for k in range(n):
+            a, b = lattices.children(own + k), lattices.children(other + k)
+            assert list(lattices.ids[a.start : a.stop]) == list(lattices.ids[b.start : b.stop])
+            assert np.allclose(lattices.shares[a.start : a.stop], lattices.shares[b.start : b.stop])
