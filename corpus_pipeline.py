@@ -15,9 +15,9 @@ from kinsight.llm.encoding import vocabulary_path
 
 
 def files(result: DataFrame, docs: DataFrame) -> DataFrame:
-    """What a stage makes of ``docs``, in tasks of up to some 5,000 documents, four a core at least: partitions that
+    """What a stage makes of ``docs``, in tasks of up to some 5,000 documents, two a core at least: partitions that
     are smaller are taken together, so that a stage doesn't write a file for each of many almost empty ones."""
-    return result.coalesce(4 * tasks_for(docs.sparkSession, docs.count(), 20_000))
+    return result.coalesce(2 * tasks_for(docs.sparkSession, docs.count(), 10_000))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,11 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinsight.llm.common import ship, stored, tasks_for, text_or_empty, unused
+from kinsight.llm.common import remembered, ship, stored, tasks_for, text_or_empty, unused
 from kinsight.llm.mixing import mixed, uniform
 
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
+#: Tables of numbers have one file for so many rows until every core has one: a round of connecting writes several.
+SMALL = 10_000
+
 
 def shingles(text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of the runs of ``words`` words (all words, where there are fewer) and how often they occur."""
@@ -103,6 +106,7 @@ def nodes(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remembered("bagminhash")
         for batch in batches:
             for at in range(0, len(batch), 400):
                 some = batch.iloc[at : at + 400]
@@ -124,9 +128,9 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of all nodes in ``links`` (a, b): the smallest node each can be reached from. Labels spread along
     links and jump to their own label's label, so chains shorten by half in a round; each round is stored."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stored(both, "links", tasks=tasks_for(links.sparkSession, 2 * links.count()))
+    both = stored(both, "links", tasks=tasks_for(links.sparkSession, 2 * links.count(), small=SMALL))
     roots = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root"))
-    tasks = tasks_for(links.sparkSession, both.count())
+    tasks = tasks_for(links.sparkSession, both.count(), small=SMALL)
     roots = stored(roots, "roots", tasks=tasks)
     while True:
         near = both.join(roots, both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("near"))
@@ -151,7 +155,7 @@ def joined_by(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     moved = components(between).select(F.col("node").alias("old"), F.col("root").alias("new"))
     nodes_now = roots.unionByName(moved.select(F.col("old").alias("node"), F.col("old").alias("root"))).distinct()
     found = nodes_now.join(moved, F.col("root") == F.col("old"), "left")
-    tasks = tasks_for(roots.sparkSession, roots.count())
+    tasks = tasks_for(roots.sparkSession, roots.count(), small=SMALL)
     return stored(found.groupBy("node").agg(F.min(F.coalesce("new", "root")).alias("root")), "roots", tasks=tasks)
 
 
@@ -159,6 +163,7 @@ def judged(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """Stored (a, b, similarity) of the pairs, which are stored, from the whole texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remembered("bagminhash")
         last, bag = None, None
         for batch in batches:
             out = []
@@ -171,7 +176,8 @@ def judged(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    tasks = 4 * tasks_for(pairs.sparkSession, pairs.count(), 4000)
+    count = pairs.count()
+    tasks = min(4 * tasks_for(pairs.sparkSession, count, 4000), max(1, -(-count // 200)))
     return stored(both.mapInPandas(run, "a long, b long, similarity double"), "bagminhash-judged", tasks=tasks)
 
 
@@ -180,6 +186,7 @@ def overlaps(texts: DataFrame, of: DataFrame, words: int) -> DataFrame:
     of the nodes ``of`` has too. No two of these texts share more than the lesser ``shared`` of theirs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remembered("bagminhash")
         for batch in batches:
             for node, text in zip(batch["node"], batch["text"], strict=True):
                 hashes, times = shingles(text, words)
@@ -212,6 +219,7 @@ def rare_tokens(texts: DataFrame, of: DataFrame, words: int, threshold: float) -
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remembered("bagminhash")
         for batch in batches:
             for node, text in zip(batch["node"], batch["text"], strict=True):
                 hashes, times = shingles(text, words)
@@ -249,7 +257,7 @@ def near_roots(all_nodes: DataFrame, docs: DataFrame, words: int, threshold: flo
     shares = members.count()
     if not shares:
         return None
-    few = tasks_for(spark, shares)
+    few = tasks_for(spark, shares, small=SMALL)
     degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
     members = members.select("bucket", "node").join(degrees, "node").withColumn("rank", F.struct("degree", (-F.col("node")).alias("low")))
     leaders = members.groupBy("bucket").agg(F.max_by("node", "rank").alias("first"), F.max("rank").alias("first_rank"))
@@ -270,7 +278,7 @@ def near_roots(all_nodes: DataFrame, docs: DataFrame, words: int, threshold: flo
             roots = joined_by(roots, close)
         if known is not None:
             both = known.union(made)
-            made = stored(both, "bagminhash-known", tasks=tasks_for(spark, both.count()))
+            made = stored(both, "bagminhash-known", tasks=tasks_for(spark, both.count(), small=SMALL))
         return made, roots
 
     stars = members.filter("node <> first").groupBy(F.col("node").alias("a"), F.col("first").alias("b"))
@@ -317,7 +325,7 @@ def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     ends = rooted.groupBy("bucket").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", "rank").alias("main")
     )
-    tasks = tasks_for(members.sparkSession, members.count())
+    tasks = tasks_for(members.sparkSession, members.count(), small=SMALL)
     return stored(rooted.join(ends.filter("low < high").select("bucket", "main"), "bucket"), "bagminhash-mixed", tasks=tasks)
 
 

@@ -6,6 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +31,28 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+_MEMORIES: dict[str, dict] = {}
+
+
+def remembered(operator: str) -> dict:
+    """What this Python worker remembers for an operator from task to task. Workers serve all stages one after the other,
+    so what other operators have left is dropped: else the memories of all stages add up."""
+    others = [kept for other, kept in _MEMORIES.items() if other != operator and kept]
+    if others:
+        for kept in others:
+            kept.clear()
+        pa.default_memory_pool().release_unused()
+    return _MEMORIES.setdefault(operator, {})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def tasks_for(spark: SparkSession, rows: int, each: int = 100_000) -> int:
-    """How many tasks share ``rows`` when each takes about so many: all cores at least, and more as rows grow."""
-    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+def tasks_for(spark: SparkSession, rows: int, each: int = 100_000, small: int = 1) -> int:
+    """How many tasks share ``rows`` when each takes about so many: all cores at least, and more as rows grow, but no
+    more than one for each ``small`` rows begun."""
+    return max(1, min(-(-rows // small), max(spark.sparkContext.defaultParallelism, -(-rows // each))))
 
 
 def stored(df: DataFrame, purpose: str, drop_shuffles: bool = False, tasks: int | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsight.llm.common import ship, text_or_empty, unused
+from kinsight.llm.common import remembered, ship, text_or_empty, unused
 
 #: ASCII white space: space and the characters 9 to 13.
 WHITE = " \t\n\x0b\x0c\r"
@@ -109,6 +109,7 @@ def _local_owners(memory: int):
     columns = [c.split()[0] for c in PARTIAL.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remembered("exact_dedup")
         trie, hashes = Patricia(), {}
 
         def rows(found):
@@ -131,6 +132,7 @@ def _merged_owners(memory: int):
     columns = [c.split()[0] for c in CLASSES.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remembered("exact_dedup")
         trie, partition, last, out = Patricia(), None, b"", []
 
         def rows(found):

@@ -28,13 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsight.llm.common import ship, text_or_empty
+from kinsight.llm.common import remembered, ship, text_or_empty
 from kinsight.llm.mixing import mixed, uniform
 
 MARK = "▁"
 SAMPLES = "doc_id long, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids binary"
 
-_LATTICES: dict[tuple[str, float], Lattices] = {}
 _SPELLINGS: dict[str, Spellings] = {}
 
 
@@ -434,9 +433,10 @@ def spans(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
 
 def lattices_of(path: str, alpha: float) -> Lattices:
     """One per Python worker and set of parameters."""
-    if (path, alpha) not in _LATTICES:
-        _LATTICES[path, alpha] = Lattices(path, alpha)
-    return _LATTICES[path, alpha]
+    known = remembered("gumbel_pieces")
+    if (path, alpha) not in known:
+        known[path, alpha] = Lattices(path, alpha)
+    return known[path, alpha]
 
 
 def sample_segmentations(docs: DataFrame, path: str, k: int = 3, alpha: float = 0.2, seed: int = 11) -> DataFrame:

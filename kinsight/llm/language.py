@@ -16,14 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinsight.llm.common import bounded_sample, fold_of, ship
+from kinsight.llm.common import bounded_sample, fold_of, remembered, ship
 
 #: Sizes of text for which a bar is learned: powers of two of runs, the last one for all larger texts; and the lengths
 #: of the beginnings of learning texts that stand for shorter ones.
 SIZES, BEGINNINGS = 10, (8, 16, 32, 64, 128, 256, 512)
 
-_SPACES: dict[tuple[int, int, int], LetterSpace] = {}
-
 
 class LetterSpace:
     """Turns texts into sums of run vectors; the vectors of runs met before are remembered, up to ``limit``."""
@@ -112,10 +110,10 @@ class LetterSpace:
 
 def letter_space(dimensions: int, run: int, seed: int) -> LetterSpace:
     """One per Python worker and set of parameters."""
-    key = dimensions, run, seed
-    if key not in _SPACES:
-        _SPACES[key] = LetterSpace(*key)
-    return _SPACES[key]
+    key, known = (dimensions, run, seed), remembered("language")
+    if key not in known:
+        known[key] = LetterSpace(*key)
+    return known[key]
 
 
 @dataclass(frozen=True)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinsight.llm.common import bounded_sample, fold_of, ship, text_or_empty, unused
+from kinsight.llm.common import bounded_sample, fold_of, remembered, ship, text_or_empty, unused
 
 #: Common insults, and words that address the reader (English, French, German, Spanish).
 INSULTS = (
@@ -211,6 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, folds: int = 5)
     insults, address = frozenset(INSULTS), frozenset(ADDRESS)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remembered("toxicity")
         for batch in batches:
             x = [features(t, insults, words, address) for t in batch["text"]]
             yield pd.DataFrame({"sha": batch["sha"], "toxic": batch["toxic"], "x": x})
@@ -234,6 +235,7 @@ def scorer(model: ToxicityModel) -> Column:
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        remembered("toxicity")
         for batch in texts:
             parts = [model.scores([t or "" for t in batch.iloc[i : i + 500]]) for i in range(0, len(batch), 500)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))

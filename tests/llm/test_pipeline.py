@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from kinsight.llm import language, toxicity
 from kinsight.llm.bagminhash import components
+from kinsight.llm.common import remembered, tasks_for
+from kinsight.llm.encoding import encoder, vocabulary_path
 from tests.llm.cases import ROWS, SCHEMA
 from tests.llm.test_duplicates import classes_by_hand, owners_by_hand
 
@@ -62,3 +64,22 @@ def test_small_tables_are_few_files(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_tables_of_few_rows_are_one_file(spark):
+    """However many cores there are; those of many rows are dealt out."""
+    links = spark.range(0, 2000, 1, 7).selectExpr("id a", "id + id % 2 b").filter("a <> b")
+    roots = components(links)
+    assert len([f for f in roots.inputFiles()]) == 1 and roots.count() == 2000
+    cores = spark.sparkContext.defaultParallelism
+    assert tasks_for(spark, 10**9, small=10_000) == max(cores, 10**4)
+    assert tasks_for(spark, 0, small=10_000) == 1 and tasks_for(spark, 10**5) == cores
+
+
+def test_a_worker_drops_what_other_stages_remember():
+    first = encoder(vocabulary_path("byte_bpe_50k.json"), True)
+    assert encoder(vocabulary_path("byte_bpe_50k.json"), True) is first
+    space = language.letter_space(64, 3, 5)
+    assert language.letter_space(64, 3, 5) is space
+    assert encoder(vocabulary_path("byte_bpe_50k.json"), True) is not first
+    assert remembered("near_dedup") == {} and language.letter_space(64, 3, 5) is not space
