@@ -21,11 +21,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinsight.llm.common import ship, stored, text_or_empty
+from kinsight.llm.common import ship, stored, tasks_for, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("general", "removed")
 
+#: Rows of a stored table for which one more file is begun, until every core has one.
+SMALL = 10_000
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 # the optional part lets a run of digits that is no address be passed in one step
@@ -221,12 +224,13 @@ def disclosing(
     pairs = pairs.filter((F.col("n_contexts") >= least) & (F.col("n_contexts") >= variety * F.col("n_both")))
     beside = near.select("digest", "word").distinct().groupBy("word").agg(F.count("*").alias("n_beside"))
     corpus = F.lit(scanned.select("digest").distinct().count())
+    rows, most = scanned.agg(F.count("*"), F.sum(F.greatest(F.size("contexts"), F.lit(0)))).first()  # pairs are at most the contexts
     gain = lambda n_word: 1 + F.log(F.col("n_both") / n_word) / F.log(corpus / F.col("n_entity"))
     likely = pairs.join(of_entity, "entity").filter(F.col("n_entity") < corpus).join(beside, "word")
-    likely = stored(likely.filter(gain(F.col("n_beside")) >= share), "pii-candidates")
+    likely = stored(likely.filter(gain(F.col("n_beside")) >= share), "pii-candidates", tasks=tasks_for(spark, most or 0, small=SMALL))
     shared = spark.sparkContext.broadcast(candidate_filter(likely.select("word").distinct()))
     places = texts.mapInPandas(_found(shared), "digest binary, word string, at array<long>")
-    places = stored(places.dropDuplicates(["digest", "word"]), "pii-places")
+    places = stored(places.dropDuplicates(["digest", "word"]), "pii-places", tasks=tasks_for(spark, rows, 10_000, SMALL))
     anywhere = places.groupBy("word").agg(F.count("*").alias("n_word"))
     judged = likely.join(anywhere, "word").groupBy("word").agg(F.max(gain(F.col("n_word"))).alias("disclosed"))
     kind = F.when(F.col("disclosed") >= all_of_it, ADDED[1]).otherwise(ADDED[0])
@@ -249,7 +253,8 @@ def personal_data(
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("body"))
     texts = texts.withColumn("digest", _digest(F.col("body")))
-    scanned = stored(texts.mapInPandas(_scanned(reach), SCANNED), "pii-scan")
+    tasks = tasks_for(docs.sparkSession, docs.count(), 10_000, 100)
+    scanned = stored(texts.mapInPandas(_scanned(reach), SCANNED), "pii-scan", tasks=tasks)
     result = scanned.drop("contexts")
     words, places = disclosing(scanned, texts.select("body", "digest"), least, variety, share, all_of_it)
     one = F.expr("transform(sequence(0, size(at) - 1, 2), i -> struct(kind, at[i] as a, at[i + 1] as b))")

@@ -2,6 +2,7 @@ import random
 import re
 
 from kinsight.llm import pii
+from kinsight.llm.common import stored
 from tests.llm.cases import LONG, awkward, nothing
 
 
@@ -109,3 +110,27 @@ def test_sanitised_texts_keep_other_columns(spark):
     assert "zorblax" not in got[100].text and "[WORD]" in got[100].text
     assert "bob@x.org" not in got[0].text and "[EMAIL]" in got[0].text
     assert got[200].text == dict(corpus())[200] and got[200].digest_0 == "kept"
+
+
+def test_tables_on_the_way_are_few_files(spark, monkeypatch):
+    """Each file costs a process or two on local file systems, whatever the number of partitions of tables and shuffles."""
+    made = {}
+
+    def noted(df, purpose, **bounds):
+        made[purpose] = stored(df, purpose, **bounds)
+        return made[purpose]
+
+    monkeypatch.setattr(pii, "stored", noted)
+    settings = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        frame = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(50)
+        assert pii.personal_data(frame).count() == len(corpus())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {purpose: len(df.inputFiles()) for purpose, df in made.items()}
+    assert made["pii-places"].count() > 10 and files.keys() == {"pii-scan", "pii-candidates", "pii-places"}
+    assert max(files.values()) <= spark.sparkContext.defaultParallelism, files
