@@ -32,6 +32,16 @@ def test_two_byte_ids_and_lines_ends_between_words(path, kept):
             assert [np.frombuffer(b, f"<u{width}").tolist() for b in encode(texts, width=width, together=together)] == want
 
 
+def test_words_are_looked_up_without_case_and_closing_marks():
+    encode, rng = ChunkEncoder(WORDS, False), random.Random(8)
+    encode(["Word word, WORD; word! word*** \u00c9t\u00e9. \u00e9t\u00e9"])
+    assert len(encode.chunks.new) == 2
+    letters = [chr(c) for c in range(0x260) if chr(c).isalpha()] + list("'_*.,!?-(\"$%~ 1\u2c65\u0301\n")
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 12))) + rng.choice(["", ".", "!!", "'s", "'", "_.", "***", "\u2026"]) for _ in range(6000)]
+    want = [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u2").tolist() for b in encode(texts, width=2, together=5000)] == want
+
+
 def ids_of(encode, text, end):
     return np.array([*encode.tokenizer.encode(text, add_special_tokens=False).ids, end], "<u4")
 
