@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinsight.llm.common import remembered, ship, text_or_empty
+from kinsight.llm.encoding import LATIN, gathered
 from kinsight.llm.mixing import mixed, uniform
 
 MARK = "▁"
+_ENDINGS = ".,;:!?"
 SAMPLES = "doc_id long, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids binary"
 
 _SPELLINGS: dict[str, Spellings] = {}
@@ -220,7 +222,7 @@ class Lattices:
     def _cut(self, chunk: str) -> tuple[str, ...]:
         """The parts of a chunk. A word with closing punctuation is cut between the two, if at all; other chunks
         wherever no piece goes across."""
-        word = chunk.rstrip(".,;:!?")
+        word = chunk.rstrip(_ENDINGS)
         if word[1:].isalpha():
             whole = len(word) == len(chunk) or word[-1] + chunk[len(word)] in self.beside
             return (chunk,) if whole else (word, chunk[len(word) :])
@@ -228,7 +230,7 @@ class Lattices:
         return tuple(chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True))
 
     def _numbers(self, chunks: list[str]) -> np.ndarray:
-        """Numbers of distinct chunks, given without the mark in front; what is new is built at once. The states at the
+        """Numbers of distinct chunks or of the words of some, given without the mark in front; what is new is built at once. The states at the
         beginnings of the parts of chunk n are ``begins[cuts[n] : cuts[n + 1]]``."""
         numbers = np.array(list(map(self.chunks.get, chunks, repeat(-1))), np.int64)
         new = np.flatnonzero(numbers < 0)
@@ -246,6 +248,32 @@ class Lattices:
             self.chunks.update(zip(fresh, range(known, known + len(new)), strict=True))
         return numbers
 
+    def _parted(self, chunks: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The states at the beginnings of the parts of distinct chunks, one after the other, and how many each has.
+        Words of Latin letters with closing punctuation are cut as ``_cut`` does, but together; what is left of them is
+        looked up like a word, so that it is known with any punctuation."""
+        words = pc.utf8_rtrim(chunks, characters=_ENDINGS)
+        marked = pc.and_(pc.not_equal(words, chunks), pc.match_substring_regex(words, LATIN + "$")).to_numpy(zero_copy_only=False)
+        closed, endings = words.filter(pa.array(marked)), pc.replace_substring_regex(chunks.filter(pa.array(marked)), LATIN, "")
+        pairs = pc.binary_join_element_wise(
+            pc.utf8_slice_codeunits(closed, -1), pc.utf8_slice_codeunits(endings, 0, 1), pa.scalar("", pa.large_string())
+        ).dictionary_encode()
+        apart = ~np.array([p in self.beside for p in pairs.dictionary.to_pylist()], bool)[pairs.indices.to_numpy()]
+        marked[marked] = apart
+        endings = endings.filter(pa.array(apart)).dictionary_encode()
+        units = pc.if_else(pa.array(marked), words, chunks).dictionary_encode()
+        known, marks = self._numbers(units.dictionary.to_pylist()), endings.dictionary.to_pylist()
+        self._build([m for m in marks if m not in self.parts])
+        cuts = np.array(self.cuts)
+        begins = np.concatenate([np.array(self.begins, np.int64), np.array([self.parts[m] for m in marks], np.int64)])
+        nothing = len(cuts) - 1  # what each chunk consists of: numbers known, then none, then the endings
+        first = np.concatenate([cuts, len(self.begins) + np.arange(len(marks))])
+        size = np.concatenate([np.diff(cuts), [0], np.ones(len(marks), np.int64)])
+        both = np.full((len(chunks), 2), nothing)
+        both[:, 0] = known[units.indices.to_numpy()]
+        both[marked, 1] = nothing + 1 + endings.indices.to_numpy()
+        return gathered(begins, first[both.ravel()], size[both.ravel()]), size[both].sum(axis=1)
+
     def starts(self, texts: list[str]) -> list[np.ndarray]:
         """For each text the states at the beginnings of its parts."""
         if len(self.share) > self.limit or len(self.chunks) > 400_000:  # some 3 million states, of some 400,000 parts
@@ -260,12 +288,10 @@ class Lattices:
         counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
         chunks = pa.concat_arrays([split.flatten(), pa.array([c.replace(" ", MARK) for r in runs for c in r], pa.large_string())])
         numbered = chunks.dictionary_encode()
-        own = self._numbers(numbered.dictionary.to_pylist())[numbered.indices.to_numpy()]
-        cuts, begins = np.array(self.cuts), np.array(self.begins)
-        sizes = (cuts[1:] - cuts[:-1])[own]
-        ends = np.cumsum(sizes)
-        states = begins[np.arange(int(sizes.sum())) + np.repeat(cuts[own] - (ends - sizes), sizes)]
-        place = np.concatenate([[0], ends])
+        pool, size = self._parted(numbered.dictionary)
+        own = numbered.indices.to_numpy()
+        states = gathered(pool, (np.cumsum(size) - size)[own], size[own])
+        place = np.concatenate([[0], np.cumsum(size[own])])
         bounds = np.concatenate([[0], np.cumsum(counts)])
         out = [states[place[a] : place[b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         begin = bounds[-1]
@@ -282,11 +308,16 @@ class Lattices:
         while len(current):
             u = uniform(mixed(seeds[owner], 100 + step))
             begin, child = self.at[current], self.at[current + 1] - 1  # from the longest piece on
-            more = np.flatnonzero((u >= self.shares[child]) & (child > begin))
+            share = self.shares[child]
+            more = np.flatnonzero((u >= share) & (child > begin))
+            u, share, shorter, begin = u[more], share[more], child[more], begin[more]
             while len(more):
-                u[more] -= self.shares[child[more]]
-                child[more] -= 1
-                more = more[(u[more] >= self.shares[child[more]]) & (child[more] > begin[more])]
+                u -= share
+                shorter -= 1
+                child[more] = shorter
+                share = self.shares[shorter]
+                on = np.flatnonzero((u >= share) & (shorter > begin))
+                more, u, share, shorter, begin = more[on], u[on], share[on], shorter[on], begin[on]
             pieces.append(child)
             owners.append(owner)
             counts[owner] += 1
@@ -309,6 +340,7 @@ def truncated(location: np.ndarray, bound: np.ndarray | float, u: np.ndarray) ->
     """Gumbel numbers with these locations that do not exceed ``bound``."""
     free = location - np.log(-np.log(u))
     near = np.flatnonzero(free > bound - 40)  # elsewhere the bound changes less than a float can hold
+    bound = np.broadcast_to(bound, free.shape)[near]
     free[near] = np.minimum(bound, -np.logaddexp(-bound, -free[near]))
     return free
 
@@ -333,20 +365,27 @@ class Path:
 FIRST, HOPELESS = 256, 45.0
 
 
-def _nodes(lattices, children, logs, fork, tried, bound, key, sample, most) -> np.ndarray:
-    """Perturbed values of the branches not taken at the first ``most`` pieces from the fork on."""
-    own = slice(fork, min(len(children), fork + most))
-    mass = np.cumsum(logs[: own.stop]) - logs[: own.stop]
-    p = lattices.shares[children[own]]
-    if len(tried) > 1:
-        p[0] = math.fsum(lattices.shares[c] for c in tried)
+def _nodes(lattices, drawn: list[tuple], keys: np.ndarray, sample: int, most: int) -> list[np.ndarray]:
+    """For each of ``drawn`` (text, children, logarithms of their shares, fork, tried children, bound) the perturbed
+    values of the branches not taken at the first ``most`` pieces from the fork on."""
+    sizes = np.array([max(0, min(len(children) - fork, most)) for _, children, _, fork, _, _ in drawn], np.int64)
+    ends = np.cumsum(sizes)
+    mass, p = np.empty(int(sizes.sum())), np.empty(int(sizes.sum()))
+    for (_, children, logs, fork, tried, _), end, size in zip(drawn, ends.tolist(), sizes.tolist(), strict=True):
+        if size:
+            own = logs[: fork + size]
+            mass[end - size : end] = (np.cumsum(own) - own)[fork:]
+            p[end - size : end] = lattices.shares[children[fork : fork + size]]
+            if len(tried) > 1:
+                p[end - size] = math.fsum(lattices.shares[c] for c in tried)
     with np.errstate(divide="ignore"):
         rest = np.where(p < 1 - 1e-12, np.log1p(-np.minimum(p, 1.0)), -np.inf)
-    u = uniform(mixed(np.arange(fork, own.stop).astype(np.uint64) ^ key, 50 + sample))
+    places = np.arange(len(p)) + np.repeat(np.array([d[3] for d in drawn], np.int64) - (ends - sizes), sizes)
+    u = uniform(mixed(places.astype(np.uint64) ^ np.repeat(keys[[d[0] for d in drawn]], sizes), 50 + sample))
     with np.errstate(invalid="ignore"):
-        values = truncated(mass[own] + rest, bound, u)
+        values = truncated(mass + rest, np.repeat([d[5] for d in drawn], sizes), u)
     values[~np.isfinite(rest)] = -np.inf
-    return values
+    return np.split(values, ends[:-1])
 
 
 def sample_group(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[tuple[list[Path], float]]:
@@ -367,8 +406,8 @@ def sample_starts(lattices: Lattices, starts: list[np.ndarray], keys: np.ndarray
     found: list[list[Path]] = [[] for _ in starts]
     # what is to be completed: text, path so far, its parts, fork, tried children, states, their parts, bound
     todo = []
-    for i, states in enumerate(starts):
-        root = float(-np.log(-np.log(uniform(mixed(keys[i : i + 1], 1)))[0]))
+    roots = -np.log(-np.log(uniform(mixed(keys, 1))))
+    for i, (states, root) in enumerate(zip(starts, roots.tolist(), strict=True)):
         todo.append((i, np.zeros(0, np.int64), np.zeros(0, np.int64), 0, (), states, np.arange(len(states)), root))
     for sample in range(k):
         sizes = [len(t[5]) for t in todo]
@@ -376,28 +415,34 @@ def sample_starts(lattices: Lattices, starts: list[np.ndarray], keys: np.ndarray
         text_of = np.repeat([t[0] for t in todo], sizes).astype(int)
         seeds = mixed(keys[text_of] ^ mixed(np.concatenate([t[6] for t in todo]) if todo else [], 10 + sample), 2)
         drawn, owners = lattices.draw(np.concatenate([t[5] for t in todo]) if todo else np.zeros(0, np.int64), seeds)
-        cuts = np.searchsorted(owners, begins)
-        for n, (i, before, parts_before, fork, tried, states, parts, bound) in enumerate(todo):
-            new = drawn[cuts[n] : cuts[n + 1]]
-            new_parts = parts[owners[cuts[n] : cuts[n + 1]] - begins[n]]
-            children, all_parts = np.concatenate([before, new]), np.concatenate([parts_before, new_parts])
-            logs = np.log(lattices.shares[children])
-            values = _nodes(lattices, children, logs, fork, tried, bound, keys[i], sample, FIRST)
+        cuts, completed, parts_of = np.searchsorted(owners, begins), [], []
+        logs_drawn = np.log(lattices.shares[drawn])
+        for n, (i, before, parts_before, fork, tried, _, parts, bound) in enumerate(todo):
+            new = slice(cuts[n], cuts[n + 1])
+            children = np.concatenate([before, drawn[new]])
+            logs = np.concatenate([np.log(lattices.shares[before]), logs_drawn[new]])
+            completed.append((i, children, logs, fork, tried, bound))
+            parts_of.append(np.concatenate([parts_before, parts[owners[new] - begins[n]]]))
+        looked_at = _nodes(lattices, completed, keys, sample, FIRST) if completed else []
+        for now, parts, values in zip(completed, parts_of, looked_at, strict=True):
+            i, children, logs, fork, tried, bound = now
             ahead = fork + len(values)
             if ahead < len(children):
                 best = np.sort(values)[::-1]
                 if len(best) < k or best[k - 1] < logs[:ahead].sum() + HOPELESS:
-                    values = _nodes(lattices, children, logs, fork, tried, bound, keys[i], sample, len(children))
-            found[i].append(Path(children, all_parts, fork, tried, float(logs.sum()), bound, values))
+                    (values,) = _nodes(lattices, [now], keys, sample, len(children))
+            found[i].append(Path(children, parts, fork, tried, float(logs.sum()), bound, values))
         if sample == k - 1:
             break
-        todo = [t for t in (take(lattices, i, paths, starts[i], keys[i], sample) for i, paths in enumerate(found)) if t]
+        chances = uniform(mixed(keys, 70 + sample))
+        todo = [t for t in (take(lattices, i, paths, starts[i], chances[i], sample) for i, paths in enumerate(found)) if t]
     out = [(paths, max(p.best for p in paths)) for paths in found]
     return out
 
 
-def take(lattices: Lattices, i: int, paths: list[Path], starts: np.ndarray, key: np.uint64, sample: int):
-    """Take the best node of a text's paths: what is to be completed from there, or None when no path is left."""
+def take(lattices: Lattices, i: int, paths: list[Path], starts: np.ndarray, chance: float, sample: int):
+    """Take the best node of a text's paths: what is to be completed from there, or None when no path is left. ``chance``
+    is a number between 0 and 1 that chooses among the branches."""
     path = max(paths, key=lambda p: p.best)
     if path.best == -math.inf or len(paths) != sample + 1:
         return None
@@ -408,7 +453,7 @@ def take(lattices: Lattices, i: int, paths: list[Path], starts: np.ndarray, key:
     state = lattices.state_of(chosen)
     left = [c for c in lattices.children(state) if c not in tried]
     weights = lattices.shares[left]
-    u = uniform(mixed(np.array([key]), 70 + sample))[0] * weights.sum()
+    u = chance * weights.sum()
     branch = left[min(int(np.searchsorted(np.cumsum(weights), u, "right")), len(left) - 1)]
     path.values[at] = -np.inf
     path.look()

@@ -271,3 +271,25 @@ def test_lattices_of_new_words_are_made_together(monkeypatch):
             a, b = lattices.children(own + k), lattices.children(other + k)
             assert list(lattices.ids[a.start : a.stop]) == list(lattices.ids[b.start : b.stop])
             assert np.allclose(lattices.shares[a.start : a.stop], lattices.shares[b.start : b.stop])
+
+
+def test_words_are_known_with_any_punctuation():
+    lattices, rng, mark = gumbel_pieces.Lattices(PIECES, 0.2), random.Random(6), gumbel_pieces.MARK
+    gumbel_pieces.begun(lattices, ["words words, words; words!? words"])
+    assert set(lattices.chunks) == {"words"}
+    alphabet = "aetc\u00e9\u0130\u01c5\u4e2d'*1_" + ".,;:!?" * 2
+    chunks = ["".join(rng.choices(alphabet, k=rng.randint(1, 6))) for _ in range(3000)] + ["etc.", "e.", "a..."]
+    for chunk, states in zip(chunks, gumbel_pieces.begun(lattices, chunks), strict=True):
+        word = mark + chunk
+        assert states.tolist() == [lattices.parts[p] for p in ((word,) if chunk.isalpha() else lattices._cut(word))], chunk
+
+
+def test_a_text_has_its_samples_in_any_group():
+    lattices = gumbel_pieces.Lattices(PIECES, 0.2)
+    texts, keys = [LONG[:3000], "", "a b", "end. " * 80, "x"], mixed(np.arange(5), 3)
+    together = gumbel_pieces.sample_group(lattices, texts, keys, 4)
+    for i, (paths, following) in enumerate(together):
+        ((alone, after),) = gumbel_pieces.sample_group(lattices, texts[i : i + 1], keys[i : i + 1], 4)
+        assert following == after and len(paths) == len(alone)
+        for a, b in zip(paths, alone, strict=True):
+            assert (a.log_prob, a.perturbed, a.children.tolist()) == (b.log_prob, b.perturbed, b.children.tolist())
