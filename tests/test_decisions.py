@@ -63,3 +63,11 @@ def test_every_decision_with_a_recommendation_is_logged(made, primary):
     rows = whole(decisions.recommendation_log(made, primary), 1)
     assert sorted((r.customer_id, r.created_at.month, r.action_type) for r in rows) == [(1, 1, "type-1"), (1, 2, "type-1"), (2, 1, "type-2")]
     assert len({r.recommendation_log_id for r in rows}) == 3 and all("eligibility_check" in r.recommendation_payload for r in rows)
+
+
+def test_events_and_follow_ups_of_logged_decisions(made, log):
+    rows = whole(decisions.decision_events(made, log), 1)
+    assert sorted((r.customer_id, r.event_type) for r in rows) == [
+        (1, "approved"), (1, "modified"), (1, "presented"), (1, "presented"), (2, "presented"), (2, "rejected")]
+    rows = whole(decisions.follow_ups(made, log), 1)
+    assert sorted((r.customer_id, r.action_taken) for r in rows) == [(1, "do 1"), (1, "own plan")]
