@@ -71,3 +71,9 @@ def test_events_and_follow_ups_of_logged_decisions(made, log):
         (1, "approved"), (1, "modified"), (1, "presented"), (1, "presented"), (2, "presented"), (2, "rejected")]
     rows = whole(decisions.follow_ups(made, log), 1)
     assert sorted((r.customer_id, r.action_taken) for r in rows) == [(1, "do 1"), (1, "own plan")]
+
+
+def test_snapshots_of_logged_recommendations(spark, log):
+    people = spark.range(1, 9).selectExpr("id AS customer_id", "repeat('x', 100) AS city", "true AS has_email")
+    rows = whole(decisions.context_snapshot(log, people, ["customer_id", "city"]), 1)
+    assert sorted(r.customer_id for r in rows) == [1, 1, 2] and all("xxx" in r.snapshot_data for r in rows)
