@@ -77,3 +77,16 @@ def test_snapshots_of_logged_recommendations(spark, log):
     people = spark.range(1, 9).selectExpr("id AS customer_id", "repeat('x', 100) AS city", "true AS has_email")
     rows = whole(decisions.context_snapshot(log, people, ["customer_id", "city"]), 1)
     assert sorted(r.customer_id for r in rows) == [1, 1, 2] and all("xxx" in r.snapshot_data for r in rows)
+
+
+def outcomes_of(follow_ups):
+    return follow_ups.select("follow_up_id", "customer_id", F.when(F.col("follow_up_status") == "approved", "renewed").otherwise(
+        "lapsed").alias("outcome_type"), F.lit(date(2000, 3, 1)).alias("observed_date"))
+
+
+def test_history_has_a_row_for_each_event(log, events, follow_ups):
+    snapshots = log.select("recommendation_log_id", F.lit("c").alias("context_snapshot_id"))
+    rows = whole(decisions.decision_history(log, snapshots, follow_ups, outcomes_of(follow_ups), events), 4)
+    assert sorted((r.customer_id, r.event_type, r.outcome_type or "") for r in rows) == [
+        (1, "approved", "renewed"), (1, "modified", "lapsed"), (1, "presented", "lapsed"), (1, "presented", "renewed"),
+        (2, "presented", ""), (2, "rejected", "")]
