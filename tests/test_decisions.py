@@ -90,3 +90,9 @@ def test_history_has_a_row_for_each_event(log, events, follow_ups):
     assert sorted((r.customer_id, r.event_type, r.outcome_type or "") for r in rows) == [
         (1, "approved", "renewed"), (1, "modified", "lapsed"), (1, "presented", "lapsed"), (1, "presented", "renewed"),
         (2, "presented", ""), (2, "rejected", "")]
+
+
+def test_rates_by_active_signals(spark, log, follow_ups):
+    signals = spark.createDataFrame([(1, "b", 0.5), (1, "a", 0.1), (1, "c", 0.0), (2, "a", 1.0)], "customer_id long, signal_type string, weighted_score double")
+    rows = whole(decisions.outcome_rates(outcomes_of(follow_ups), follow_ups, log, signals), 3)
+    assert [(r.signal_combination, r.action_type, r.follow_ups, r.renewed) for r in rows] == [("a + b", "type-1", 2, 1)]
