@@ -96,3 +96,12 @@ def test_rates_by_active_signals(spark, log, follow_ups):
     signals = spark.createDataFrame([(1, "b", 0.5), (1, "a", 0.1), (1, "c", 0.0), (2, "a", 1.0)], "customer_id long, signal_type string, weighted_score double")
     rows = whole(decisions.outcome_rates(outcomes_of(follow_ups), follow_ups, log, signals), 3)
     assert [(r.signal_combination, r.action_type, r.follow_ups, r.renewed) for r in rows] == [("a + b", "type-1", 2, 1)]
+
+
+def test_orphans_are_counted(log, events, follow_ups):
+    known = log.filter("risk_tier != 'medium'")
+    rows = whole(decisions.decision_integrity(known, events, follow_ups, outcomes_of(follow_ups).unionByName(
+        outcomes_of(follow_ups).limit(1).withColumn("follow_up_id", F.lit(None).cast("string")))), 4)
+    found = {r.check_name: r.violations for r in rows}
+    assert found["event_without_recommendation"] == 2 and found["outcome_without_follow_up"] == 1
+    assert sum(found.values()) == 3 and len(found) == 8
