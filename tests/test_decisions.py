@@ -105,3 +105,12 @@ def test_orphans_are_counted(log, events, follow_ups):
     found = {r.check_name: r.violations for r in rows}
     assert found["event_without_recommendation"] == 2 and found["outcome_without_follow_up"] == 1
     assert sum(found.values()) == 3 and len(found) == 8
+
+
+def test_metrics_of_guided_customers(spark, log, events, follow_ups):
+    contacts = spark.createDataFrame([(1, 60), (2, 30), (7, 90), (7, None)], "customer_id long, duration_seconds long")
+    policies = spark.createDataFrame([(1, "active"), (2, "lapsed"), (8, "renewed")], "customer_id long, status string")
+    rows = whole(decisions.programme_metrics(log, events, follow_ups, outcomes_of(follow_ups), contacts, policies), 3)
+    found = {r.metric: r.value for r in rows}
+    assert found["handle_time_change"] == 0.0 and found["retention_delta"] == 0.5
+    assert found["acceptance_rate"] == pytest.approx(1 / 3, abs=1e-4) and found["approval_renewal_correlation"] == 1.0
