@@ -1,11 +1,14 @@
 """Tables that are maintained by what changes."""
 
+import re
+import time
 from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from kinsight.operators import aggregates
+from kinsight.sources import buckets
 from kinsight.sources.buckets import Buckets, KeyedLog, bucket_of
 from kinsight.streaming import incremental
 
@@ -85,6 +88,38 @@ def test_empty_tables_and_batches(spark, tmp_path):
     assert table.pointer().version == 3 and table.read().count() == 2
 
 
+def test_copies_are_emptied_and_deletions_written_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "run_folder", lambda _, purpose: str(tmp_path / purpose))
+    table = Buckets(spark, str(tmp_path / "t"), "k", per_bucket=100, at_once=1)
+    made = table.replace(spark.range(6_400).selectExpr("id AS k", "repeat('x', 50) AS v").repartition(7), 1)
+    assert made.buckets == 64 and spark.read.parquet(str(tmp_path / "buckets")).count() == 0
+    # a deletion is written some buckets at a time, and says the same
+    gone, parts = spark.range(0, 6_400, 3).selectExpr("id AS k").repartition(5), []
+    opened = table._open
+    monkeypatch.setattr(table, "_open", lambda pointer, own=None: (parts.append(own), opened(pointer, own))[1])
+    left = table.delete(2, gone)
+    step = 2 * spark.sparkContext.defaultParallelism
+    assert [len(p) for p in parts] == [step] * (64 // step) and sum(parts, []) == list(range(64)) and len(parts) > 1
+    assert rows_of(table.read().select("k")) == [(i,) for i in range(6_400) if i % 3] and sum(left.rows.values()) == 4_266
+    assert rows_of(table.read(below=2).select("k")) == [(i,) for i in range(6_400)]
+    table.delete(2, gone)
+    assert table.read().count() == 4_266 and len(list(Path(table.root, "data", "v=2").glob("b=*/*.parquet"))) == 64
+
+
+def test_spent_shuffles_give_back_their_space(spark, tmp_path):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString(" ")))
+    before = shuffled()
+    Buckets(spark, str(tmp_path / "t"), "k")._write(spark.range(0, 1_000, 1, 30).selectExpr("id AS k"), 1, 4, {}, 8)
+    dealt = len(shuffled() - before)
+    for _ in range(20):  # the files of 30 tasks go a moment later, those of small counts are left
+        if dealt < 30:
+            break
+        time.sleep(0.5)
+        dealt = len(shuffled() - before)
+    assert dealt < 30
+
+
 def contacts(spark, first, last):
     text = "CAST(id % 97 AS STRING) AS customer_id"
     return spark.range(first, last).selectExpr(

@@ -4,7 +4,9 @@ import pytest
 
 from kinsight.operators import erasure
 from kinsight.operators.erasure import Product
+from kinsight.plans.pipeline import Build
 from kinsight.sources.buckets import Buckets
+from scenarios import SETTINGS, Scenarios
 
 GRAPH = [
     Product("postings", "doc_id", "texts", "doc_id"), Product("texts", "contact_id", "contacts", "contact_id"),
@@ -66,6 +68,15 @@ def test_nothing_of_an_erased_subject_stays_on_disk(spark, tmp_path):
     assert all(s.scrub() == [] for s in stores.values())
 
 
+def test_a_released_build_holds_no_rows(spark, tmp_path):
+    build = Build(Scenarios(spark), SETTINGS, workspace=str(tmp_path))
+    kept = build.recommendations.collect()
+    folders = [str(f) for f in tmp_path.iterdir()]
+    assert len(folders) == 3 and all(spark.read.parquet(f).count() > 0 for f in folders) and kept
+    build.release()
+    assert all(spark.read.parquet(f).count() == 0 for f in folders)
+
+
 @pytest.mark.parametrize("graph", [
     [Product("a", "k", "b", "k"), Product("b", "k", "a", "k")], [Product("a", "k", "nowhere", "k")], [Product("a", "k"), Product("a", "k")]])
 def test_a_product_that_leads_nowhere_is_an_error(graph):
